@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, FMRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression,
     RandomForestRegressor,
@@ -142,7 +142,6 @@ def impute_column(df: DataFrame, column: str, keys: list[str], date: str, drop:
     fill = F.transform(vector_to_array("features"), lambda v: F.when(F.isnan(v), 0.0).otherwise(v))
 
     def ready(frame):
-        from pyspark.ml.functions import array_to_vector
         return prepared.transform(frame).withColumn("_filled", array_to_vector(fill))
 
     fitted = search(ready(folded), model) if search else model.fit(ready(train))

@@ -30,9 +30,8 @@ def evaluator(label: str, metric: str = "r2") -> RegressionEvaluator:
 
 def persistence_baseline(df: DataFrame, previous: str = "value_lag1day") -> DataFrame:
     """Yesterday's value as prediction; where there is none, the mean of the known ones."""
-    mean = df.agg(F.avg(previous).alias("_mean"))
-    return df.crossJoin(F.broadcast(mean)).withColumn(
-        "prediction", F.coalesce(F.col(previous), F.col("_mean"))).drop("_mean")
+    mean = df.agg(F.avg(previous)).first()[0]
+    return df.withColumn("prediction", F.coalesce(F.col(previous), F.lit(mean)))
 
 
 def constant_baseline(df: DataFrame, value: float = 0.0) -> DataFrame:

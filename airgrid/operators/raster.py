@@ -97,7 +97,10 @@ def join_variables(cube: DataFrame, keys: list[str], variables: list[str], varia
 
 
 def coarsen(df: DataFrame, keys: list[str], value: str, size: int = 5, row: str = "row", col: str = "col") -> DataFrame:
-    """Drop the last row and column of each raster, then average blocks of size x size."""
+    """Drop the last row and column of each raster, then average blocks of size x size.
+
+    A part block at the far edge is averaged over the cells it holds.
+    """
     edge = df.groupBy(*keys).agg(F.max(row).alias("_last_row"), F.max(col).alias("_last_col"))
     kept = df.join(edge, same(df, edge, keys)).where((F.col(row) < F.col("_last_row")) & (F.col(col) < F.col("_last_col")))
     return kept.groupBy(*[df[k] for k in keys], F.floor(F.col(row) / size).alias("block_row"),
