@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from airgrid.functions.geo import coordinate_key
-from airgrid.operators.ordering import exact_percentiles, row_positions, same
+from airgrid.operators.ordering import attach, exact_percentiles, row_positions
 
 
 def numeric_columns(df: DataFrame, without=()) -> list[str]:
@@ -56,8 +56,7 @@ def band_min_max_median(df: DataFrame, keys: list[str], bands: list[str], where=
     if exact:
         for c in bands:
             middle = exact_percentiles(kept, keys, c, {f"median_{c}": 0.5}, interpolate=False)
-            out = out.join(middle, same(out, middle, keys), "left").select(
-                *[out[x] for x in out.columns], middle[f"median_{c}"])
+            out = attach(out, middle, keys)
     order = [*keys, *[f"{s}_{c}" for c in bands for s in ("min", "max", "median")]]
     return out.select(order)
 
@@ -117,7 +116,7 @@ def collapse_predictions(df: DataFrame, keys: list[str], prediction: str = "pred
         *([] if exact else [F.percentile_approx(prediction, 0.5).alias("pred_median")]))
     if exact:
         middle = exact_percentiles(df, keys, prediction, {"pred_median": 0.5}, interpolate=False)
-        out = out.join(middle, same(out, middle, keys), "left").select(*[out[c] for c in out.columns], "pred_median")
+        out = attach(out, middle, keys)
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from airgrid.constants import GFS_VARIABLES, NO_DATA_ANSWER, SLOTS
 from airgrid.functions.features import selected_slots
 from airgrid.functions.geo import rounded_key
-from airgrid.operators.ordering import same
+from airgrid.operators.ordering import attach
 
 
 def _hide(df: DataFrame, columns) -> DataFrame:
@@ -93,7 +93,6 @@ def interval_means(left: DataFrame, right: DataFrame, on: list[str], left_time:
         *[F.count(v).alias(n) for v, n in zip(values, counts)],
     ).withColumn("_day", F.to_date("_at"))
 
-    low, high = interval_bounds(F.col(left_time), back, ahead, mode)
     asked = left.where(F.col(left_time).isNotNull()).select(*on, F.col(left_time).alias("_ask")).distinct()
     low, high = interval_bounds(F.col("_ask"), back, ahead, mode)
     asked = asked.select("*", low.alias("_low"), high.alias("_high"))
@@ -124,9 +123,8 @@ def interval_means(left: DataFrame, right: DataFrame, on: list[str], left_time:
         parts = parts.unionByName(whole.select(*on, "_ask", *sums, *counts))
 
     means = parts.groupBy(*on, "_ask").agg(*[
-        (F.sum(s) / F.nullif(F.sum(n), F.lit(0))).alias(f"_m_{v}") for v, s, n in zip(values, sums, counts)])
-    joined = left.join(means, same(left, means, on) & (left[left_time] == means["_ask"]), "left")
-    return joined.select(*[left[c] for c in left.columns], *[means[f"_m_{v}"].alias(f"avg_{v}") for v in values])
+        (F.sum(s) / F.nullif(F.sum(n), F.lit(0))).alias(f"avg_{v}") for v, s, n in zip(values, sums, counts)])
+    return attach(left, means.withColumnRenamed("_ask", left_time), [*on, left_time])
 
 
 def day_pair_join(left: DataFrame, right: DataFrame, on: list[str], left_date: str, right_date: str,

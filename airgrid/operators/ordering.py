@@ -9,6 +9,7 @@ spread over its bands.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,12 @@ from airgrid.session import settle
 _BAND = "_band"
 
 
-def same(left: DataFrame, right: DataFrame, columns) -> Column:
-    """Null-safe equality over columns that both sides have."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns], F.lit(True))
+def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Add the other columns of `table` to the rows with the same `on` values; NULL equals NULL."""
+    hidden = {k: f"_on_{k}" for k in on}
+    other = table.withColumnsRenamed(hidden)
+    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(h)) for k, h in hidden.items()])
+    return df.join(other, condition, how).drop(*hidden.values())
 
 
 def value_band(df: DataFrame, order: str, bands: int = 256) -> Column:
@@ -63,35 +67,29 @@ def value_positions(df: DataFrame, keys: list[str], order: str, band: Column | N
         (F.sum("n").over(inside) - F.col("n")).alias("_rows_inside"),
         (F.row_number().over(inside) - 1).alias("_values_inside"),
     )
-    joined = placed.join(offsets, same(placed, offsets, [*keys, _BAND]))
+    joined = attach(placed, offsets, [*keys, _BAND], "inner")
     return joined.select(
-        *[placed[k] for k in keys], placed[order], "n",
+        *keys, order, "n",
         (F.col("_rows_offset") + F.col("_rows_inside")).alias("rows_before"),
         (F.col("_values_offset") + F.col("_values_inside")).alias("values_before"),
         "rows_total",
     )
 
 
-def _attach(df: DataFrame, table: DataFrame, on: list[str], value: str, settled: bool) -> DataFrame:
-    """Add `table`'s column to `df`; a settled table is broadcast only if its size allows it."""
-    table = settle(table.select(*on, value)) if settled else table.select(*on, value)
-    return df.join(table, same(df, table, on), "left").select(*[df[c] for c in df.columns], table[value])
-
-
 def percent_rank(df: DataFrame, order: str, alias: str = "rank", keys: list[str] | None = None,
                  settled: bool = True) -> DataFrame:
     """Share of the other rows (of the key) that sort before each row."""
     keys = keys or []
     share = F.when(F.col("rows_total") > 1, F.col("rows_before") / (F.col("rows_total") - 1)).otherwise(0.0)
-    ranks = value_positions(df, keys, order).withColumn(alias, share)
-    return _attach(df, ranks, [*keys, order], alias, settled)
+    ranks = value_positions(df, keys, order).select(*keys, order, share.alias(alias))
+    return attach(df, settle(ranks) if settled else ranks, [*keys, order])
 
 
 def dense_rank(df: DataFrame, keys: list[str], order: str, alias: str = "rank",
                band: Column | None = None) -> DataFrame:
     """Dense rank within the key, for keys too large for one sort."""
-    ranks = value_positions(df, keys, order, band).withColumn(alias, (F.col("values_before") + 1).cast("int"))
-    return _attach(df, ranks, [*keys, order], alias, settled=False)
+    place = (F.col("values_before") + 1).cast("int").alias(alias)
+    return attach(df, value_positions(df, keys, order, band).select(*keys, order, place), [*keys, order])
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float],
@@ -127,5 +125,5 @@ def row_positions(df: DataFrame, keys: list[str], order: str, alias: str = "posi
     offsets = per_band.select(*keys, _BAND, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, _BAND).orderBy(order)
     placed = banded.withColumn("_inside", F.row_number().over(inside) - 1)
-    return placed.join(offsets, same(placed, offsets, [*keys, _BAND])).select(
-        *[placed[c] for c in df.columns], (F.col("_offset") + F.col("_inside")).alias(alias))
+    return attach(placed, offsets, [*keys, _BAND], "inner").select(
+        *df.columns, (F.col("_offset") + F.col("_inside")).alias(alias))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from airgrid.functions.geo import cell_lon_lat, corner_points
 from airgrid.functions.quality import quality_keep
 from airgrid.operators.joins import cells_in_boxes
-from airgrid.operators.ordering import exact_percentiles, same
+from airgrid.operators.ordering import attach, exact_percentiles
 
 
 def with_corners(df: DataFrame, metadata: str = "metadata") -> DataFrame:
@@ -102,8 +102,8 @@ def coarsen(df: DataFrame, keys: list[str], value: str, size: int = 5, row: str
     A part block at the far edge is averaged over the cells it holds.
     """
     edge = df.groupBy(*keys).agg(F.max(row).alias("_last_row"), F.max(col).alias("_last_col"))
-    kept = df.join(edge, same(df, edge, keys)).where((F.col(row) < F.col("_last_row")) & (F.col(col) < F.col("_last_col")))
-    return kept.groupBy(*[df[k] for k in keys], F.floor(F.col(row) / size).alias("block_row"),
+    kept = attach(df, edge, keys).where((F.col(row) < F.col("_last_row")) & (F.col(col) < F.col("_last_col")))
+    return kept.groupBy(*keys, F.floor(F.col(row) / size).alias("block_row"),
                         F.floor(F.col(col) / size).alias("block_col")).agg(F.avg(value).alias(value))
 
 
@@ -114,9 +114,7 @@ def elevation_summary(df: DataFrame, keys: list[str], value: str = "elevation",
     if not percentiles:
         return base
     quartiles = {"pertl25_elevation": 0.25, "pertl75_elevation": 0.75, "median_elevation": 0.5}
-    ranked = exact_percentiles(df, keys, value, quartiles)
-    return base.join(ranked, same(base, ranked, keys), "left").select(
-        *[base[c] for c in base.columns], *quartiles)
+    return attach(base, exact_percentiles(df, keys, value, quartiles), keys)
 
 
 def pick_dataset(df: DataFrame, name: str, column: str = "dataset") -> DataFrame:

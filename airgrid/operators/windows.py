@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from airgrid.operators.ordering import dense_rank, row_positions, same
+from airgrid.operators.ordering import attach, dense_rank, row_positions
 from airgrid.session import settle
 
 _DAY = 86400
@@ -111,9 +111,7 @@ def trailing_means(df: DataFrame, keys: list[str], time: str, columns: list[str]
         .where(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
     if settled:
         table = settle(table)
-    added = [name(c, d) for d in days for c in columns]
-    return df.join(table, same(df, table, keys) & (clock == table["_t"]), "left").select(
-        *[df[c] for c in df.columns], *[table[a] for a in added])
+    return attach(df.withColumn("_t", clock), table, [*keys, "_t"]).drop("_t")
 
 
 # alias of a calendar mean -> calendar expression
@@ -147,9 +145,8 @@ def calendar_means(df: DataFrame, key: str, date: str, columns: list[str], settl
     out = df
     for name, part in parts.items():
         means = sums.where(F.col("_calendar") == name).select(
-            F.col(key).alias("_key"), "_part", *[F.col(c).alias(f"avg_{name}_{c}") for c in columns])
-        out = out.join(means, out[key].eqNullSafe(means["_key"]) & part.eqNullSafe(means["_part"]), "left") \
-            .drop("_key", "_part")
+            key, "_part", *[F.col(c).alias(f"avg_{name}_{c}") for c in columns])
+        out = attach(out.withColumn("_part", part), means, [key, "_part"]).drop("_part")
     return out
 
 
@@ -159,8 +156,7 @@ def autocorrelation(df: DataFrame, keys: list[str], order: str, column: str, lag
     stats = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(
         F.avg(column).alias("_mean"), F.count(column).alias("_n"))
     values = df.where(F.col(column).isNotNull()).select(*keys, order, column)
-    centred = values.join(stats, same(values, stats, keys)).select(
-        *[values[k] for k in keys], values[order], (F.col(column) - F.col("_mean")).alias("_d"))
+    centred = attach(values, stats, keys).select(*keys, order, (F.col(column) - F.col("_mean")).alias("_d"))
     blocks = []
     for start in range(0, lags + 1, batch):
         ks = range(start, min(start + batch, lags + 1))
@@ -176,8 +172,7 @@ def autocorrelation(df: DataFrame, keys: list[str], order: str, column: str, lag
     for block in blocks[1:]:
         out = out.unionByName(block)
     # a lag as long as the series has no pairs
-    sized = out.join(stats, same(out, stats, keys)).where(F.col("lag") < F.col("_n"))
-    return sized.select(*[out[k] for k in keys], "lag", "acf")
+    return attach(out, stats, keys).where(F.col("lag") < F.col("_n")).select(*keys, "lag", "acf")
 
 
 def last_days(df: DataFrame, date: str, n: int, as_of: datetime.date | str | None = None,

@@ -13,7 +13,7 @@ from airgrid.functions.geo import city_code
 from airgrid.operators.aggregates import class_hit_rate, mean_by, mean_error, station_days
 from airgrid.operators.clean import nonfinite_to_null, valid_labels
 from airgrid.operators.joins import box_join, interval_means, latest_value_lookup
-from airgrid.operators.ordering import same
+from airgrid.operators.ordering import attach
 from airgrid.operators.windows import day_difference_lags, trailing_means
 from airgrid.functions.geo import rounded_key
 
@@ -54,9 +54,7 @@ def station_table(labels: DataFrame, aerosol: DataFrame, elevation: DataFrame, f
     keys = ["latitude", "longitude", "date_utc", "_hour"]
     strongest = near.select(*keys, *selected_slots(F.col("date_utc"), F.col("_hour"), F.col("date"))) \
         .groupBy(*keys).agg(*[F.max(v + s).alias(v + s) for s in SLOTS for v in GFS_VARIABLES])
-    hour = F.hour(raised["datetime_utc"])
-    return raised.join(strongest, same(raised, strongest, keys[:-1]) & (hour == strongest["_hour"]), "left").select(
-        *[raised[c] for c in raised.columns], *[strongest[v + s] for s in SLOTS for v in GFS_VARIABLES])
+    return attach(raised.withColumn("_hour", F.hour("datetime_utc")), strongest, keys).drop("_hour")
 
 
 def deployed_features(table: DataFrame, station: list[str], date: str, scaled: list[str],

@@ -155,12 +155,15 @@ _SITES = """(SELECT DISTINCT latitude, longitude, CAST(datetime_utc AS DATE) AS
 
 
 @query("jn_box", f"""
-       SELECT s.latitude, s.longitude, {d_text('date_utc')} AS date_utc, p.latitude AS right_latitude,
-              p.longitude AS right_longitude, {d_text('p.date')} AS date, p.t_surface00
-       FROM {_SITES} s LEFT JOIN {{points}} p
-         ON round(p.latitude, 2) + 0.375 >= round(s.latitude, 2) AND round(p.latitude, 2) - 0.375 <= round(s.latitude, 2)
-        AND round(p.longitude, 2) + 0.375 >= round(s.longitude, 2) AND round(p.longitude, 2) - 0.375 <= round(s.longitude, 2)
-        AND (p.date = date_utc OR p.date = CAST(date_utc + INTERVAL '1' DAY AS DATE))""")
+       WITH s AS (SELECT * FROM {_SITES}),
+       m AS (SELECT s.latitude, s.longitude, date_utc, p.latitude AS right_latitude, p.longitude AS right_longitude,
+                    p.date, p.t_surface00
+             FROM s JOIN {{points}} p ON (p.date = date_utc OR p.date = CAST(date_utc + INTERVAL '1' DAY AS DATE))
+             WHERE abs(round(p.latitude, 2) - round(s.latitude, 2)) <= 0.375
+               AND abs(round(p.longitude, 2) - round(s.longitude, 2)) <= 0.375)
+       SELECT latitude, longitude, {d_text('date_utc')} AS date_utc, right_latitude, right_longitude,
+              {d_text('date')} AS date, t_surface00
+       FROM s LEFT JOIN m USING (latitude, longitude, date_utc)""")
 def _(t):
     sites = t.labels_station.select("latitude", "longitude", F.to_date("datetime_utc").alias("date_utc")).distinct()
     points = t.points.select("latitude", "longitude", "date", "t_surface00")
