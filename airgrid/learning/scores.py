@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import PCA
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +56,17 @@ def compare_models(df: DataFrame, candidates: dict, label: str, fold: str = "fol
     return table.orderBy("r2_score"), results
 
 
+def compare_pca(df: DataFrame, estimator, maps: list[dict], label: str, k: int, fold: str = "foldNumber",
+                features: str = "features", parallelism: int = 4) -> tuple[DataFrame, dict]:
+    """The same learner on plain features and on k principal components, scored by time folds.
+
+    The components are fitted inside each training fold.
+    """
+    reduced = Pipeline(stages=[PCA(k=k, inputCol=features, outputCol="_pca"),
+                               estimator.copy({estimator.featuresCol: "_pca"})])
+    return compare_models(df, {"plain": (estimator, maps), f"pca{k}": (reduced, maps)}, label, fold, parallelism)
+
+
 def student_upper_tail(t: Column, dof: Column, steps: int = 400) -> Column:
     """P(T > t) of Student's t with `dof` degrees of freedom.
 

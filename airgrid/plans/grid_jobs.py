@@ -73,7 +73,7 @@ def cell_table(labels: DataFrame, forecasts: DataFrame, cells: DataFrame, elevat
         planar_distance(F.col("centroid.lon"), F.col("centroid.lat"), F.col("lon"), F.col("lat")))
     near = nearest_rank(placed, ["grid_id", "datetime"], "AOD_distance_to_grid_center", nearest, "AOD_distance_rank") \
         .select("grid_id", "datetime", *bands, "AOD_distance_to_grid_center", "AOD_distance_rank")
-    ahead = nearest_forecasts(labels.select("grid_id", "datetime"), forecasts, grids)
+    ahead = nearest_forecasts(labels.select("grid_id", "datetime").distinct(), forecasts, grids)
     joined = equi_join(labels, near, ["grid_id", "datetime"], "left")
     return dimension_join(equi_join(joined, ahead, ["grid_id", "datetime"], "left"), elevation, ["grid_id"])
 
@@ -81,7 +81,7 @@ def cell_table(labels: DataFrame, forecasts: DataFrame, cells: DataFrame, elevat
 def submission_table(submission: DataFrame, forecasts: DataFrame, readings: DataFrame, elevation: DataFrame,
                      grids: DataFrame, bands: list[str] = SUMMARY_BANDS, reading_time: str = "aod_reading_end") -> DataFrame:
     """The validated table for rows to predict: cells read within a day either way."""
-    asked = submission.select("grid_id", "datetime")
+    asked = submission.select("grid_id", "datetime").distinct()
     ahead = nearest_forecasts(asked, forecasts, grids)
     around = interval_join(asked, clear_cells(readings, bands).select("grid_id", reading_time, *bands), ["grid_id"],
                            "datetime", reading_time, back=1, ahead=1, mode="calendar", how="inner")

@@ -48,14 +48,13 @@ def _(t):
         "event_id", geo.unshift_longitude(lon).alias("unshifted"), geo.wrap_longitude(lon * 3).alias("wrapped")), "wrapped")
 
 
-@query("geo_centroid", f"""
-       WITH e AS (
-         SELECT grid_id, unnest(range(1, len(x))) AS i, x, y FROM ({_RING})),
-       s AS (
-         SELECT grid_id, sum(x[i] * y[i + 1] - x[i + 1] * y[i]) AS a,
-                sum((x[i] + x[i + 1]) * (x[i] * y[i + 1] - x[i + 1] * y[i])) AS mx,
-                sum((y[i] + y[i + 1]) * (x[i] * y[i + 1] - x[i + 1] * y[i])) AS my FROM e GROUP BY grid_id)
-       SELECT grid_id, {r6('mx / (3 * a)')} AS lon, {r6('my / (3 * a)')} AS lat FROM s""")
+CENTROIDS = f"""(
+       SELECT grid_id, sum((x[i] + x[i + 1]) * (x[i] * y[i + 1] - x[i + 1] * y[i])) / (3 * sum(x[i] * y[i + 1] - x[i + 1] * y[i])) AS clon,
+              sum((y[i] + y[i + 1]) * (x[i] * y[i + 1] - x[i + 1] * y[i])) / (3 * sum(x[i] * y[i + 1] - x[i + 1] * y[i])) AS clat
+       FROM (SELECT grid_id, unnest(range(1, len(x))) AS i, x, y FROM ({_RING})) GROUP BY grid_id)"""
+
+
+@query("geo_centroid", f"SELECT grid_id, {r6('clon')} AS lon, {r6('clat')} AS lat FROM {CENTROIDS}")
 def _(t):
     out = t.grids.select("grid_id", geo.polygon_centroid(F.col("wkt")).alias("c")).select("grid_id", "c.lon", "c.lat")
     return rounded(out, "lon", "lat")

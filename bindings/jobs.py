@@ -1 +1,225 @@
+"""End-to-end jobs."""
 
+from pyspark.sql import functions as F
+
+from airgrid.constants import GFS_VARIABLES, SLOTS, SUMMARY_BANDS
+from airgrid.learning.models import impute_chain
+from airgrid.operators.aggregates import band_min_max_median
+from airgrid.plans import grid_jobs as G
+from airgrid.plans import station_jobs as J
+from bindings.features import aqi_sql
+from bindings.geometry import CENTROIDS
+from bindings.joins import slot_sql
+from bindings.rasters import BLOCKS, STATISTICS, summary_sql
+from bindings.registry import d_text, query, r6, rounded, ts_text
+
+_ALL = [v + s for s in SLOTS for v in GFS_VARIABLES]
+_CLOUD = "(AOD_QA // 8192) % 8"
+_FIELDS = [("AOD_QA_Cloud_Mask", 0, 3), ("AOD_QA_LWS_Mask", 3, 2), ("AOD_QA_Adj_Mask", 5, 3), ("AOD_Level", 8, 1),
+           ("Algo_init", 9, 1), ("BRF_over_snow", 10, 1), ("BRF_climatology", 11, 1), ("AOD_QA_SC_Mask", 12, 3)]
+
+
+@query("job_grid_day_table", f"""
+       WITH q AS (SELECT *, {', '.join(f'(AOD_QA // {2 ** (16 - s - n)}) % {2 ** n} AS {f}' for f, s, n in _FIELDS)} FROM {{aod_cells}}),
+       a AS (SELECT grid_id, utc_date, {', '.join(f'min({b}) AS min_{b}, max({b}) AS max_{b}, avg({b}) AS mean_{b}' for b in [*SUMMARY_BANDS, *[f for f, _, _ in _FIELDS]])}
+             FROM q WHERE AOD_QA_Cloud_Mask = 1 GROUP BY 1, 2),
+       f AS (SELECT grid_id, date AS utc_date, {', '.join(f'avg({c}) AS {c}' for c in _ALL)} FROM {{gfs}} GROUP BY 1, 2)
+       SELECT * REPLACE ({d_text('utc_date')} AS utc_date) FROM a JOIN f USING (grid_id, utc_date) LEFT JOIN {{elevation}} USING (grid_id)""")
+def _(t):
+    table, _ = G.grid_day_table(t.aod_cells, t.gfs, t.elevation)
+    return table
+
+
+_FORECASTS = """
+    fc AS (SELECT {keys}, f.latitude, f.longitude, {slots} FROM {labels} g LEFT JOIN {{gfs}} f ON g.grid_id = f.grid_id
+            AND (f.date = {day} OR f.date = CAST({day} + INTERVAL '1' DAY AS DATE)) GROUP BY ALL),
+    nf AS (SELECT * EXCLUDE (r, clon, clat, latitude, longitude) FROM (
+             SELECT *, dense_rank() OVER (PARTITION BY grid_id, datetime
+                ORDER BY sqrt((clon - longitude) * (clon - longitude) + (clat - latitude) * (clat - latitude))) AS r
+             FROM fc LEFT JOIN {centroids} ce USING (grid_id)) WHERE r = 1)"""
+
+
+def _forecasts(keys, labels):
+    day = "CAST(g.datetime AS DATE)"
+    return _FORECASTS.format(keys=", ".join(f"g.{k}" for k in keys), labels=labels, day=day, centroids=CENTROIDS,
+                             slots=slot_sql(_ALL, day)).replace("{{", "{").replace("}}", "}")
+
+
+_MASKED = "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {_CLOUD} = 1 THEN {b} END AS {b}" for b in SUMMARY_BANDS) + ") FROM "
+_MEDIANS = ", ".join(f"min({b}) AS min_{b}, max({b}) AS max_{b}, quantile_disc({b}, 0.5) AS median_{b}" for b in SUMMARY_BANDS)
+
+
+@query("job_date_validated_table", f"""
+       WITH {_forecasts(['label_id', 'grid_id', 'datetime', 'value'], '{labels_grid}')},
+       s AS (SELECT grid_id, datetime, {_MEDIANS} FROM ({_MASKED} {{label_cells}}) GROUP BY 1, 2)
+       SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM s RIGHT JOIN nf USING (grid_id, datetime) LEFT JOIN {{elevation}} USING (grid_id)""")
+def _(t):
+    return G.date_validated_table(t.labels_grid.select("label_id", "grid_id", "datetime", "value"), t.gfs, t.label_cells,
+                                  t.elevation, t.grids)
+
+
+@query("job_cell_table", f"""
+       WITH {_forecasts(['grid_id', 'datetime'], '(SELECT DISTINCT grid_id, datetime FROM {labels_grid})')},
+       c AS (SELECT m.*, sqrt((clon - lon) * (clon - lon) + (clat - lat) * (clat - lat)) AS distance
+             FROM ({_MASKED} {{label_cells}}) m LEFT JOIN {CENTROIDS} ce USING (grid_id)),
+       d AS (SELECT grid_id, datetime, {', '.join(SUMMARY_BANDS)}, {r6('distance')} AS AOD_distance_to_grid_center,
+                    dense_rank() OVER (PARTITION BY grid_id, datetime ORDER BY distance) AS AOD_distance_rank FROM c)
+       SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM (SELECT label_id, grid_id, datetime, value FROM {{labels_grid}})
+       LEFT JOIN (SELECT * FROM d WHERE AOD_distance_rank <= 20) USING (grid_id, datetime)
+       LEFT JOIN nf USING (grid_id, datetime) LEFT JOIN {{elevation}} USING (grid_id)""")
+def _(t):
+    out = G.cell_table(t.labels_grid.select("label_id", "grid_id", "datetime", "value"), t.gfs, t.label_cells, t.elevation, t.grids)
+    return rounded(out, "AOD_distance_to_grid_center")
+
+
+@query("job_submission_table", f"""
+       WITH asked AS (SELECT DISTINCT grid_id, datetime FROM {{labels_grid}}),
+       {_forecasts(['grid_id', 'datetime'], 'asked')},
+       s AS (SELECT q.grid_id, q.datetime, {_MEDIANS} FROM asked q JOIN ({_MASKED} {{aod_cells}}) c ON q.grid_id = c.grid_id
+              AND c.aod_reading_end >= date_trunc('day', q.datetime) - INTERVAL '1' DAY
+              AND c.aod_reading_end <= date_trunc('day', q.datetime) + INTERVAL '1' DAY GROUP BY 1, 2)
+       SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM s RIGHT JOIN nf USING (grid_id, datetime) LEFT JOIN {{elevation}} USING (grid_id)""")
+def _(t):
+    return G.submission_table(t.labels_grid, t.gfs, t.aod_cells, t.elevation, t.grids)
+
+
+@query("job_misr_merge", f"""
+       WITH s AS (SELECT grid_id, datetime, {_MEDIANS} FROM {{label_cells}} GROUP BY 1, 2),
+       m AS (SELECT grid_id, datetime, avg(Aerosol_Optical_Depth) AS Aerosol_Optical_Depth,
+                    avg(Angstrom_Exponent_550_860nm) AS Angstrom_Exponent_550_860nm FROM {{misr}} GROUP BY 1, 2)
+       SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM s FULL JOIN m USING (grid_id, datetime)""")
+def _(t):
+    summary = band_min_max_median(t.label_cells, ["grid_id", "datetime"], SUMMARY_BANDS)
+    return G.merge_misr(summary, t.misr, ["grid_id", "datetime"], ["Aerosol_Optical_Depth", "Angstrom_Exponent_550_860nm"])
+
+
+_CITY = ("CASE city WHEN 'Delhi' THEN 'dl' WHEN 'Los Angeles-Long Beach-Santa Ana' THEN 'la' WHEN 'LOS ANGELES' THEN 'la' "
+         "WHEN '臺北市' THEN 'tpe' ELSE city END")
+_STATIONS = f"""
+    s AS (SELECT CAST(datetime_utc AS DATE) AS date_utc, location, parameter, country, {_CITY} AS city, latitude, longitude,
+                 max(datetime_utc) AS datetime_utc, avg(value) AS value FROM {{labels_station}}
+          WHERE value > 0 AND value <= 600 AND city IS NOT NULL GROUP BY ALL)"""
+
+
+@query("job_station_series", f"""
+       WITH {_STATIONS},
+       a AS (SELECT *, lag(value, 1) OVER w AS value_lag1day, lag(value, 7) OVER w AS value_lag7day, lag(value, 30) OVER w AS value_lag30day
+             FROM s WINDOW w AS (PARTITION BY city, latitude, longitude ORDER BY date_utc)),
+       b AS (SELECT *, value_lag1day - value AS difflag FROM a)
+       SELECT {d_text('date_utc')} AS date_utc, location, parameter, country, city, latitude, longitude, {ts_text('datetime_utc')} AS datetime_utc,
+              value, value_lag1day, value_lag7day, value_lag30day, difflag, lag(difflag, 1) OVER w AS difflag_lag1day,
+              lag(difflag, 7) OVER w AS difflag_lag7day, lag(difflag, 30) OVER w AS difflag_lag30day
+       FROM b WINDOW w AS (PARTITION BY city, latitude, longitude ORDER BY date_utc)""")
+def _(t):
+    return J.station_series(t.labels_station)
+
+
+@query("job_station_table", f"""
+       WITH {_STATIONS},
+       r AS (SELECT s.date_utc, s.location, s.latitude, s.longitude, s.datetime_utc, s.value, avg(e.Optical_Depth_047) AS avg_Optical_Depth_047
+             FROM s LEFT JOIN {{aod_ee}} e ON round(s.latitude, 2) = round(e.latitude, 2) AND round(s.longitude, 2) = round(e.longitude, 2)
+              AND e.aod_reading_time <= s.datetime_utc AND e.aod_reading_time >= s.date_utc - INTERVAL '1' DAY GROUP BY ALL),
+       n AS (SELECT r.date_utc, r.location, {slot_sql(_ALL, 'r.date_utc', 'hour(r.datetime_utc)')} FROM r JOIN {{points}} f
+              ON (f.date = r.date_utc OR f.date = CAST(r.date_utc + INTERVAL '1' DAY AS DATE))
+             WHERE abs(round(f.latitude, 2) - round(r.latitude, 2)) <= 0.375 AND abs(round(f.longitude, 2) - round(r.longitude, 2)) <= 0.375
+             GROUP BY 1, 2)
+       SELECT * REPLACE ({d_text('date_utc')} AS date_utc, {ts_text('datetime_utc')} AS datetime_utc)
+       FROM r LEFT JOIN {{places}} USING (latitude, longitude) LEFT JOIN n USING (date_utc, location)""")
+def _(t):
+    labels = J.station_series(t.labels_station).select("date_utc", "location", "latitude", "longitude", "datetime_utc", "value")
+    return J.station_table(labels, t.aod_ee, t.places, t.points, 0.375)
+
+
+_SCALED = "CASE WHEN {0} <> 0 THEN 46.759e0 * {0} + 7.1333e0 END"
+
+
+def _four(v):
+    return "(" + " + ".join(f"coalesce({v}{s}, 0)" for s in SLOTS) + ") / 4"
+
+
+@query("job_deployed_features", f"""
+       WITH p AS (SELECT *, {_SCALED.format('t_surface06')} AS depth_scaled, {', '.join(f'{_four(v)} AS {v}' for v in GFS_VARIABLES)} FROM {{gfs}})
+       SELECT grid_id, {d_text('date')} AS date, latitude, day(date) AS day_of_month, dayofweek(date) + 1 AS day_of_week, dayofyear(date) AS day_of_year,
+              week(date) AS week_of_year, month(date) AS month, year(date) AS year, {r6('depth_scaled', 9)} AS depth_scaled,
+              {r6("avg(depth_scaled) OVER (PARTITION BY grid_id, latitude ORDER BY CAST(epoch(date) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)", 9)}
+                AS trailing1d_depth_scaled, {', '.join(GFS_VARIABLES)}, {r6('sqrt(u_pbl * u_pbl + v_pbl * v_pbl)')} AS wind_speed FROM p""")
+def _(t):
+    out = J.deployed_features(t.gfs.withColumn("depth", F.col("t_surface06")), ["grid_id", "latitude"], "date", ["depth"], ["depth"])
+    out = out.select("grid_id", "date", "latitude", "day_of_month", "day_of_week", "day_of_year", "week_of_year", "month", "year",
+                     "depth_scaled", "trailing1d_depth_scaled", *GFS_VARIABLES, "wind_speed")
+    return rounded(rounded(out, "depth_scaled", "trailing1d_depth_scaled", digits=9), "wind_speed")
+
+
+@query("job_chained_imputation")
+def _(t):
+    columns = [f"{s}_{b}" for b in SUMMARY_BANDS[:2] for s in ("min", "max", "median")]
+    table = band_min_max_median(t.aod_cells.where("Column_WV > 1"), ["grid_id", "utc_date"], SUMMARY_BANDS)
+    holes = table.withColumns({c: F.when(F.crc32(F.concat("grid_id", F.col("utc_date").cast("string"), F.lit(c))) % 9 > 0, F.col(c))
+                               for c in columns})
+    return impute_chain(holes, columns, ["grid_id", "utc_date"], "utc_date", learner="linear")
+
+
+@query("job_scoring_rows", f"""
+       SELECT l_orderkey, l_linenumber, l_partkey, prediction, actual, {aqi_sql('prediction')} AS predicted_aqi, {aqi_sql('actual')} AS actual_aqi,
+              CAST({aqi_sql('prediction')} = {aqi_sql('actual')} AS INT) AS aqi_hit FROM {{scored}}""")
+def _(t):
+    return J.scoring_report(t.scored.drop("date"))["rows"]
+
+
+@query("job_scoring_hits", f"""
+       SELECT {aqi_sql('actual')} AS actual_aqi, CAST(sum(CAST({aqi_sql('prediction')} = {aqi_sql('actual')} AS INT)) AS BIGINT) AS aqi_hit,
+              count(*) AS count, avg(CAST({aqi_sql('prediction')} = {aqi_sql('actual')} AS INT)) AS percentage FROM {{scored}} GROUP BY 1""")
+def _(t):
+    return J.scoring_report(t.scored)["hits"]
+
+
+@query("job_scoring_errors", f"""
+       SELECT avg(prediction) AS prediction, avg(actual) AS actual, abs(avg(prediction) - avg(actual)) AS abs_mean_error,
+              {r6('sqrt(avg((prediction - actual) * (prediction - actual)))')} AS rmse FROM {{scored}}""")
+def _(t):
+    return rounded(J.scoring_report(t.scored)["errors"], "rmse")
+
+
+@query("job_composition_features", f"""
+       SELECT label_id, value, avg(r.pm25_rh35_gcc) AS avg_pm25_rh35_gcc FROM {{labels_grid}} g
+       LEFT JOIN {{geos}} r ON g.grid_id = r.grid_id AND r.time <= g.datetime AND r.time >= date_trunc('day', g.datetime) - INTERVAL '1' DAY
+       GROUP BY label_id, value""")
+def _(t):
+    return G.composition_features(t.labels_grid, t.geos, ["pm25_rh35_gcc"]).select("label_id", "value", "avg_pm25_rh35_gcc")
+
+
+@query("job_elevation_table", summary_sql(BLOCKS))
+def _(t):
+    return rounded(G.elevation_table(t.raster, ["raster_id"]), *STATISTICS)
+
+
+_LAT = "degrees((y0 + row * (y1 - y0) / n_rows) / 6371007.181e0)"
+_LON = "degrees((x0 + col * (x1 - x0) / n_cols) / (6371007.181e0 * cos((y0 + row * (y1 - y0) / n_rows) / 6371007.181e0)))"
+_KEPT = ("CASE WHEN lpad(bin(AOD_QA), 16, '0')[1:3] IN ('000', '001', '010') AND lpad(bin(AOD_QA), 16, '0')[6:8] IN ('000', '011')"
+         " THEN {} END")
+
+
+def _valid(c):
+    return f"(CASE WHEN {c} <> 13 AND {c} >= 3 AND {c} <= 45 THEN ({c} - 2) * 0.5 END)"
+
+
+_GRANULES = f"SELECT granule_id, layer, row, col, {_LON} AS lon, {_LAT} AS lat, {_valid('raw')} AS raw, {_KEPT.format(_valid('raw_b'))} AS raw_b FROM {{granules}}"
+_INSIDE = "lon >= min_lon AND lon <= max_lon AND lat >= min_lat AND lat <= max_lat"
+
+
+def _granule_cells(t, average):
+    return G.granule_cells(t.granules, t.grids, ["raw", "raw_b"], F.lit(13.0), F.lit(3.0), F.lit(45.0), F.lit(0.5), F.lit(2.0),
+                           depth_bands=("raw_b",), average=average)
+
+
+@query("job_granule_cells", f"""
+       SELECT grid_id, granule_id, layer, {r6('lon')} AS lon, {r6('lat')} AS lat, raw, raw_b FROM ({_GRANULES}) JOIN {{boxes}} ON {_INSIDE}""")
+def _(t):
+    return rounded(_granule_cells(t, False), "lon", "lat")
+
+
+@query("job_granule_cells_averaged", f"""
+       SELECT grid_id, granule_id, {r6('any_value(lon)')} AS lon, {r6('any_value(lat)')} AS lat, avg(raw) AS raw, avg(raw_b) AS raw_b
+       FROM ({_GRANULES}) JOIN {{boxes}} ON {_INSIDE} GROUP BY grid_id, granule_id, row, col""")
+def _(t):
+    return rounded(_granule_cells(t, True), "lon", "lat")

@@ -1 +1,286 @@
+"""Preparation, validation and learning on a table derived from orders and their lines.
 
+Fits have no SQL twin; what surrounds them has, and so has a line through one feature.
+"""
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from airgrid.learning import models as M
+from airgrid.learning import prepare as P
+from airgrid.learning import scores as S
+from airgrid.learning import validate as V
+from airgrid.operators.aggregates import expand_predictions, station_days
+from airgrid.operators.sets import top
+from airgrid.operators.splits import named_split, random_split, six_folds, time_split
+from airgrid.operators.windows import lag_rows
+from airgrid.session import shared_folder
+from bindings.registry import d_text, query, r6, rounded
+from bindings.splits import _sets
+from bindings.windows import _DAILY
+
+_NUMERIC = ["x1", "x2", "x3"]
+
+
+def _folded(t):
+    """Training table with the six time folds and a feature vector without gaps."""
+    filled = t.training.na.fill(0.0, ["x2"])
+    folded = time_split(filled, "date", six_folds, "foldNumber")
+    return VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(folded)
+
+
+def _split(t):
+    return t.training.withColumn("Set", random_split(F.col("date")))
+
+
+def _parts(df):
+    return [df.where(F.col("Set") == n) for n in ("train", "valid", "test")]
+
+
+def _search_table(t, maps, found):
+    rows = [(", ".join(f"{p.name}={v}" for p, v in m.items()), float(s), float(d))
+            for m, s, d in zip(maps, found.scores, found.deviations)]
+    return t.spark.createDataFrame(rows, "params string, score double, deviation double")
+
+
+@query("ml_feature_pipeline")
+def _(t):
+    train, valid, test = _parts(_split(t).na.drop())
+    _, frames = P.fit_features(train, [valid, test], P.feature_pipeline(_NUMERIC, ["priority"]))
+    out = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return out.select("label_id", "Set", F.array_join(F.transform(vector_to_array("features"), lambda v: F.round(v, 6)), " ").alias("features"))
+
+
+@query("ml_quantile_buckets")
+def _(t):
+    train = t.training.na.drop()
+    model = P.feature_pipeline(_NUMERIC, buckets=10, scale=False).fit(train)
+    return model.transform(train).select("label_id", *[c + "_bucket" for c in _NUMERIC])
+
+
+@query("ml_impute_means", f"""
+       SELECT label_id, coalesce(x2, (SELECT avg(x2) FROM {{training}} WHERE {_sets('CAST(date AS VARCHAR)')} = 'train')) AS x2,
+              coalesce(CASE WHEN label_id % 7 > 0 THEN priority END, 'VV_likely') AS priority FROM {{training}}""")
+def _(t):
+    gaps = _split(t).withColumn("priority", F.when(F.col("label_id") % 7 > 0, F.col("priority")))
+    parts = P.impute_means(*(lambda a, b, c: (a, [b, c]))(*_parts(gaps)), ["x2"], ["priority"])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("label_id", "x2", "priority")
+
+
+@query("ml_encode_labels", f"""
+       WITH codes AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1e0 AS code
+                      FROM (SELECT DISTINCT p_type FROM {{part}} WHERE p_type < 'P'))
+       SELECT p_partkey, coalesce(code, (SELECT count(*) + 0e0 FROM codes)) AS p_type_code FROM {{part}} LEFT JOIN codes USING (p_type)""")
+def _(t):
+    known = t.part.where("p_type < 'P'").select("p_partkey", "p_type")
+    others = t.part.where("p_type >= 'P'").select("p_partkey", "p_type")
+    coded = P.encode_labels(known, [others], ["p_type"])
+    return coded[0].unionByName(coded[1]).select("p_partkey", "p_type_code")
+
+
+@query("ml_encode_labels_plain", """
+       SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1e0 AS o_orderpriority_code FROM {orders}""")
+def _(t):
+    coded, = P.encode_labels(t.orders.select("o_orderkey", "o_orderpriority"), [], ["o_orderpriority"], unknown=False)
+    return coded.select("o_orderkey", "o_orderpriority_code")
+
+
+@query("ml_pca")
+def _(t):
+    train, valid, test = _parts(VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(_split(t).na.drop()))
+    frames, _ = P.project_pca(train, [valid, test], explained=0.9)
+    out = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return out.select("label_id", "Set", F.round(vector_to_array("pca")[0], 6).alias("first"))
+
+
+@query("ml_time_cross_validation")
+def _(t):
+    tree = M.regressor("decision_tree", "value")
+    maps = V.grid({tree.maxDepth: [2, 4]})
+    return _search_table(t, maps, V.time_cross_validate(_folded(t), tree, maps, S.evaluator("value")))
+
+
+@query("ml_random_cross_validation")
+def _(t):
+    line = M.regressor("linear", "value")
+    maps = V.grid({line.regParam: [0.0, 10.0]})
+    model = V.random_cross_validate(_folded(t), line, maps, S.evaluator("value"))
+    return t.spark.createDataFrame([(m[line.regParam], float(s)) for m, s in zip(maps, model.avgMetrics)],
+                                   "reg_param double, score double")
+
+
+@query("ml_random_holdout_search")
+def _(t):
+    line = M.regressor("linear", "value")
+    maps = V.grid({line.regParam: [0.0, 10.0]})
+    model = V.random_holdout_search(_folded(t), line, maps, S.evaluator("value"))
+    return t.spark.createDataFrame([(m[line.regParam], float(s)) for m, s in zip(maps, model.validationMetrics)],
+                                   "reg_param double, score double")
+
+
+@query("ml_penalised_search")
+def _(t):
+    tree = M.regressor("decision_tree", "value")
+    maps = V.sampled_grid({tree.maxDepth: [2, 3, 4, 5], tree.minInstancesPerNode: [1, 20]}, 3)
+    assembled = VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(_split(t).na.fill(0.0, ["x2"]))
+    train, valid, _ = _parts(assembled)
+    return _search_table(t, maps, V.holdout_search(train, valid, tree, maps, S.evaluator("value"), penalised=True))
+
+
+@query("ml_baselines")
+def _(t):
+    ready = time_split(_folded(t), "date", named_split)
+    train, _, test = _parts(ready)
+    train = train.persist()
+    scored = None
+    for name in M.REGRESSORS:
+        fitted = M.regressor(name, "value").fit(train).transform(test)
+        row = S.regression_metrics(fitted).select(F.lit(name).alias("model_name"), "*")
+        scored = row if scored is None else scored.unionByName(row)
+    return scored
+
+
+@query("ml_metrics", f"""
+       SELECT {r6('1 - sum((actual - prediction) * (actual - prediction)) / (var_pop(actual) * count(actual))')} AS r2,
+              {r6('sqrt(avg((actual - prediction) * (actual - prediction)))')} AS rmse, avg(abs(actual - prediction)) AS mae,
+              avg((actual - prediction) * (actual - prediction)) AS mse FROM {{scored}}""")
+def _(t):
+    return rounded(S.regression_metrics(t.scored, "actual"), "r2", "rmse")
+
+
+@query("ml_feature_importance")
+def _(t):
+    model = M.regressor("gradient_boosted", "value", maxIter=5).fit(_folded(t))
+    return top(M.feature_importances(model, _NUMERIC, t.spark), 10, "importance", ["feature"])
+
+
+@query("ml_compare_models")
+def _(t):
+    tree, line = M.regressor("decision_tree", "value"), M.regressor("linear", "value")
+    table, _ = S.compare_models(_folded(t), {"tree": (tree, V.grid({tree.maxDepth: [3]})),
+                                             "line": (line, V.grid({line.regParam: [0.0]}))}, "value")
+    return S.welch_to_previous(table).select("model_name", "r2_score", "r2_std_dev", "p_value_to_prev", "params")
+
+
+_WELCH = """
+    WITH l AS (SELECT *, lag(r2_score) OVER w AS m, lag(r2_std_dev) OVER w AS s FROM {comparison}
+               WINDOW w AS (PARTITION BY study ORDER BY r2_score, model_name)),
+    v AS (SELECT *, r2_std_dev * r2_std_dev / 6 AS a, s * s / 6 AS b FROM l),
+    q AS (SELECT *, (r2_score - m) / sqrt(nullif(a + b, 0)) AS tt, (a + b) * (a + b) / nullif(a * a / 5 + b * b / 5, 0) AS dof FROM v),
+    -- Student's density in the angle atan(t / sqrt(dof)), by the midpoint rule
+    i AS (SELECT unnest(range(0, 4000)) AS i),
+    d AS (SELECT study, model_name, sum(pow(cos((i + 0.5) * atan(tt / sqrt(dof)) / 4000), dof - 1)) * atan(tt / sqrt(dof)) / 4000 AS part,
+                 sum(pow(cos((i + 0.5) * pi() / 2 / 4000), dof - 1)) * pi() / 2 / 4000 AS half FROM q, i WHERE tt IS NOT NULL
+          GROUP BY study, model_name, tt, dof),
+    p AS (SELECT q.*, 0.5 - d.part / (2 * d.half) AS p_value_to_prev FROM q LEFT JOIN d USING (study, model_name))"""
+
+
+def _welch(t):
+    return S.welch_to_previous(t.comparison, ["study"], ["r2_score", "model_name"])
+
+
+@query("ml_welch_test", _WELCH + f"SELECT study, model_name, {r6('p_value_to_prev', 5)} AS p_value_to_prev FROM p")
+def _(t):
+    return rounded(_welch(t).select("study", "model_name", "p_value_to_prev"), "p_value_to_prev", digits=5)
+
+
+@query("ml_best_model", _WELCH + """,
+       o AS (SELECT *, row_number() OVER w AS place, lag(runtime) OVER w AS before FROM p WINDOW w AS (PARTITION BY study ORDER BY r2_score, model_name)),
+       k AS (SELECT * FROM o WHERE place = 1 OR (r2_score > m AND (runtime <= before OR (p_value_to_prev < 0.05 AND runtime < 2 * before))))
+       SELECT study, arg_max(model_name, place) AS model_name, arg_max(r2_score, place) AS r2_score, arg_max(runtime, place) AS runtime
+       FROM k GROUP BY study""")
+def _(t):
+    return S.best_model(_welch(t), ["study"], ["r2_score", "model_name"])
+
+
+@query("ml_pca_choice")
+def _(t):
+    line = M.regressor("linear", "value")
+    table, _ = S.compare_pca(_folded(t), line, V.grid({line.regParam: [0.0]}), "value", 2)
+    return table.select("model_name", "r2_score", "r2_std_dev")
+
+
+@query("ml_stacking")
+def _(t):
+    train, _, test = _parts(time_split(_folded(t).drop("foldNumber"), "date", named_split))
+    folded = time_split(train, "date", lambda r: F.floor(F.least(r, F.lit(0.999)) * 3).cast("int"), "foldNumber")
+    bases = {"tree": M.regressor("decision_tree", "value"), "line": M.regressor("linear", "value")}
+    return S.regression_metrics(M.fit_stacking(folded.persist(), bases).transform(test))
+
+
+_LINE = "regr_intercept(value, x1) AS b0, regr_slope(value, x1) AS b1"
+
+
+def _one_feature(label="value"):
+    return Pipeline(stages=[VectorAssembler(inputCols=["x1"], outputCol="one"),
+                            M.regressor("linear", label, "one", maxIter=100, solver="normal")])
+
+
+@query("ml_per_location", f"""
+       WITH s AS (SELECT *, {_sets('CAST(date AS VARCHAR)')} AS part FROM {{training}}),
+       f AS (SELECT location, {_LINE} FROM s WHERE part = 'train' GROUP BY location)
+       SELECT label_id, location, {r6('b0 + b1 * x1', 4)} AS prediction FROM s JOIN f USING (location) WHERE part = 'test'""")
+def _(t):
+    train, _, test = _parts(_split(t))
+    out = M.fit_per_location(train, test, _one_feature())
+    return rounded(out.select("label_id", "location", "prediction"), "prediction", digits=4)
+
+
+@query("ml_per_location_score", f"""
+       WITH s AS (SELECT *, {_sets('CAST(date AS VARCHAR)')} AS part FROM {{training}}),
+       f AS (SELECT location, {_LINE} FROM s WHERE part = 'train' GROUP BY location),
+       p AS (SELECT value, b0 + b1 * x1 AS pred FROM s JOIN f USING (location) WHERE part = 'test')
+       SELECT {r6('1 - sum((value - pred) * (value - pred)) / (var_pop(value) * count(*))')} AS r2 FROM p""")
+def _(t):
+    train, _, test = _parts(_split(t))
+    return rounded(S.regression_metrics(M.fit_per_location(train, test, _one_feature())).select("r2"), "r2")
+
+
+@query("ml_second_stage")
+def _(t):
+    wide = expand_predictions(t.predictions, ["grid_id", "date"], ["rank", "l_partkey", "pred"])
+    means = t.predictions.groupBy("grid_id", "date").agg(F.avg("value").alias("value"))
+    rows = wide.join(means, ["grid_id", "date"])
+    model = M.second_stage(rows, [f"pred{i}" for i in range(1, 21)], "value")
+    return model.transform(rows).select("grid_id", "date", F.round("prediction", 6).alias("prediction"))
+
+
+@query("ml_persistence", f"""
+       WITH l AS (SELECT *, lag(value, 1) OVER (PARTITION BY location ORDER BY date_utc) AS lag1 FROM {_DAILY})
+       SELECT {d_text('date_utc')} AS date_utc, location, {r6('coalesce(lag1, (SELECT avg(lag1) FROM l))')} AS prediction FROM l""")
+def _(t):
+    lagged = lag_rows(station_days(t.labels_station, ["location"]), ["location"], "date_utc",
+                      {"value_lag1day": ("value", 1)}, one_per_day=True)
+    return rounded(S.persistence_baseline(lagged).select("date_utc", "location", "prediction"), "prediction")
+
+
+@query("ml_retrain_and_predict", f"""
+       WITH f AS (SELECT {_LINE} FROM {{training}} WHERE label_id % 5 > 0)
+       SELECT label_id, grid_id, {r6('b0 + b1 * x1', 4)} AS prediction FROM {{training}}, f WHERE label_id % 5 = 0""")
+def _(t):
+    out = M.retrain_and_predict(t.training.where("label_id % 5 > 0"), t.training.where("label_id % 5 = 0"), _one_feature(), {},
+                                ["label_id", "grid_id"])
+    return rounded(out, "prediction", digits=4)
+
+
+@query("ml_save_and_load", f"""
+       WITH f AS (SELECT {_LINE} FROM {{training}})
+       SELECT label_id, {r6('b0 + b1 * x1', 4)} AS prediction FROM {{training}}, f""")
+def _(t):
+    path = shared_folder(t.spark) + "/airgrid-saved-line"
+    M.save_model(_one_feature().fit(t.training), path)
+    return rounded(M.load_pipeline(path).transform(t.training).select("label_id", "prediction"), "prediction", digits=4)
+
+
+@query("ml_impute_column")
+def _(t):
+    out = M.impute_column(t.training, "x2", ["label_id"], "date", ["value", "grid_id"])
+    return out.select("label_id", F.round("x2_imputed", 4).alias("x2_imputed"))
+
+
+@query("ml_impute_column_linear")
+def _(t):
+    out = M.impute_column(t.training, "x2", ["label_id"], "date", ["value", "grid_id"], "linear", cross_validated=True)
+    return out.select("label_id", F.round("x2_imputed", 4).alias("x2_imputed"))

@@ -187,6 +187,14 @@ LOGICAL = {
         SELECT p_brand AS study, p_type AS model_name, sum(round(l_discount * 100)) / count(*) AS r2_score,
                sqrt(sum(l_linenumber * l_linenumber) / (count(*) * 100e0)) AS r2_std_dev, CAST(count(*) AS DOUBLE) AS runtime
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, p_type""",
+    # a row per order: a value that follows from its lines, with gaps in one feature
+    "training": f"""
+        SELECT o_orderkey AS label_id, concat('G', CAST({_GRID_OF_ORDER} AS STRING)) AS grid_id, {_location(_GRID_OF_ORDER)} AS location,
+               CAST(o_orderdate AS DATE) AS date, o_orderpriority AS priority, sum(l_quantity) AS x1,
+               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE sum(round(l_discount * 100)) END AS x2,
+               CAST(count(*) AS DOUBLE) AS x3,
+               2 * sum(l_quantity) + 5 * sum(round(l_discount * 100)) + CAST(o_custkey % 17 AS DOUBLE) AS value
+        FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate, o_orderpriority""",
     "daily_grid": """
         SELECT grid_id, date, CAST(max(value) AS DOUBLE) AS value, CAST(min(label_id) AS BIGINT) AS label_id
         FROM {labels_grid} GROUP BY grid_id, date""",
