@@ -71,6 +71,7 @@ def _predictions(df: DataFrame, models: dict[str, Model]) -> DataFrame:
 def fit_stacking(train: DataFrame, bases: dict[str, Estimator], meta: Estimator | None = None,
                  label: str = "value", fold: str = "foldNumber") -> StackedModel:
     """Meta learner over out-of-fold predictions of the bases; the bases are then refitted on all rows."""
+    train = settle(train, (fold,))
     folds = sorted(r[0] for r in train.select(fold).distinct().collect())
     if len(folds) < 2:
         raise ValueError("stacking needs at least two folds")

@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airgrid.session import settle
+
 
 def grid(choices: dict) -> list[dict]:
     """All combinations of {param: values}."""
@@ -69,7 +71,9 @@ def time_cross_validate(df: DataFrame, estimator: Estimator, maps: list[dict], e
     """Train on each even fold, validate on the one after it, refit the best parameters on all rows.
 
     `penalised` scores held_out - (train - held_out), which counts over-fitting against a model.
+    The table is computed once and stored by fold, so that each fold reads only its own files.
     """
+    df = settle(df, (fold,))
     pairs = fold_pairs(df, fold)
     if not pairs:
         raise ValueError("no even fold is followed by an odd one")

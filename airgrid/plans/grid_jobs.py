@@ -38,6 +38,11 @@ def grid_day_table(cells: DataFrame, forecasts: DataFrame, elevation: DataFrame,
     return dimension_join(joined, elevation, ["grid_id"]), coordinate_lists(cells, ["grid_id", date])
 
 
+def centre_distance(lon: str, lat: str) -> Column:
+    """Distance of a point to the grid's centroid, at a digit where mirrored points tie."""
+    return F.round(planar_distance(F.col("centroid.lon"), F.col("centroid.lat"), F.col(lon), F.col(lat)), 9)
+
+
 def with_centroid(grids: DataFrame) -> DataFrame:
     return grids.select("grid_id", polygon_centroid(F.col("wkt")).alias("centroid"))
 
@@ -46,7 +51,7 @@ def nearest_forecasts(labels: DataFrame, forecasts: DataFrame, grids: DataFrame,
     """Per label the forecast slots after its start, at the forecast point nearest the grid's centre."""
     chosen = forecast_for_labels(labels, forecasts, ["grid_id"], time, "date", keep=("latitude", "longitude"))
     placed = dimension_join(chosen, with_centroid(grids), ["grid_id"]).withColumn(
-        "distance", planar_distance(F.col("centroid.lon"), F.col("centroid.lat"), F.col("longitude"), F.col("latitude")))
+        "distance", centre_distance("longitude", "latitude"))
     return nearest_rank(placed, ["grid_id", time], "distance", 1).drop(
         "centroid", "distance", "distance_rank", "latitude", "longitude")
 
@@ -69,8 +74,7 @@ def cell_table(labels: DataFrame, forecasts: DataFrame, cells: DataFrame, elevat
                nearest: int = 20, bands: list[str] = SUMMARY_BANDS) -> DataFrame:
     """One row per label and each of the cells nearest to the grid's centre."""
     placed = dimension_join(clear_cells(cells, bands), with_centroid(grids), ["grid_id"]).withColumn(
-        "AOD_distance_to_grid_center",
-        planar_distance(F.col("centroid.lon"), F.col("centroid.lat"), F.col("lon"), F.col("lat")))
+        "AOD_distance_to_grid_center", centre_distance("lon", "lat"))
     near = nearest_rank(placed, ["grid_id", "datetime"], "AOD_distance_to_grid_center", nearest, "AOD_distance_rank") \
         .select("grid_id", "datetime", *bands, "AOD_distance_to_grid_center", "AOD_distance_rank")
     ahead = nearest_forecasts(labels.select("grid_id", "datetime").distinct(), forecasts, grids)

@@ -37,8 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def settle(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write `df` to the shared folder and read it back, by partition if asked.
 
     Cuts the lineage, outlives lost executors, and gives the planner the true size, so that Spark
     itself broadcasts the table when it is under `spark.sql.autoBroadcastJoinThreshold` and
@@ -46,5 +46,5 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/airgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)

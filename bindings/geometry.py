@@ -48,10 +48,12 @@ def _(t):
         "event_id", geo.unshift_longitude(lon).alias("unshifted"), geo.wrap_longitude(lon * 3).alias("wrapped")), "wrapped")
 
 
+# around the first vertex, for the same digits far from the origin
 CENTROIDS = f"""(
-       SELECT grid_id, sum((x[i] + x[i + 1]) * (x[i] * y[i + 1] - x[i + 1] * y[i])) / (3 * sum(x[i] * y[i + 1] - x[i + 1] * y[i])) AS clon,
-              sum((y[i] + y[i + 1]) * (x[i] * y[i + 1] - x[i + 1] * y[i])) / (3 * sum(x[i] * y[i + 1] - x[i + 1] * y[i])) AS clat
-       FROM (SELECT grid_id, unnest(range(1, len(x))) AS i, x, y FROM ({_RING})) GROUP BY grid_id)"""
+       SELECT grid_id, any_value(x0) + sum((x[i] + x[i + 1]) * (x[i] * y[i + 1] - x[i + 1] * y[i])) / (3 * sum(x[i] * y[i + 1] - x[i + 1] * y[i])) AS clon,
+              any_value(y0) + sum((y[i] + y[i + 1]) * (x[i] * y[i + 1] - x[i + 1] * y[i])) / (3 * sum(x[i] * y[i + 1] - x[i + 1] * y[i])) AS clat
+       FROM (SELECT grid_id, x[1] AS x0, y[1] AS y0, unnest(range(1, len(x))) AS i, [v - x[1] FOR v IN x] AS x, [v - y[1] FOR v IN y] AS y
+             FROM ({_RING})) GROUP BY grid_id)"""
 
 
 @query("geo_centroid", f"SELECT grid_id, {r6('clon')} AS lon, {r6('clat')} AS lat FROM {CENTROIDS}")

@@ -35,7 +35,7 @@ _FORECASTS = """
             AND (f.date = {day} OR f.date = CAST({day} + INTERVAL '1' DAY AS DATE)) GROUP BY ALL),
     nf AS (SELECT * EXCLUDE (r, clon, clat, latitude, longitude) FROM (
              SELECT *, dense_rank() OVER (PARTITION BY grid_id, datetime
-                ORDER BY sqrt((clon - longitude) * (clon - longitude) + (clat - latitude) * (clat - latitude))) AS r
+                ORDER BY round(sqrt((clon - longitude) * (clon - longitude) + (clat - latitude) * (clat - latitude)), 9)) AS r
              FROM fc LEFT JOIN {centroids} ce USING (grid_id)) WHERE r = 1)"""
 
 
@@ -60,7 +60,7 @@ def _(t):
 
 @query("job_cell_table", f"""
        WITH {_forecasts(['grid_id', 'datetime'], '(SELECT DISTINCT grid_id, datetime FROM {labels_grid})')},
-       c AS (SELECT m.*, sqrt((clon - lon) * (clon - lon) + (clat - lat) * (clat - lat)) AS distance
+       c AS (SELECT m.*, round(sqrt((clon - lon) * (clon - lon) + (clat - lat) * (clat - lat)), 9) AS distance
              FROM ({_MASKED} {{label_cells}}) m LEFT JOIN {CENTROIDS} ce USING (grid_id)),
        d AS (SELECT grid_id, datetime, {', '.join(SUMMARY_BANDS)}, {r6('distance')} AS AOD_distance_to_grid_center,
                     dense_rank() OVER (PARTITION BY grid_id, datetime ORDER BY distance) AS AOD_distance_rank FROM c)
