@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from airgrid.functions.geo import coordinate_key
-from airgrid.operators.ordering import attach, exact_percentiles, row_positions
+from airgrid.operators.ordering import attach, exact_percentiles, value_positions
 
 
 def numeric_columns(df: DataFrame, without=()) -> list[str]:
@@ -63,17 +63,20 @@ def band_min_max_median(df: DataFrame, keys: list[str], bands: list[str], where=
 
 def coordinate_lists(df: DataFrame, keys: list[str], lon: str = "lon", lat: str = "lat", alias: str = "lon_lat_list",
                      chunk: int = 10_000) -> DataFrame:
-    """Coordinate texts of each key as sorted lists.
+    """Coordinate texts of each key as sorted lists, repeats included.
 
-    Equal coordinates are counted first, then numbered without sorting a key in one task. A list
-    holds at most `chunk` distinct coordinates; a longer one continues in the next `part`.
+    A list holds at most `chunk` texts; the rest of a longer one follows in the next `part`, so a
+    key of any size stays whole without any array growing with it.
     """
-    pairs = df.groupBy(*keys, coordinate_key(lon, lat).alias("_pair")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = row_positions(pairs, keys, "_pair", "_pos")
-    entry = F.struct("_pair", "_n")
-    return placed.groupBy(*keys, F.floor(F.col("_pos") / chunk).cast("int").alias("part")).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(entry)),
-                              lambda e: F.array_repeat(e["_pair"], e["_n"].cast("int")))).alias(alias))
+    texts = df.select(*keys, coordinate_key(lon, lat).alias("_pair"))
+    placed = value_positions(texts, keys, "_pair")
+    start, end = F.col("rows_before"), F.col("rows_before") + F.col("n")
+    parts = placed.select(*keys, "_pair", start.alias("_start"), end.alias("_end"), F.explode(F.sequence(
+        F.floor(start / chunk), F.floor((end - 1) / chunk))).alias("part"))
+    repeats = F.least(F.col("_end"), (F.col("part") + 1) * chunk) - F.greatest(F.col("_start"), F.col("part") * chunk)
+    entries = F.array_sort(F.collect_list(F.struct("_pair", repeats.cast("int").alias("n"))))
+    return parts.groupBy(*keys, F.col("part").cast("int").alias("part")).agg(
+        F.flatten(F.transform(entries, lambda e: F.array_repeat(e["_pair"], e["n"]))).alias(alias))
 
 
 def station_days(df: DataFrame, keys: list[str], time: str = "datetime_utc", value: str = "value",

@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +30,28 @@ def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") ->
     return df.join(other, condition, how).drop(*hidden.values())
 
 
-def value_band(df: DataFrame, order: str, bands: int = 256) -> Column:
-    """An order-preserving coarse group of `order`: months for times, else approximate quantiles."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("month", F.col(order))
-    if isinstance(kind, T.StringType):
-        return F.substring(order, 1, 4)
-    cuts = df.approxQuantile(order, [i / bands for i in range(1, bands)], 1 / (2 * bands))
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order)))
+def with_band(df: DataFrame, order: str, band: Column | None = None, prefix: int = 6) -> DataFrame:
+    """Add an order-preserving coarse group of `order`.
+
+    Without a given `band`: months for dates and times, the first characters of texts, and
+    approximate quantiles of numbers, a few for each shuffle partition.
+    """
+    if band is None:
+        kind = df.schema[order].dataType
+        if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            band = F.date_trunc("month", F.col(order))
+        elif isinstance(kind, T.StringType):
+            band = F.substring(order, 1, prefix)
+        else:
+            bands = max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            cuts = df.approxQuantile(order, [i / bands for i in range(1, bands)], 1 / (2 * bands))
+            splits = sorted({c for c in cuts if abs(c) < float("inf")})
+            bucketizer = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_number",
+                                    outputCol="_bucket", handleInvalid="keep")
+            placed = bucketizer.transform(df.withColumn("_number", F.col(order).cast("double")))
+            lowest = F.when(F.col(order).isNull(), -1.0).otherwise(F.col("_bucket"))
+            return placed.withColumn(_BAND, lowest).drop("_number", "_bucket")
+    return df.withColumn(_BAND, band)
 
 
 def value_positions(df: DataFrame, keys: list[str], order: str, band: Column | None = None) -> DataFrame:
@@ -49,8 +60,7 @@ def value_positions(df: DataFrame, keys: list[str], order: str, band: Column | N
     `n` rows have the value; `rows_before` rows and `values_before` distinct values of the key
     sort before it; `rows_total` rows are in the key. NULL is a value and sorts first.
     """
-    band = value_band(df, order) if band is None else band
-    counted = df.groupBy(*keys, F.col(order), band.alias(_BAND)).agg(F.count(F.lit(1)).alias("n"))
+    counted = with_band(df, order, band).groupBy(*keys, order, _BAND).agg(F.count(F.lit(1)).alias("n"))
     per_band = counted.groupBy(*keys, _BAND).agg(
         F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
     earlier = Window.partitionBy(*keys).orderBy(_BAND).rowsBetween(Window.unboundedPreceding, -1)
@@ -118,8 +128,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, shares: dict[
 def row_positions(df: DataFrame, keys: list[str], order: str, alias: str = "position",
                   band: Column | None = None) -> DataFrame:
     """0-based place of each row in its key; `order` must be unique within the key."""
-    band = value_band(df, order) if band is None else band
-    banded = df.withColumn(_BAND, band)
+    banded = with_band(df, order, band)
     per_band = banded.groupBy(*keys, _BAND).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy(_BAND).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_band.select(*keys, _BAND, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))

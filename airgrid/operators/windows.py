@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from airgrid.operators.ordering import attach, dense_rank, row_positions
@@ -85,35 +86,76 @@ def day_difference_lags(df: DataFrame, keys: list[str], date: str, column: str =
 def trailing_means(df: DataFrame, keys: list[str], time: str, columns: list[str], days: list[int],
                    name=lambda column, d: f"trailing{d}d_{column}", label_columns: tuple[str, ...] = (),
                    settled: bool = False) -> DataFrame:
-    """Means over the last d days up to and including the row's time.
+    """Means over the last d days up to and including the row's time, in whole seconds.
 
-    Columns in `label_columns` leave out the row's own time, so that a label cannot leak into its
-    own feature. Time counts in whole seconds. Rows of equal time are summed before the shuffle; a long series is cut into
-    chunks as wide as the longest window, each carrying the chunk before it, and the chunks are
-    windowed apart.
+    Columns in `label_columns` leave out the row's own second, so that a label cannot leak into
+    its own feature. Rows of equal time are summed first and the means are joined back, so no
+    task meets all rows of a key. Dates have at most one sum a day and are windowed directly;
+    times of day may be dense and take the running sums of `_time_sums`.
     """
     clock = F.unix_seconds(F.col(time).cast("timestamp"))
-    width = max(days) * _DAY
     sums = df.where(F.col(time).isNotNull()).groupBy(*keys, clock.alias("_t")).agg(
         *[F.sum(F.col(c).cast("double")).alias(f"_s_{c}") for c in columns],
         *[F.count(c).alias(f"_n_{c}") for c in columns],
     )
-    home = F.floor(F.col("_t") / width)
-    chunks = sums.withColumn("_home", home).withColumn("_chunk", F.explode(F.array(home, home + 1)))
-    means = []
-    for d in days:
-        for c in columns:
-            window = Window.partitionBy(*keys, "_chunk").orderBy("_t").rangeBetween(
-                -d * _DAY, -1 if c in label_columns else 0)
-            means.append((F.sum(f"_s_{c}").over(window)
-                          / F.nullif(F.sum(f"_n_{c}").over(window), F.lit(0))).alias(name(c, d)))
-    table = chunks.select(*keys, "_t", "_home", "_chunk", *means) \
-        .where(F.col("_home") == F.col("_chunk")).drop("_home", "_chunk")
+    split = _date_sums if isinstance(df.schema[time].dataType, T.DateType) else _time_sums
+    measures = [(f"_{m}_{c}", c in label_columns) for c in columns for m in ("s", "n")]
+    table = split(sums, keys, measures, days).select(*keys, "_t", *[
+        (F.col(f"_s_{c}_{d}") / F.nullif(F.col(f"_n_{c}_{d}"), F.lit(0))).alias(name(c, d))
+        for d in days for c in columns])
     if settled:
         table = settle(table)
     return attach(df.withColumn("_t", clock), table, [*keys, "_t"]).drop("_t")
 
 
+def _date_sums(sums: DataFrame, keys: list[str], measures: list[tuple[str, bool]], days: list[int]) -> DataFrame:
+    """Sums over trailing days of a daily series, as `<measure>_<d>`."""
+
+    def window(d, own_left_out):
+        return Window.partitionBy(*keys).orderBy("_t").rangeBetween(-d * _DAY, -1 if own_left_out else 0)
+
+    return sums.select(*keys, "_t", *[
+        F.sum(m).over(window(d, label)).alias(f"{m}_{d}") for m, label in measures for d in days])
+
+
+def _time_sums(sums: DataFrame, keys: list[str], measures: list[tuple[str, bool]], days: list[int]) -> DataFrame:
+    """The same for any times, as the tail of the first day, whole days, and the head of the last.
+
+    Heads and tails run inside one (key, day); whole days are windows over one row a day.
+    """
+    names = [m for m, _ in measures]
+    dated = sums.withColumn("_day", F.floor(F.col("_t") / _DAY))
+    inside = Window.partitionBy(*keys, "_day")
+
+    def until(own_left_out):
+        return inside.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1 if own_left_out else 0)
+
+    heads = dated.select(*keys, "_t", "_day", *[F.sum(m).over(until(label)).alias(f"_head{m}") for m, label in measures])
+
+    daily = dated.groupBy(*keys, "_day").agg(*[F.sum(m).alias(m) for m in names])
+    whole = Window.partitionBy(*keys).orderBy("_day")
+    middles = daily.select(*keys, "_day", *[
+        F.sum(m).over(whole.rangeBetween(1 - d, -1)).alias(f"_mid{m}_{d}") for m in names for d in days if d > 1])
+
+    # ask each day d days earlier for its sum from this time of day on
+    asked = dated.select(*keys, "_t", F.explode(F.array(*[F.lit(d) for d in days])).alias("_d"))
+    probes = asked.select(*keys, (F.col("_t") - F.col("_d") * _DAY).alias("_t"), "_d") \
+        .withColumn("_day", F.floor(F.col("_t") / _DAY))
+    since = inside.orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    answered = dated.unionByName(probes, allowMissingColumns=True).select(
+        *keys, "_t", "_d", *[F.sum(m).over(since).alias(m) for m in names])
+    tails = answered.where(F.col("_d").isNotNull()).groupBy(*keys, (F.col("_t") + F.col("_d") * _DAY).alias("_t")).agg(
+        *[F.max(F.when(F.col("_d") == d, F.col(m))).alias(f"_tail{m}_{d}") for m in names for d in days])
+
+    joined = attach(attach(heads, middles, [*keys, "_day"]), tails, [*keys, "_t"])
+
+    def total(m, d):
+        parts = [F.col(f"_head{m}"), F.col(f"_tail{m}_{d}"), *([F.col(f"_mid{m}_{d}")] if d > 1 else [])]
+        return sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
+
+    return joined.select(*keys, "_t", *[total(m, d).alias(f"{m}_{d}") for m in names for d in days])
+
+
 # alias of a calendar mean -> calendar expression
 CALENDAR = {
     "weekday": F.dayofweek,
@@ -157,6 +199,8 @@ def autocorrelation(df: DataFrame, keys: list[str], order: str, column: str, lag
         F.avg(column).alias("_mean"), F.count(column).alias("_n"))
     values = df.where(F.col(column).isNotNull()).select(*keys, order, column)
     centred = attach(values, stats, keys).select(*keys, order, (F.col(column) - F.col("_mean")).alias("_d"))
+    if lags >= batch:
+        centred = settle(centred)
     blocks = []
     for start in range(0, lags + 1, batch):
         ks = range(start, min(start + batch, lags + 1))

@@ -83,9 +83,8 @@ def _(t):
 
 
 @query("agg_coordinate_list_parts", f"""
-       WITH d AS (SELECT grid_id, {_PAIR} AS pair, count(*) AS n FROM {{aod_cells}} GROUP BY 1, 2),
-       p AS (SELECT *, (row_number() OVER (PARTITION BY grid_id ORDER BY pair) - 1) // 64 AS part FROM d)
-       SELECT grid_id, CAST(part AS INT) AS part, CAST(sum(n) AS BIGINT) AS n_cells, min(pair) AS first, max(pair) AS last FROM p GROUP BY grid_id, part""")
+       WITH p AS (SELECT grid_id, {_PAIR} AS pair, (row_number() OVER (PARTITION BY grid_id ORDER BY {_PAIR}) - 1) // 64 AS part FROM {{aod_cells}})
+       SELECT grid_id, CAST(part AS INT) AS part, count(*) AS n_cells, min(pair) AS first, max(pair) AS last FROM p GROUP BY grid_id, part""")
 def _(t):
     cells = t.aod_cells.select("grid_id", F.col("AOD_Uncertainty").cast("int").alias("lon"), F.col("Column_WV").cast("int").alias("lat"))
     lists = A.coordinate_lists(cells, ["grid_id"], chunk=64)
