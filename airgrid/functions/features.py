@@ -45,7 +45,7 @@ def slot_mean(variable: str, mode: str = "len") -> Column:
     """Mean of the four forecast slots of a variable.
 
     `len`: missing counts as 0, always divided by the number of slots. `strict`: NULL when any
-    slot is missing. `skip_null`: mean of the slots that are neither missing nor 0.
+    slot is missing. `skip_null`: mean of the slots that are not missing.
     """
     parts = [F.col(variable + s) for s in SLOTS]
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
@@ -54,8 +54,8 @@ def slot_mean(variable: str, mode: str = "len") -> Column:
     if mode == "strict":
         return sum(parts[1:], parts[0]) / len(SLOTS)
     if mode == "skip_null":
-        used = sum((F.when(p != 0, 1).otherwise(0) for p in parts[1:]), F.when(parts[0] != 0, 1).otherwise(0))
-        return F.when(used > 0, total / used)
+        used = sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
+        return total / F.nullif(used, F.lit(0))
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -52,7 +52,7 @@ def _sum(v):
 
 
 def _used(v):
-    return " + ".join(f"CASE WHEN {v}{s} <> 0 THEN 1 ELSE 0 END" for s in SLOTS)
+    return " + ".join(f"CASE WHEN {v}{s} IS NOT NULL THEN 1 ELSE 0 END" for s in SLOTS)
 
 
 _KEY = "grid_id, CAST(date AS VARCHAR) AS date, latitude"
