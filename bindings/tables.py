@@ -134,9 +134,9 @@ LOGICAL = {
                CAST(floor(l_partkey / 30) AS BIGINT) % 40 AS col, 30 AS n_rows, 40 AS n_cols,
                l_quantity AS raw, round(l_discount * 100) AS raw_b,
                CAST((l_orderkey * 7919 + l_partkey * 31) % 65536 AS INT) AS AOD_QA,
-               {_lon10('l_suppkey')} * 9500e0 AS x0, {_lat10('l_suppkey')} * 11119e0 + 20000e0 AS y0,
-               {_lon10('l_suppkey')} * 9500e0 + 40000e0 AS x1, {_lat10('l_suppkey')} * 11119e0 - 20000e0 AS y1
-        FROM {{lineitem}}""",
+               x - 20000 AS x0, {_lat10('l_suppkey')} * 11119e0 + 20000 AS y0,
+               x + 20000 AS x1, {_lat10('l_suppkey')} * 11119e0 - 20000 AS y1
+        FROM (SELECT *, {_lon10('l_suppkey')} * 11119e0 * cos(radians({_lat10('l_suppkey')} / 10e0)) AS x FROM {{lineitem}}) AS l""",
     "granule_texts": f"""
         SELECT s_suppkey AS granule_id, concat('GROUP=GridStructure UpperLeftPointMtrs=(',
                {_tenths(_lon10('s_suppkey'))}, ',', {_tenths(_lat10('s_suppkey'))}, ') LowerRightMtrs=(',
