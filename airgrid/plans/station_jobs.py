@@ -9,13 +9,15 @@ from airgrid.constants import DEPLOYED_FEATURES, GFS_VARIABLES, SLOTS
 from airgrid.functions.features import (
     aqi_class, aqi_hit, calendar_parts, scaled_aod, selected_slots, slot_mean, wind_speed,
 )
-from airgrid.functions.geo import city_code
+from airgrid.functions.geo import city_code, rounded_key
+from airgrid.learning.models import retrain_and_predict
+from airgrid.learning.prepare import encode_labels, impute_means
 from airgrid.operators.aggregates import class_hit_rate, mean_by, mean_error, station_days
 from airgrid.operators.clean import nonfinite_to_null, valid_labels
 from airgrid.operators.joins import box_join, interval_means, latest_value_lookup
 from airgrid.operators.ordering import attach
+from airgrid.operators.splits import named_split, time_split
 from airgrid.operators.windows import day_difference_lags, trailing_means
-from airgrid.functions.geo import rounded_key
 
 STATION_KEYS = ["location", "parameter", "country", "city", "latitude", "longitude"]
 SERIES_KEYS = ["city", "latitude", "longitude"]
@@ -69,6 +71,17 @@ def deployed_features(table: DataFrame, station: list[str], date: str, scaled: l
     return nonfinite_to_null(out)
 
 
+def deployed_inputs(features: DataFrame, date: str, numeric: list[str], text: list[str], split=named_split,
+                    ) -> dict[str, DataFrame]:
+    """Training, validation and test rows by time, gaps filled and texts coded as the training rows say."""
+    marked = time_split(features, date, split)
+    names = ("train", "valid", "test")
+    parts = [marked.where(F.col("Set") == n) for n in names]
+    filled = impute_means(parts[0], parts[1:], numeric, text)
+    coded = encode_labels(filled[0], filled[1:], text) if text else filled
+    return dict(zip(names, coded))
+
+
 def deployed_projection(features: DataFrame) -> DataFrame:
     """Only the features the deployed model reads, with label and date."""
     return features.select(*DEPLOYED_FEATURES)
@@ -82,6 +95,13 @@ def scoring_report(scored: DataFrame, prediction: str = "prediction", actual: st
     return {"rows": rows, "hits": class_hit_rate(rows), "errors": mean_error(rows, prediction, actual)}
 
 
+def predict_and_report(train: DataFrame, held_out: DataFrame, estimator, params: dict, keys: list[str],
+                       label: str = "value") -> dict[str, DataFrame]:
+    """Refit on all training rows, predict the held-out ones, and score the predictions."""
+    predicted = retrain_and_predict(train, held_out, estimator, params, [*keys, label])
+    return scoring_report(predicted.withColumnRenamed(label, "actual"))
+
+
 def point_answers(requests: DataFrame, series: DataFrame, date: str = "date_utc", digits: int = 2) -> DataFrame:
     return latest_value_lookup(requests, series, date, digits=digits)
 

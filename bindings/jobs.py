@@ -1,10 +1,13 @@
 """End-to-end jobs."""
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from airgrid.constants import GFS_VARIABLES, SLOTS, SUMMARY_BANDS
-from airgrid.learning.models import impute_chain
+from airgrid.learning.models import impute_chain, regressor
 from airgrid.operators.aggregates import band_min_max_median
+from airgrid.operators.sets import stack
 from airgrid.plans import grid_jobs as G
 from airgrid.plans import station_jobs as J
 from bindings.features import aqi_sql
@@ -223,3 +226,49 @@ def _(t):
        FROM ({_GRANULES}) JOIN {{boxes}} ON {_INSIDE} GROUP BY grid_id, granule_id, row, col""")
 def _(t):
     return rounded(_granule_cells(t, True), "lon", "lat")
+
+
+_NAMED = """(SELECT *, CASE WHEN r < 0.8e0 THEN 'train' WHEN r < 0.9e0 THEN 'valid' ELSE 'test' END AS part
+             FROM (SELECT *, percent_rank() OVER (ORDER BY date) AS r FROM {training}))"""
+
+
+@query("job_deployed_inputs", f"""
+       WITH n AS (SELECT * FROM {_NAMED}),
+       c AS (SELECT location, row_number() OVER (ORDER BY location) - 1e0 AS code FROM (SELECT DISTINCT location FROM n WHERE part = 'train'))
+       SELECT label_id, part AS "Set", coalesce(x2, (SELECT avg(x2) FROM n WHERE part = 'train')) AS x2, x3,
+              coalesce(code, (SELECT count(*) + 0e0 FROM c)) AS location_code FROM n LEFT JOIN c USING (location)""")
+def _(t):
+    parts = J.deployed_inputs(t.training, "date", ["x2", "x3"], ["location"])
+    return stack(*parts.values()).select("label_id", "Set", "x2", "x3", "location_code")
+
+
+def _line_report(t):
+    line = Pipeline(stages=[VectorAssembler(inputCols=["x1"], outputCol="one"),
+                            regressor("linear", "value", "one", maxIter=100, solver="normal")])
+    parts = J.deployed_inputs(t.training, "date", ["x2"], [])
+    return J.predict_and_report(stack(parts["train"], parts["valid"]), parts["test"], line, {}, ["label_id"])
+
+
+_PREDICTED = f"""(SELECT label_id, value AS actual, b0 + b1 * x1 AS prediction FROM {_NAMED}, (
+    SELECT regr_intercept(value, x1) AS b0, regr_slope(value, x1) AS b1 FROM {_NAMED} WHERE part <> 'test') WHERE part = 'test')"""
+
+
+@query("job_predict_and_report", f"""
+       SELECT label_id, actual, {r6('prediction', 4)} AS prediction, {aqi_sql('actual')} AS actual_aqi, {aqi_sql('prediction')} AS predicted_aqi,
+              CAST({aqi_sql('actual')} = {aqi_sql('prediction')} AS INT) AS aqi_hit FROM {_PREDICTED}""")
+def _(t):
+    return rounded(_line_report(t)["rows"], "prediction", digits=4)
+
+
+@query("job_prediction_errors", f"""
+       SELECT {r6('avg(prediction)', 4)} AS prediction, avg(actual) AS actual, {r6('abs(avg(prediction) - avg(actual))', 4)} AS abs_mean_error,
+              {r6('sqrt(avg((prediction - actual) * (prediction - actual)))', 4)} AS rmse FROM {_PREDICTED}""")
+def _(t):
+    return rounded(_line_report(t)["errors"], "prediction", "abs_mean_error", "rmse", digits=4)
+
+
+@query("job_grid_day_lists", f"""
+       SELECT grid_id, {d_text('utc_date')} AS utc_date, CAST(0 AS INT) AS part, count(*) AS n_cells FROM {{aod_cells}} GROUP BY 1, 2""")
+def _(t):
+    _, lists = G.grid_day_table(t.aod_cells, t.gfs, t.elevation)
+    return lists.select("grid_id", "utc_date", "part", F.size("lon_lat_list").alias("n_cells"))

@@ -45,7 +45,7 @@ def _search_table(t, maps, found):
     return t.spark.createDataFrame(rows, "params string, score double, deviation double")
 
 
-@query("ml_feature_pipeline")
+@query("ml_feature_vectors")
 def _(t):
     train, valid, test = _parts(_split(t).na.drop())
     _, frames = P.fit_features(train, [valid, test], P.feature_pipeline(_NUMERIC, ["priority"]))

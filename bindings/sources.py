@@ -1,12 +1,16 @@
 """Reading, flattening and cataloguing."""
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airgrid.functions.features import epoch_ms
 from airgrid.operators.clean import casts
 from airgrid.sources.readers import directory_files, directory_table, flatten_labels, granule_catalog, parquet
-from airgrid.sources.writers import as_view
+from airgrid.session import shared_folder
+from airgrid.sources.readers import csv, labels_csv
+from airgrid.sources.writers import as_view, write_csv, write_parquet
 from bindings.registry import query, ts_text
 
 _ORDERS = T.StructType([
@@ -77,7 +81,7 @@ def _(t):
 
 
 @query("src_epoch_millis", f"""
-       SELECT event_id, {ts_text('to_timestamp(time / 1000) AT TIME ZONE ' + "'UTC'")} AS read_at FROM {{aod_ee}}""")
+       SELECT event_id, {ts_text('epoch_ms(time)')} AS read_at FROM {{aod_ee}}""")
 def _(t):
     return t.aod_ee.select("event_id", epoch_ms("time").alias("read_at"))
 
@@ -94,3 +98,33 @@ def _(t):
 def _(t):
     as_view(t.aod_cells, "aod")
     return t.spark.sql("SELECT grid_id, max(AOD_Uncertainty) AS high FROM aod GROUP BY grid_id")
+
+
+def _fresh(t, name):
+    return f"{shared_folder(t.spark)}/airgrid-{name}-{uuid.uuid4().hex}"
+
+
+@query("src_labels_csv", f"""
+       SELECT {ts_text('datetime')} AS datetime, grid_id, value FROM {{labels_grid}}""")
+def _(t):
+    path = _fresh(t, "labels")
+    t.labels_grid.select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "grid_id", "value") \
+        .write.option("sep", "|").option("header", True).csv(path)
+    return labels_csv(t.spark, path, "datetime string, grid_id string, value double")
+
+
+@query("snk_partitioned_parquet", """
+       SELECT grid_id, location, strftime(datetime, '%Y-%m') AS month, value FROM {labels_grid} WHERE location = 'Delhi'""")
+def _(t):
+    path = _fresh(t, "labels")
+    months = t.labels_grid.select("grid_id", "location", F.date_format("datetime", "yyyy-MM").alias("month"), "value")
+    # one writer per location and month, so that a partition is few files
+    write_parquet(months.repartition("location", "month"), path, partition_by=("location", "month"))
+    return parquet(t.spark, path, months.schema).where("location = 'Delhi'").select(months.columns)
+
+
+@query("snk_csv", "SELECT label_id, value FROM {labels_grid}")
+def _(t):
+    path = _fresh(t, "export")
+    write_csv(t.labels_grid.select("label_id", "value"), path)
+    return csv(t.spark, path, "label_id long, value double")
