@@ -82,49 +82,54 @@ def interval_means(left: DataFrame, right: DataFrame, on: list[str], left_time:
     """Mean of the right values inside each left row's interval, without emitting the pairs.
 
     An interval is the tail of its first day, whole days, and the head of its last day. Heads and
-    tails are running sums inside (key, day); whole days are one summed row each.
+    tails are running sums over the seconds of one (key, day); whole days are one summed row each,
+    and only the two seconds an interval begins and ends in are looked at row by row.
     """
     if back + ahead < 1:
         raise ValueError("the interval must span at least a day")
     sums, counts = [f"_s_{v}" for v in values], [f"_n_{v}" for v in values]
+    measures = [*sums, *counts]
+
+    def totals(df, *keys):
+        return df.groupBy(*on, *keys).agg(*[F.sum(m).alias(m) for m in measures])
+
+    at, second = F.col("_at"), F.unix_seconds("_at").alias("_second")
     stamp = F.col(right_time).cast("timestamp")
     partial = right.where(F.col(right_time).isNotNull()).groupBy(*on, stamp.alias("_at")).agg(
         *[F.sum(F.col(v).cast("double")).alias(s) for v, s in zip(values, sums)],
         *[F.count(v).alias(n) for v, n in zip(values, counts)],
-    ).withColumn("_day", F.to_date("_at"))
+    ).select("*", second)
+    per_second = totals(partial, "_second").withColumn("_day", F.floor(F.col("_second") / 86400))
 
     asked = left.where(F.col(left_time).isNotNull()).select(*on, F.col(left_time).alias("_ask")).distinct()
     low, high = interval_bounds(F.col("_ask"), back, ahead, mode)
     asked = asked.select("*", low.alias("_low"), high.alias("_high"))
-
-    nothing = [F.lit(0.0).alias(s) for s in sums] + [F.lit(0).cast("long").alias(n) for n in counts]
     ends = asked.select(*on, "_ask", F.inline(F.array(
-        F.struct(F.lit("tail").alias("_part"), F.col("_low").alias("_at")),
-        F.struct(F.lit("head").alias("_part"), F.col("_high").alias("_at")))))
-    probes = ends.select(*on, "_at", *nothing, F.to_date("_at").alias("_day"), "_part", "_ask")
-    events = partial.select(*on, "_at", *sums, *counts, "_day",
-                            F.lit(None).cast("string").alias("_part"), F.lit(None).cast(
-                                left.schema[left_time].dataType).alias("_ask"))
-    ordered = Window.partitionBy(*on, "_day")
-    until = ordered.orderBy(F.col("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    since = ordered.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = events.unionByName(probes)
-    running = both.select(*on, "_part", "_ask", *[
-        F.when(F.col("_part") == "head", F.sum(c).over(until)).otherwise(F.sum(c).over(since)).alias(c)
-        for c in (*sums, *counts)])
-    parts = running.where(F.col("_part").isNotNull()).select(*on, "_ask", *sums, *counts)
+        F.struct(F.lit(False).alias("_head"), F.col("_low").alias("_at")),
+        F.struct(F.lit(True).alias("_head"), F.col("_high").alias("_at"))))).select("*", second)
+    probes = ends.drop("_at").withColumn("_day", F.floor(F.col("_second") / 86400))
+
+    seconds = Window.partitionBy(*on, "_day")
+    before = seconds.orderBy("_second").rangeBetween(Window.unboundedPreceding, -1)
+    after = seconds.orderBy(F.col("_second").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    running = per_second.unionByName(probes, allowMissingColumns=True).select(*on, "_ask", "_head", *[
+        F.when(F.col("_head"), F.sum(m).over(before)).otherwise(F.sum(m).over(after)).alias(m) for m in measures])
+    parts = running.where(F.col("_head").isNotNull()).select(*on, "_ask", *measures)
+
+    same_second = ends.withColumnRenamed("_at", "_end").join(partial, [*on, "_second"])
+    edges = same_second.where(F.when(F.col("_head"), at <= F.col("_end")).otherwise(at >= F.col("_end")))
+    parts = parts.unionByName(edges.select(*on, "_ask", *measures))
 
     if back + ahead > 1:
-        daily = partial.groupBy(*on, "_day").agg(*[F.sum(c).alias(c) for c in (*sums, *counts)])
-        inner_days = F.filter(
-            F.sequence(F.to_date("_low"), F.to_date("_high")),
-            lambda d: (d > F.to_date("_low")) & (d < F.to_date("_high")))
-        whole = asked.select(*on, "_ask", F.explode(inner_days).alias("_day")).join(daily, [*on, "_day"])
-        parts = parts.unionByName(whole.select(*on, "_ask", *sums, *counts))
-
-    means = parts.groupBy(*on, "_ask").agg(*[
-        (F.sum(s) / F.nullif(F.sum(n), F.lit(0))).alias(f"avg_{v}") for v, s, n in zip(values, sums, counts)])
-    return attach(left, means.withColumnRenamed("_ask", left_time), [*on, left_time])
+        daily = totals(per_second, "_day")
+        first, last = (F.floor(F.unix_seconds(c) / 86400) for c in ("_low", "_high"))
+        days = F.filter(F.sequence(first, last), lambda d: (d > first) & (d < last))
+        whole = asked.select(*on, "_ask", F.explode(days).alias("_day")).join(daily, [*on, "_day"])
+        parts = parts.unionByName(whole.select(*on, "_ask", *measures))
+
+    means = totals(parts, "_ask").select(*on, F.col("_ask").alias(left_time), *[
+        (F.col(s) / F.nullif(F.col(n), F.lit(0))).alias(f"avg_{v}") for v, s, n in zip(values, sums, counts)])
+    return attach(left, means, [*on, left_time])
 
 
 def day_pair_join(left: DataFrame, right: DataFrame, on: list[str], left_date: str, right_date: str,

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from airgrid.session import settle
 
 _BAND = "_band"
+_PLACE = "_place"
 
 
 def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -54,32 +55,36 @@ def with_band(df: DataFrame, order: str, band: Column | None = None, prefix: int
     return df.withColumn(_BAND, band)
 
 
+def _place(keys: list[str]) -> Column:
+    """Key and band as one value that is never NULL, so that a join on it keeps the partitioning."""
+    return F.struct(*keys, _BAND)
+
+
 def value_positions(df: DataFrame, keys: list[str], order: str, band: Column | None = None) -> DataFrame:
     """One row per key and distinct `order` value.
 
     `n` rows have the value; `rows_before` rows and `values_before` distinct values of the key
     sort before it; `rows_total` rows are in the key. NULL is a value and sorts first.
     """
-    counted = with_band(df, order, band).groupBy(*keys, order, _BAND).agg(F.count(F.lit(1)).alias("n"))
-    per_band = counted.groupBy(*keys, _BAND).agg(
-        F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
-    earlier = Window.partitionBy(*keys).orderBy(_BAND).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    placed_rows = with_band(df, order, band).withColumn(_PLACE, _place(keys))
+    counted = placed_rows.groupBy(_PLACE, order).agg(F.count(F.lit(1)).alias("n"))
+    per_band = counted.groupBy(_PLACE).agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+    whole = Window.partitionBy(*[f"{_PLACE}.{k}" for k in keys])
+    earlier = whole.orderBy(f"{_PLACE}.{_BAND}").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_band.select(
-        *keys, _BAND,
+        _PLACE,
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_offset"),
         F.coalesce(F.sum("_values").over(earlier), F.lit(0)).alias("_values_offset"),
         F.sum("_rows").over(whole).alias("rows_total"),
     )
-    inside = Window.partitionBy(*keys, _BAND).orderBy(order)
+    inside = Window.partitionBy(_PLACE).orderBy(order)
     placed = counted.select(
-        *keys, order, _BAND, "n",
+        _PLACE, order, "n",
         (F.sum("n").over(inside) - F.col("n")).alias("_rows_inside"),
         (F.row_number().over(inside) - 1).alias("_values_inside"),
     )
-    joined = attach(placed, offsets, [*keys, _BAND], "inner")
-    return joined.select(
-        *keys, order, "n",
+    return placed.join(offsets, _PLACE).select(
+        *[f"{_PLACE}.{k}" for k in keys], order, "n",
         (F.col("_rows_offset") + F.col("_rows_inside")).alias("rows_before"),
         (F.col("_values_offset") + F.col("_values_inside")).alias("values_before"),
         "rows_total",
@@ -128,11 +133,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, shares: dict[
 def row_positions(df: DataFrame, keys: list[str], order: str, alias: str = "position",
                   band: Column | None = None) -> DataFrame:
     """0-based place of each row in its key; `order` must be unique within the key."""
-    banded = with_band(df, order, band)
-    per_band = banded.groupBy(*keys, _BAND).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy(_BAND).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_band.select(*keys, _BAND, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, _BAND).orderBy(order)
+    banded = with_band(df, order, band).withColumn(_PLACE, _place(keys))
+    per_band = banded.groupBy(_PLACE).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*[f"{_PLACE}.{k}" for k in keys]).orderBy(f"{_PLACE}.{_BAND}") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_band.select(_PLACE, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(_PLACE).orderBy(order)
     placed = banded.withColumn("_inside", F.row_number().over(inside) - 1)
-    return attach(placed, offsets, [*keys, _BAND], "inner").select(
+    return placed.join(offsets, _PLACE).select(
         *df.columns, (F.col("_offset") + F.col("_inside")).alias(alias))

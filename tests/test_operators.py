@@ -405,3 +405,24 @@ def test_no_day_is_in_two_sets(spark):
     shares = dict(rows_of(df.groupBy(S.random_split(F.col("i")).alias("s")).agg(F.count("*") / 2000)))
     assert shares["train"] == pytest.approx(0.8, abs=0.04)
     assert df.select(S.random_split(F.col("i"), 1).alias("s")).groupBy("s").count().count() == 3
+
+
+def test_interval_means_within_one_second(spark):
+    """Readings microseconds apart, on either side of an interval's ends."""
+    at = dt.datetime(2020, 1, 2, 12, 0, 0, 500_000)
+    offsets = (-1, 0, 1, 400_000, -400_000)
+    readings = [("a", at + dt.timedelta(days=d, microseconds=o), float(2 ** i)) for i, (d, o) in
+                enumerate((d, o) for d in (-1, 0) for o in offsets)]
+    left = spark.createDataFrame([(1, "a", at)], "i int, k string, t timestamp")
+    right = spark.createDataFrame(readings, "k string, r timestamp, v double")
+    inside = [v for _, r, v in readings if at - dt.timedelta(days=1) <= r <= at]
+    got = J.interval_means(left, right, ["k"], "t", "r", ["v"], back=1).first()["avg_v"]
+    assert got == sum(inside) / len(inside)
+
+
+def test_positions_keep_null_keys(spark):
+    rows = [(i, None if i % 3 else "a", i % 4) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, k string, v int")
+    window = Window.partitionBy("k").orderBy("v")
+    expected = dict(rows_of(df.select("id", F.percent_rank().over(window))))
+    assert dict(rows_of(O.percent_rank(df, "v", keys=["k"]).select("id", "rank"))) == expected
