@@ -135,7 +135,8 @@ def impute_column(df: DataFrame, column: str, keys: list[str], date: str, drop:
     known, unknown = df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())
     _, numeric, text = feature_columns(df, [*keys, date, *drop], column)
     cut = six_folds if cross_validated else (lambda rank: two_way(rank, 0.8))
-    folded = time_split(known, date, cut, alias="foldNumber")
+    # read by every stage of the pipeline and by the learner
+    folded = settle(time_split(known, date, cut, alias="foldNumber"))
     train = folded.where(F.col("foldNumber") % 2 == 0)
     prepared = feature_pipeline(numeric, text).fit(train)
     # trees cannot read NaN: assembled gaps become 0 after scaling
@@ -157,7 +158,7 @@ def impute_chain(df: DataFrame, columns: list[str], keys: list[str], date: str,
     no earlier round.
     """
     order = df.columns
-    out = df
+    out = settle(df)
     for column in columns:
         imputed = impute_column(out, column, keys, date, [*drop, *siblings(column)], learner, **kwargs)
         joined = equi_join(out, imputed, keys, "left")

@@ -92,9 +92,13 @@ def value_positions(df: DataFrame, keys: list[str], order: str, band: Column | N
 
 
 def percent_rank(df: DataFrame, order: str, alias: str = "rank", keys: list[str] | None = None,
-                 settled: bool = True) -> DataFrame:
-    """Share of the other rows (of the key) that sort before each row."""
+                 settled: bool | None = None) -> DataFrame:
+    """Share of the other rows (of the key) that sort before each row.
+
+    The ranks of dates are few and are settled by default before they are joined back.
+    """
     keys = keys or []
+    settled = isinstance(df.schema[order].dataType, T.DateType) if settled is None else settled
     share = F.when(F.col("rows_total") > 1, F.col("rows_before") / (F.col("rows_total") - 1)).otherwise(0.0)
     ranks = value_positions(df, keys, order).select(*keys, order, share.alias(alias))
     return attach(df, settle(ranks) if settled else ranks, [*keys, order])

@@ -16,7 +16,7 @@ from airgrid.operators.aggregates import expand_predictions, station_days
 from airgrid.operators.sets import top
 from airgrid.operators.splits import named_split, random_split, six_folds, time_split
 from airgrid.operators.windows import lag_rows
-from airgrid.session import shared_folder
+from airgrid.session import settle, shared_folder
 from bindings.registry import d_text, query, r6, rounded
 from bindings.splits import _sets
 from bindings.windows import _DAILY
@@ -26,13 +26,13 @@ _NUMERIC = ["x1", "x2", "x3"]
 
 def _folded(t):
     """Training table with the six time folds and a feature vector without gaps."""
-    filled = t.training.na.fill(0.0, ["x2"])
+    filled = settle(t.training.na.fill(0.0, ["x2"]))
     folded = time_split(filled, "date", six_folds, "foldNumber")
-    return VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(folded)
+    return settle(VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(folded))
 
 
 def _split(t):
-    return t.training.withColumn("Set", random_split(F.col("date")))
+    return settle(t.training.withColumn("Set", random_split(F.col("date"))))
 
 
 def _parts(df):
