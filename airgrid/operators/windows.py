@@ -193,7 +193,7 @@ def calendar_means(df: DataFrame, key: str, date: str, columns: list[str], settl
 
 
 def autocorrelation(df: DataFrame, keys: list[str], order: str, column: str, lags: int,
-                    one_per_day: bool = False, batch: int = 50) -> DataFrame:
+                    one_per_day: bool = False, batch: int = 100) -> DataFrame:
     """Autocorrelation of each series at lags 0..`lags`; `order` must be unique within a series."""
     stats = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(
         F.avg(column).alias("_mean"), F.count(column).alias("_n"))
