@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+import bindings
 from tests.compare import connect, problems
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(bindings.QUERIES))
 def test_query_agrees(spark, con, name):
     assert problems(spark, con, FOLDER, name) == []
 
