@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from airgrid.llm import quality_rules
-from airgrid.llm.common import table
+from airgrid.llm import packing, pieces, quality_rules, token_counts, token_files
+from airgrid.llm.common import table, vocabulary
+from airgrid.session import shared_folder
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,5 +16,28 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_columns(table(spark, folder, "documents"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules,)}
+def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    cut = packing.cut(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 2048)
+    return packing.pack(cut, 2048)
+
+
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Starts, counts and checksums of all documents' ids, read back from ORC files."""
+    path = f"{shared_folder(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    token_files.write_ids(table(spark, folder, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return token_files.checksums(token_files.with_starts(token_files.read_ids(spark, path)))
+
+
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    return pieces.encode_and_decode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_pattern_packing, op6_token_files, op8_sentencepiece, op10_token_counts)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle()}
