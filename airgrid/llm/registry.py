@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airgrid.llm import packing, pieces, quality_rules, token_counts, token_files
+from airgrid.llm import packing, pieces, quality_rules, simhash, token_counts, token_files
 from airgrid.llm.common import table, vocabulary
 from airgrid.session import shared_folder
 
@@ -16,6 +16,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_columns(table(spark, folder, "documents"), keep=["doc_id"])
 
 
+def op3_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     cut = packing.cut(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 2048)
@@ -39,5 +44,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_pattern_packing, op6_token_files, op8_sentencepiece, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op6_token_files, op8_sentencepiece, op10_token_counts)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle()}
