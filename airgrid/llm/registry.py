@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airgrid.llm import packing, pieces, quality_rules, simhash, token_counts, token_files
+from airgrid.llm import packing, pieces, quality_rules, simhash, substring, token_counts, token_files
 from airgrid.llm.common import table, vocabulary
 from airgrid.session import shared_folder
 
@@ -27,6 +27,11 @@ def op4_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(cut, 2048)
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words, removed words and digest of the words left, of every document."""
+    return substring.remove_repeats(table(spark, folder, "documents"), digest=True)
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Starts, counts and checksums of all documents' ids, read back from ORC files."""
     path = f"{shared_folder(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
@@ -44,5 +49,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op6_token_files, op8_sentencepiece, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op8_sentencepiece, op10_token_counts)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle()}
