@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from airgrid.llm import packing, pieces, quality_rules, simhash, substring, token_counts, token_files
+from airgrid.llm import neighbours, packing, pieces, quality_rules, simhash, substring, token_counts, token_files
 from airgrid.llm.common import table, vocabulary
 from airgrid.session import shared_folder
 
@@ -39,6 +40,11 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(token_files.with_starts(token_files.read_ids(spark, path)))
 
 
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all vectors."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     return pieces.encode_and_decode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
@@ -49,5 +55,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op8_sentencepiece, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op7_nearest_neighbours, op8_sentencepiece, op10_token_counts)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle()}
