@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from airgrid.llm.common import arrow_map
 from airgrid.llm.word_ids import open_tokenizer
@@ -16,6 +18,39 @@ OVERLAP = 256
 #: A place that no token crosses, whatever stands further left or right: from a visible character to white space. The
 #: byte-level pattern lets a token hold white space only at its start, and has no look-behind.
 STABLE = re.compile(r"(?<=[^\s\x1c-\x1f])[ \t\n\r]")
+#: Stretches between stable places, in texts whose white space is all of the four kinds; other texts are encoded whole.
+STRETCH = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+#: Distinct stretches a worker remembers before it starts anew; bounds its memory, changes no count.
+REMEMBERED = 400_000
+
+
+@cache
+def open_counts(path: str) -> Counts:
+    return Counts(open_tokenizer(path))
+
+
+class Counts:
+    """Tokens of texts of ordinary length: a text is the sum of its stretches, each distinct one encoded once."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known = tokenizer, {}
+
+    def _encode(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def texts(self, texts: list[str]) -> list[int]:
+        whole = [i for i, t in enumerate(texts) if OTHER_SPACE.search(t)]
+        found = dict(zip(whole, self._encode([texts[i] for i in whole])))
+        split = [[] if i in found else STRETCH.findall(t) for i, t in enumerate(texts)]
+        stretches = set().union(*split)
+        new = stretches - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, stretches
+        new = list(new)
+        self.known.update(zip(new, self._encode(new)))
+        get = self.known.__getitem__
+        return [found[i] if i in found else sum(map(get, s)) for i, s in enumerate(split)]
 
 
 def _spans(tokenizer, text: str) -> tuple[list[int], set[int]]:
@@ -63,11 +98,9 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         tokenizer = open_tokenizer(path)
         texts = [t or "" for t in c["text"].to_pylist()]
         whole = [i for i, t in enumerate(texts) if len(t) <= CHUNK + OVERLAP]
-        counts = dict(zip(whole, (len(e.ids) for e in tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))))
+        counts = dict(zip(whole, open_counts(path).texts([texts[i] for i in whole])))
         n = [counts[i] if i in counts else count_tokens(tokenizer, t) for i, t in enumerate(texts)]
         return {key: c["key"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    from pyspark.sql import functions as F
-
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     return arrow_map(rows, f"`{key}` bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", step, "text")
