@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import airgrid
 from airgrid.session import shared_folder
 
 #: Fixed value: a word is a run of characters other than ASCII white space.
@@ -20,7 +22,7 @@ STEP_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return reach(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def words_of(text: Column) -> Column:
@@ -35,6 +37,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def reach(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this file system import the package; a cluster gets it by --py-files or an installation."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(airgrid.__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    return spark
+
+
 def arrow_map(df: DataFrame, schema: str, step: Callable[[dict[str, list]], dict[str, list]], size_by: str | None = None,
               ) -> DataFrame:
     """Map `step` over column lists, a bounded number of characters at a time.
@@ -42,7 +53,7 @@ def arrow_map(df: DataFrame, schema: str, step: Callable[[dict[str, list]], dict
     `step` gets and returns a dict of equally long lists (or Arrow arrays) by column. `size_by` names the text column
     that is held to STEP_CHARS characters a step, so that long texts do not add up in memory.
     """
-    target = _arrow_schema(df.sparkSession, schema)
+    target = _arrow_schema(reach(df.sparkSession), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

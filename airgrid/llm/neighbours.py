@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airgrid.llm.common import reach
+
 #: Vectors of a block on either side of a tile, and candidates that are multiplied at once inside it.
 QUERY_BLOCK = 4_096
 CANDIDATE_BLOCK = 4_096
@@ -125,6 +127,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
         return pa.table([pa.array(list(x), kind) for x, kind in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64()))],
                         names=["query_id", "vec_id", "score"])
 
+    reach(df.sparkSession)
     found = tiles.applyInArrow(one_tile, "query_id bigint, vec_id bigint, score double")
     return _merged(found, k)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import neighbours, packing, pieces, quality_rules, simhash, substring, token_counts, token_files
+from airgrid.llm import html_text, neighbours, packing, pieces, quality_rules, simhash, substring, token_counts, token_files
 from airgrid.llm.common import table, vocabulary
 from airgrid.session import shared_folder
 
@@ -50,10 +50,15 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_and_decode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op7_nearest_neighbours, op8_sentencepiece, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op7_nearest_neighbours, op8_sentencepiece, op9_html_text, op10_token_counts)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle()}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map, written
+from airgrid.llm.common import arrow_map, reach, written
 from airgrid.llm.components import components
 
 SHINGLE = 3
@@ -180,6 +180,7 @@ def linked(distinct: DataFrame, most_bits: int = MOST_BITS, block: int = BLOCK)
     met = met.select("fp", "t", "k", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     bucket: Column = F.xxhash64("t", "k", F.least("own", "other"), F.greatest("own", "other"))
     met = met.select(bucket.alias("g"), "fp").repartition("g").sortWithinPartitions("g")
+    reach(met.sparkSession)
     return met.mapInArrow(lambda batches: _links(batches, most_bits), "a bigint, b bigint")
 
 
