@@ -7,11 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import html_text, neighbours, packing, pieces, quality_rules, simhash, substring, token_counts, token_files
+from airgrid.llm import html_text, language_id, neighbours, packing, pieces, quality_rules, simhash, substring, token_counts, token_files
 from airgrid.llm.common import table, vocabulary
 from airgrid.session import shared_folder
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language, posterior and verdict of every document, with the evidence of the pages that show them."""
+    found = language_id.identify_documents(table(spark, folder, "documents"), table(spark, folder, "pages"), F.col("doc_id"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base_failed and kept of every document."""
     return quality_rules.quality_columns(table(spark, folder, "documents"), keep=["doc_id"])
@@ -60,5 +66,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op7_nearest_neighbours, op8_sentencepiece, op9_html_text, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op7_nearest_neighbours, op8_sentencepiece, op9_html_text, op10_token_counts)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle()}
