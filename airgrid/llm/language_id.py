@@ -237,3 +237,15 @@ def identify_documents(docs: DataFrame, pages: DataFrame, key: Column) -> DataFr
     scored = score(docs, F.col("text"), F.col("lang"), {"key": key, "doc_id": F.col("doc_id").cast("bigint"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
     scored.rows = scored.rows.join(page_evidence(pages), "doc_id", "left")
     return fuse(scored, F.coalesce("markup", "lang"), F.col("suffix"), F.coalesce("host", "source"), F.col("key"))
+
+
+def keep_identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang, source and others), all columns, whose language is told well enough.
+
+    Verdicts go by a hash of the four columns; the few rejected are joined away, so texts stay in place.
+    """
+    row = F.xxhash64("doc_id", "text", "lang", "source")
+    found = identify_documents(docs, pages, row)
+    rejected, _ = written(found.filter(~F.col("kept")).select("key").distinct(), "rejected")
+    all_columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
+    return docs.select(row.alias("key"), all_columns).join(rejected, "key", "left_anti").select("all.*")

@@ -42,15 +42,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed number) of every row."""
+def fingerprints(df: DataFrame, key: Column, text: Column, row: Column, size: int = SHINGLE) -> DataFrame:
+    """doc_id, row and fp (the fingerprint's 64 bits as a signed number) of every row."""
 
     def step(c: dict) -> dict:
         fp = np.array([fingerprint(t, size) for t in c["text"].to_pylist()], dtype=np.uint64)
-        return {"doc_id": c["doc_id"], "fp": pa.array(fp.view(np.int64))}
+        return {"doc_id": c["doc_id"], "row": c["row"], "fp": pa.array(fp.view(np.int64))}
 
-    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return arrow_map(rows, "doc_id bigint, fp bigint", step, "text")
+    rows = df.select(key.cast("bigint").alias("doc_id"), row.cast("bigint").alias("row"), text.alias("text"))
+    return arrow_map(rows, "doc_id bigint, row bigint, fp bigint", step, "text")
 
 
 def _masks(most_bits: int) -> list[int]:
@@ -184,6 +184,16 @@ def linked(distinct: DataFrame, most_bits: int = MOST_BITS, block: int = BLOCK)
     return met.mapInArrow(lambda batches: _links(batches, most_bits), "a bigint, b bigint")
 
 
+def _grouped(df: DataFrame, key: Column, text: Column, row: Column, size: int, most_bits: int) -> DataFrame:
+    """doc_id, row, fp, root and component_id of every row; root names a component where no row has an id, too."""
+    docs, _ = written(fingerprints(df, key, text, row, size), "fingerprints")
+    first, _ = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(linked(first.select("fp"), most_bits))
+    found = first.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    return docs.join(found.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of every row.
 
@@ -191,11 +201,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     fingerprint and are compared once, so a group of exact copies costs one row. A row with NULL id links others but
     names no component; a component of such rows alone has NULL. Repeated rows come back each. Other columns are not read.
     """
-    docs, _ = written(fingerprints(df, key, text, size), "fingerprints")
-    first, _ = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(linked(first.select("fp"), most_bits))
-    found = first.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = found.join(named, "root").select("fp", "component_id")
-    out = docs.join(by_fp, "fp")
+    out = _grouped(df, F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(0), size, most_bits)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of `df`, all columns, without near-duplicates: of each component the row with the smallest id stays.
+
+    NULL ids come last; among rows with that id the one whose id and text have the least hash stays, and of rows equal
+    in both one. Rows to drop are joined away by hash; texts are shuffled only if those are too many for Spark to send.
+    """
+    row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    found, _ = written(_grouped(df, F.col(f"`{key}`"), F.col(f"`{text}`"), row, size, most_bits).select("doc_id", "row", "root"), "groups")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("b")).select(F.col("b.row").alias("row"))
+    copies = found.join(best, "row", "left_semi").groupBy("row").count().filter("count > 1").select("row")
+    gone, _ = written(found.select("row").distinct().join(best, "row", "left_anti"), "gone")
+    repeated, _ = written(copies, "repeated")
+    all_columns = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all")
+    kept = df.select(row.alias("row"), all_columns).join(gone, "row", "left_anti")
+    if repeated.isEmpty():
+        return kept.select("all.*")
+    several = kept.join(repeated, "row", "left_semi").groupBy("row").agg(F.first("all").alias("all"))
+    return kept.join(repeated, "row", "left_anti").select("row", "all").union(several).select("all.*")

@@ -91,7 +91,7 @@ def _candidates(docs: DataFrame, size: int, rounds: int) -> DataFrame:
         key, own, doc = (np.concatenate(x) for x in zip(*out))
         return {"key": pa.array(key.view(np.int64)), "own": pa.array(own.view(np.int64)), "doc_id": pa.array(doc)}
 
-    return arrow_map(docs.select("doc_id", "text", "keys"), "key bigint, own bigint, doc_id bigint", step, "text")
+    return arrow_map(docs, "key bigint, own bigint, doc_id bigint", step, "text")
 
 
 def _by_doc(doc: np.ndarray) -> np.ndarray:
@@ -106,22 +106,21 @@ def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
     return found.filter("first < other").drop("other")
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """`docs` (doc_id, text) as (k, doc_id, text), and (k, gone): hashes of the windows that a smaller doc_id starts too.
+def repeated_windows(keyed: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """(k, gone): hashes of the windows of document k that a smaller doc_id starts too; `keyed` has k, doc_id, text.
 
     Recompression names runs and pairs by a hash of what they stand for, the same in every task, so naming needs no
     exchange. Symbols that two documents share (one small row per symbol, not per window) choose the windows that are
     then compared by symbol and own hash together.
     """
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found, _ = written(_occurrences(docs, size, rounds), "anchors")
+    found, _ = written(_occurrences(keyed, size, rounds), "anchors")
     lists = found.join(_shared(found, ["key"]).select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     lists = lists.withColumnRenamed("doc_id", "k")
     asked = keyed.join(lists, "k", "left").filter(F.size(F.coalesce("keys", F.array().cast("array<bigint>"))) > 0)
     windows = _candidates(asked, size, rounds)
     first = _shared(windows, ["key", "own"])
     gone = windows.join(first, ["key", "own"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("own").alias("gone"))
-    return keyed, gone.withColumnRenamed("doc_id", "k")
+    return gone.withColumnRenamed("doc_id", "k")
 
 
 def _covered(words: list[bytes], gone: np.ndarray, size: int) -> np.ndarray:
@@ -137,22 +136,18 @@ def _covered(words: list[bytes], gone: np.ndarray, size: int) -> np.ndarray:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, digest: bool = False, rounds: int = ROUNDS,
                    keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (words left, joined by a space) of every row, and the columns `keep`.
+    """doc_id, n_words, n_removed, kept (words left, joined by a space) of every row, and a struct `row` of columns `keep`.
 
     A word goes if a window of `size` words over it also starts in a document with a smaller id; windows are those of
     the input. With `digest` kept_sha256 stands for kept. NULL or empty text has no words. Rows with a NULL id are
     neither earlier nor later than others: they keep all and take nothing. Rows that repeat an id have equal rank, so
-    none removes from the other. Names in `keep` must not be those of results. Texts cross the network once: both joins
-    by id read the same exchange.
+    none removes from the other. Texts cross the network once: both joins by id read the same exchange.
     """
-    extra = [c for c in keep if c != key]
-    docs = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    keyed, gone = repeated_windows(docs, size, rounds)
-    if extra:
-        keyed = df.select(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(NO_ID)).alias("k"), F.col(f"`{key}`").cast("bigint").alias("doc_id"),
-                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra"))
+    extra = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    own = F.col(f"`{key}`").cast("bigint")
+    keyed = df.select(F.coalesce(own, F.lit(NO_ID)).alias("k"), own.alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *extra)
     last = "kept_sha256" if digest else "kept"
-    joined = keyed.join(gone, "k", "left").drop("k")
+    joined = keyed.join(repeated_windows(keyed, size, rounds), "k", "left").drop("k")
 
     def step(c: dict) -> dict:
         total, removed, kept = [], [], []
@@ -166,10 +161,20 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
             left_text = b" ".join(words)
             kept.append(hashlib.sha256(left_text).hexdigest() if digest else left_text.decode())
         out = {"doc_id": c["doc_id"], "n_words": total, "n_removed": removed, last: kept}
-        return out | ({"extra": c["extra"]} if extra else {})
+        return out | ({"row": c["row"]} if keep else {})
 
     schema = f"doc_id bigint, n_words bigint, n_removed bigint, {last} string"
-    if extra:
-        schema += f", extra {joined.schema['extra'].dataType.simpleString()}"
-    out = arrow_map(joined, schema, step, "text")
-    return out.select("doc_id", "n_words", "n_removed", last, "extra.*") if extra else out
+    return arrow_map(joined, schema + (f", row {joined.schema['row'].dataType.simpleString()}" if keep else ""), step, "text")
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, length: str = "n_chars") -> DataFrame:
+    """The rows of `docs`, all columns: a text that loses words becomes the words left, joined by a space; others stay.
+
+    The column `length`, if there is one, follows the new text. A text may become empty; no row is dropped.
+    """
+    found = remove_repeats(docs, key, text, size, keep=docs.columns)
+    new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.`{text}`"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text: new}
+    if length in columns:
+        columns[length] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[length].dataType)).otherwise(columns[length])
+    return found.select(*[c.alias(n) for n, c in columns.items()])
