@@ -136,24 +136,22 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, doc_id:
     A document is its ids and then `end_id`; only longer ones are cut, into pieces of `capacity` and a rest. NULL text is
     empty and has the end id alone. Repeated rows are cut each.
     """
-    end = int(end_id).to_bytes(4, "little")
-    size = 4 * capacity
 
     def step(c: dict) -> dict:
-        key, piece, start, length, crc, ids = [], [], [], [], [], []
-        for k, x in zip(c["doc_id"].to_pylist(), open_words(tokenizer).texts(c["text"].to_pylist())):
-            x += end
-            for i, a in enumerate(range(0, len(x), size)):
-                part = x[a:a + size]
-                key.append(k)
-                piece.append(i)
-                start.append(a // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-                if with_ids:
-                    ids.append(np.frombuffer(part, dtype="<i4"))
-        out = {"doc_id": key, "piece": piece, "start": start, "length": length, "ids_crc32": crc}
-        return out | ({"ids": ids} if with_ids else {})
+        ids, at = open_words(tokenizer).texts(c["text"], end_id)
+        sizes = np.diff(at)
+        parts = -(-sizes // capacity)
+        doc = np.repeat(np.arange(len(sizes)), parts)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = piece * capacity
+        length = np.minimum(sizes[doc] - start, capacity)
+        first = at[doc] + start
+        data = memoryview(ids).cast("B")
+        crc = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
+        out = {"doc_id": c["doc_id"].take(pa.array(doc)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": crc}
+        if with_ids:
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(first, at[-1]).astype(np.int32)), pa.array(ids.view(np.int32)))
+        return out
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")

@@ -81,9 +81,10 @@ def _candidates(docs: DataFrame, size: int, rounds: int) -> DataFrame:
 
     def step(c: dict) -> dict:
         ids = c["doc_id"].to_numpy(zero_copy_only=False)
-        lists, ends = c["keys"].values.to_numpy(zero_copy_only=False).view(np.uint64), c["keys"].offsets.to_numpy()
+        lists = c["keys"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        sizes = c["keys"].value_lengths().to_numpy(zero_copy_only=False)
         # a document's keys are looked up together with its number
-        known = np.unique(lists ^ _by_doc(np.repeat(np.arange(len(ids)), np.diff(ends))))
+        known = np.unique(lists ^ _by_doc(np.repeat(np.arange(len(ids)), sizes)))
         out = [(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))]
         for doc, _, key, own in _anchored([_hashes(t.encode().split()) for t in c["text"].to_pylist()], size, rounds):
             hit = np.isin(key ^ _by_doc(doc), known)

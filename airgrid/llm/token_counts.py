@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm.common import arrow_map
-from airgrid.llm.word_ids import open_tokenizer
+from airgrid.llm.word_ids import Recent, open_tokenizer
 
 #: Texts above CHUNK + OVERLAP characters are cut; the overlap doubles until both sides agree.
 CHUNK = 32_768
@@ -21,8 +21,10 @@ STABLE = re.compile(r"(?<=[^\s\x1c-\x1f])[ \t\n\r]")
 #: Stretches between stable places, in texts whose white space is all of the four kinds; other texts are encoded whole.
 STRETCH = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
-#: Distinct stretches a worker remembers before it starts anew; bounds its memory, changes no count.
-REMEMBERED = 400_000
+#: A stretch of one space at most, Latin letters and marks: the pattern always parts letters from marks other than "'".
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+#: Entries of the tables that a worker keeps: stretches, and parts of plain ones.
+STRETCHES_KEPT, PARTS_KEPT = 150_000, 300_000
 
 
 @cache
@@ -31,26 +33,23 @@ def open_counts(path: str) -> Counts:
 
 
 class Counts:
-    """Tokens of texts of ordinary length: a text is the sum of its stretches, each distinct one encoded once."""
+    """Tokens of texts of ordinary length: a text is the sum of its stretches, each distinct one encoded about once."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer = tokenizer
+        self.stretches, self.parts = Recent(self._stretch, STRETCHES_KEPT), Recent(self._encode, PARTS_KEPT)
 
-    def _encode(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> int:
+        return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]) if text else 0
 
-    def texts(self, texts: list[str]) -> list[int]:
-        whole = [i for i, t in enumerate(texts) if OTHER_SPACE.search(t)]
-        found = dict(zip(whole, self._encode([texts[i] for i in whole])))
-        split = [[] if i in found else STRETCH.findall(t) for i, t in enumerate(texts)]
-        stretches = set().union(*split)
-        new = stretches - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, stretches
-        new = list(new)
-        self.known.update(zip(new, self._encode(new)))
-        get = self.known.__getitem__
-        return [found[i] if i in found else sum(map(get, s)) for i, s in enumerate(split)]
+    def _stretch(self, text: str) -> int:
+        plain = PLAIN.fullmatch(text)
+        return self.parts[plain[1]] + self.parts[plain[2]] if plain else self._encode(text)
+
+    def text(self, text: str) -> int:
+        if OTHER_SPACE.search(text):
+            return self._encode(text)
+        return sum(map(self.stretches.__getitem__, STRETCH.findall(text)))
 
 
 def _spans(tokenizer, text: str) -> tuple[list[int], set[int]]:
@@ -97,9 +96,8 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def step(c: dict) -> dict:
         tokenizer = open_tokenizer(path)
         texts = [t or "" for t in c["text"].to_pylist()]
-        whole = [i for i, t in enumerate(texts) if len(t) <= CHUNK + OVERLAP]
-        counts = dict(zip(whole, open_counts(path).texts([texts[i] for i in whole])))
-        n = [counts[i] if i in counts else count_tokens(tokenizer, t) for i, t in enumerate(texts)]
+        counts = open_counts(path)
+        n = [counts.text(t) if len(t) <= CHUNK + OVERLAP else count_tokens(tokenizer, t) for t in texts]
         return {key: c["key"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))

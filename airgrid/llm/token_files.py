@@ -27,7 +27,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
     """
     ranged = (docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
               .repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     class Step:
         """Running count of one task; a task makes its own."""
@@ -41,15 +40,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
             part = TaskContext.get().partitionId()
             if part != self.part:
                 self.part, self.before = part, 0
-            ids = [x + end for x in open_words(tokenizer).texts(c["text"].to_pylist())]
-            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            ends = np.cumsum(sizes)
-            before = self.before + ends - sizes
-            self.before += int(ends[-1]) if len(ends) else 0
-            flat = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(ids))])
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            return {"part": pa.array(np.full(len(ids), part, np.int32)), "doc_id": c["doc_id"], "before": pa.array(before),
-                    "n_tokens": pa.array(sizes), "ids": pa.ListArray.from_arrays(offsets, flat)}
+            ids, at = open_words(tokenizer).texts(c["text"], end_id)
+            before = self.before + at[:-1]
+            self.before += int(at[-1])
+            return {"part": pa.array(np.full(len(before), part, np.int32)), "doc_id": c["doc_id"], "before": pa.array(before),
+                    "n_tokens": pa.array(np.diff(at)), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))}
 
     rows = arrow_map(ranged, "part int, doc_id bigint, before bigint, n_tokens bigint, ids array<int>", Step(), "text")
     (rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_FPP)
@@ -74,8 +69,8 @@ def checksums(rows: DataFrame) -> DataFrame:
 
     def step(c: dict) -> dict:
         ids = c["ids"]
-        data = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
-        at = ids.offsets.to_numpy().astype(np.int64) * 4
+        data = memoryview(np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
+        at = 4 * np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)]))
         crc = [zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])]
         return {"doc_id": c["doc_id"], "start": c["start"], "n_tokens": pa.array(np.diff(at) // 4), "ids_crc32": crc}
 

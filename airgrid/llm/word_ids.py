@@ -1,17 +1,46 @@
-"""Token ids of whole texts, with each distinct word given to the tokenizer once."""
+"""Token ids of whole texts, with each distinct word given to the tokenizer about once a worker."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space at which a text may be cut; all of it is white space to every tokenizer.
 CUTS = "\t\n\r"
-#: Distinct words a worker remembers before it starts anew; bounds its memory, changes no result.
-REMEMBERED = 400_000
+#: Entries of the tables that a worker keeps (a full table steps back and is asked once more): words, and parts of words.
+WORDS_KEPT, PARTS_KEPT = 150_000, 300_000
 #: Texts on which cutting at white space is tried before it is used.
 PROBES = ("a b", "It's 12 o'clock", "x\ny z", "naïve café", "<|endoftext|> a", "1 2 . ,", "Wörter, und mehr")
+#: A run of Latin letters that composition leaves alone and lower-casing maps one by one, then marks without apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+#: What a tokenizer file must say for PLAIN words to be the ids of their letters and then of their marks.
+NORMALISER = ["NFC", "Replace", "Lowercase"]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Recent(dict):
+    """Values made on first use. A table of `most` entries is set aside and asked before a value is made again."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 @cache
@@ -35,35 +64,68 @@ class WordIds:
     """Ids as little-endian unsigned 32-bit numbers, exactly as the library gives them for the whole text.
 
     A tokenizer that drops white space and lets no token cross it gives a text the ids of its words in turn. `PROBES`
-    test that; a tokenizer that fails them gets whole texts instead.
+    test that; a tokenizer that fails them gets whole texts instead. If its file names the known normaliser and
+    splitter, a plain word is its lower-case letters and its marks, which the library's model gets without them.
     """
 
     def __init__(self, path: str):
         self.tokenizer = open_tokenizer(path)
-        self.known: dict[str, bytes] = {}
-        whole = self._encode(list(PROBES))
-        self.by_word = all(b"".join(self._encode(p.replace("\n", " ").split(" "))) == w for p, w in zip(PROBES, whole))
+        whole = [self._encode(p) for p in PROBES]
+        self.by_word = all(b"".join(map(self._encode, p.replace("\n", " ").split(" "))) == w for p, w in zip(PROBES, whole))
+        self.bare = self._without_splitter()
+        self.words = Recent(self._word if self.bare else self._encode, WORDS_KEPT)
+        self.parts = Recent(self._part, PARTS_KEPT)
+
+    def _without_splitter(self):
+        said = json.loads(self.tokenizer.to_str())
+        normaliser = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
+        split, *rest = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        if normaliser != NORMALISER or split.get("pattern") != {"Regex": SPLITTER} or [x.get("type") for x in rest] != ["ByteLevel"]:
+            return None
+        if not split.get("invert") or rest[0].get("use_regex") or rest[0].get("add_prefix_space"):
+            return None
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        bare = Tokenizer.from_str(self.tokenizer.to_str())
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return bare
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _part(self, text: str) -> bytes:
+        return array("I", self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes() if text else b""
+
+    def _word(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if not plain:
+            return self._encode(word)
+        return self.parts[plain[1].lower()] + self.parts[plain[2]]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def texts(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column one after the other, and where each text's begin and the last one's end.
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; NULL counts as empty."""
-        texts = [t or "" for t in texts]
+        NULL counts as empty; `end_id` follows each text's ids. Words are split and numbered by Arrow, so the tables are
+        asked once for each distinct word of the column.
+        """
+        texts = pc.fill_null(texts, "")
+        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         if not self.by_word:
-            return self._encode(texts)
-        split = []
-        for t in texts:
-            for c in CUTS:
-                if c in t:
-                    t = t.replace(c, " ")
-            split.append(t.split(" "))
-        words = set().union(*split)
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, words
-        new = list(new)
-        self.known.update(zip(new, self._encode(new)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+            found = [self._encode(t) + end for t in texts.to_pylist()]
+            ends = np.cumsum([0] + [len(x) // 4 for x in found])
+            return np.frombuffer(b"".join(found), dtype="<u4"), ends
+        for c in CUTS:
+            texts = pc.replace_substring(texts, c, " ")
+        split = pc.split_pattern(texts, " ")
+        numbered = split.flatten().dictionary_encode()
+        found = [end, *map(self.words.__getitem__, numbered.dictionary.to_pylist())]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        words = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        word = np.insert(numbered.indices.to_numpy(zero_copy_only=False) + 1, words, 0)
+        length = size[word]
+        upto = np.cumsum(length)
+        first = (np.cumsum(size) - size)[word] - (upto - length)
+        out = ids[np.repeat(first, length) + np.arange(upto[-1] if len(upto) else 0)]
+        return out, np.concatenate([[0], upto[words + np.arange(len(words))]])
