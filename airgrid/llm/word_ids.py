@@ -14,13 +14,17 @@ import pyarrow.compute as pc
 
 #: White space at which a text may be cut; all of it is white space to every tokenizer.
 CUTS = "\t\n\r"
-#: Entries of the tables that a worker keeps (a full table steps back and is asked once more): words, and parts of words.
-WORDS_KEPT, PARTS_KEPT = 150_000, 300_000
+#: Words of the table that a worker keeps (a full table steps back and is asked once more).
+WORDS_KEPT = 400_000
 #: Texts on which cutting at white space is tried before it is used.
 PROBES = ("a b", "It's 12 o'clock", "x\ny z", "naïve café", "<|endoftext|> a", "1 2 . ,", "Wörter, und mehr")
-#: A run of Latin letters that composition leaves alone and lower-casing maps one by one, then marks without apostrophe.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
-#: What a tokenizer file must say for PLAIN words to be the ids of their letters and then of their marks.
+#: Lower-case Latin letters that composition and lower-casing leave alone.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: A letter and a mark other than "'", between which the known splitter always cuts, so that a space there changes no id.
+CUT_HERE = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~])"
+#: What every special string begins with; texts that have it are split at white space alone.
+SPECIAL = "<|"
+#: What a tokenizer file must say for CUT_HERE and for lower-casing A-Z beforehand.
 NORMALISER = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -65,7 +69,7 @@ class WordIds:
 
     A tokenizer that drops white space and lets no token cross it gives a text the ids of its words in turn. `PROBES`
     test that; a tokenizer that fails them gets whole texts instead. If its file names the known normaliser and
-    splitter, a plain word is its lower-case letters and its marks, which the library's model gets without them.
+    splitter, words are lower-cased and parted from their marks too, and plain ones go to the model without both.
     """
 
     def __init__(self, path: str):
@@ -74,7 +78,6 @@ class WordIds:
         self.by_word = all(b"".join(map(self._encode, p.replace("\n", " ").split(" "))) == w for p, w in zip(PROBES, whole))
         self.bare = self._without_splitter()
         self.words = Recent(self._word if self.bare else self._encode, WORDS_KEPT)
-        self.parts = Recent(self._part, PARTS_KEPT)
 
     def _without_splitter(self):
         said = json.loads(self.tokenizer.to_str())
@@ -82,7 +85,8 @@ class WordIds:
         split, *rest = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         if normaliser != NORMALISER or split.get("pattern") != {"Regex": SPLITTER} or [x.get("type") for x in rest] != ["ByteLevel"]:
             return None
-        if not split.get("invert") or rest[0].get("use_regex") or rest[0].get("add_prefix_space"):
+        specials = self.tokenizer.get_added_tokens_decoder().values()
+        if any(not t.content.startswith(SPECIAL) or t.lstrip or t.rstrip for t in specials) or not split.get("invert") or rest[0].get("use_regex") or rest[0].get("add_prefix_space"):
             return None
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -94,14 +98,10 @@ class WordIds:
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _part(self, text: str) -> bytes:
-        return array("I", self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes() if text else b""
-
     def _word(self, word: str) -> bytes:
-        plain = PLAIN.fullmatch(word)
-        if not plain:
+        if not PLAIN.fullmatch(word):
             return self._encode(word)
-        return self.parts[plain[1].lower()] + self.parts[plain[2]]
+        return array("I", self.bare.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
 
     def texts(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column one after the other, and where each text's begin and the last one's end.
@@ -117,6 +117,10 @@ class WordIds:
             return np.frombuffer(b"".join(found), dtype="<u4"), ends
         for c in CUTS:
             texts = pc.replace_substring(texts, c, " ")
+        if self.bare:
+            parted = pc.replace_substring_regex(pc.ascii_lower(texts), CUT_HERE, r"\1 \2")
+            special = pc.match_substring(texts, SPECIAL)
+            texts = pc.if_else(special, texts, parted) if pc.any(special).as_py() else parted
         split = pc.split_pattern(texts, " ")
         numbered = split.flatten().dictionary_encode()
         found = [end, *map(self.words.__getitem__, numbered.dictionary.to_pylist())]
