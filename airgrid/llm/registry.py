@@ -43,7 +43,8 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Starts, counts and checksums of all documents' ids, read back from ORC files."""
     path = f"{shared_folder(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
     token_files.write_ids(table(spark, folder, "documents"), path, vocabulary("word_bpe_49k.json"))
-    return token_files.checksums(token_files.with_starts(token_files.read_ids(spark, path)))
+    files = token_files.read_ids(spark, path)
+    return token_files.with_starts(token_files.checksums(files), files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:

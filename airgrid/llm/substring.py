@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm.common import arrow_map, written
-from airgrid.llm.recompression import ROUNDS, Words, anchors
+from airgrid.llm.recompression import BASE, BASE_2, INVERSE, INVERSE_2, ROUNDS, Words, anchors, mix
 
 WINDOW = 13
 #: Words that are parsed at once; a longer document is parsed in parts that overlap by a window less one word.
 PART_WORDS = 250_000
 NO_ID = -(1 << 63)
+#: Kinds of rows that documents send to buckets of symbols.
+ANCHOR, TOLD, WHOLE, TOLD_COPY = range(4)
+#: Buckets have about so many anchors, texts one for about so many characters; results do not depend on either.
+BUCKET_ANCHORS = 1_000_000
+CHARS_AN_ANCHOR = 25
+LEAST_BUCKETS = 256
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -59,21 +65,97 @@ def _anchored(hashes: list[np.ndarray], size: int, rounds: int) -> Iterator[tupl
         yield owner[part], first[part] + at - words.starts[part], key, words.stretch(at, at + size)
 
 
-def _occurrences(docs: DataFrame, size: int, rounds: int) -> DataFrame:
-    """(key, doc_id): the symbols that anchor the windows of each document, neighbours that repeat left out."""
+def _rows(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Entries as one row a bucket: kind, bucket and the packed bytes of each column."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.append(np.flatnonzero(_starts(bucket)), len(bucket)).tolist()
+    return [(kind, int(bucket[x]), *[_pack(c[order[x:y]]) for c in columns]) for x, y in zip(cuts, cuts[1:])]
+
+
+def _pack(column: np.ndarray) -> bytes:
+    """Bytes of 64-bit numbers, all first ones, then all second ones: equal high bytes compress in the shuffle."""
+    return column.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(packed: list[bytes]) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(p, dtype=np.uint8).reshape(8, -1).T).view("<i8")[:, 0] for p in packed if p]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted entries differ from the one before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _sorted_groups(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries sorted by keys and document, where groups of equal keys begin, and each entry's group."""
+    order = np.lexsort((doc, *keys[::-1]))
+    keys, doc = [k[order] for k in keys], doc[order]
+    new = _starts(*keys)
+    return (doc, *keys, np.flatnonzero(new), np.cumsum(new) - 1)
+
+
+def _asked_by(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFrame:
+    """What the documents of a step ask: rows (kind, bucket, keys, other, docs) of packed entries.
+
+    ANCHOR: a symbol that one document of the step has, and that document. A symbol that several have is shared in any
+    case: it is sent once without a document, and its documents are told at once (TOLD). WHOLE: two hashes of all words
+    of a document and its id; of copies in the step the smallest id is sent, the others are told (TOLD_COPY). So a
+    symbol or a text that a third of all documents have sends its bucket one entry a step.
+    """
+
+    def bucket_of(key: np.ndarray) -> np.ndarray:
+        return (key % np.uint64(buckets)).astype(np.int64)
 
     def step(c: dict) -> dict:
         ids = c["doc_id"].to_numpy(zero_copy_only=False)
-        keys, owners = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-        for doc, _, key, _ in _anchored([_hashes(t.encode().split()) for t in c["text"].to_pylist()], size, rounds):
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            keys.append(key[new])
-            owners.append(ids[doc[new]])
-        return {"key": pa.array(np.concatenate(keys).view(np.int64)), "doc_id": pa.array(np.concatenate(owners))}
-
-    known = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    return arrow_map(known, "key bigint, doc_id bigint", step, "text")
+        hashes = [_hashes(t.encode().split()) for t in c["text"].to_pylist()]
+        found = [(ids[doc[new]], key[new]) for doc, _, key, _ in _anchored(hashes, size, rounds) for new in (_starts(key, doc),)]
+        if not found:
+            return {n: [] for n in ("kind", "bucket", "keys", "other", "docs")}
+        doc, key = (np.concatenate(x) for x in zip(*found))
+        doc, key, first, group = _sorted_groups(doc, key)
+        once = _starts(key, doc)
+        lone = (np.bincount(group[once]) == 1)[group]
+        sent = np.concatenate([key[once & lone], key[first[~lone[first]]]])
+        sender = np.concatenate([doc[once & lone], np.full(int((~lone[first]).sum()), NO_ID)])
+        out = [(k, b, x, b"", d) for k, b, x, d in _rows(ANCHOR, bucket_of(sent), sent.view(np.int64), sender)]
+        told = once & ~lone
+        here = np.full(len(key), int(bucket_of(key[:1])[0]))
+        out += [(k, b, x, b"", d) for k, b, x, d in _rows(TOLD, here[told], key[told].view(np.int64), doc[told])]
+        long = [i for i, h in enumerate(hashes) if len(h) >= size]
+        whole = Words(np.concatenate([hashes[i] for i in long]), np.cumsum([0] + [len(hashes[i]) for i in long]))
+        one, two = (whole.stretch(whole.starts[:-1], whole.starts[1:], *b) for b in ((BASE, INVERSE), (BASE_2, INVERSE_2)))
+        doc, one, two, first, group = _sorted_groups(ids[long], one, two)
+        out += _rows(WHOLE, bucket_of(one[first]), one[first].view(np.int64), two[first].view(np.int64), doc[first])
+        later = doc[doc > doc[first][group]]
+        out += [(k, b, b"", b"", d) for k, b, d in _rows(TOLD_COPY, here[:1].repeat(len(later)), later)]
+        return dict(zip(("kind", "bucket", "keys", "other", "docs"), zip(*out)))
+
+    known = docs.filter("doc_id is not null").select("doc_id", "text")
+    return arrow_map(known, "kind int, bucket int, keys binary, other binary, docs binary", step, "text")
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """(doc_id, key, copy) for a bucket: symbols of a document that another has too, and documents that copy an earlier one."""
+    kind = t.column("kind").to_pylist()
+
+    def entries(which: int, name: str) -> np.ndarray:
+        return _unpack([p for k, p in zip(kind, t.column(name).to_pylist()) if k == which])
+
+    doc, key, first, group = _sorted_groups(entries(ANCHOR, "docs"), entries(ANCHOR, "keys"))
+    several = np.bincount(group, minlength=len(first)) > 1
+    several |= np.bincount(group[doc == NO_ID], minlength=len(first)) > 0
+    shared = several[group] & (doc != NO_ID)
+    owner, _, _, begin, whole = _sorted_groups(entries(WHOLE, "docs"), entries(WHOLE, "keys"), entries(WHOLE, "other"))
+    copies = np.concatenate([owner[owner > owner[begin][whole]], entries(TOLD_COPY, "docs")])
+    docs = np.concatenate([doc[shared], entries(TOLD, "docs"), copies])
+    keys = np.concatenate([key[shared], entries(TOLD, "keys"), np.zeros(len(copies), dtype=np.int64)])
+    return pa.table({"doc_id": docs, "key": keys, "copy": np.arange(len(docs)) >= len(docs) - len(copies)})
 
 
 def _candidates(docs: DataFrame, size: int, rounds: int) -> DataFrame:
@@ -96,8 +178,6 @@ def _candidates(docs: DataFrame, size: int, rounds: int) -> DataFrame:
 
 
 def _by_doc(doc: np.ndarray) -> np.ndarray:
-    from airgrid.llm.recompression import mix
-
     return mix(doc.astype(np.uint64) + np.uint64(1))
 
 
@@ -108,20 +188,26 @@ def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def repeated_windows(keyed: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(k, gone): hashes of the windows of document k that a smaller doc_id starts too; `keyed` has k, doc_id, text.
+    """(k, gone, copy) of documents that lose words; `keyed` has k, doc_id, text.
+
+    gone: hashes of the windows that a smaller doc_id starts too. copy: a smaller doc_id has just the same words (the
+    symbol of the whole document is shared), so that all of them go and its windows need no look.
 
     Recompression names runs and pairs by a hash of what they stand for, the same in every task, so naming needs no
-    exchange. Symbols that two documents share (one small row per symbol, not per window) choose the windows that are
-    then compared by symbol and own hash together.
+    exchange. Symbols that two documents share choose the windows that are then compared by symbol and own hash
+    together. A hot symbol reaches its bucket once a step; the join by window is Spark's to split.
     """
-    found, _ = written(_occurrences(keyed, size, rounds), "anchors")
-    lists = found.join(_shared(found, ["key"]).select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    lists = lists.withColumnRenamed("doc_id", "k")
-    asked = keyed.join(lists, "k", "left").filter(F.size(F.coalesce("keys", F.array().cast("array<bigint>"))) > 0)
+    chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, chars // (CHARS_AN_ANCHOR * BUCKET_ANCHORS))
+    answers = _asked_by(keyed, buckets, size, rounds).groupBy("bucket").applyInArrow(_answer, "doc_id bigint, key bigint, copy boolean")
+    lists = answers.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("copy"), F.col("key"))).alias("keys"), F.max("copy").alias("copy"))
+    lists, _ = written(lists.select(F.col("doc_id").alias("k"), F.when(~F.col("copy"), F.col("keys")).alias("keys"), "copy"), "shared")
+    asked = keyed.join(lists.select("k", "keys"), "k", "left").filter(F.size(F.coalesce("keys", F.array().cast("array<bigint>"))) > 0)
     windows = _candidates(asked, size, rounds)
     first = _shared(windows, ["key", "own"])
     gone = windows.join(first, ["key", "own"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("own").alias("gone"))
-    return gone.withColumnRenamed("doc_id", "k")
+    gone = gone.select(F.col("doc_id").alias("k"), "gone", F.lit(False).alias("copy"))
+    return gone.unionByName(lists.filter("copy").select("k", F.lit(None).cast("array<bigint>").alias("gone"), "copy"))
 
 
 def _covered(words: list[bytes], gone: np.ndarray, size: int) -> np.ndarray:
@@ -152,10 +238,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     def step(c: dict) -> dict:
         total, removed, kept = [], [], []
-        for t, g, k in zip(c["text"].to_pylist(), c["gone"], c["doc_id"]):
+        for t, g, copy, k in zip(c["text"].to_pylist(), c["gone"], c["copy"].to_pylist(), c["doc_id"]):
             words = t.encode().split()
             total.append(len(words))
-            if g.is_valid and k.is_valid:
+            if copy and k.is_valid and len(words) >= size:
+                words = []
+            elif g.is_valid and k.is_valid:
                 left = np.flatnonzero(~_covered(words, g.values.to_numpy(zero_copy_only=False).view(np.uint64), size))
                 words = [words[i] for i in left.tolist()]
             removed.append(total[-1] - len(words))

@@ -57,21 +57,24 @@ def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin([int(i) for i in doc_ids]))
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Add start: ids of all documents before the row's. Sums per file are few rows and alone are ordered in one task."""
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    base = files.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    return rows.join(base, "part").select("*", (F.col("base") + F.col("before")).alias("start")).drop("base")
-
-
 def checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids read back, as unsigned little-endian 32-bit numbers."""
+    """part, doc_id, before, n_tokens and the CRC-32 of the ids read back, as unsigned little-endian 32-bit numbers."""
 
     def step(c: dict) -> dict:
         ids = c["ids"]
         data = memoryview(np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
         at = 4 * np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)]))
         crc = [zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])]
-        return {"doc_id": c["doc_id"], "start": c["start"], "n_tokens": pa.array(np.diff(at) // 4), "ids_crc32": crc}
+        return {"part": c["part"], "doc_id": c["doc_id"], "before": c["before"], "n_tokens": pa.array(np.diff(at) // 4), "ids_crc32": crc}
+
+    return arrow_map(rows.select("part", "doc_id", "before", "ids"), "part int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint", step)
 
-    return arrow_map(rows.select("doc_id", "start", "ids"), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", step)
+
+def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Add start, the ids of all documents before a row's, from part and before; `files` are the rows as read.
+
+    Sums per file are few and alone are ordered in one task; join them to narrow rows, not to the ids themselves.
+    """
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
+    return rows.join(base, "part").withColumn("start", F.col("base") + F.col("before")).drop("base")
