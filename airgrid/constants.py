@@ -31,6 +31,9 @@ AOD_BANDS = [
 # fixed values: bands summarised per grid and day
 SUMMARY_BANDS = ["Optical_Depth_047", "Optical_Depth_055", "AOD_Uncertainty", "Column_WV"]
 
+# bands that clouds make unusable
+DEPTH_BANDS = ["Optical_Depth_047", "Optical_Depth_055"]
+
 # fixed values: quality-word fields as (name, first character counted from 0, length)
 QA_FIELDS = [
     ("AOD_QA_Cloud_Mask", 0, 3),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, FMRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression,
     RandomForestRegressor,
@@ -94,13 +93,18 @@ def fit_stacking(train: DataFrame, bases: dict[str, Estimator], meta: Estimator
 def fit_per_location(train: DataFrame, test: DataFrame, estimator: Estimator, location: str = "location") -> DataFrame:
     """One model per location of the training rows, predictions of its test rows stacked.
 
-    Locations are the cities of the study, a handful.
+    Test rows of a location without training rows come back with a NULL prediction. Locations are
+    the cities of the study, a handful.
     """
-    out = None
-    for row in train.select(location).distinct().orderBy(location).toLocalIterator():
-        here = F.col(location).eqNullSafe(row[0])
+    known = [row[0] for row in train.select(location).distinct().orderBy(location).toLocalIterator()]
+    seen = F.lit(False)
+    for place in known:
+        seen = seen | F.col(location).eqNullSafe(place)
+    out = test.where(~seen).withColumn("prediction", F.lit(None).cast("double"))
+    for place in known:
+        here = F.col(location).eqNullSafe(place)
         predicted = estimator.fit(train.where(here)).transform(test.where(here))
-        out = predicted if out is None else out.unionByName(predicted)
+        out = out.unionByName(predicted, allowMissingColumns=True)
     return out
 
 
@@ -130,7 +134,9 @@ def impute_column(df: DataFrame, column: str, keys: list[str], date: str, drop:
                   learner: str = "gradient_boosted", cross_validated: bool = False, search=None) -> DataFrame:
     """Predict the missing values of one column: keys and `<column>_imputed`, missing rows only.
 
-    The features are fitted on the training part of the time split, the model likewise.
+    The features are fitted on the training part of the time split, the model likewise. Gaps in
+    numeric features become the training mean; a feature without any training value is left out.
+    `search(rows, model)` picks among settings by the folds and returns the fitted winner.
     """
     known, unknown = df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull())
     _, numeric, text = feature_columns(df, [*keys, date, *drop], column)
@@ -138,13 +144,13 @@ def impute_column(df: DataFrame, column: str, keys: list[str], date: str, drop:
     # read by every stage of the pipeline and by the learner
     folded = settle(time_split(known, date, cut, alias="foldNumber"))
     train = folded.where(F.col("foldNumber") % 2 == 0)
-    prepared = feature_pipeline(numeric, text).fit(train)
-    # trees cannot read NaN: assembled gaps become 0 after scaling
-    model = regressor(learner, column, "_filled")
-    fill = F.transform(vector_to_array("features"), lambda v: F.when(F.isnan(v), 0.0).otherwise(v))
+    held = train.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in numeric]).first() if numeric else {}
+    numeric = [c for c in numeric if held[c]]
+    prepared = feature_pipeline(numeric, text, impute=True).fit(train)
+    model = regressor(learner, column)
 
     def ready(frame):
-        return prepared.transform(frame).withColumn("_filled", array_to_vector(fill))
+        return prepared.transform(frame)
 
     fitted = search(ready(folded), model) if search else model.fit(ready(train))
     return fitted.transform(ready(unknown)).select(*keys, F.col("prediction").alias(column + "_imputed"))

@@ -12,9 +12,17 @@ from airgrid.constants import MISSING_TEXT
 
 
 def feature_pipeline(numeric: list[str], text: list[str] = (), max_categories: int = 4,
-                     buckets: int | None = None, scale: bool = True) -> Pipeline:
-    """Index texts, optionally bucket numbers, assemble, index small categories, scale by deviation."""
+                     buckets: int | None = None, scale: bool = True, impute: bool = False) -> Pipeline:
+    """Index texts, optionally fill or bucket numbers, assemble, index small categories, scale by deviation.
+
+    With `impute` gaps in numbers become the mean of the rows it is fitted on. Without it they
+    stay NaN, and scaling turns a column with a gap into NaN on every row.
+    """
     stages, inputs = [], []
+    if impute and numeric:
+        full = [c + "_full" for c in numeric]
+        stages.append(Imputer(strategy="mean", inputCols=list(numeric), outputCols=full))
+        numeric = full
     if text:
         coded = [c + "_code" for c in text]
         stages.append(StringIndexer(inputCols=list(text), outputCols=coded, handleInvalid="keep"))

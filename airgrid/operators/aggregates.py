@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,18 +136,27 @@ def expand_predictions(df: DataFrame, keys: list[str], order: list[str], predict
 
 
 def correlations(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """Correlation of each pair of columns as (var1, var2, r)."""
+    """Correlation of each pair of columns as (var1, var2, r), over the rows where both have a value.
+
+    Spearman's is that of mean ranks, which are placed pair by pair.
+    """
     pairs = list(combinations(columns, 2))
     if method == "pearson":
         one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         entries = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"r{i}").alias("r"))
                    for i, (a, b) in enumerate(pairs)]
         return one.select(F.inline(F.array(*entries)))
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df).select("_v")
-    matrix = Correlation.corr(vectors, "_v", method).first()[0].toArray()
-    place = {c: i for i, c in enumerate(columns)}
-    return df.sparkSession.createDataFrame(
-        [(a, b, float(matrix[place[a], place[b]])) for a, b in pairs], "var1 string, var2 string, r double")
+    if method != "spearman":
+        raise ValueError(f"unknown method {method}")
+    out = None
+    for a, b in pairs:
+        ranked = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).na.drop()
+        for c in ("_a", "_b"):
+            places = value_positions(ranked, [], c).select(c, (F.col("rows_before") + (F.col("n") + 1) / 2).alias(f"_rank{c}"))
+            ranked = attach(ranked, places, [c])
+        one = ranked.agg(F.corr("_rank_a", "_rank_b").alias("r")).select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), "r")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

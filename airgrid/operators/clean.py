@@ -71,7 +71,7 @@ def drop_slots(df: DataFrame, templates: list[str], slots=tuple(SLOTS), placehol
 
 
 def slot_columns(df: DataFrame, slot: str) -> list[str]:
-    return [c for c in df.columns if slot in c]
+    return [c for c in df.columns if c.endswith(slot)]
 
 
 def feature_columns(df: DataFrame, drop: list[str] = (), label: str | None = None) -> tuple[list, list, list]:

@@ -47,6 +47,8 @@ def with_band(df: DataFrame, order: str, band: Column | None = None, prefix: int
             bands = max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
             cuts = df.approxQuantile(order, [i / bands for i in range(1, bands)], 1 / (2 * bands))
             splits = sorted({c for c in cuts if abs(c) < float("inf")})
+            if not splits:  # no rows, or none with a finite value
+                return df.withColumn(_BAND, F.lit(0.0))
             bucketizer = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_number",
                                     outputCol="_bucket", handleInvalid="keep")
             placed = bucketizer.transform(df.withColumn("_number", F.col(order).cast("double")))
@@ -127,7 +129,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], column: str, shares: dict[
             place = F.lit(float(share)) * (F.col("rows_total") - 1)
             low, high = at(F.floor(place)), at(F.ceil(place))
             rest = F.max(place - F.floor(place))
-            columns.append((low + (high - low) * rest).alias(alias))
+            between = low + (high - low) * rest
+            columns.append(F.when(low == high, low).otherwise(between).alias(alias))
         else:
             place = F.greatest(F.ceil(F.lit(float(share)) * F.col("rows_total")) - 1, F.lit(0))
             columns.append(at(place).alias(alias))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.constants import GFS_VARIABLES, MISR_VARIABLES, SLOTS, SUMMARY_BANDS
+from airgrid.constants import DEPTH_BANDS, GFS_VARIABLES, MISR_VARIABLES, QA_FIELDS, SLOTS, SUMMARY_BANDS
 from airgrid.functions.geo import planar_distance, polygon_bounds, polygon_centroid
 from airgrid.functions.quality import quality_fields
 from airgrid.operators.aggregates import (
@@ -56,24 +56,39 @@ def nearest_forecasts(labels: DataFrame, forecasts: DataFrame, grids: DataFrame,
         "centroid", "distance", "distance_rank", "latitude", "longitude")
 
 
-def clear_cells(cells: DataFrame, bands: list[str] = SUMMARY_BANDS, keep: int = 1) -> DataFrame:
-    """Quality fields added; bands missing where the cloud mask is not `keep`."""
+def distinct_cells(cells: DataFrame, keys: list[str], bands: list[str] = SUMMARY_BANDS) -> DataFrame:
+    """One row per grid, cell and `keys`: repeated rows count once, the readings left are averaged.
+
+    The quality word is averaged too and cut to a whole number.
+    """
+    by = ["grid_id", "lon", "lat", *keys]
+    once = cells.drop("index").distinct()
+    return once.groupBy(*by).agg(*[F.avg(b).alias(b) for b in bands], F.avg("AOD_QA").cast("int").alias("AOD_QA"))
+
+
+def clear_cells(cells: DataFrame, keep: int = 1) -> DataFrame:
+    """Quality fields added; optical depths missing where the cloud mask is not `keep`."""
     fields = quality_fields(F.col("AOD_QA"))
-    return mask_bands(cells.select("*", *fields), bands, F.col("AOD_QA_Cloud_Mask") == keep)
+    return mask_bands(cells.select("*", *fields), DEPTH_BANDS, F.col("AOD_QA_Cloud_Mask") == keep)
+
+
+def summarised(cells: DataFrame, keys: list[str], bands: list[str] = SUMMARY_BANDS) -> DataFrame:
+    """min_, max_ and median_ of the bands and of the eight quality fields of clear cells."""
+    return band_min_max_median(clear_cells(cells), keys, [*bands, *[name for name, _, _ in QA_FIELDS]])
 
 
 def date_validated_table(labels: DataFrame, forecasts: DataFrame, cells: DataFrame, elevation: DataFrame,
                          grids: DataFrame, bands: list[str] = SUMMARY_BANDS) -> DataFrame:
     """One row per label: aerosol min, max, median, the forecast that follows the label, elevation."""
     ahead = nearest_forecasts(labels, forecasts, grids)
-    summary = band_min_max_median(clear_cells(cells, bands), ["grid_id", "datetime"], bands)
+    summary = summarised(distinct_cells(cells, ["datetime"], bands), ["grid_id", "datetime"], bands)
     return dimension_join(equi_join(summary, ahead, ["grid_id", "datetime"], "right"), elevation, ["grid_id"])
 
 
 def cell_table(labels: DataFrame, forecasts: DataFrame, cells: DataFrame, elevation: DataFrame, grids: DataFrame,
                nearest: int = 20, bands: list[str] = SUMMARY_BANDS) -> DataFrame:
     """One row per label and each of the cells nearest to the grid's centre."""
-    placed = dimension_join(clear_cells(cells, bands), with_centroid(grids), ["grid_id"]).withColumn(
+    placed = dimension_join(clear_cells(distinct_cells(cells, ["datetime"], bands)), with_centroid(grids), ["grid_id"]).withColumn(
         "AOD_distance_to_grid_center", centre_distance("lon", "lat"))
     near = nearest_rank(placed, ["grid_id", "datetime"], "AOD_distance_to_grid_center", nearest, "AOD_distance_rank") \
         .select("grid_id", "datetime", *bands, "AOD_distance_to_grid_center", "AOD_distance_rank")
@@ -84,12 +99,17 @@ def cell_table(labels: DataFrame, forecasts: DataFrame, cells: DataFrame, elevat
 
 def submission_table(submission: DataFrame, forecasts: DataFrame, readings: DataFrame, elevation: DataFrame,
                      grids: DataFrame, bands: list[str] = SUMMARY_BANDS, reading_time: str = "aod_reading_end") -> DataFrame:
-    """The validated table for rows to predict: cells read within a day either way."""
-    asked = submission.select("grid_id", "datetime").distinct()
-    ahead = nearest_forecasts(asked, forecasts, grids)
-    around = interval_join(asked, clear_cells(readings, bands).select("grid_id", reading_time, *bands), ["grid_id"],
-                           "datetime", reading_time, back=1, ahead=1, mode="calendar", how="inner")
-    summary = band_min_max_median(around, ["grid_id", "datetime"], bands)
+    """The validated table for rows to predict: cells read within a day either way.
+
+    The days around depend on the day asked for alone, so cells are summed up once per grid and day.
+    """
+    asked = submission.select("grid_id", "datetime").distinct().withColumn("label_day", F.date_trunc("day", "datetime"))
+    ahead = nearest_forecasts(asked.drop("label_day"), forecasts, grids)
+    days = asked.select("grid_id", "label_day").distinct()
+    read = readings.drop("index").distinct().select("grid_id", reading_time, "lon", "lat", *bands, "AOD_QA")
+    around = interval_join(days, read, ["grid_id"], "label_day", reading_time, back=1, ahead=1, mode="calendar", how="inner")
+    cells = around.groupBy("grid_id", "lon", "lat", "label_day").agg(*[F.avg(b).alias(b) for b in bands], F.avg("AOD_QA").cast("int").alias("AOD_QA"))
+    summary = equi_join(asked, summarised(cells, ["grid_id", "label_day"], bands), ["grid_id", "label_day"], "inner").drop("label_day")
     return dimension_join(equi_join(summary, ahead, ["grid_id", "datetime"], "right"), elevation, ["grid_id"])
 
 

@@ -20,13 +20,15 @@ from airgrid.operators.splits import named_split, time_split
 from airgrid.operators.windows import day_difference_lags, trailing_means
 
 STATION_KEYS = ["location", "parameter", "country", "city", "latitude", "longitude"]
+# the coordinate alone, as in the original job: stations at one place then share a series and tie by day
 SERIES_KEYS = ["city", "latitude", "longitude"]
 
 
-def station_series(records: DataFrame, keys: list[str] = STATION_KEYS, series: list[str] = SERIES_KEYS) -> DataFrame:
+def station_series(records: DataFrame, keys: list[str] = STATION_KEYS, series: list[str] = STATION_KEYS) -> DataFrame:
     """Daily station labels with lags of the value and of its daily change.
 
-    One row per station and day after the daily mean, so a series is as long as the calendar.
+    One row per station and day after the daily mean, so a series is as long as the calendar and
+    its days are unique. `SERIES_KEYS` lags by place instead.
     """
     coded = valid_labels(records).withColumn("city", city_code(F.col("city")))
     return day_difference_lags(station_days(coded, keys), series, "date_utc")

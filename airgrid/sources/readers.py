@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from io import BytesIO
+from urllib.parse import quote
+
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyarrow.lib import ArrowException
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from airgrid.session import settle
+
 
 def parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -27,20 +32,42 @@ def labels_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return csv(spark, path, schema, sep="|")
 
 
+_UNREADABLE = (OSError, ValueError, TypeError, ArrowException, PySparkException)
+
+
+def _open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and name of a path as Spark lists it, in which nothing is escaped."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return pafs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+
+
 def _footers(batches):
-    """Column text of each file's footer; NULL when the file cannot be read."""
+    """Column text of each file's footer; NULL where the store or the file cannot be opened."""
     for batch in batches:
         texts = []
         for path in batch["path"]:
             try:
-                filesystem, name = pafs.FileSystem.from_uri(path)
-                found = from_arrow_schema(pq.read_schema(name, filesystem=filesystem))
-                texts.append(_column_text(found))
-            except (OSError, ValueError, TypeError, ArrowException, PySparkException):
+                filesystem, name = _open_store(path)
+                texts.append(_column_text(from_arrow_schema(pq.read_schema(name, filesystem=filesystem))))
+            except _UNREADABLE:
                 texts.append(None)
         yield batch.assign(columns=texts)
 
 
+def _footers_of_contents(batches):
+    """Column text of each file, from the bytes that Spark read; NULL where they are no parquet file."""
+    for batch in batches:
+        texts = []
+        for content in batch["content"]:
+            try:
+                texts.append(_column_text(from_arrow_schema(pq.read_schema(BytesIO(content)))))
+            except _UNREADABLE:
+                texts.append(None)
+        yield batch[["path", "length"]].assign(columns=texts)
+
+
 def _column_text(schema: T.StructType) -> str:
     # times with and without zone read into the same column
     plain = sorted(f"{f.name} {f.dataType.simpleString().replace('_ntz', '')}" for f in schema.fields)
@@ -48,29 +75,44 @@ def _column_text(schema: T.StructType) -> str:
 
 
 def directory_files(spark: SparkSession, directory: str, schema: T.StructType) -> DataFrame:
-    """Every parquet file below the directory: path, size, its columns, and whether it fits.
+    """Every parquet file below the directory: path, size, its columns, and whether it can be read and fits.
 
-    Spark lists the files and each task reads the footers of its share. A file fits when its
-    column names and types are those of the schema, in any order.
+    Spark lists the files and each task reads the footers of its share. Files that the task's own
+    client cannot open (a store that only Spark reaches) are read through Spark instead, whole.
+    A file fits when its column names and types are those of the schema, in any order; `readable`
+    tells a file that does not fit from one that is no parquet file.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet") \
-        .option("recursiveFileLookup", True).load(directory).select("path", "length")
-    return listed.mapInPandas(_footers, "path string, length long, columns string") \
+    out = "path string, length long, columns string"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(directory)
+    seen = settle(files.select("path", "length").mapInPandas(_footers, out))
+    opened, other = seen.where(F.col("columns").isNotNull()), seen.where(F.col("columns").isNull())
+    if not other.isEmpty():
+        through_spark = files.join(other.select("path"), "path", "left_semi").select("path", "length", "content")
+        opened = opened.unionByName(through_spark.mapInPandas(_footers_of_contents, out))
+    return opened.withColumn("readable", F.col("columns").isNotNull()) \
         .withColumn("fits", F.coalesce(F.col("columns") == _column_text(schema), F.lit(False)))
 
 
 def directory_table(spark: SparkSession, directory: str, schema: T.StructType,
                     drop: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """One table of the files that fit the schema, and the list of files left out.
+    """One table of the files that fit the schema, and the list of files left out with what they hold.
 
-    Only file names come to the driver, as for any scan.
+    Names of the files come to the driver, which lists them for the scan anyway. An error is
+    raised if there are files but none can be read: an empty table would hide that.
     """
-    files = directory_files(spark, directory, schema)
-    paths = [row["path"] for row in files.where("fits").select("path").toLocalIterator()]
+    files = settle(directory_files(spark, directory, schema))
+    paths = [_escaped(row["path"]) for row in files.where("fits").select("path").toLocalIterator()]
+    if not paths and not files.isEmpty() and files.where("readable").isEmpty():
+        raise OSError(f"no parquet file below {directory} can be read")
     table = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
     return table.drop(*drop), files.where(~F.col("fits")).drop("fits")
 
 
+def _escaped(path: str) -> str:
+    """A listed path as the scan takes it: characters that it would expand as a pattern are quoted."""
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
+
+
 def flatten_labels(df: DataFrame) -> DataFrame:
     """Nested station records to flat columns, without the unit."""
     moved = {"coordinates", "date", "unit"}

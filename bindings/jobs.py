@@ -4,7 +4,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from airgrid.constants import GFS_VARIABLES, SLOTS, SUMMARY_BANDS
+from airgrid.constants import DEPTH_BANDS, GFS_VARIABLES, SLOTS, SUMMARY_BANDS
 from airgrid.learning.models import impute_chain, regressor
 from airgrid.operators.aggregates import band_min_max_median
 from airgrid.operators.sets import stack
@@ -48,13 +48,17 @@ def _forecasts(keys, labels):
                              slots=slot_sql(_ALL, day)).replace("{{", "{").replace("}}", "}")
 
 
-_MASKED = "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {_CLOUD} = 1 THEN {b} END AS {b}" for b in SUMMARY_BANDS) + ") FROM "
+_MASKED = ("SELECT * REPLACE (" + ", ".join(f"CASE WHEN {_CLOUD} = 1 THEN {b} END AS {b}" for b in DEPTH_BANDS) + "), "
+           + ", ".join(f"(AOD_QA // {2 ** (16 - s - n)}) % {2 ** n} AS {f}" for f, s, n in _FIELDS) + " FROM ")
+_AVERAGED = ", ".join(f"avg({b}) AS {b}" for b in SUMMARY_BANDS) + ", CAST(trunc(avg(AOD_QA)) AS INT) AS AOD_QA"
+_CELLS = f"(SELECT grid_id, lon, lat, datetime, {_AVERAGED} FROM (SELECT DISTINCT * FROM {{label_cells}}) GROUP BY 1, 2, 3, 4)"
 _MEDIANS = ", ".join(f"min({b}) AS min_{b}, max({b}) AS max_{b}, quantile_disc({b}, 0.5) AS median_{b}" for b in SUMMARY_BANDS)
+_ALL_MEDIANS = ", ".join(f"min({b}) AS min_{b}, max({b}) AS max_{b}, quantile_disc({b}, 0.5) AS median_{b}" for b in [*SUMMARY_BANDS, *[f for f, _, _ in _FIELDS]])
 
 
 @query("job_date_validated_table", f"""
        WITH {_forecasts(['label_id', 'grid_id', 'datetime', 'value'], '{labels_grid}')},
-       s AS (SELECT grid_id, datetime, {_MEDIANS} FROM ({_MASKED} {{label_cells}}) GROUP BY 1, 2)
+       s AS (SELECT grid_id, datetime, {_ALL_MEDIANS} FROM ({_MASKED} {_CELLS}) GROUP BY 1, 2)
        SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM s RIGHT JOIN nf USING (grid_id, datetime) LEFT JOIN {{elevation}} USING (grid_id)""")
 def _(t):
     return G.date_validated_table(t.labels_grid.select("label_id", "grid_id", "datetime", "value"), t.gfs, t.label_cells,
@@ -64,7 +68,7 @@ def _(t):
 @query("job_cell_table", f"""
        WITH {_forecasts(['grid_id', 'datetime'], '(SELECT DISTINCT grid_id, datetime FROM {labels_grid})')},
        c AS (SELECT m.*, round(sqrt((clon - lon) * (clon - lon) + (clat - lat) * (clat - lat)), 9) AS distance
-             FROM ({_MASKED} {{label_cells}}) m LEFT JOIN {CENTROIDS} ce USING (grid_id)),
+             FROM ({_MASKED} {_CELLS}) m LEFT JOIN {CENTROIDS} ce USING (grid_id)),
        d AS (SELECT grid_id, datetime, {', '.join(SUMMARY_BANDS)}, {r6('distance')} AS AOD_distance_to_grid_center,
                     dense_rank() OVER (PARTITION BY grid_id, datetime ORDER BY distance) AS AOD_distance_rank FROM c)
        SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM (SELECT label_id, grid_id, datetime, value FROM {{labels_grid}})
@@ -78,9 +82,10 @@ def _(t):
 @query("job_submission_table", f"""
        WITH asked AS (SELECT DISTINCT grid_id, datetime FROM {{labels_grid}}),
        {_forecasts(['grid_id', 'datetime'], 'asked')},
-       s AS (SELECT q.grid_id, q.datetime, {_MEDIANS} FROM asked q JOIN ({_MASKED} {{aod_cells}}) c ON q.grid_id = c.grid_id
-              AND c.aod_reading_end >= date_trunc('day', q.datetime) - INTERVAL '1' DAY
-              AND c.aod_reading_end <= date_trunc('day', q.datetime) + INTERVAL '1' DAY GROUP BY 1, 2)
+       w AS (SELECT q.grid_id, lon, lat, datetime, {_AVERAGED} FROM asked q JOIN (SELECT DISTINCT * EXCLUDE (index) FROM {{aod_cells}}) c
+              ON q.grid_id = c.grid_id AND c.aod_reading_end >= date_trunc('day', q.datetime) - INTERVAL '1' DAY
+              AND c.aod_reading_end <= date_trunc('day', q.datetime) + INTERVAL '1' DAY GROUP BY 1, 2, 3, 4),
+       s AS (SELECT grid_id, datetime, {_ALL_MEDIANS} FROM ({_MASKED} w) GROUP BY 1, 2)
        SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM s RIGHT JOIN nf USING (grid_id, datetime) LEFT JOIN {{elevation}} USING (grid_id)""")
 def _(t):
     return G.submission_table(t.labels_grid, t.gfs, t.aod_cells, t.elevation, t.grids)

@@ -3,6 +3,8 @@
 Fits have no SQL twin; what surrounds them has, and so has a line through one feature.
 """
 
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,15 +49,15 @@ def _search_table(t, maps, found):
 
 @query("ml_feature_vectors")
 def _(t):
-    train, valid, test = _parts(_split(t).na.drop())
-    _, frames = P.fit_features(train, [valid, test], P.feature_pipeline(_NUMERIC, ["priority"]))
+    train, valid, test = _parts(_split(t))
+    _, frames = P.fit_features(train, [valid, test], P.feature_pipeline(_NUMERIC, ["priority"], impute=True))
     out = frames[0].unionByName(frames[1]).unionByName(frames[2])
     return out.select("label_id", "Set", F.array_join(F.transform(vector_to_array("features"), lambda v: F.round(v, 6)), " ").alias("features"))
 
 
 @query("ml_quantile_buckets")
 def _(t):
-    train = t.training.na.drop()
+    train = t.training
     model = P.feature_pipeline(_NUMERIC, buckets=10, scale=False).fit(train)
     return model.transform(train).select("label_id", *[c + "_bucket" for c in _NUMERIC])
 
@@ -89,7 +91,9 @@ def _(t):
 
 @query("ml_pca")
 def _(t):
-    train, valid, test = _parts(VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(_split(t).na.drop()))
+    train, valid, test = _parts(_split(t))
+    train, valid, test = P.impute_means(train, [valid, test], ["x2"])
+    train, valid, test = [VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(x) for x in (train, valid, test)]
     frames, _ = P.project_pca(train, [valid, test], explained=0.9)
     out = frames[0].unionByName(frames[1]).unionByName(frames[2])
     return out.select("label_id", "Set", F.round(vector_to_array("pca")[0], 6).alias("first"))
@@ -133,7 +137,7 @@ def _(t):
 def _(t):
     ready = time_split(_folded(t), "date", named_split)
     train, _, test = _parts(ready)
-    train = train.persist()
+    train = settle(train)
     scored = None
     for name in M.REGRESSORS:
         fitted = M.regressor(name, "value").fit(train).transform(test)
@@ -207,7 +211,7 @@ def _(t):
     train, _, test = _parts(time_split(_folded(t).drop("foldNumber"), "date", named_split))
     folded = time_split(train, "date", lambda r: F.floor(F.least(r, F.lit(0.999)) * 3).cast("int"), "foldNumber")
     bases = {"tree": M.regressor("decision_tree", "value"), "line": M.regressor("linear", "value")}
-    return S.regression_metrics(M.fit_stacking(folded.persist(), bases).transform(test))
+    return S.regression_metrics(M.fit_stacking(folded, bases).transform(test))
 
 
 _LINE = "regr_intercept(value, x1) AS b0, regr_slope(value, x1) AS b1"
@@ -220,11 +224,12 @@ def _one_feature(label="value"):
 
 @query("ml_per_location", f"""
        WITH s AS (SELECT *, {_sets('CAST(date AS VARCHAR)')} AS part FROM {{training}}),
-       f AS (SELECT location, {_LINE} FROM s WHERE part = 'train' GROUP BY location)
-       SELECT label_id, location, {r6('b0 + b1 * x1', 4)} AS prediction FROM s JOIN f USING (location) WHERE part = 'test'""")
+       f AS (SELECT location, {_LINE} FROM s WHERE part = 'train' AND location <> (SELECT min(location) FROM s) GROUP BY location)
+       SELECT label_id, location, {r6('b0 + b1 * x1', 4)} AS prediction FROM s LEFT JOIN f USING (location) WHERE part = 'test'""")
 def _(t):
     train, _, test = _parts(_split(t))
-    out = M.fit_per_location(train, test, _one_feature())
+    unseen = t.training.agg(F.min("location").alias("location"))
+    out = M.fit_per_location(train.join(unseen, "location", "left_anti"), test, _one_feature())
     return rounded(out.select("label_id", "location", "prediction"), "prediction", digits=4)
 
 
@@ -269,7 +274,7 @@ def _(t):
        WITH f AS (SELECT {_LINE} FROM {{training}})
        SELECT label_id, {r6('b0 + b1 * x1', 4)} AS prediction FROM {{training}}, f""")
 def _(t):
-    path = shared_folder(t.spark) + "/airgrid-saved-line"
+    path = f"{shared_folder(t.spark)}/airgrid-line-{uuid.uuid4().hex}"
     M.save_model(_one_feature().fit(t.training), path)
     return rounded(M.load_pipeline(path).transform(t.training).select("label_id", "prediction"), "prediction", digits=4)
 
@@ -284,3 +289,17 @@ def _(t):
 def _(t):
     out = M.impute_column(t.training, "x2", ["label_id"], "date", ["value", "grid_id"], "linear", cross_validated=True)
     return out.select("label_id", F.round("x2_imputed", 4).alias("x2_imputed"))
+
+
+@query("ml_impute_line", f"""
+       WITH k AS (SELECT label_id, date, x2, CASE WHEN label_id % 5 > 0 THEN x1 END AS x1 FROM {{training}}),
+       r AS (SELECT *, percent_rank() OVER (ORDER BY date) AS r FROM k WHERE x2 IS NOT NULL),
+       t AS (SELECT * FROM r WHERE r < 0.12 OR (r >= 0.17 AND r < 0.28) OR (r >= 0.33 AND r < 0.45) OR (r >= 0.5 AND r < 0.62)
+                                OR (r >= 0.67 AND r < 0.78) OR (r >= 0.83 AND r < 0.95)),
+       m AS (SELECT avg(x1) AS m FROM t),
+       f AS (SELECT regr_intercept(x2, coalesce(x1, m)) AS b0, regr_slope(x2, coalesce(x1, m)) AS b1 FROM t, m)
+       SELECT label_id, {r6('b0 + b1 * coalesce(x1, m)', 4)} AS x2_imputed FROM k, f, m WHERE x2 IS NULL""")
+def _(t):
+    gaps = t.training.withColumn("x1", F.when(F.col("label_id") % 5 > 0, F.col("x1"))).select("label_id", "date", "x1", "x2")
+    out = M.impute_column(gaps, "x2", ["label_id"], "date", learner="linear", cross_validated=True)
+    return rounded(out, "x2_imputed", digits=4)

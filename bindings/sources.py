@@ -37,7 +37,7 @@ def _(t):
 @query("src_file_inventory")
 def _(t):
     return directory_files(t.spark, t.folder, _ORDERS).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length", "fits")
+        F.element_at(F.split("path", "/"), -1).alias("file"), "length", "readable", "fits")
 
 
 @query("src_parquet_scan", """
