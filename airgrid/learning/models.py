@@ -17,7 +17,7 @@ from airgrid.operators.clean import feature_columns
 from airgrid.operators.joins import equi_join
 from airgrid.functions.features import with_imputed
 from airgrid.operators.splits import six_folds, time_split, two_way
-from airgrid.session import settle
+from airgrid.session import discard, settle
 
 # learner name -> class and defaults
 REGRESSORS = {
@@ -86,8 +86,10 @@ def fit_stacking(train: DataFrame, bases: dict[str, Estimator], meta: Estimator
     assembler = VectorAssembler(inputCols=[f"_pred_{n}" for n in bases], outputCol="_stack")
     meta = meta or LinearRegression()
     meta = meta.copy({meta.featuresCol: "_stack", meta.labelCol: label})
-    return StackedModel({n: b.fit(train) for n, b in bases.items()}, assembler,
-                        meta.fit(assembler.transform(out_of_fold)))
+    stacked = StackedModel({n: b.fit(train) for n, b in bases.items()}, assembler,
+                           meta.fit(assembler.transform(out_of_fold)))
+    discard(train)
+    return stacked
 
 
 def fit_per_location(train: DataFrame, test: DataFrame, estimator: Estimator, location: str = "location") -> DataFrame:
@@ -153,6 +155,7 @@ def impute_column(df: DataFrame, column: str, keys: list[str], date: str, drop:
         return prepared.transform(frame)
 
     fitted = search(ready(folded), model) if search else model.fit(ready(train))
+    discard(folded)
     return fitted.transform(ready(unknown)).select(*keys, F.col("prediction").alias(column + "_imputed"))
 
 
@@ -161,12 +164,13 @@ def impute_chain(df: DataFrame, columns: list[str], keys: list[str], date: str,
     """Impute columns one after the other, each able to use the ones filled before it.
 
     Each round is written to the shared folder, so the plan does not grow and lost executors cost
-    no earlier round.
+    no earlier round; the round before is deleted then.
     """
     order = df.columns
     out = settle(df)
     for column in columns:
         imputed = impute_column(out, column, keys, date, [*drop, *siblings(column)], learner, **kwargs)
         joined = equi_join(out, imputed, keys, "left")
-        out = settle(joined.withColumn(column, with_imputed(column)).select(order))
+        before, out = out, settle(joined.withColumn(column, with_imputed(column)).select(order))
+        discard(before)
     return out

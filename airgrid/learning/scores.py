@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from airgrid.session import discard, settle
 from airgrid.constants import COMPARISON_RUNS, RUNTIME_FACTOR, SIGNIFICANCE
 from airgrid.learning.validate import time_cross_validate
 
@@ -45,12 +46,14 @@ def compare_models(df: DataFrame, candidates: dict, label: str, fold: str = "fol
     """Score {name: (estimator, maps)} by time folds; a row per model, worst first, and the results."""
     results, rows = {}, []
     judge = evaluator(label)
+    df = settle(df, (fold,))  # once for all, so that no runtime includes it
     for name, (estimator, maps) in candidates.items():
         begun = time.monotonic()
-        found = time_cross_validate(df, estimator, maps, judge, fold, parallelism)
+        found = time_cross_validate(df, estimator, maps, judge, fold, parallelism, settled=True)
         results[name] = found
         chosen = ", ".join(f"{p.name}={v}" for p, v in sorted(found.params.items(), key=lambda i: i[0].name))
         rows.append((name, found.score, found.deviation, time.monotonic() - begun, chosen))
+    discard(df)
     table = df.sparkSession.createDataFrame(
         rows, "model_name string, r2_score double, r2_std_dev double, runtime double, params string")
     return table.orderBy("r2_score"), results

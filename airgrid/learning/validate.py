@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.session import settle
+from airgrid.session import discard, settle
 
 
 def grid(choices: dict) -> list[dict]:
@@ -67,13 +67,15 @@ def _scores(estimator, maps, evaluator, train, valid, parallelism, penalised):
 
 
 def time_cross_validate(df: DataFrame, estimator: Estimator, maps: list[dict], evaluator: Evaluator,
-                        fold: str = "foldNumber", parallelism: int = 4, penalised: bool = False) -> SearchResult:
+                        fold: str = "foldNumber", parallelism: int = 4, penalised: bool = False,
+                        settled: bool = False) -> SearchResult:
     """Train on each even fold, validate on the one after it, refit the best parameters on all rows.
 
     `penalised` scores held_out - (train - held_out), which counts over-fitting against a model.
-    The table is computed once and stored by fold, so that each fold reads only its own files.
+    The table is computed once and stored by fold, so that each fold reads only its own files; a
+    caller that has `settled` it so keeps the files, else they are deleted at the end.
     """
-    df = settle(df, (fold,))
+    df = df if settled else settle(df, (fold,))
     pairs = fold_pairs(df, fold)
     if not pairs:
         raise ValueError("no even fold is followed by an odd one")
@@ -85,7 +87,10 @@ def time_cross_validate(df: DataFrame, estimator: Estimator, maps: list[dict], e
     means, spreads = [fmean(s) for s in per_map], [pstdev(s) for s in per_map]
     pick = max if evaluator.isLargerBetter() else min
     best = pick(range(len(maps)), key=means.__getitem__)
-    return SearchResult(estimator.fit(df, maps[best]), maps[best], means[best], spreads[best], means, spreads)
+    model = estimator.fit(df, maps[best])
+    if not settled:
+        discard(df)
+    return SearchResult(model, maps[best], means[best], spreads[best], means, spreads)
 
 
 def random_cross_validate(df: DataFrame, estimator: Estimator, maps: list[dict], evaluator: Evaluator,

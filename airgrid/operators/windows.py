@@ -56,12 +56,12 @@ def lag_rows(df: DataFrame, keys: list[str], order: str, columns: dict[str, tupl
 
 
 def lag_days(df: DataFrame, keys: list[str], date: str, column: str, days: dict[str, int]) -> DataFrame:
-    """Value exactly k days earlier (NULL when that day is missing); one row per key and day."""
-    out = df
-    for alias, k in days.items():
-        earlier = df.select(*keys, F.date_add(date, k).alias(date), F.col(column).alias(alias))
-        out = out.join(earlier, [*keys, date], "left")
-    return out.select(*df.columns, *days)
+    """Value exactly k days earlier (NULL when that day is missing); one row per key and day.
+
+    All lags share one shuffle and sort; a key has at most a row per day of the calendar.
+    """
+    by_day = Window.partitionBy(*keys).orderBy(F.unix_date(date))
+    return df.select("*", *[F.first(column).over(by_day.rangeBetween(-k, -k)).alias(alias) for alias, k in days.items()])
 
 
 def difference(df: DataFrame, keys: list[str], order: str, column: str, interval: int = 1,
@@ -169,8 +169,8 @@ CALENDAR = {
 def calendar_means(df: DataFrame, key: str, date: str, columns: list[str], settled: bool = True) -> DataFrame:
     """Add each column's mean over the same weekday, day, week, month and year of its key.
 
-    One pass sums all five calendars; only these sums are joined back, so no key is sorted or
-    held by one task.
+    One pass sums all five calendars; their means meet per key and date, and that table, one row
+    per day of a key, is joined back once, so no key is sorted or held by one task.
     """
     parts = {name: part(F.col(date)) for name, part in CALENDAR.items()}
     parted = df.select(key, *columns, *[p.alias(f"_{n}") for n, p in parts.items()])
@@ -184,12 +184,12 @@ def calendar_means(df: DataFrame, key: str, date: str, columns: list[str], settl
         *[(F.sum(f"_s_{c}") / F.nullif(F.sum(f"_n_{c}"), F.lit(0))).alias(c) for c in columns])
     if settled:
         sums = settle(sums)
-    out = df
+    days = df.select(key, date).distinct()
     for name, part in parts.items():
         means = sums.where(F.col("_calendar") == name).select(
             key, "_part", *[F.col(c).alias(f"avg_{name}_{c}") for c in columns])
-        out = attach(out.withColumn("_part", part), means, [key, "_part"]).drop("_part")
-    return out
+        days = attach(days.withColumn("_part", part), means, [key, "_part"]).drop("_part")
+    return attach(df, settle(days) if settled else days, [key, date])
 
 
 def autocorrelation(df: DataFrame, keys: list[str], order: str, column: str, lags: int,

@@ -52,4 +52,12 @@ def settle(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/airgrid-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(df.columns)
+    out._settled_in = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled frame that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_in)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

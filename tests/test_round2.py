@@ -131,3 +131,25 @@ def test_stations_at_one_place_have_their_own_lags(spark, table):
     lag = next(c for c in found.columns if "lag1" in c.lower())
     per_station = {(r.location, str(r.date_utc)): r[lag] for r in found.collect()}
     assert len(per_station) == 10 and SERIES_KEYS == ["city", "latitude", "longitude"]
+
+
+def test_no_file_of_a_search_or_chain_stays(spark, tmp_path, table):
+    from airgrid.learning import scores as S
+    from airgrid.learning import validate as V
+    from bindings.learning import _folded
+    from bindings.registry import Tables
+
+    folded = _folded(Tables(spark, "/root/testdata/sf0.001"))
+    folder = spark.conf.get("spark.checkpoint.dir")
+    import os
+
+    before = set(os.listdir(folder))
+    line = M.regressor("linear", "value")
+    V.time_cross_validate(folded, line, V.grid({line.regParam: [0.0]}), S.evaluator("value"))
+    S.compare_models(folded, {"line": (line, V.grid({line.regParam: [0.0]}))}, "value")
+    assert set(os.listdir(folder)) == before
+    df = table([(i, float(i), None if i % 3 == 0 else 2.0 * i, None if i % 4 == 0 else 3.0 * i) for i in range(200)], "id int, a double, b double, c double")
+    df = df.withColumn("d", F.date_add(F.lit("2020-01-01"), F.col("id")))
+    out = M.impute_chain(df, ["b", "c"], ["id"], "d", learner="linear")
+    assert out.where("b is null or c is null").count() == 0
+    assert len(set(os.listdir(folder)) - before) <= 1 + 2 * 2  # the last round, and the ranks of each fold split
