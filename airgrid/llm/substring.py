@@ -18,7 +18,9 @@ WINDOW = 13
 PART_WORDS = 250_000
 NO_ID = -(1 << 63)
 #: Kinds of rows that documents send to buckets of symbols.
-ANCHOR, TOLD, WHOLE, TOLD_COPY = range(4)
+ANCHOR, TOLD, WHOLE, TOLD_COPY, HELD, GONE = range(6)
+ASKED = ("kind", "bucket", "keys", "other", "docs")
+ASKED_SCHEMA = "kind int, bucket int, keys binary, other binary, docs binary"
 #: Buckets have about so many anchors, texts one for about so many characters; results do not depend on either.
 BUCKET_ANCHORS = 1_000_000
 CHARS_AN_ANCHOR = 25
@@ -99,67 +101,71 @@ def _sorted_groups(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]
     return (doc, *keys, np.flatnonzero(new), np.cumsum(new) - 1)
 
 
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key % np.uint64(buckets)).astype(np.int64)
+
+
+def _entries(t: pa.Table, kind: int, column: str) -> np.ndarray:
+    """One column of all entries of a kind in a bucket's rows."""
+    return _unpack([p for k, p in zip(t.column("kind").to_pylist(), t.column(column).to_pylist()) if k == kind])
+
+
 def _asked_by(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFrame:
     """What the documents of a step ask: rows (kind, bucket, keys, other, docs) of packed entries.
 
     ANCHOR: a symbol that one document of the step has, and that document. A symbol that several have is shared in any
     case: it is sent once without a document, and its documents are told at once (TOLD). WHOLE: two hashes of all words
     of a document and its id; of copies in the step the smallest id is sent, the others are told (TOLD_COPY). So a
-    symbol or a text that a third of all documents have sends its bucket one entry a step.
+    symbol or a text that a third of all documents have sends its bucket one entry a step; what is told spreads by id.
     """
 
-    def bucket_of(key: np.ndarray) -> np.ndarray:
-        return (key % np.uint64(buckets)).astype(np.int64)
-
     def step(c: dict) -> dict:
         ids = c["doc_id"].to_numpy(zero_copy_only=False)
         hashes = [_hashes(t.encode().split()) for t in c["text"].to_pylist()]
         found = [(ids[doc[new]], key[new]) for doc, _, key, _ in _anchored(hashes, size, rounds) for new in (_starts(key, doc),)]
         if not found:
-            return {n: [] for n in ("kind", "bucket", "keys", "other", "docs")}
+            return {n: [] for n in ASKED}
         doc, key = (np.concatenate(x) for x in zip(*found))
         doc, key, first, group = _sorted_groups(doc, key)
         once = _starts(key, doc)
         lone = (np.bincount(group[once]) == 1)[group]
         sent = np.concatenate([key[once & lone], key[first[~lone[first]]]])
         sender = np.concatenate([doc[once & lone], np.full(int((~lone[first]).sum()), NO_ID)])
-        out = [(k, b, x, b"", d) for k, b, x, d in _rows(ANCHOR, bucket_of(sent), sent.view(np.int64), sender)]
+        out = [(k, b, x, b"", d) for k, b, x, d in _rows(ANCHOR, _bucket(sent, buckets), sent.view(np.int64), sender)]
         told = once & ~lone
-        here = np.full(len(key), int(bucket_of(key[:1])[0]))
-        out += [(k, b, x, b"", d) for k, b, x, d in _rows(TOLD, here[told], key[told].view(np.int64), doc[told])]
+        out += [(k, b, x, b"", d) for k, b, x, d in _rows(TOLD, _bucket(_by_doc(doc[told]), buckets), key[told].view(np.int64), doc[told])]
         long = [i for i, h in enumerate(hashes) if len(h) >= size]
         whole = Words(np.concatenate([hashes[i] for i in long]), np.cumsum([0] + [len(hashes[i]) for i in long]))
         one, two = (whole.stretch(whole.starts[:-1], whole.starts[1:], *b) for b in ((BASE, INVERSE), (BASE_2, INVERSE_2)))
         doc, one, two, first, group = _sorted_groups(ids[long], one, two)
-        out += _rows(WHOLE, bucket_of(one[first]), one[first].view(np.int64), two[first].view(np.int64), doc[first])
+        out += _rows(WHOLE, _bucket(one[first], buckets), one[first].view(np.int64), two[first].view(np.int64), doc[first])
         later = doc[doc > doc[first][group]]
-        out += [(k, b, b"", b"", d) for k, b, d in _rows(TOLD_COPY, here[:1].repeat(len(later)), later)]
-        return dict(zip(("kind", "bucket", "keys", "other", "docs"), zip(*out)))
+        out += [(k, b, b"", b"", d) for k, b, d in _rows(TOLD_COPY, _bucket(_by_doc(later), buckets), later)]
+        return dict(zip(ASKED, zip(*out)))
 
     known = docs.filter("doc_id is not null").select("doc_id", "text")
-    return arrow_map(known, "kind int, bucket int, keys binary, other binary, docs binary", step, "text")
+    return arrow_map(known, ASKED_SCHEMA, step, "text")
 
 
 def _answer(t: pa.Table) -> pa.Table:
     """(doc_id, key, copy) for a bucket: symbols of a document that another has too, and documents that copy an earlier one."""
-    kind = t.column("kind").to_pylist()
-
-    def entries(which: int, name: str) -> np.ndarray:
-        return _unpack([p for k, p in zip(kind, t.column(name).to_pylist()) if k == which])
-
-    doc, key, first, group = _sorted_groups(entries(ANCHOR, "docs"), entries(ANCHOR, "keys"))
+    doc, key, first, group = _sorted_groups(_entries(t, ANCHOR, "docs"), _entries(t, ANCHOR, "keys"))
     several = np.bincount(group, minlength=len(first)) > 1
     several |= np.bincount(group[doc == NO_ID], minlength=len(first)) > 0
     shared = several[group] & (doc != NO_ID)
-    owner, _, _, begin, whole = _sorted_groups(entries(WHOLE, "docs"), entries(WHOLE, "keys"), entries(WHOLE, "other"))
-    copies = np.concatenate([owner[owner > owner[begin][whole]], entries(TOLD_COPY, "docs")])
-    docs = np.concatenate([doc[shared], entries(TOLD, "docs"), copies])
-    keys = np.concatenate([key[shared], entries(TOLD, "keys"), np.zeros(len(copies), dtype=np.int64)])
+    owner, _, _, begin, whole = _sorted_groups(*(_entries(t, WHOLE, n) for n in ("docs", "keys", "other")))
+    copies = np.concatenate([owner[owner > owner[begin][whole]], _entries(t, TOLD_COPY, "docs")])
+    docs = np.concatenate([doc[shared], _entries(t, TOLD, "docs"), copies])
+    keys = np.concatenate([key[shared], _entries(t, TOLD, "keys"), np.zeros(len(copies), dtype=np.int64)])
     return pa.table({"doc_id": docs, "key": keys, "copy": np.arange(len(docs)) >= len(docs) - len(copies)})
 
 
-def _candidates(docs: DataFrame, size: int, rounds: int) -> DataFrame:
-    """(key, own, doc_id): windows whose anchor another document has too; `docs` has their keys in `keys`."""
+def _windows_asked(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFrame:
+    """What the documents of a step ask about windows whose anchor another document has too; `docs` has their keys.
+
+    HELD: anchor, own hash and the smallest document of the step that has the window. The others of the step are told
+    at once that it goes (GONE: own hash and document), so a hot passage sends a bucket one entry a step.
+    """
 
     def step(c: dict) -> dict:
         ids = c["doc_id"].to_numpy(zero_copy_only=False)
@@ -167,24 +173,30 @@ def _candidates(docs: DataFrame, size: int, rounds: int) -> DataFrame:
         sizes = c["keys"].value_lengths().to_numpy(zero_copy_only=False)
         # a document's keys are looked up together with its number
         known = np.unique(lists ^ _by_doc(np.repeat(np.arange(len(ids)), sizes)))
-        out = [(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))]
+        found = []
         for doc, _, key, own in _anchored([_hashes(t.encode().split()) for t in c["text"].to_pylist()], size, rounds):
             hit = np.isin(key ^ _by_doc(doc), known)
-            out.append((key[hit], own[hit], ids[doc[hit]]))
-        key, own, doc = (np.concatenate(x) for x in zip(*out))
-        return {"key": pa.array(key.view(np.int64)), "own": pa.array(own.view(np.int64)), "doc_id": pa.array(doc)}
+            found.append((ids[doc[hit]], key[hit], own[hit]))
+        out = []
+        if found:
+            doc, key, own, first, group = _sorted_groups(*(np.concatenate(x) for x in zip(*found)))
+            later = (doc > doc[first][group]) & _starts(key, own, doc)
+            out = _rows(HELD, _bucket(own[first], buckets), key[first].view(np.int64), own[first].view(np.int64), doc[first])
+            out += [(k, b, b"", o, d) for k, b, o, d in _rows(GONE, _bucket(_by_doc(doc[later]), buckets), own[later].view(np.int64), doc[later])]
+        return dict(zip(ASKED, zip(*out))) if out else {n: [] for n in ASKED}
 
-    return arrow_map(docs, "key bigint, own bigint, doc_id bigint", step, "text")
+    return arrow_map(docs, ASKED_SCHEMA, step, "text")
 
 
-def _by_doc(doc: np.ndarray) -> np.ndarray:
-    return mix(doc.astype(np.uint64) + np.uint64(1))
+def _windows_gone(t: pa.Table) -> pa.Table:
+    """(doc_id, own) for a bucket: windows of a document that a document with a smaller id has too."""
+    doc, _, own, first, group = _sorted_groups(*(_entries(t, HELD, n) for n in ("docs", "keys", "other")))
+    later = doc > doc[first][group]
+    return pa.table({"doc_id": np.concatenate([doc[later], _entries(t, GONE, "docs")]), "own": np.concatenate([own[later], _entries(t, GONE, "other")])})
 
 
-def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
-    """`by` and first (the smallest doc_id) where two documents or more have it; combined before the shuffle."""
-    found = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other"))
-    return found.filter("first < other").drop("other")
+def _by_doc(doc: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.uint64) + np.uint64(1))
 
 
 def repeated_windows(keyed: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -195,7 +207,7 @@ def repeated_windows(keyed: DataFrame, size: int = WINDOW, rounds: int = ROUNDS)
 
     Recompression names runs and pairs by a hash of what they stand for, the same in every task, so naming needs no
     exchange. Symbols that two documents share choose the windows that are then compared by symbol and own hash
-    together. A hot symbol reaches its bucket once a step; the join by window is Spark's to split.
+    together. Hot symbols and windows reach their buckets once a step of a task, however many documents have them.
     """
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, chars // (CHARS_AN_ANCHOR * BUCKET_ANCHORS))
@@ -203,9 +215,8 @@ def repeated_windows(keyed: DataFrame, size: int = WINDOW, rounds: int = ROUNDS)
     lists = answers.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("copy"), F.col("key"))).alias("keys"), F.max("copy").alias("copy"))
     lists, _ = written(lists.select(F.col("doc_id").alias("k"), F.when(~F.col("copy"), F.col("keys")).alias("keys"), "copy"), "shared")
     asked = keyed.join(lists.select("k", "keys"), "k", "left").filter(F.size(F.coalesce("keys", F.array().cast("array<bigint>"))) > 0)
-    windows = _candidates(asked, size, rounds)
-    first = _shared(windows, ["key", "own"])
-    gone = windows.join(first, ["key", "own"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("own").alias("gone"))
+    windows = _windows_asked(asked, buckets, size, rounds).groupBy("bucket").applyInArrow(_windows_gone, "doc_id bigint, own bigint")
+    gone = windows.groupBy("doc_id").agg(F.collect_set("own").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("k"), "gone", F.lit(False).alias("copy"))
     return gone.unionByName(lists.filter("copy").select("k", F.lit(None).cast("array<bigint>").alias("gone"), "copy"))
 
