@@ -38,6 +38,17 @@ def grid_day_table(cells: DataFrame, forecasts: DataFrame, elevation: DataFrame,
     return dimension_join(joined, elevation, ["grid_id"]), coordinate_lists(cells, ["grid_id", date])
 
 
+def labelled_grid_days(cells: DataFrame, forecasts: DataFrame, elevation: DataFrame, labels: DataFrame,
+                       bands: list[str] = SUMMARY_BANDS, date: str = "utc_date") -> DataFrame:
+    """The grid-day table with the coordinate lists of its cells, for the days that have a label.
+
+    A label's row repeats for each `part` of a list above the chunk size; `part` belongs to the key.
+    """
+    table, lists = grid_day_table(cells, forecasts, elevation, bands, date)
+    listed = equi_join(table, lists, ["grid_id", date], "left")
+    return equi_join(listed, labels.withColumnRenamed("date", date), ["grid_id", date], "inner")
+
+
 def centre_distance(lon: str, lat: str) -> Column:
     """Distance of a point to the grid's centroid, at a digit where mirrored points tie."""
     return F.round(planar_distance(F.col("centroid.lon"), F.col("centroid.lat"), F.col(lon), F.col(lat)), 9)

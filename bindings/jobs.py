@@ -1,15 +1,20 @@
 """End-to-end jobs."""
 
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from airgrid.constants import DEPTH_BANDS, GFS_VARIABLES, SLOTS, SUMMARY_BANDS
+from airgrid.constants import DEPTH_BANDS, GFS_VARIABLES, NO_DATA_ANSWER, SLOTS, SUMMARY_BANDS
 from airgrid.learning.models import impute_chain, regressor
 from airgrid.operators.aggregates import band_min_max_median
 from airgrid.operators.sets import stack
 from airgrid.plans import grid_jobs as G
 from airgrid.plans import station_jobs as J
+from airgrid.session import shared_folder
+from airgrid.sources.readers import csv
+from airgrid.sources.writers import write_csv
 from bindings.features import aqi_sql
 from bindings.geometry import CENTROIDS
 from bindings.joins import slot_sql
@@ -33,6 +38,20 @@ def _(t):
     return table
 
 
+@query("job_grid_day_labels", f"""
+       WITH a AS (SELECT grid_id, utc_date, avg(Column_WV) AS mean_Column_WV, max(AOD_Uncertainty) AS max_AOD_Uncertainty
+                  FROM {{aod_cells}} WHERE {_CLOUD} = 1 GROUP BY 1, 2),
+       f AS (SELECT grid_id, date AS utc_date, avg(t_surface06) AS t_surface06 FROM {{gfs}} GROUP BY 1, 2),
+       l AS (SELECT grid_id, utc_date, count(*) AS n_cells FROM {{aod_cells}} GROUP BY 1, 2)
+       SELECT label_id, value, a.grid_id, {d_text('a.utc_date')} AS utc_date, CAST(0 AS INT) AS part, n_cells, mean_Column_WV, max_AOD_Uncertainty,
+              t_surface06, min_elevation FROM a JOIN f USING (grid_id, utc_date) JOIN l USING (grid_id, utc_date)
+       JOIN {{labels_grid}} g ON g.grid_id = a.grid_id AND g.date = a.utc_date LEFT JOIN {{elevation}} e ON e.grid_id = a.grid_id""")
+def _(t):
+    out = G.labelled_grid_days(t.aod_cells, t.gfs, t.elevation, t.labels_grid.select("label_id", "grid_id", "date", "value"))
+    return out.select("label_id", "value", "grid_id", "utc_date", "part", F.size("lon_lat_list").cast("bigint").alias("n_cells"),
+                      "mean_Column_WV", "max_AOD_Uncertainty", "t_surface06", "min_elevation")
+
+
 _FORECASTS = """
     fc AS (SELECT {keys}, f.latitude, f.longitude, {slots} FROM {labels} g LEFT JOIN {{gfs}} f ON g.grid_id = f.grid_id
             AND (f.date = {day} OR f.date = CAST({day} + INTERVAL '1' DAY AS DATE)) GROUP BY ALL),
@@ -161,7 +180,7 @@ def _(t):
 @query("job_chained_imputation")
 def _(t):
     columns = [f"{s}_{b}" for b in SUMMARY_BANDS[:2] for s in ("min", "max", "median")]
-    table = band_min_max_median(t.aod_cells.where("Column_WV > 1"), ["grid_id", "utc_date"], SUMMARY_BANDS)
+    table = band_min_max_median(t.aod_cells, ["grid_id", "utc_date"], SUMMARY_BANDS)
     holes = table.withColumns({c: F.when(F.crc32(F.concat("grid_id", F.col("utc_date").cast("string"), F.lit(c))) % 9 > 0, F.col(c))
                                for c in columns})
     return impute_chain(holes, columns, ["grid_id", "utc_date"], "utc_date", learner="linear")
@@ -272,6 +291,27 @@ def _(t):
     return rounded(_line_report(t)["errors"], "prediction", "abs_mean_error", "rmse", digits=4)
 
 
+@query("job_report_export", f"""
+       SELECT label_id, actual, {r6('prediction', 4)} AS prediction, {aqi_sql('actual')} AS actual_aqi FROM {_PREDICTED}""")
+def _(t):
+    path = f"{shared_folder(t.spark)}/airgrid-report-{uuid.uuid4().hex}"
+    write_csv(rounded(_line_report(t)["rows"], "prediction", digits=4).select("label_id", "actual", "prediction", "actual_aqi"), path)
+    return csv(t.spark, path, "label_id BIGINT, actual DOUBLE, prediction DOUBLE, actual_aqi STRING")
+
+
+@query("job_point_answers", f"""
+       WITH {_STATIONS},
+       d AS (SELECT round(latitude, 2) AS y, round(longitude, 2) AS x, arg_max(value, (date_utc, value)) AS v FROM (
+             SELECT latitude, longitude, date_utc, round(max(value)) AS value FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2)
+       SELECT p.latitude, p.longitude, coalesce(CAST(v AS VARCHAR), '{NO_DATA_ANSWER.replace("'", "''")}') AS answer
+       FROM (SELECT DISTINCT latitude, longitude FROM {{places}} UNION ALL SELECT -1.5e0, 2.25e0) p
+       LEFT JOIN d ON d.y = round(p.latitude, 2) AND d.x = round(p.longitude, 2)""")
+def _(t):
+    nowhere = t.spark.range(1).select(F.lit(-1.5).alias("latitude"), F.lit(2.25).alias("longitude"))
+    series = J.station_series(t.labels_station).groupBy("latitude", "longitude", "date_utc").agg(F.round(F.max("value")).alias("value"))
+    return J.point_answers(t.places.select("latitude", "longitude").distinct().union(nowhere), series)
+
+
 @query("job_grid_day_lists", f"""
        SELECT grid_id, {d_text('utc_date')} AS utc_date, CAST(0 AS INT) AS part, count(*) AS n_cells FROM {{aod_cells}} GROUP BY 1, 2""")
 def _(t):
