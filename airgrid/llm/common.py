@@ -17,8 +17,8 @@ from airgrid.session import shared_folder
 #: Fixed value: a word is a run of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Characters that one step of a task handles at once.
-STEP_CHARS = 4_000_000
+#: Bytes of text that one step of a task handles at once.
+STEP_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,17 +47,17 @@ def reach(spark: SparkSession) -> SparkSession:
 
 
 def arrow_map(df: DataFrame, schema: str, step: Callable[[dict[str, list]], dict[str, list]], size_by: str | None = None,
-              ) -> DataFrame:
-    """Map `step` over column lists, a bounded number of characters at a time.
+              step_bytes: int = STEP_BYTES) -> DataFrame:
+    """Map `step` over columns, a bounded number of bytes at a time.
 
     `step` gets and returns a dict of equally long lists (or Arrow arrays) by column. `size_by` names the text column
-    that is held to STEP_CHARS characters a step, so that long texts do not add up in memory.
+    that is held to `step_bytes` bytes a step (or one row), so that long texts do not add up in memory.
     """
     target = _arrow_schema(reach(df.sparkSession), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _steps(batch, size_by):
+            for part in _steps(batch, size_by, step_bytes):
                 out = step({c: part.column(i) for i, c in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f in target for v in (out[f.name],)], schema=target)
@@ -65,7 +65,7 @@ def arrow_map(df: DataFrame, schema: str, step: Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
-def _steps(batch: pa.RecordBatch, size_by: str | None) -> Iterator[pa.RecordBatch]:
+def _steps(batch: pa.RecordBatch, size_by: str | None, step_bytes: int) -> Iterator[pa.RecordBatch]:
     if size_by is None:
         yield batch
         return
@@ -77,7 +77,7 @@ def _steps(batch: pa.RecordBatch, size_by: str | None) -> Iterator[pa.RecordBatc
     start, n = 0, batch.num_rows
     while start < n:
         before = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, before + STEP_CHARS, side="right")))
+        end = max(start + 1, int(np.searchsorted(ends, before + step_bytes, side="right")))
         yield batch.slice(start, end - start)
         start = end
 

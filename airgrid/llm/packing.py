@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.llm.common import arrow_map
-from airgrid.llm.word_ids import open_words
+from airgrid.llm.word_ids import NUMBERED_BYTES, open_words
 from airgrid.session import settle
 
 #: Patterns that the fit may use, and its sweeps; both depend on the capacity, never on the number of documents.
@@ -155,7 +155,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, doc_id:
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
-    return arrow_map(rows, schema, step, "text")
+    return arrow_map(rows, schema, step, "text", NUMBERED_BYTES)
 
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airgrid.llm.common import arrow_map
-from airgrid.llm.word_ids import open_words
+from airgrid.llm.word_ids import NUMBERED_BYTES, open_words
 
 #: Layout of the files: stripes are what readers split by, the row index stride is what a filter can skip.
 STRIPE_BYTES = 16 << 20
@@ -46,7 +46,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
             return {"part": pa.array(np.full(len(before), part, np.int32)), "doc_id": c["doc_id"], "before": pa.array(before),
                     "n_tokens": pa.array(np.diff(at)), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))}
 
-    rows = arrow_map(ranged, "part int, doc_id bigint, before bigint, n_tokens bigint, ids array<int>", Step(), "text")
+    rows = arrow_map(ranged, "part int, doc_id bigint, before bigint, n_tokens bigint, ids array<int>", Step(), "text", NUMBERED_BYTES)
     (rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_FPP)
      .option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", INDEX_ROWS).option("orc.create.index", "true").orc(path))
 

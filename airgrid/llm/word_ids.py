@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 CUTS = "\t\n\r"
 #: Words of the table that a worker keeps (a full table steps back and is asked once more).
 WORDS_KEPT = 400_000
+#: Bytes of text numbered at once: the more, the fewer words are looked up again.
+NUMBERED_BYTES = 12_000_000
 #: Texts on which cutting at white space is tried before it is used.
 PROBES = ("a b", "It's 12 o'clock", "x\ny z", "naïve café", "<|endoftext|> a", "1 2 . ,", "Wörter, und mehr")
 #: Lower-case Latin letters that composition and lower-casing leave alone.
@@ -124,12 +126,14 @@ class WordIds:
         split = pc.split_pattern(texts, " ")
         numbered = split.flatten().dictionary_encode()
         found = [end, *map(self.words.__getitem__, numbered.dictionary.to_pylist())]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ids = np.frombuffer(b"".join(found), dtype="<u4")
         words = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
         word = np.insert(numbered.indices.to_numpy(zero_copy_only=False) + 1, words, 0)
         length = size[word]
-        upto = np.cumsum(length)
-        first = (np.cumsum(size) - size)[word] - (upto - length)
-        out = ids[np.repeat(first, length) + np.arange(upto[-1] if len(upto) else 0)]
-        return out, np.concatenate([[0], upto[words + np.arange(len(words))]])
+        upto = np.cumsum(length, dtype=np.int64)
+        narrow = np.int32 if len(upto) and upto[-1] < 1 << 30 and len(ids) < 1 << 30 else np.int64
+        first = ((np.cumsum(size) - size)[word] - (upto - length)).astype(narrow)
+        at = np.repeat(first, length)
+        at += np.arange(len(at), dtype=narrow)
+        return ids[at], np.concatenate([[0], upto[words + np.arange(len(words))]])
