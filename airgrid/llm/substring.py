@@ -139,8 +139,8 @@ def _asked_by(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFram
         one, two = (whole.stretch(whole.starts[:-1], whole.starts[1:], *b) for b in ((BASE, INVERSE), (BASE_2, INVERSE_2)))
         doc, one, two, first, group = _sorted_groups(ids[long], one, two)
         out += _rows(WHOLE, _bucket(one[first], buckets), one[first].view(np.int64), two[first].view(np.int64), doc[first])
-        later = doc[doc > doc[first][group]]
-        out += [(k, b, b"", b"", d) for k, b, d in _rows(TOLD_COPY, _bucket(_by_doc(later), buckets), later)]
+        later = doc > doc[first][group]
+        out += [(k, b, x, b"", d) for k, b, x, d in _rows(TOLD_COPY, _bucket(_by_doc(doc[later]), buckets), one[later].view(np.int64), doc[later])]
         return dict(zip(ASKED, zip(*out)))
 
     known = docs.filter("doc_id is not null").select("doc_id", "text")
@@ -148,21 +148,31 @@ def _asked_by(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFram
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """(doc_id, key, copy) for a bucket: symbols of a document that another has too, and documents that copy an earlier one."""
+    """(doc_id, key, copy) for a bucket: symbols of a document that another has too, and texts that copy an earlier one."""
     doc, key, first, group = _sorted_groups(_entries(t, ANCHOR, "docs"), _entries(t, ANCHOR, "keys"))
     several = np.bincount(group, minlength=len(first)) > 1
     several |= np.bincount(group[doc == NO_ID], minlength=len(first)) > 0
     shared = several[group] & (doc != NO_ID)
-    owner, _, _, begin, whole = _sorted_groups(*(_entries(t, WHOLE, n) for n in ("docs", "keys", "other")))
-    copies = np.concatenate([owner[owner > owner[begin][whole]], _entries(t, TOLD_COPY, "docs")])
-    docs = np.concatenate([doc[shared], _entries(t, TOLD, "docs"), copies])
-    keys = np.concatenate([key[shared], _entries(t, TOLD, "keys"), np.zeros(len(copies), dtype=np.int64)])
-    return pa.table({"doc_id": docs, "key": keys, "copy": np.arange(len(docs)) >= len(docs) - len(copies)})
+    owner, one, _, begin, whole = _sorted_groups(*(_entries(t, WHOLE, n) for n in ("docs", "keys", "other")))
+    later = owner > owner[begin][whole]
+    docs = np.concatenate([doc[shared], _entries(t, TOLD, "docs"), owner[later], _entries(t, TOLD_COPY, "docs")])
+    keys = np.concatenate([key[shared], _entries(t, TOLD, "keys"), one[later], _entries(t, TOLD_COPY, "keys")])
+    symbols = int(shared.sum()) + len(_entries(t, TOLD, "docs"))
+    return pa.table({"doc_id": docs, "key": keys, "copy": np.arange(len(docs)) >= symbols})
+
+
+def _is_copy(hashes: np.ndarray, copies: pa.ListScalar, size: int) -> bool:
+    """Whether the hash of all words is among those of texts that copy an earlier document."""
+    if not copies.is_valid or not len(copies) or len(hashes) < size:
+        return False
+    whole = Words(hashes, np.array([0, len(hashes)])).stretch(np.array([0]), np.array([len(hashes)]))
+    return bool(np.isin(whole.view(np.int64), copies.values.to_numpy(zero_copy_only=False))[0])
 
 
 def _windows_asked(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFrame:
     """What the documents of a step ask about windows whose anchor another document has too; `docs` has their keys.
 
+    Copies of a smaller document ask nothing: that one has the same windows, and they lose all words anyway.
     HELD: anchor, own hash and the smallest document of the step that has the window. The others of the step are told
     at once that it goes (GONE: own hash and document), so a hot passage sends a bucket one entry a step.
     """
@@ -174,7 +184,9 @@ def _windows_asked(docs: DataFrame, buckets: int, size: int, rounds: int) -> Dat
         # a document's keys are looked up together with its number
         known = np.unique(lists ^ _by_doc(np.repeat(np.arange(len(ids)), sizes)))
         found = []
-        for doc, _, key, own in _anchored([_hashes(t.encode().split()) for t in c["text"].to_pylist()], size, rounds):
+        hashes = [_hashes(t.encode().split()) for t in c["text"].to_pylist()]
+        hashes = [h[:0] if _is_copy(h, s, size) else h for h, s in zip(hashes, c["copies"])]
+        for doc, _, key, own in _anchored(hashes, size, rounds):
             hit = np.isin(key ^ _by_doc(doc), known)
             found.append((ids[doc[hit]], key[hit], own[hit]))
         out = []
@@ -200,10 +212,10 @@ def _by_doc(doc: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(keyed: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(k, gone, copy) of documents that lose words; `keyed` has k, doc_id, text.
+    """(k, gone, copies) of documents that lose words; `keyed` has k, doc_id, text.
 
-    gone: hashes of the windows that a smaller doc_id starts too. copy: a smaller doc_id has just the same words (the
-    symbol of the whole document is shared), so that all of them go and its windows need no look.
+    gone: hashes of the windows that a smaller doc_id starts too. copies: hashes of whole texts that a smaller doc_id
+    has word by word (the symbol of the whole document is shared), so that all words go and windows need no look.
 
     Recompression names runs and pairs by a hash of what they stand for, the same in every task, so naming needs no
     exchange. Symbols that two documents share choose the windows that are then compared by symbol and own hash
@@ -212,13 +224,13 @@ def repeated_windows(keyed: DataFrame, size: int = WINDOW, rounds: int = ROUNDS)
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, chars // (CHARS_AN_ANCHOR * BUCKET_ANCHORS))
     answers = _asked_by(keyed, buckets, size, rounds).groupBy("bucket").applyInArrow(_answer, "doc_id bigint, key bigint, copy boolean")
-    lists = answers.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("copy"), F.col("key"))).alias("keys"), F.max("copy").alias("copy"))
-    lists, _ = written(lists.select(F.col("doc_id").alias("k"), F.when(~F.col("copy"), F.col("keys")).alias("keys"), "copy"), "shared")
-    asked = keyed.join(lists.select("k", "keys"), "k", "left").filter(F.size(F.coalesce("keys", F.array().cast("array<bigint>"))) > 0)
+    lists = answers.groupBy(F.col("doc_id").alias("k")).agg(
+        F.collect_set(F.when(~F.col("copy"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("copy"), F.col("key"))).alias("copies"))
+    lists, _ = written(lists, "shared")
+    asked = keyed.join(lists, "k", "left").filter(F.size(F.coalesce("keys", F.array().cast("array<bigint>"))) > 0)
     windows = _windows_asked(asked, buckets, size, rounds).groupBy("bucket").applyInArrow(_windows_gone, "doc_id bigint, own bigint")
-    gone = windows.groupBy("doc_id").agg(F.collect_set("own").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("k"), "gone", F.lit(False).alias("copy"))
-    return gone.unionByName(lists.filter("copy").select("k", F.lit(None).cast("array<bigint>").alias("gone"), "copy"))
+    gone = windows.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("own").alias("gone"))
+    return gone.join(lists.filter(F.size("copies") > 0).select("k", "copies"), "k", "full")
 
 
 def _covered(words: list[bytes], gone: np.ndarray, size: int) -> np.ndarray:
@@ -249,12 +261,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     def step(c: dict) -> dict:
         total, removed, kept = [], [], []
-        for t, g, copy, k in zip(c["text"].to_pylist(), c["gone"], c["copy"].to_pylist(), c["doc_id"]):
+        for t, g, copies, k in zip(c["text"].to_pylist(), c["gone"], c["copies"], c["doc_id"]):
             words = t.encode().split()
             total.append(len(words))
-            if copy and k.is_valid and len(words) >= size:
+            if k.is_valid and copies.is_valid and _is_copy(_hashes(words), copies, size):
                 words = []
-            elif g.is_valid and k.is_valid:
+            elif k.is_valid and g.is_valid:
                 left = np.flatnonzero(~_covered(words, g.values.to_numpy(zero_copy_only=False).view(np.uint64), size))
                 words = [words[i] for i in left.tolist()]
             removed.append(total[-1] - len(words))
