@@ -74,7 +74,7 @@ GFS_VARIABLES = [
 ]
 SLOTS = ["00", "06", "12", "18"]
 
-# fixed values: intra-day change features as (name, variable)
+# fixed values: variables with an intra-day change feature
 CHANGE_VARIABLES = ["pbl_surface", "t_surface", "v_pbl", "vrate_pbl"]
 
 # fixed values: aerosol to particulate scaling
