@@ -97,13 +97,12 @@ def directory_table(spark: SparkSession, directory: str, schema: T.StructType,
                     drop: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """One table of the files that fit the schema, and the list of files left out with what they hold.
 
-    Names of the files come to the driver, which lists them for the scan anyway. An error is
-    raised if there are files but none can be read: an empty table would hide that.
+    Names of the files come to the driver, which lists them for the scan anyway. A file that
+    cannot be opened at all is Spark's error; one whose bytes are no parquet is left out as not
+    `readable`, so an empty table says that files were looked at and none fits.
     """
     files = settle(directory_files(spark, directory, schema))
     paths = [_escaped(row["path"]) for row in files.where("fits").select("path").toLocalIterator()]
-    if not paths and not files.isEmpty() and files.where("readable").isEmpty():
-        raise OSError(f"no parquet file below {directory} can be read")
     table = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
     return table.drop(*drop), files.where(~F.col("fits")).drop("fits")
 
