@@ -101,8 +101,10 @@ def quality_columns(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         "n_marks": _count_of(F.col("t"), "!?"), "n_upper": _count_of(F.col("t"), "A-Z"),
         "n_stop_words": F.size(F.filter("w", lambda x: F.lower(x).isin(*stop_words))),
     }
-    out = step.select(*held, *[c.cast("bigint").alias(n) for n, c in counts.items()])
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    # a filter on the verdict must stay above the counts: pushed below, it would repeat their expressions many times over
+    out = step.select(*held, *[c.cast("bigint").alias(n) for n, c in counts.items()], F.monotonically_increasing_id().alias("row_no"))
+    repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    failed = ((F.col("n_words") < MIN_WORDS) | repeats) & (F.col("row_no") >= 0)
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & _verdict(rules))
     return out.select(*[F.col(a).alias(b) for a, b in zip(held, names)], *results)
 
