@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +50,36 @@ def reach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Functions that hold a table in a worker, and the step that last ran there.
+_tables: list = []
+_ran: list[str] = []
+
+
+def kept_by_worker(open_table: Callable) -> Callable:
+    """Keep what `open_table` makes as long as a worker runs one kind of step; workers outlive their stage."""
+    held = cache(open_table)
+    _tables.append(held)
+    return held
+
+
+def _begin(step: Callable) -> None:
+    """Drop the tables of other steps before this one fills its own."""
+    name = f"{step.__module__}.{getattr(step, '__qualname__', type(step).__name__)}"
+    if _ran != [name]:
+        for held in _tables:
+            held.cache_clear()
+        _give_back()
+        _ran[:] = [name]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker that idles beside others must not hold its last step's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, schema: str, step: Callable[[dict[str, list]], dict[str, list]], size_by: str | None = None,
               step_bytes: int = STEP_BYTES) -> DataFrame:
     """Map `step` over columns, a bounded number of bytes at a time.
@@ -56,11 +90,13 @@ def arrow_map(df: DataFrame, schema: str, step: Callable[[dict[str, list]], dict
     target = _arrow_schema(reach(df.sparkSession), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(step)
         for batch in batches:
             for part in _steps(batch, size_by, step_bytes):
                 out = step({c: part.column(i) for i, c in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f in target for v in (out[f.name],)], schema=target)
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -14,6 +14,8 @@ TRAIN_ROWS = 20_000
 #: Languages that the model tells apart: the most frequent declared ones, each with this share of the rows at least.
 MOST_LANGUAGES = 64
 LEAST_SHARE = 0.002
+#: Bytes of text whose trigrams are looked up at once.
+STEP_BYTES = 1_000_000
 #: Hashed byte trigrams of the text model; log-probabilities are whole numbers of this fraction, so sums have no order.
 FEATURES = 1 << 15
 GRAIN = 1024
@@ -91,7 +93,7 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel | None:
         key, n = np.unique(np.repeat(code, counts) * FEATURES + feature, return_counts=True)
         return {"key": pa.array(key), "n": pa.array(n)}
 
-    counted = arrow_map(sample.select("text", "declared"), "key bigint, n bigint", step, "text").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = arrow_map(sample.select("text", "declared"), "key bigint, n bigint", step, "text", STEP_BYTES).groupBy("key").agg(F.sum("n").alias("n"))
     table = np.zeros(len(languages) * FEATURES)
     for key, n in counted.collect():
         table[key] = n
@@ -130,7 +132,7 @@ def score(df: DataFrame, text: Column, declared: Column, carry: dict[str, Column
         return {"row": c["row"], "best": pa.array(best.astype(np.int32)), "scores": list(s)}
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, best int, scores array<bigint>"
-    scored, _ = written(arrow_map(rows.select("row", "text"), schema, step, "text"), "scores")
+    scored, _ = written(arrow_map(rows.select("row", "text"), schema, step, "text", STEP_BYTES), "scores")
     return Scored(scored.select("row.*", "best", "scores"), model.languages)
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map
+from airgrid.llm.common import arrow_map, kept_by_worker
 
 MARK = "▁"
 #: A marked word: white space markers and what follows them up to the next marker.
@@ -18,7 +17,7 @@ CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 REMEMBERED = 300_000
 
 
-@cache
+@kept_by_worker
 def open_pieces(path: str) -> Pieces:
     return Pieces(path)
 

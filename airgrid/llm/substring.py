@@ -15,7 +15,9 @@ from airgrid.llm.recompression import BASE, BASE_2, INVERSE, INVERSE_2, ROUNDS,
 
 WINDOW = 13
 #: Words that are parsed at once; a longer document is parsed in parts that overlap by a window less one word.
-PART_WORDS = 250_000
+PART_WORDS = 100_000
+#: Bytes of text that are asked about together.
+STEP_BYTES = 3_000_000
 NO_ID = -(1 << 63)
 #: Kinds of rows that documents send to buckets of symbols.
 ANCHOR, TOLD, WHOLE, TOLD_COPY, HELD, GONE = range(6)
@@ -144,7 +146,7 @@ def _asked_by(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFram
         return dict(zip(ASKED, zip(*out)))
 
     known = docs.filter("doc_id is not null").select("doc_id", "text")
-    return arrow_map(known, ASKED_SCHEMA, step, "text")
+    return arrow_map(known, ASKED_SCHEMA, step, "text", STEP_BYTES)
 
 
 def _answer(t: pa.Table) -> pa.Table:
@@ -197,7 +199,7 @@ def _windows_asked(docs: DataFrame, buckets: int, size: int, rounds: int) -> Dat
             out += [(k, b, b"", o, d) for k, b, o, d in _rows(GONE, _bucket(_by_doc(doc[later]), buckets), own[later].view(np.int64), doc[later])]
         return dict(zip(ASKED, zip(*out))) if out else {n: [] for n in ASKED}
 
-    return arrow_map(docs, ASKED_SCHEMA, step, "text")
+    return arrow_map(docs, ASKED_SCHEMA, step, "text", STEP_BYTES)
 
 
 def _windows_gone(t: pa.Table) -> pa.Table:

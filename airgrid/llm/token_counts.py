@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map
+from airgrid.llm.common import arrow_map, kept_by_worker
 from airgrid.llm.word_ids import Recent, open_tokenizer
 
 #: Texts above CHUNK + OVERLAP characters are cut; the overlap doubles until both sides agree.
@@ -27,7 +26,7 @@ PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]
 STRETCHES_KEPT, PARTS_KEPT = 150_000, 300_000
 
 
-@cache
+@kept_by_worker
 def open_counts(path: str) -> Counts:
     return Counts(open_tokenizer(path))
 

@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from airgrid.llm.common import kept_by_worker
+
 #: White space at which a text may be cut; all of it is white space to every tokenizer.
 CUTS = "\t\n\r"
 #: Words of the table that a worker keeps (a full table steps back and is asked once more).
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 #: Bytes of text numbered at once: the more, the fewer words are looked up again.
-NUMBERED_BYTES = 12_000_000
+NUMBERED_BYTES = 6_000_000
 #: Texts on which cutting at white space is tried before it is used.
 PROBES = ("a b", "It's 12 o'clock", "x\ny z", "naïve café", "<|endoftext|> a", "1 2 . ,", "Wörter, und mehr")
 #: Lower-case Latin letters that composition and lower-casing leave alone.
@@ -61,7 +63,7 @@ def open_tokenizer(path: str):
     return tokenizer
 
 
-@cache
+@kept_by_worker
 def open_words(path: str) -> WordIds:
     return WordIds(path)
 
