@@ -70,9 +70,10 @@ def value_positions(df: DataFrame, keys: list[str], order: str, band: Column | N
     """
     placed_rows = with_band(df, order, band).withColumn(_PLACE, _place(keys))
     counted = placed_rows.groupBy(_PLACE, order).agg(F.count(F.lit(1)).alias("n"))
-    per_band = counted.groupBy(_PLACE).agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+    per_band = counted.groupBy(_PLACE).agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values")) \
+        .withColumn(_BAND, F.col(f"{_PLACE}.{_BAND}"))
     whole = Window.partitionBy(*[f"{_PLACE}.{k}" for k in keys])
-    earlier = whole.orderBy(f"{_PLACE}.{_BAND}").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy(_BAND).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_band.select(
         _PLACE,
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_offset"),
