@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true|di
 
 #: What markup says of a line: main text, left open, or outside an article that the page has.
 MAIN, OPEN, OUTSIDE = 0, 1, 2
+#: Characters from which on a line counts as running text, and the share of text that two copies have in common at least.
+RUNNING = 60
+MOST = 0.8
 
 
 def _is_out(tag: str, attributes: str) -> bool:
@@ -133,14 +137,33 @@ def _hash(text: str) -> int:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """row, host, path, hashes of all lines and which of them are open."""
+    """row, host, path, hashes of all lines, their lengths (0 outside an article that the page has) and which of them are open."""
 
     def step(c: dict) -> dict:
         lines = [lines_of(h) for h in c["html"].to_pylist()]
         return {"row": c["row"], "host": c["host"], "path": c["path"], "lines": [[_hash(t) for _, t in x] for x in lines],
-                "open": [[k == OPEN for k, _ in x] for x in lines]}
+                "sizes": [[0 if k == OUTSIDE else len(t) for k, t in x] for x in lines], "open": [[k == OPEN for k, _ in x] for x in lines]}
 
-    return arrow_map(pages.select("row", "host", "path", "html"), "row bigint, host string, path string, lines array<bigint>, open array<boolean>", step, "html")
+    schema = "row bigint, host string, path string, lines array<bigint>, sizes array<int>, open array<boolean>"
+    return arrow_map(pages.select("row", "host", "path", "html"), schema, step, "html")
+
+
+def _in_common(a: list[int], sizes_a: list[int], b: list[int], sizes_b: list[int], least: int) -> tuple[int, int, int]:
+    """Characters in lines of `least` characters and more: shared by both pages, and of each page."""
+    count_a, count_b = (Counter((x, n) for x, n in zip(lines, sizes) if n >= least) for lines, sizes in ((a, sizes_a), (b, sizes_b)))
+    return tuple(sum(n * k for (_, n), k in c.items()) for c in (count_a & count_b, count_a, count_b))
+
+
+def same_page(a: list[int], sizes_a: list[int], b: list[int], sizes_b: list[int]) -> bool:
+    """Whether most text of the longer page is in both, so that each is a copy of the other."""
+    both, one, other = _in_common(a, sizes_a, b, sizes_b, 1)
+    return both > 0 and both >= MOST * max(one, other)
+
+
+def copied(a: list[int], sizes_a: list[int], b: list[int], sizes_b: list[int]) -> bool:
+    """Whether a page is a copy of the other, or most running text of either is in both (a print version, an excerpt)."""
+    both, one, other = _in_common(a, sizes_a, b, sizes_b, RUNNING)
+    return same_page(a, sizes_a, b, sizes_b) or both > 0 and both >= MOST * min(one, other)
 
 
 def _prefix(a: str, b: str) -> Column:
@@ -149,12 +172,10 @@ def _prefix(a: str, b: str) -> Column:
                   f"(n, i) -> if(i > 0 and n = i - 1 and substr({a}, i, 1) = substr({b}, i, 1), i, n)), 0)")
 
 
-def nearest_pages(rows: DataFrame) -> DataFrame:
-    """(row, mate): for each row (row, host, path) the row of the same host whose path is nearest in order.
+def _in_order(rows: DataFrame) -> DataFrame:
+    """part, host, path, row and the neighbours (up, down) of the same host in order of the path.
 
-    Of the neighbours before and behind the one with the longer common start counts, the one before on a tie. Rows are
-    dealt by ranges of host and path, so a host with most pages spreads; the ends of ranges are joined on afterwards.
-    Rows with a NULL host and hosts with one page have no mate.
+    Rows are dealt by ranges of host and path, so a host with most pages spreads; the ends of ranges are joined on afterwards.
     """
     dealt = rows.filter("host is not null").select("row", "host", "path").distinct().repartitionByRange("host", "path", "row")
     dealt, _ = written(dealt.withColumn("part", F.spark_partition_id()), "addresses")
@@ -164,22 +185,73 @@ def nearest_pages(rows: DataFrame) -> DataFrame:
     ends = ends.select("part", F.lag("last").over(by_part).alias("before"), F.lead("first").over(by_part).alias("behind"))
     inside = Window.partitionBy("part").orderBy("host", "path", "row")
     near = dealt.select("*", F.lag(me).over(inside).alias("up"), F.lead(me).over(inside).alias("down")).join(ends, "part")
-    near = near.select("row", "host", "path", F.coalesce("up", "before").alias("up"), F.coalesce("down", "behind").alias("down"))
-    near = near.select("row", "path", *[F.when(F.col(f"{c}.host") == F.col("host"), F.col(c)).alias(c) for c in ("up", "down")])
+    near = near.select("part", "row", "host", "path", F.coalesce("up", "before").alias("up"), F.coalesce("down", "behind").alias("down"))
+    return near.select("part", "row", "host", "path", *[F.when(F.col(f"{c}.host") == F.col("host"), F.col(c)).alias(c) for c in ("up", "down")])
+
+
+def _by_nearness(near: DataFrame) -> DataFrame:
+    """row, mate (the neighbour with the longer common start, the one before on a tie) and other (the second neighbour)."""
     near = near.withColumn("up_row", F.col("up.row")).withColumn("down_row", F.col("down.row"))
     further = F.col("up_row").isNull() | (_prefix("path", "down.path") > _prefix("path", "up.path"))
-    mate = F.when(F.col("down_row").isNotNull() & further, F.col("down_row")).otherwise(F.col("up_row"))
-    return near.select("row", mate.alias("mate")).filter("mate is not null")
+    behind = F.col("down_row").isNotNull() & further
+    return near.select("row", F.when(behind, F.col("down_row")).otherwise(F.col("up_row")).alias("mate"),
+                       F.when(behind, F.col("up_row")).otherwise(F.col("down_row")).alias("other")).filter("mate is not null")
+
+
+def nearest_pages(rows: DataFrame) -> DataFrame:
+    """(row, mate): for each row (row, host, path) the row of the same host whose path is nearest in order.
+
+    Of the neighbours before and behind the one with the longer common start counts, the one before on a tie.
+    Rows with a NULL host and hosts with one page have no mate.
+    """
+    return _by_nearness(_in_order(rows)).select("row", "mate")
+
+
+def nearest_others(parsed: DataFrame) -> DataFrame:
+    """(row, mate, other): as `nearest_pages`, but the neighbours before and behind the run of copies that a page stands in.
+
+    Neighbours in order that are copies of each other form runs; a run may span ranges.
+    """
+    near, _ = written(_in_order(parsed), "neighbours")
+    lines = parsed.select("row", "lines", "sizes").dropDuplicates(["row"])
+    pairs = near.filter("down is not null").select("row", F.col("down.row").alias("next")).join(lines, "row")
+    pairs = pairs.join(lines.toDF("next", "theirs", "their_sizes"), "next")
+
+    def step(c: dict) -> dict:
+        columns = (c[n].to_pylist() for n in ("lines", "sizes", "theirs", "their_sizes"))
+        return {"row": c["row"], "next": c["next"], "same": [same_page(*x) for x in zip(*columns)]}
+
+    links, _ = written(arrow_map(pairs, "row bigint, next bigint, same boolean", step).filter("same"), "links")
+    near = near.join(links.select("row", F.lit(True).alias("goes_on")), "row", "left") \
+        .join(links.select(F.col("next").alias("row"), F.lit(True).alias("went_on")), "row", "left")
+    begins, ends = F.col("went_on").isNull(), F.col("goes_on").isNull()
+    place = ("host", "path", "row")
+    # a struct around each neighbour: a run without one before or behind it is told from no end of a run in a range
+    edges = near.groupBy("part").agg(F.max(F.when(begins, F.struct(*place, F.struct("up").alias("e")))).alias("a"),
+                                     F.min(F.when(ends, F.struct(*place, F.struct("down").alias("e")))).alias("z"))
+    by_part = Window.orderBy("part")
+    edges = edges.select("part", F.last("a.e", True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+                         F.first("z.e", True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
+    inside = Window.partitionBy("part").orderBy(*place)
+    near = near.select(
+        "part", "row", "path", F.last(F.when(begins, F.struct("up")), True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("a"),
+        F.first(F.when(ends, F.struct("down")), True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("z")).join(edges, "part")
+    return _by_nearness(near.select("row", "path", F.coalesce("a", "before")["up"].alias("up"), F.coalesce("z", "behind")["down"].alias("down")))
 
 
 def _deleted(parsed: DataFrame) -> DataFrame:
-    """(row, gone): numbers of the open lines that a page's mate has too, aligned by longest common subsequence."""
-    asking = parsed.filter(F.exists("open", lambda x: x)).select("row", "lines", "open").dropDuplicates(["row"])
-    mates = parsed.select(F.col("row").alias("mate"), F.col("lines").alias("theirs")).dropDuplicates(["mate"])
-    both = asking.join(nearest_pages(parsed), "row").join(mates, "mate").select("row", "lines", "open", "theirs")
+    """(row, gone): numbers of the open lines that the nearest page which is no copy has too, aligned by longest common subsequence."""
+    asking = parsed.filter(F.exists("open", lambda x: x)).select("row", "lines", "sizes", "open").dropDuplicates(["row"])
+    lines = parsed.select("row", "lines", "sizes").dropDuplicates(["row"])
+    names = ("lines", "sizes", "open", "lines1", "sizes1", "lines2", "sizes2")
+    both = asking.join(nearest_others(parsed), "row").join(lines.toDF("mate", "lines1", "sizes1"), "mate") \
+        .join(lines.toDF("other", "lines2", "sizes2"), "other", "left").select("row", *names)
 
     def step(c: dict) -> dict:
-        gone = [[i for i in shared(a, b) if o[i]] for a, o, b in zip(*(c[n].to_pylist() for n in ("lines", "open", "theirs")))]
+        gone = []
+        for a, sizes, is_open, *others in zip(*(c[n].to_pylist() for n in names)):
+            theirs = next((b for b, n in zip(others[::2], others[1::2]) if b is not None and not copied(a, sizes, b, n)), [])
+            gone.append([i for i in shared(a, theirs) if is_open[i]])
         return {"row": c["row"], "gone": gone}
 
     return arrow_map(both, "row bigint, gone array<int>", step).filter(F.size("gone") > 0)
@@ -190,8 +262,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
 
     An article's running text stays whole. Text of an article outside paragraphs, headings, lists and the like, and all
     text of a page without an article, is left open by markup: such a line goes if the page of the same host with the
-    nearest path has it too (aligned by longest common subsequence), else it stays. NULL html is empty. A NULL address
-    or one that no other shares a host with leaves open lines in place. Rows equal in all three columns are treated
+    nearest path that is no copy of the page has it too (aligned by longest common subsequence), else it stays. Of the
+    neighbours before and behind, the second is asked if the nearest is a copy or holds the page's running text; if both
+    are, the lines stay. NULL html is empty. A NULL address or one that no other shares a host with leaves open lines in place. Rows equal in all three columns are treated
     alike; repeated ids with other contents stand alone. Other columns are not read.
     """
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))

@@ -129,3 +129,27 @@ def test_nearest_pages_do_not_depend_on_partitions(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+STORY = "The river rose in the night and by the morning the lower fields stood under water, as they had in the spring."
+
+
+def test_copies_without_an_article_keep_their_text(spark):
+    page = f"<body><p>We use cookies</p><p>{STORY}</p><p>end of it</p>"
+    near = f"<body><p>We use cookies</p><p>{STORY}</p><p>end of it</p><p>seen 7 times</p>"
+    alone = [(1, "http://a.b/x", page), (2, "http://a.b/x?id=2", page), (3, "http://a.b/x/", page)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(alone, SCHEMA)).collect()}
+    assert got == dict.fromkeys((1, 2, 3), f"We use cookies\n{STORY}\nend of it")
+    # many copies in a row meet the page behind them; a print version is a copy too
+    rows = [(i, f"http://a.b/x/{i:03}", near if i % 2 else page) for i in range(60)] + [(60, "http://a.b/x/060", f"<p>{STORY}</p>")]
+    rows += [(i, f"http://a.b/y/{i}", f"<p>We use cookies<p>Page {i} tells another story altogether, and at some length, for the sake of it.") for i in (70, 71)]
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert all(STORY in got[i] for i in range(61))
+        assert all("another story" in got[i] and "cookies" not in got[i] for i in (70, 71))
