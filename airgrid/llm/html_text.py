@@ -16,11 +16,28 @@ from airgrid.llm.common import arrow_map, written
 #: Elements whose text is never main text.
 OUT = frozenset("nav footer aside form head menu dialog button select option label fieldset iframe object svg math canvas audio video map noscript "
                 "template datalist".split())
-#: Classes, ids and roles of parts that are not main text, as whole words of the attribute.
-OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|complementary|footer|contentinfo|header|masthead|banner|ads?|advert|adverts|"
-    r"advertisement|sponsored|sponsor|promo|promotion|notice|notices|cookie|cookies|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"share|sharing|social|comment|comments|commentlist|respond|disqus|related|recommended|pagination|pager|search|toolbar|hidden|dialog)(?:$|[\s_-])", re.I)
+#: Classes, ids and roles of parts that are not main text, as whole names of the attribute; "_" counts as "-".
+OUT_NAMES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar side complementary footer contentinfo header masthead banner ad ads advert adverts "
+    "advertisement sponsored sponsor promo promotion notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup "
+    "share sharing social comment comments commentlist respond disqus related recommended pagination pager search toolbar hidden dialog "
+    "nav-bar nav-menu nav-links nav-wrapper main-nav main-menu main-navigation primary-nav primary-menu primary-navigation top-nav top-menu top-bar "
+    "side-nav side-menu side-bar sub-nav sub-menu site-nav site-navigation site-menu site-header page-header main-header global-header header-nav "
+    "header-menu site-footer page-footer main-footer global-footer footer-nav footer-menu footer-links footer-widgets breadcrumb-nav breadcrumb-trail "
+    "sidebar-left sidebar-right left-sidebar right-sidebar main-sidebar widget-area ad-banner ad-block ad-box ad-container ad-slot ad-space ad-unit "
+    "ad-wrapper banner-ad main-ad side-ad sidebar-ad top-ad bottom-ad google-ad google-ads adsbygoogle sponsored-content sponsored-links promo-box "
+    "promo-banner cookie-notice cookie-banner cookie-bar cookie-consent cookie-popup cookie-message cookie-law consent-banner gdpr-banner gdpr-notice "
+    "alert-banner newsletter-signup newsletter-form email-signup subscribe-form subscribe-box signup-form share-bar share-buttons share-links "
+    "sharing-buttons social-bar social-buttons social-icons social-links social-media social-share comment-form comment-list comment-section "
+    "comments-area comments-list comments-section comments-wrapper disqus-thread related-articles related-content related-links related-posts "
+    "related-stories recommended-articles recommended-posts page-navigation post-navigation pagination-links search-bar search-box search-form "
+    "search-field modal-dialog skip-link".split())
+#: Those of them that lay out a page and may wrap its main text; the others say what a part holds.
+LAYOUT_NAMES = frozenset("sidebar side complementary header masthead banner overlay modal popup hidden dialog search share social side-bar sidebar-left "
+                         "sidebar-right left-sidebar right-sidebar main-sidebar widget-area site-header page-header main-header global-header "
+                         "modal-dialog".split())
+#: Names that stand for main text's own heading inside an article.
+HEADING_NAMES = frozenset(("header", "page-header", "main-header"))
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre "
                    "section summary table tbody td tfoot th thead tr ul caption".split()) | OUT
@@ -40,14 +57,16 @@ MAIN, OPEN, OUTSIDE = 0, 1, 2
 #: Characters from which on a line counts as running text, and the share of text that two copies have in common at least.
 RUNNING = 60
 MOST = 0.8
+#: Characters of running text that a cookie notice or an advert has at most.
+NOTICE = 500
 
 
-def _is_out(tag: str, attributes: str) -> bool:
-    if tag in OUT:
-        return True
+def _names(tag: str, attributes: str, article: int) -> set[str]:
+    """Classes, ids and roles of an element by which it is not main text; none for an article, the page itself and void elements."""
     if not attributes or tag in VOID or tag in ("html", "body") or tag in ARTICLE:
-        return False
-    return bool(HIDDEN.search(attributes)) or any(OUT_NAMES.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+        return set()
+    found = {x for values in NAMED.findall(attributes) for x in "".join(values).lower().replace("_", "-").split()} & OUT_NAMES
+    return found - HEADING_NAMES if article else found
 
 
 def lines_of(page: str | None) -> list[tuple[int, str]]:
@@ -55,22 +74,51 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
 
     Text in menus, footers, sidebars, forms, adverts, notices, comments and the like, and in scripts, styles and the
     head, gives no line. Tags need not be closed: an article, its end or the end of the page ends a part left out.
+    A part left out by its name alone stays if it holds most of the page's running text (text of links does not count):
+    then it wraps the main text. A part whose name says what it holds (adverts, notices, comments) stays only if no
+    other running text is left and it is longer than a notice, or no other line.
+    """
+    spared: set[int] = set()
+    while True:
+        found, parts = _lines(page, spared)
+        if not parts:
+            return found
+        left = sum(len(t) for kind, t in found if kind != OUTSIDE and len(t) >= RUNNING)
+        any_left = any(kind != OUTSIDE for kind, _ in found)
+        total = left + sum(n for n, _ in parts.values())
+        most = max(n for n, _ in parts.values())
+        wraps = {at for at, (n, layout) in parts.items() if layout and 2 * n > total or not left and n == most and (layout or n >= NOTICE or not any_left)}
+        if not wraps:
+            return found
+        spared |= wraps
+
+
+def _lines(page: str | None, spared: set[int]) -> tuple[list[tuple[int, str]], dict[int, tuple[int, bool]]]:
+    """Lines of a page, and by place of its tag each part left out by name alone that has running text: its characters, whether of LAYOUT_NAMES.
+
+    Parts whose places are spared are not left out. Of a page with an article only parts inside it are given.
     """
     found: list[tuple[int, str]] = []
     held: list[str] = []
+    parts: dict[int, tuple[int, bool]] = {}
     out, depth, article, block, seen = "", 0, 0, "", False
+    part, layout, inner, inner_depth, linked, inside = -1, False, "", 0, False, set()
 
     def close() -> None:
+        nonlocal held
         if held:
             text = " ".join(html.unescape("".join(held)).split())
-            if text:
+            if out:
+                if len(text) >= RUNNING:
+                    parts[part] = (parts.get(part, (0, layout))[0] + len(text), layout)
+            elif text:
                 found.append((OUTSIDE if not article else MAIN if block in TEXT_BLOCKS else OPEN, text))
-            held.clear()
+            held = []
 
     for m in TOKEN.finditer(page or ""):
         kind = m.lastgroup
         if kind == "text":
-            if not out:
+            if not out or part >= 0 and not inner and not linked:
                 held.append(m["text"])
             continue
         tag = (m["tag"] or "").lower()
@@ -78,22 +126,37 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
             continue
         closing = bool(m["close"])
         if out:
+            if part >= 0 and tag in BLOCKS:
+                close()
+            elif tag == "a":
+                linked = not closing
             if tag == out:
                 depth += -1 if closing else 1
                 if not depth:
+                    close()
                     out = ""
                 continue
             if not (tag in ARTICLE and (closing and article or not closing and not article) or tag == "body"):
+                if tag == inner:
+                    inner_depth += -1 if closing else 1
+                    inner = inner if inner_depth else ""
+                elif tag in OUT and not closing and not inner:
+                    inner, inner_depth = tag, 1
                 continue
-            out, depth = "", 0
-        if not closing and _is_out(tag, m["attributes"] or ""):
-            close()
-            out, depth = tag, 1
-            continue
-        if not closing and tag == "header" and not article:
             close()
-            out, depth = tag, 1
-            continue
+            out, depth = "", 0
+        if not closing:
+            attributes = m["attributes"] or ""
+            always = tag in OUT or tag == "header" and not article or \
+                bool(attributes) and tag not in VOID and tag not in ("html", "body") and tag not in ARTICLE and bool(HIDDEN.search(attributes))
+            names = set() if always or m.start() in spared else _names(tag, attributes, article)
+            if always or names:
+                close()
+                out, depth, inner, linked = tag, 1, "", False
+                part, layout = (m.start(), names <= LAYOUT_NAMES) if names else (-1, False)
+                if article:
+                    inside.add(part)
+                continue
         if tag in BLOCKS:
             close()
             block = "" if closing else tag
@@ -103,7 +166,9 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
         elif tag == "br":
             held.append(" ")
     close()
-    return found if seen else [(OPEN, t) for _, t in found]
+    if seen:
+        return found, {at: x for at, x in parts.items() if at in inside}
+    return [(OPEN, t) for _, t in found], parts
 
 
 def shared(a: list[int], b: list[int]) -> list[int]:

@@ -153,3 +153,25 @@ def test_copies_without_an_article_keep_their_text(spark):
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         assert all(STORY in got[i] for i in range(61))
         assert all("another story" in got[i] and "cookies" not in got[i] for i in (70, 71))
+
+
+def test_names_are_whole():
+    for name in ("no-sidebar", "has-sidebar", "ad-free", "side-by-side", "search-result", "entry-header", "entry_header"):
+        assert text(f"<body><div class='wide {name}'><p>kept</p></div>") == ["kept"]
+        assert text(f"<article><div id={name}><h1>head</h1></div><p>kept</p></article>") == ["head", "kept"]
+    assert text("<article><div class='header'><h1>head</h1></div><p>kept</p></article>") == ["head", "kept"]
+    for name in ("Sidebar", "cookie_notice", "x ad", "related-posts"):
+        assert text(f"<body><div class='{name}'><p>gone</p></div><p>kept</p>") == ["kept"]
+
+
+def test_wrappers_of_most_running_text_stay():
+    more = STORY.upper()
+    assert text(f"<body><div class='sidebar'><p>{STORY}</p><div class='ad'>buy</div><p>{more}</p></div><p>{STORY}</p>") == [STORY, more, STORY]
+    assert text(f"<body><div class='sidebar'><div id=search><p>{STORY}</p></div></div><p>x") == [STORY, "x"]
+    assert text(f"<article><p>{STORY}</p><div class='comments'><p>{more}</p><p>{more}</p></div></article>") == [STORY]
+    assert text(f"<article><div class='side'><p>{STORY}</p></div><p>{more} {more}</p></article>") == [f"{more} {more}"]
+    assert text(f"<article><div class='overlay'><nav>{more} {more}</nav><p>{STORY}</p></div></article>") == [STORY]
+    assert text(f"<body><div hidden><p>{STORY}</p></div><p>x") == ["x"]
+    assert text(f"<body><div class=cookie-notice>{STORY}</div><div class=sidebar><a>{STORY}</a></div><p>x") == ["x"]
+    assert text(f"<body><h1>x</h1><div class=ad>{'<p>' + STORY}{'<p>' + STORY * 4}</div>") == ["x", STORY, (STORY * 4).strip()]
+    assert text(f"<article><div class=side><p>{STORY}</p></div></article><div class=sidebar><p>{STORY * 4}</p></div>") == [STORY]
