@@ -11,9 +11,11 @@ from airgrid.llm.common import arrow_map, written
 
 #: Labelled rows that the text model is fitted on, about; a hash of the rows picks them. Everything else reads all rows.
 TRAIN_ROWS = 20_000
-#: Languages that the model tells apart: the most frequent declared ones, each with this share of the rows at least.
-MOST_LANGUAGES = 64
+#: Every declared language is told apart. Those with a smaller share of the labelled rows are smoothed towards all rows
+#: instead of evenly, and get rows of their own: TRAIN_ROWS more, dealt evenly among them.
 LEAST_SHARE = 0.002
+#: Languages whose trigrams are looked up at once.
+LANGUAGE_BLOCK = 64
 #: Bytes of text whose trigrams are looked up at once.
 STEP_BYTES = 1_000_000
 #: Hashed byte trigrams of the text model; log-probabilities are whole numbers of this fraction, so sums have no order.
@@ -58,12 +60,18 @@ def primary(declared: Column) -> Column:
 
 
 class TextModel:
-    """Whole-number log-probabilities of trigrams by language."""
-
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        smooth = counts + 0.5
-        self.table = np.rint(GRAIN * np.log(smooth / smooth.sum(axis=1, keepdims=True))).astype(np.int32).T.copy()
+    """Whole-number log-probabilities of trigrams by language, in blocks of languages; `rare` marks languages smoothed towards all."""
+
+    def __init__(self, languages: list[str], counts: np.ndarray, rare: np.ndarray | None = None):
+        self.languages, self.blocks = languages, []
+        overall = counts.sum(axis=0) + 0.5
+        overall *= 0.5 * FEATURES / overall.sum()
+        for at in range(0, len(languages), LANGUAGE_BLOCK):
+            smooth = counts[at:at + LANGUAGE_BLOCK] + 0.5
+            if rare is not None:
+                thin = rare[at:at + LANGUAGE_BLOCK]
+                smooth[thin] += overall - 0.5
+            self.blocks.append(np.rint(GRAIN * np.log(smooth / smooth.sum(axis=1, keepdims=True))).astype(np.int32).T.copy())
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text in each language, and its number of trigrams."""
@@ -72,32 +80,45 @@ class TextModel:
         some = np.flatnonzero(counts)
         if len(some):
             begins = np.cumsum(counts[some]) - counts[some]
-            out[some] = np.add.reduceat(self.table[feature], begins, axis=0, dtype=np.int64)
+            for k, block in enumerate(self.blocks):
+                at = k * LANGUAGE_BLOCK
+                out[some, at:at + LANGUAGE_BLOCK] = np.add.reduceat(block[feature], begins, axis=0, dtype=np.int64)
         return out, counts
 
 
 def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel | None:
     """Fit the text model on rows (text, declared); None if no row is labelled. Collects languages x FEATURES counts at most."""
-    known = rows.groupBy("declared").count().collect()
-    total = sum(r["count"] for r in known if r["declared"])
-    frequent = sorted((-r["count"], r["declared"]) for r in known if r["declared"] and r["count"] >= LEAST_SHARE * total)
-    languages = sorted(name for _, name in frequent[:MOST_LANGUAGES])
+    known = {r["declared"]: r["count"] for r in rows.groupBy("declared").count().collect() if r["declared"]}
+    total = sum(known.values())
+    languages = sorted(known)
     if not languages:
         return None
+    rare = np.array([known[x] < LEAST_SHARE * total for x in languages])
     share = min(1.0, train_rows / total)
-    sample = rows.filter(F.col("declared").isin(languages) & (F.pmod(F.xxhash64("text", "declared"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    upto = int(share * (1 << 20)) + 1
+    picked = F.pmod(F.xxhash64("text", "declared"), F.lit(1 << 20))
+    limit = F.lit(upto)
+    thin = [x for x, r in zip(languages, rare) if r or known[x] * share < LEAST_SHARE * TRAIN_ROWS]
+    if thin and share < 1:
+        # at least the smallest hash of each of them, so that no language is left without a row
+        own = max(1, train_rows // len(thin))
+        first = rows.filter(F.col("declared").isin(thin)).groupBy("declared").agg(F.min(picked).alias("first")).collect()
+        upto_of = {x: max(upto, least + 1, int(own / known[x] * (1 << 20)) + 1) for x, least in first}
+        limit = F.coalesce(F.create_map(*[F.lit(y) for x in upto_of.items() for y in x])[F.col("declared")], limit)
+    sample = rows.filter(F.col("declared").isNotNull() & (picked < limit))
 
     def step(c: dict) -> dict:
         feature, counts = trigrams(c["text"].to_pylist())
-        code = np.array([languages.index(x) for x in c["declared"].to_pylist()], dtype=np.int64)
+        at = {x: i for i, x in enumerate(languages)}
+        code = np.array([at[x] for x in c["declared"].to_pylist()], dtype=np.int64)
         key, n = np.unique(np.repeat(code, counts) * FEATURES + feature, return_counts=True)
         return {"key": pa.array(key), "n": pa.array(n)}
 
     counted = arrow_map(sample.select("text", "declared"), "key bigint, n bigint", step, "text", STEP_BYTES).groupBy("key").agg(F.sum("n").alias("n"))
     table = np.zeros(len(languages) * FEATURES)
-    for key, n in counted.collect():
+    for key, n in counted.toLocalIterator():
         table[key] = n
-    return TextModel(languages, table.reshape(len(languages), FEATURES))
+    return TextModel(languages, table.reshape(len(languages), FEATURES), rare)
 
 
 def _counts(label: str, n: int) -> Column:

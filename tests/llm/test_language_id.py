@@ -135,3 +135,18 @@ def test_rejected_rows_go(spark):
     verdicts = L.identify_documents(docs, pages, F.struct("doc_id", "text")).filter("kept").count()
     assert kept.count() == verdicts > 0
     assert all(r.text and r.text.strip() for r in kept.collect())
+
+
+def test_rare_languages_are_told(spark):
+    """A language with less than 0.2 % of the rows, and one beyond the 64 most frequent."""
+    words = {"en": "the of and to in that is with was for", "cy": "yr ddraig goch rhwng llyn mynydd gwyrdd cymru ysgol"}
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words["en"].split(), k=12)), "en", None, None) for i in range(1200)]
+    rows += [(2000 + i, " ".join(rng.choices(words["cy"].split(), k=12)), "cy", None, None) for i in range(2)]
+    many = [f"{a}{b}" for a in "qxzjkw" for b in "qxzjkwvbfhm"]
+    made = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(8)] for x in many}
+    rows += [(3000 + 20 * k + i, " ".join(rng.choices(made[x], k=9)), x, None, None) for k, x in enumerate(many) for i in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for train_rows in (L.TRAIN_ROWS, 700):
+        found = {r.key: (r.language, r.kept) for r in L.identify(df, F.col("text"), F.col("declared"), F.col("suffix"), F.col("host"), F.col("k"), train_rows).collect()}
+        assert [found[k] for k, *_ in rows] == [(d, True) for _, _, d, _, _ in rows]
