@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ TRAIN_ROWS = 20_000
 #: Every declared language is told apart. Those with a smaller share of the labelled rows are smoothed towards all rows
 #: instead of evenly, and get rows of their own: TRAIN_ROWS more, dealt evenly among them.
 LEAST_SHARE = 0.002
-#: Languages whose trigrams are looked up at once.
+#: Languages whose trigrams are looked up at once, and numbers of a matrix of rows and languages.
 LANGUAGE_BLOCK = 64
+STEP_CELLS = 1_000_000
 #: Bytes of text whose trigrams are looked up at once.
 STEP_BYTES = 1_000_000
 #: Hashed byte trigrams of the text model; log-probabilities are whole numbers of this fraction, so sums have no order.
@@ -121,16 +123,8 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> TextModel | None:
     return TextModel(languages, table.reshape(len(languages), FEATURES), rare)
 
 
-def _counts(label: str, n: int) -> Column:
-    return F.array(*[F.count_if(F.col(label) == i) for i in range(n)])
-
-
-def _added(arrays: str, n: int) -> Column:
-    return F.array(*[F.sum(F.col(arrays)[i]) for i in range(n)])
-
-
 class Scored:
-    """Rows with the text's log-likelihoods (scores), best language (-1 without a letter) and the columns carried along."""
+    """Rows with the text's log-likelihoods (scores), best language (-1 without a letter), a number (at) and the columns carried along."""
 
     def __init__(self, rows: DataFrame, languages: list[str]):
         self.rows, self.languages = rows, languages
@@ -153,113 +147,167 @@ def score(df: DataFrame, text: Column, declared: Column, carry: dict[str, Column
         return {"row": c["row"], "best": pa.array(best.astype(np.int32)), "scores": list(s)}
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, best int, scores array<bigint>"
-    scored, _ = written(arrow_map(rows.select("row", "text"), schema, step, "text", STEP_BYTES), "scores")
-    return Scored(scored.select("row.*", "best", "scores"), model.languages)
+    scored = arrow_map(rows.select("row", "text"), schema, step, "text", STEP_BYTES)
+    scored, _ = written(scored.withColumn("at", F.monotonically_increasing_id()), "scores")
+    return Scored(scored.select("row.*", "at", "best", "scores"), model.languages)
+
 
+#: What one page (or a row by itself) says of its language, and how many pages say so.
+SEEN = "array<struct<declared:string,suffix:string,host:string,n:bigint>>"
 
-def fuse(scored: Scored, declared: Column, suffix: Column, host: Column, key: Column) -> DataFrame:
+
+def fuse(scored: Scored, declared: Column, seen: Column, key: Column) -> DataFrame:
     """key, language, posterior (double), text_language, declared and kept of every scored row.
 
-    Log-likelihoods of the text under each language, of the declared language and of the address suffix given the
-    language, and a host prior are added and normalised. The prior of a host inherits from its domain (last two labels)
-    and that from all rows, by pseudo-counts; counts are a grouped aggregation of what the text alone says over all
-    rows, and a row's own vote is taken out of them. NULL declared language, suffix or host is no evidence.
-    language is `und` and posterior 0 for a text without a letter (NULL and empty ones too). kept: the text has a letter
-    and the posterior is at least LEAST_POSTERIOR, or no row of the table is labelled, so that nothing can be told. Rows
-    stand alone, ties go to the language first by name; `key` need not be unique.
+    `seen` is an array as SEEN. Log-likelihoods of the text under each language, of the declared languages and of the
+    address suffixes given the language, and a host prior are added and normalised. All pages of a row count: they share
+    the weight of one in the likelihoods, by their numbers, and the counts of their hosts, and of their domains, are
+    added. The prior of hosts inherits from their domains (last two labels) and that from all rows, by pseudo-counts;
+    counts are a grouped aggregation of what the text alone says over all rows, where a row votes once for each of its
+    hosts, domains, suffixes and declared languages, and a row's own votes are taken out of them. NULL declared language,
+    suffix or host is no evidence, nor is a suffix without a host. language is `und` and posterior 0 for a text without a letter (NULL and empty ones too).
+    kept: the text has a letter and the posterior is at least LEAST_POSTERIOR, or no row of the table is labelled, so that
+    nothing can be told. Rows stand alone, ties go to the language first by name; `key` need not be unique.
     """
     languages, n = scored.languages, len(scored.languages)
-    scored = scored.rows.select(key.alias("key"), primary(declared).alias("declared"), F.lower(suffix).alias("suffix"), F.lower(host).alias("host"), "best", "scores")
-    kind = scored.schema["key"].dataType.simpleString()
     if not n:
-        return scored.select("key", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_language"), "declared",
-                             (F.col("best") >= 0).alias("kept"))
-    told = scored.filter("best >= 0")
-    named = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(F.lit(""))
-    said = told.filter("declared is not null").groupBy(named.alias("declared")).agg(_counts("best", n).alias("c")).collect()
+        return scored.rows.select(key.alias("key"), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(UNKNOWN).alias("text_language"),
+                                  primary(declared).alias("declared"), (F.col("best") >= 0).alias("kept"))
+    low = F.transform(seen.cast(SEEN), lambda x: F.struct(primary(x["declared"]).alias("declared"), F.lower(x["suffix"]).alias("suffix"), F.lower(x["host"]).alias("host"), x["n"].alias("n")))
+    scored = scored.rows.select(key.alias("key"), primary(declared).alias("declared"), low.alias("seen"), "at", "best", "scores")
+    kind = scored.schema["key"].dataType.simpleString()
+    told = scored.filter("best >= 0").select("at", "best", "seen")
+    said = told.select("best", F.explode(F.expr("array_distinct(filter(transform(seen, x -> x.declared), x -> x is not null))")).alias("declared"))
+    named = {x: i for i, x in enumerate(languages)}
     confusion = np.full((n + 1, n), UNSEEN)
-    for d, c in said:
-        confusion[languages.index(d) if d else n] += c
+    for d, best, k in said.groupBy("declared", "best").count().collect():
+        confusion[named.get(d, n), best] += k
     log_declared = np.log(confusion / confusion.sum(axis=0))
-
-    domain = F.substring_index("host", ".", -2)
-    hosts = told.filter("host is not null").groupBy("host", "suffix").agg(_counts("best", n).alias("h")).withColumn("domain", domain)
-    everywhere = np.zeros(n) + told.agg(_counts("best", n)).first()[0]
-    domains = hosts.groupBy("domain").agg(_added("h", n).alias("d"))
-    suffixes = hosts.filter("suffix is not null").groupBy("suffix").agg(_added("h", n).alias("s"))
-    n_suffixes, *by_suffix = suffixes.agg(F.count("*"), *[F.coalesce(F.sum(F.col("s")[i]), F.lit(0)) for i in range(n)]).first()
-    prior = hosts.groupBy("host").agg(F.first("domain").alias("domain"), _added("h", n).alias("h")).join(domains, "domain").drop("domain")
-    joined = scored.join(prior, "host", "left").join(suffixes, "suffix", "left")
-
-    def step(c: dict) -> dict:
+    everywhere = np.zeros(n)
+    for best, k in told.groupBy("best").count().collect():
+        everywhere[best] = k
+
+    # (kind, name) of each distinct host, domain and suffix of a row, with the number of its pages
+    links = told.withColumn("seen", F.expr("filter(seen, x -> x.host is not null)")).withColumn("names", F.expr("""concat(
+        transform(seen, x -> struct('h' AS kind, x.host AS name, x.n AS n)),
+        transform(seen, x -> struct('d' AS kind, substring_index(x.host, '.', -2) AS name, x.n AS n)),
+        transform(filter(seen, x -> x.suffix is not null), x -> struct('s' AS kind, x.suffix AS name, x.n AS n)))"""))
+    alone = links.filter("size(seen) = 1").select("at", "best", F.inline("names"))
+    several = links.filter("size(seen) > 1").select("at", "best", F.inline("names")).groupBy("at", "best", "kind", "name").agg(F.sum("n").alias("n"))
+    links = alone.unionByName(several)
+    votes = links.groupBy("kind", "name", "best").agg(F.count("*").alias("n"))
+    by_suffix, n_suffixes = np.zeros(n), votes.filter("kind = 's'").select("name").distinct().count()
+    for best, k in votes.filter("kind = 's'").groupBy("best").agg(F.sum("n")).collect():
+        by_suffix[best] = k
+    counts = votes.groupBy("kind", "name").agg(F.collect_list(F.struct("best", "n")).alias("c"))
+    found = links.select("at", "kind", "name", "n").join(counts, ["kind", "name"])
+    one = F.struct("name", "n", "c")
+    found = found.groupBy("at").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, one))).alias(k) for k in "hds"])
+    joined = scored.select("at", "key", "declared", F.transform("seen", lambda x: F.struct(x["declared"].alias("declared"), x["n"].alias("n"))).alias("said"), "best", "scores") \
+        .join(found, "at", "left").drop("at")
+
+    def owners(lists: pa.ListArray) -> np.ndarray:
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(lists)), sizes)
+
+    def told_by(c: dict, name: str, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts by language of each name of each row, without the row's own vote; the rows and numbers of pages."""
+        row, flat = owners(c[name]), c[name].flatten()
+        lists = flat.field("c") if len(flat) else pa.array([], pa.list_(pa.struct([("best", pa.int32()), ("n", pa.int64())])))
+        cells = lists.flatten()
+        out = np.zeros((len(row), n))
+        if len(row):
+            out[owners(lists), cells.field("best").to_numpy(zero_copy_only=False)] = cells.field("n").to_numpy(zero_copy_only=False)
+            out = np.maximum(out - own[row], 0)
+        return out, row, flat.field("n").to_numpy(zero_copy_only=False) if len(row) else np.zeros(0)
+
+    def shared_weight(total: np.ndarray, row: np.ndarray, weight: np.ndarray, logs: np.ndarray) -> None:
+        """Add to each row the mean of its logs, by weight."""
+        sums = np.bincount(row, weight, len(total))
+        np.add.at(total, row, logs * (weight / sums[row])[:, None])
+
+    def few(c: dict) -> dict:
         size = len(c["best"])
         best = c["best"].to_numpy(zero_copy_only=False)
         own = (best[:, None] == np.arange(n)).astype(float)
-
-        def counts(name: str) -> np.ndarray:
-            out = np.zeros((size, n))
-            there = c[name].is_valid().to_numpy(zero_copy_only=False)
-            if there.any():
-                out[there] = c[name].drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n) - own[there]
-            return out
-
         level = np.maximum(everywhere - own, 0) + 1.0
         level /= level.sum(axis=1, keepdims=True)
         for name in ("d", "h"):
-            seen = np.maximum(counts(name), 0)
+            votes_of, row, _ = told_by(c, name, own)
+            seen = np.zeros((size, n))
+            np.add.at(seen, row, votes_of)
             level = (seen + INHERITED * level) / (seen.sum(axis=1, keepdims=True) + INHERITED)
         total = np.log(level) + TEMPER / GRAIN * c["scores"].flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-        at = {x: i for i, x in enumerate(languages)}
-        said_by = c["declared"].to_pylist()
-        code = np.array([-1 if d is None else at.get(d, n) for d in said_by])
-        total += np.where(code[:, None] >= 0, log_declared[code], 0.0)
-        has_suffix = c["s"].is_valid().to_numpy(zero_copy_only=False)
-        likely = np.log((np.maximum(counts("s"), 0) + UNSEEN) / (np.array(by_suffix, dtype=float) + UNSEEN * max(1, n_suffixes)))
-        total += np.where(has_suffix[:, None], likely, 0.0)
+        row, values = owners(c["said"]), c["said"].flatten()
+        if len(row):
+            words, weight = values.field("declared"), values.field("n").to_numpy(zero_copy_only=False).astype(float)
+            there = words.is_valid().to_numpy(zero_copy_only=False)
+            code = np.array([named.get(d, n) for d in words.drop_null().to_pylist()], dtype=np.int64)
+            shared_weight(total, row[there], weight[there], log_declared[code])
+        votes_of, row, weight = told_by(c, "s", own)
+        shared_weight(total, row, weight, np.log((votes_of + UNSEEN) / (by_suffix + UNSEEN * max(1, n_suffixes))))
         total -= total.max(axis=1, keepdims=True)
         post = np.exp(total)
         post /= post.sum(axis=1, keepdims=True)
         first = post.argmax(axis=1)
         sure = post[np.arange(size), first]
         ok = best >= 0
-        return {"key": c["key"], "language": [languages[i] if o else UNKNOWN for i, o in zip(first, ok)],
-                "posterior": pa.array(np.where(ok, sure, 0.0)), "text_language": [languages[i] if i >= 0 else UNKNOWN for i in best],
+        return {"key": c["key"], "language": pa.array([languages[i] if o else UNKNOWN for i, o in zip(first, ok)], pa.string()),
+                "posterior": pa.array(np.where(ok, sure, 0.0)), "text_language": pa.array([languages[i] if i >= 0 else UNKNOWN for i in best], pa.string()),
                 "declared": c["declared"], "kept": pa.array(ok & (sure >= LEAST_POSTERIOR))}
 
+    def step(c: dict) -> dict:
+        size, at_once = len(c["best"]), max(1, STEP_CELLS // n)
+        parts = [few({k: v.slice(i, at_once) for k, v in c.items()}) for i in range(0, max(1, size), at_once)]
+        return {k: pa.concat_arrays([p[k] for p in parts]) for k in parts[0]}
+
     return arrow_map(joined, f"key {kind}, language string, posterior double, text_language string, declared string, kept boolean", step)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """doc_id, markup, host and suffix of the page that shows a document: the last number of its path is the doc_id.
+    """doc_id, markup, host and suffix of the first page that shows a document, and `seen`, what all of them say.
 
-    Of several pages the smallest page_id counts; pages without such a number or address are no evidence.
+    The last number of a page's path is the doc_id; pages without such a number or address are no evidence. markup is
+    the lang of the first <html tag outside comments, wherever it stands. The first page is that with the smallest page_id;
+    seen has each distinct markup, suffix and host with the number of pages.
     """
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    seen = pages.select(
+    tag = F.regexp_extract(F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", ""), r"(?i)<html\b[^>]*", 0)
+    shown = pages.select(
         "page_id", F.expr("try_cast(nullif(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/([0-9]+)(?:[.][a-z]+)?/?$', 1), '') as bigint)").alias("doc_id"),
-        F.regexp_extract("html", r"(?is)^.{0,400}?<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1).alias("markup"), F.lower(host).alias("host"))
-    seen = seen.filter((path != "") & F.col("doc_id").isNotNull())
-    named = F.regexp_extract("host", r"\.([a-z]{2,})$", 1)
-    one = seen.groupBy("doc_id").agg(F.min(F.struct("page_id", "markup", "host")).alias("p"))
-    return one.select("doc_id", F.when(F.col("p.markup") != "", F.col("p.markup")).alias("markup"), F.when(F.col("p.host") != "", F.col("p.host")).alias("host")) \
-        .withColumn("suffix", F.when(named != "", named))
+        F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1).alias("markup"), F.lower(host).alias("host"))
+    shown = shown.filter((path != "") & F.col("doc_id").isNotNull())
+    suffix = F.regexp_extract("host", r"\.([a-z]{2,})$", 1)
+    shown = shown.select("page_id", "doc_id", *[F.when(c != "", c).alias(name) for name, c in (("markup", F.col("markup")), ("suffix", suffix), ("host", F.col("host")))])
+    what = ("markup", "suffix", "host")
+    each = shown.groupBy("doc_id", *what).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+    every = each.groupBy("doc_id").agg(F.min(F.struct("page_id", *what)).alias("p"), F.collect_list(F.struct(F.col("markup").alias("declared"), "suffix", "host", "n")).alias("seen"))
+    return every.select("doc_id", "p.markup", "p.host", "p.suffix", "seen")
+
+
+def _seen(declared: Column, suffix: Column, host: Column) -> Column:
+    return F.array(F.struct(declared.cast("string").alias("declared"), suffix.cast("string").alias("suffix"), host.cast("string").alias("host"), F.lit(1).cast("bigint").alias("n")))
 
 
 def identify(df: DataFrame, text: Column, declared: Column, suffix: Column, host: Column, key: Column, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """`score` and `fuse` where a row brings all its evidence itself."""
     carry = {"key": key, "declared": primary(declared), "suffix": suffix.cast("string"), "host": host.cast("string")}
-    return fuse(score(df, text, declared, carry, train_rows), F.col("declared"), F.col("suffix"), F.col("host"), F.col("key"))
+    scored = score(df, text, declared, carry, train_rows)
+    return fuse(scored, F.col("declared"), _seen(F.col("declared"), F.col("suffix"), F.col("host")), F.col("key"))
 
 
 def identify_documents(docs: DataFrame, pages: DataFrame, key: Column) -> DataFrame:
-    """`fuse` over documents (doc_id, text, lang, source): markup, host and suffix come from the page that shows a document.
+    """`fuse` over documents (doc_id, text, lang, source): markup, hosts and suffixes come from all pages that show a document.
 
-    Without a page lang and source stand in for declared language and host. Pages meet scores, never texts.
+    Where a page has no markup or host, and without a page, lang and source stand in; the column `declared` is the first
+    page's. Pages meet scores, never texts.
     """
     scored = score(docs, F.col("text"), F.col("lang"), {"key": key, "doc_id": F.col("doc_id").cast("bigint"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
     scored.rows = scored.rows.join(page_evidence(pages), "doc_id", "left")
-    return fuse(scored, F.coalesce("markup", "lang"), F.col("suffix"), F.coalesce("host", "source"), F.col("key"))
+    lang, source = F.col("lang"), F.col("source")
+    of_pages = F.transform("seen", lambda x: F.struct(F.coalesce(x["declared"], lang).alias("declared"), x["suffix"].alias("suffix"), F.coalesce(x["host"], source).alias("host"), x["n"].alias("n")))
+    return fuse(scored, F.coalesce("markup", "lang"), F.coalesce(of_pages, _seen(lang, F.lit(None), source)), F.col("key"))
 
 
 def keep_identified(docs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -150,3 +150,24 @@ def test_rare_languages_are_told(spark):
     for train_rows in (L.TRAIN_ROWS, 700):
         found = {r.key: (r.language, r.kept) for r in L.identify(df, F.col("text"), F.col("declared"), F.col("suffix"), F.col("host"), F.col("k"), train_rows).collect()}
         assert [found[k] for k, *_ in rows] == [(d, True) for _, _, d, _, _ in rows]
+
+
+def test_all_pages_of_a_document_count(spark):
+    words = {"en": "the of and to in that is with was for", "fr": "le la les des une dans est que pour avec"}
+    rng = random.Random(4)
+    docs, pages = [], []
+    for i in range(200):
+        lang = "fr" if i % 2 else "en"
+        docs.append((i, " ".join(rng.choices(words[lang].split(), k=8)), lang, "s"))
+        pages.append((10 * i + 1, f"http://www.{lang}.org/{i}", "<!-- <html lang=xx> -->" + " " * 3000 + f"<html class=x lang={lang}>"))
+    # no word tells; the first page says nothing of use, the two others do
+    docs.append((500, "zzz", None, None))
+    pages += [(1, "http://nowhere.net/500", "<html>"), (8001, "http://www.fr.org/500", "<html lang=fr>"), (8002, "http://www.fr.org/x/500", "<html lang=fr>")]
+    docs, pages = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"), spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    seen = {r.doc_id: r for r in L.page_evidence(pages).collect()}
+    assert (seen[3].markup, seen[4].markup) == ("fr", "en")
+    assert sorted((x.declared or "", x.host, x.suffix, x.n) for x in seen[500].seen) == [("", "nowhere.net", "net", 1), ("fr", "www.fr.org", "org", 2)]
+    found = {r.key: r for r in L.identify_documents(docs, pages, F.col("doc_id")).collect()}
+    assert len(found) == 201 and found[500].language == "fr" and found[500].posterior > 0.9
+    first = {r.key: r for r in L.identify_documents(docs, pages.filter("page_id < 8000"), F.col("doc_id")).collect()}
+    assert first[500].posterior < 0.9
