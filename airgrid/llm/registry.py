@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import html_text, language_id, neighbours, packing, pieces, quality_rules, simhash, substring, token_counts, token_files
+from airgrid.llm import (html_text, language_id, merkle, mixing, neighbours, packing, pieces, quality_rules, simhash, substring, token_counts, token_files,
+                         vector_codes)
 from airgrid.llm.common import table, vocabulary
 from airgrid.session import shared_folder
 
@@ -67,5 +68,23 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op7_nearest_neighbours, op8_sentencepiece, op9_html_text, op10_token_counts)}
-ORACLES = {"op2_quality_rules": quality_rules.oracle()}
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and root of every document, and what a tampered text folds to."""
+    docs = table(spark, folder, "documents")
+    leaves = merkle.leaves_of(docs, tampered=merkle.tampered_fifth(F.col("doc_id")))
+    return merkle.manifest(leaves).withColumnRenamed("key", "doc_id")
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors, their errors and the digest of the codebooks."""
+    return vector_codes.codes(table(spark, folder, "embeddings"))
+
+
+def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.shares(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash_near_duplicates, op4_pattern_packing, op5_substring_dedup, op6_token_files, op7_nearest_neighbours, op8_sentencepiece, op9_html_text, op10_token_counts,
+                                   op11_merkle_manifest, op12_vector_codes, op13_source_mix)}
+ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op13_source_mix": mixing.oracle()}
