@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm.common import arrow_map, written
-from airgrid.llm.recompression import BASE, BASE_2, INVERSE, INVERSE_2, ROUNDS, Words, anchors, mix
+from airgrid.llm.recompression import BASE_2, INVERSE_2, ROUNDS, Words, anchors, mix
 
 WINDOW = 13
 #: Words that are parsed at once; a longer document is parsed in parts that overlap by a window less one word.
@@ -35,6 +35,13 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
+def _whole(words: list[bytes]) -> int:
+    """128-bit hash of all words; words hold no space, so equal inputs are equal words."""
+    import xxhash
+
+    return xxhash.xxh3_128_intdigest(b" ".join(words))
+
+
 def _parts(hashes: list[np.ndarray], size: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
     """Parts of documents put together to at most PART_WORDS words (one part may have a window more).
 
@@ -66,7 +73,8 @@ def _anchored(hashes: list[np.ndarray], size: int, rounds: int) -> Iterator[tupl
     for words, owner, first in _parts(hashes, size):
         at, key = anchors(words, size, rounds)
         part = np.searchsorted(words.starts, at, side="right") - 1
-        yield owner[part], first[part] + at - words.starts[part], key, words.stretch(at, at + size)
+        # under a base of its own, so that anchor and window hash are 128 bits together even where the anchor is the window
+        yield owner[part], first[part] + at - words.starts[part], key, words.stretch(at, at + size, BASE_2, INVERSE_2)
 
 
 def _rows(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> list[tuple]:
@@ -116,14 +124,15 @@ def _asked_by(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFram
     """What the documents of a step ask: rows (kind, bucket, keys, other, docs) of packed entries.
 
     ANCHOR: a symbol that one document of the step has, and that document. A symbol that several have is shared in any
-    case: it is sent once without a document, and its documents are told at once (TOLD). WHOLE: two hashes of all words
+    case: it is sent once without a document, and its documents are told at once (TOLD). WHOLE: the 128-bit hash of all words
     of a document and its id; of copies in the step the smallest id is sent, the others are told (TOLD_COPY). So a
     symbol or a text that a third of all documents have sends its bucket one entry a step; what is told spreads by id.
     """
 
     def step(c: dict) -> dict:
         ids = c["doc_id"].to_numpy(zero_copy_only=False)
-        hashes = [_hashes(t.encode().split()) for t in c["text"].to_pylist()]
+        split = [t.encode().split() for t in c["text"].to_pylist()]
+        hashes = [_hashes(w) for w in split]
         found = [(ids[doc[new]], key[new]) for doc, _, key, _ in _anchored(hashes, size, rounds) for new in (_starts(key, doc),)]
         if not found:
             return {n: [] for n in ASKED}
@@ -137,8 +146,8 @@ def _asked_by(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFram
         told = once & ~lone
         out += [(k, b, x, b"", d) for k, b, x, d in _rows(TOLD, _bucket(_by_doc(doc[told]), buckets), key[told].view(np.int64), doc[told])]
         long = [i for i, h in enumerate(hashes) if len(h) >= size]
-        whole = Words(np.concatenate([hashes[i] for i in long]), np.cumsum([0] + [len(hashes[i]) for i in long]))
-        one, two = (whole.stretch(whole.starts[:-1], whole.starts[1:], *b) for b in ((BASE, INVERSE), (BASE_2, INVERSE_2)))
+        whole = [_whole(split[i]) for i in long]
+        one, two = (np.array([x >> shift & (1 << 64) - 1 for x in whole], dtype=np.uint64) for shift in (0, 64))
         doc, one, two, first, group = _sorted_groups(ids[long], one, two)
         out += _rows(WHOLE, _bucket(one[first], buckets), one[first].view(np.int64), two[first].view(np.int64), doc[first])
         later = doc > doc[first][group]
@@ -163,12 +172,15 @@ def _answer(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs, "key": keys, "copy": np.arange(len(docs)) >= symbols})
 
 
-def _is_copy(hashes: np.ndarray, copies: pa.ListScalar, size: int) -> bool:
-    """Whether the hash of all words is among those of texts that copy an earlier document."""
-    if not copies.is_valid or not len(copies) or len(hashes) < size:
+def _is_copy(words: list[bytes], copies: pa.ListScalar, size: int) -> bool:
+    """Whether the hash of all words is among those of this id's texts that copy an earlier document word by word.
+
+    Texts were compared by 128 bits; here half of them tell the rows of one id apart.
+    """
+    if not copies.is_valid or not len(copies) or len(words) < size:
         return False
-    whole = Words(hashes, np.array([0, len(hashes)])).stretch(np.array([0]), np.array([len(hashes)]))
-    return bool(np.isin(whole.view(np.int64), copies.values.to_numpy(zero_copy_only=False))[0])
+    half = np.array([_whole(words) & (1 << 64) - 1], dtype=np.uint64)
+    return bool(np.isin(half.view(np.int64), copies.values.to_numpy(zero_copy_only=False))[0])
 
 
 def _windows_asked(docs: DataFrame, buckets: int, size: int, rounds: int) -> DataFrame:
@@ -186,8 +198,8 @@ def _windows_asked(docs: DataFrame, buckets: int, size: int, rounds: int) -> Dat
         # a document's keys are looked up together with its number
         known = np.unique(lists ^ _by_doc(np.repeat(np.arange(len(ids)), sizes)))
         found = []
-        hashes = [_hashes(t.encode().split()) for t in c["text"].to_pylist()]
-        hashes = [h[:0] if _is_copy(h, s, size) else h for h, s in zip(hashes, c["copies"])]
+        split = [t.encode().split() for t in c["text"].to_pylist()]
+        hashes = [_hashes([] if _is_copy(w, x, size) else w) for w, x in zip(split, c["copies"])]
         for doc, _, key, own in _anchored(hashes, size, rounds):
             hit = np.isin(key ^ _by_doc(doc), known)
             found.append((ids[doc[hit]], key[hit], own[hit]))
@@ -216,8 +228,8 @@ def _by_doc(doc: np.ndarray) -> np.ndarray:
 def repeated_windows(keyed: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(k, gone, copies) of documents that lose words; `keyed` has k, doc_id, text.
 
-    gone: hashes of the windows that a smaller doc_id starts too. copies: hashes of whole texts that a smaller doc_id
-    has word by word (the symbol of the whole document is shared), so that all words go and windows need no look.
+    gone: hashes of the windows that a smaller doc_id starts too. copies: halves of the 128-bit hashes of whole texts that a
+    smaller doc_id has word by word, so that all words go and windows need no look.
 
     Recompression names runs and pairs by a hash of what they stand for, the same in every task, so naming needs no
     exchange. Symbols that two documents share choose the windows that are then compared by symbol and own hash
@@ -240,7 +252,7 @@ def _covered(words: list[bytes], gone: np.ndarray, size: int) -> np.ndarray:
     cover = np.zeros(len(words) + 1, dtype=np.int64)
     for part, _, first in _parts([_hashes(words)], size):
         at = part.windows(size)
-        hit = at[np.isin(part.stretch(at, at + size), gone)] + first[0]
+        hit = at[np.isin(part.stretch(at, at + size, BASE_2, INVERSE_2), gone)] + first[0]
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + size, -1)
     return np.cumsum(cover[:-1]) > 0
@@ -266,7 +278,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         for t, g, copies, k in zip(c["text"].to_pylist(), c["gone"], c["copies"], c["doc_id"]):
             words = t.encode().split()
             total.append(len(words))
-            if k.is_valid and copies.is_valid and _is_copy(_hashes(words), copies, size):
+            if k.is_valid and copies.is_valid and _is_copy(words, copies, size):
                 words = []
             elif k.is_valid and g.is_valid:
                 left = np.flatnonzero(~_covered(words, g.values.to_numpy(zero_copy_only=False).view(np.uint64), size))

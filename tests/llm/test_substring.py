@@ -98,3 +98,23 @@ def test_texts_without_repeats(spark):
     expected = exact((k, t if not m else kept) for (k, t, _, _), (_, _, m, kept) in zip(EDGES, brute([(k, t) for k, t, _, _ in EDGES])))
     assert exact(out.select("doc_id", "text").collect()) == expected
     assert S.without_repeats(docs.limit(0)).count() == 0
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_texts_that_polynomials_take_for_copies(spark):
+    """Polynomials modulo 2**64 agree on a pattern in Thue-Morse order and its complement, whatever their odd base."""
+    one = [f"a{i}" for i in range(5)] + thue_morse(1024, "x", "y") + [f"b{i}" for i in range(5)]
+    two = [f"a{i}" for i in range(5)] + thue_morse(1024, "y", "x") + [f"b{i}" for i in range(5)]
+    three = [f"c{i}" for i in range(5)] + thue_morse(1024, "x", "y") + [f"d{i}" for i in range(5)]
+    docs = [(k, " ".join(w)) for k, w in enumerate((one, two, three, one, two + ["end"]))]
+    assert S._whole([w.encode() for w in one]) != S._whole([w.encode() for w in two])
+    assert exact(S.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()) == exact(brute(docs))
+
+
+def test_window_hash_and_anchor_are_independent():
+    h = np.random.default_rng(3).integers(0, 2**63, 13, dtype=np.uint64)
+    _, _, key, own = next(S._anchored([np.repeat(h[:1], 13)], 13, 3))
+    assert key[0] != own[0]
