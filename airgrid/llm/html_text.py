@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,13 @@ LAYOUT_NAMES = frozenset("sidebar side complementary header masthead banner over
                          "modal-dialog".split())
 #: Names that stand for main text's own heading inside an article.
 HEADING_NAMES = frozenset(("header", "page-header", "main-header"))
+#: Parts of a name that tell reader comments, notices and adverts whatever else the name says, and parts that take that back.
+TELLING = re.compile(r"(?:comments?|commentlist|commenters?|ads|adverts?)$|(?:cookie|advertis|disqus|gdpr|newsletter|sponsor)")
+UNSAYING = frozenset("no non not has have with without hide show is free off on closed disabled enabled count link".split())
+#: Elements that box a part of an article if they bear a class, id or role.
+BOXES = frozenset("div section ul ol dl table figure center".split())
+#: Times that a page is read again with wrappers of main text let in, before all names of layout are.
+SPARED_ROUNDS = 8
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre "
                    "section summary table tbody td tfoot th thead tr ul caption".split()) | OUT
@@ -46,14 +55,16 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figca
 ARTICLE = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
+#: Attributes up to the end of a tag; where quotes do not close, up to the next angle bracket. No alternative reads far twice.
+_ATTRIBUTES = r"(?:(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*+)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noembed|noframes|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"
-    r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S | re.I)
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noembed|noframes|xmp)\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^<>]*+>|"
+    rf"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attributes>{_ATTRIBUTES})>|(?P<text>[^<]+|<)", re.S | re.I)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
-#: What markup says of a line: main text, left open, or outside an article that the page has.
-MAIN, OPEN, OUTSIDE = 0, 1, 2
+#: What markup says of a line: main text, left open, outside an article that the page has, or in a box that is not the article's body.
+MAIN, OPEN, OUTSIDE, BOXED = 0, 1, 2, 3
 #: Characters from which on a line counts as running text, and the share of text that two copies have in common at least.
 RUNNING = 60
 MOST = 0.8
@@ -62,25 +73,38 @@ NOTICE = 500
 
 
 def _names(tag: str, attributes: str, article: int) -> set[str]:
-    """Classes, ids and roles of an element by which it is not main text; none for an article, the page itself and void elements."""
-    if not attributes or tag in VOID or tag in ("html", "body") or tag in ARTICLE:
+    """Classes, ids and roles of an element by which it is not main text; none for the page itself and void elements.
+
+    An article counts only if its name tells reader comments, notices or adverts.
+    """
+    if not attributes or tag in VOID or tag in ("html", "body"):
         return set()
-    found = {x for values in NAMED.findall(attributes) for x in "".join(values).lower().replace("_", "-").split()} & OUT_NAMES
+    said = {x for values in NAMED.findall(attributes) for x in "".join(values).lower().replace("_", "-").split()}
+    found = {x for x in said if _tells(x)}
+    if tag in ARTICLE:
+        return found
+    found |= said & OUT_NAMES
     return found - HEADING_NAMES if article else found
 
 
+def _tells(name: str) -> bool:
+    parts = name.split("-")
+    return not UNSAYING.intersection(parts) and any(map(TELLING.match, parts))
+
+
 def lines_of(page: str | None) -> list[tuple[int, str]]:
-    """(MAIN, OPEN or OUTSIDE, text) of each block in page order; character references decoded, white space made one space.
+    """(MAIN, OPEN, OUTSIDE or BOXED, text) of each block in page order; character references decoded, white space made one space.
 
     Text in menus, footers, sidebars, forms, adverts, notices, comments and the like, and in scripts, styles and the
-    head, gives no line. Tags need not be closed: an article, its end or the end of the page ends a part left out.
-    A part left out by its name alone stays if it holds most of the page's running text (text of links does not count):
+    head, gives no line. Tags need not be closed: the page's first article, its end or the end of the page ends a part
+    left out; an article inside comments, notices or adverts, or after the first one, belongs to the part. A line of an
+    article is boxed if a named element around it holds less than half of the article's text. A part left out by its name alone stays if it holds most of the page's running text (text of links does not count):
     then it wraps the main text. A part whose name says what it holds (adverts, notices, comments) stays only if no
     other running text is left and it is longer than a notice, or no other line.
     """
     spared: set[int] = set()
-    while True:
-        found, parts = _lines(page, spared)
+    for turn in count():
+        found, parts = _lines(page, spared, turn >= SPARED_ROUNDS)
         if not parts:
             return found
         left = sum(len(t) for kind, t in found if kind != OUTSIDE and len(t) >= RUNNING)
@@ -93,16 +117,19 @@ def lines_of(page: str | None) -> list[tuple[int, str]]:
         spared |= wraps
 
 
-def _lines(page: str | None, spared: set[int]) -> tuple[list[tuple[int, str]], dict[int, tuple[int, bool]]]:
+def _lines(page: str | None, spared: set[int], any_layout: bool = False) -> tuple[list[tuple[int, str]], dict[int, tuple[int, bool]]]:
     """Lines of a page, and by place of its tag each part left out by name alone that has running text: its characters, whether of LAYOUT_NAMES.
 
-    Parts whose places are spared are not left out. Of a page with an article only parts inside it are given.
+    Parts whose places are spared are not left out, with `any_layout` none by a name of layout. Of a page with an article
+    only parts inside it are given.
     """
     found: list[tuple[int, str]] = []
+    boxed: list[int] = []
+    boxes, stack, opened = [-1], [("", 0)], Counter()
     held: list[str] = []
     parts: dict[int, tuple[int, bool]] = {}
     out, depth, article, block, seen = "", 0, 0, "", False
-    part, layout, inner, inner_depth, linked, inside = -1, False, "", 0, False, set()
+    part, layout, inner, inner_depth, linked, inside, tells = -1, False, "", 0, False, set(), False
 
     def close() -> None:
         nonlocal held
@@ -113,6 +140,7 @@ def _lines(page: str | None, spared: set[int]) -> tuple[list[tuple[int, str]], d
                     parts[part] = (parts.get(part, (0, layout))[0] + len(text), layout)
             elif text:
                 found.append((OUTSIDE if not article else MAIN if block in TEXT_BLOCKS else OPEN, text))
+                boxed.append(stack[-1][1])
             held = []
 
     for m in TOKEN.finditer(page or ""):
@@ -136,7 +164,7 @@ def _lines(page: str | None, spared: set[int]) -> tuple[list[tuple[int, str]], d
                     close()
                     out = ""
                 continue
-            if not (tag in ARTICLE and (closing and article or not closing and not article) or tag == "body"):
+            if not (tag in ARTICLE and (closing and article or not closing and not article and not seen and not tells) or tag == "body"):
                 if tag == inner:
                     inner_depth += -1 if closing else 1
                     inner = inner if inner_depth else ""
@@ -150,10 +178,12 @@ def _lines(page: str | None, spared: set[int]) -> tuple[list[tuple[int, str]], d
             always = tag in OUT or tag == "header" and not article or \
                 bool(attributes) and tag not in VOID and tag not in ("html", "body") and tag not in ARTICLE and bool(HIDDEN.search(attributes))
             names = set() if always or m.start() in spared else _names(tag, attributes, article)
+            names = names - LAYOUT_NAMES if any_layout else names
             if always or names:
                 close()
                 out, depth, inner, linked = tag, 1, "", False
                 part, layout = (m.start(), names <= LAYOUT_NAMES) if names else (-1, False)
+                tells = any(map(_tells, names))
                 if article:
                     inside.add(part)
                 continue
@@ -163,26 +193,83 @@ def _lines(page: str | None, spared: set[int]) -> tuple[list[tuple[int, str]], d
             if tag in ARTICLE:
                 article = max(0, article + (-1 if closing else 1))
                 seen = True
+            elif tag in BOXES and article and not closing:
+                if NAMED.search(m["attributes"] or ""):
+                    boxes.append(stack[-1][1])
+                stack.append((tag, len(boxes) - 1 if NAMED.search(m["attributes"] or "") else stack[-1][1]))
+                opened[tag] += 1
+            elif tag in BOXES and opened[tag]:
+                last = ""
+                while last != tag:
+                    last, _ = stack.pop()
+                    opened[last] -= 1
+            if not article and len(stack) > 1:
+                stack, opened = [("", 0)], Counter()
         elif tag == "br":
             held.append(" ")
     close()
     if seen:
+        found = _in_boxes(found, boxed, boxes)
         return found, {at: x for at, x in parts.items() if at in inside}
     return [(OPEN, t) for _, t in found], parts
 
 
+def _in_boxes(found: list[tuple[int, str]], boxed: list[int], boxes: list[int]) -> list[tuple[int, str]]:
+    """Lines with those of an article that stand in a box of less than half of its text as BOXED.
+
+    boxed: each line's innermost box; boxes: each box's parent, which comes before it. Box 0 is no box.
+    """
+    if len(boxes) == 1:
+        return found
+    size = [0] * len(boxes)
+    for (kind, text), box in zip(found, boxed):
+        if kind != OUTSIDE:
+            size[box] += len(text)
+    for box in range(len(boxes) - 1, 0, -1):
+        size[boxes[box]] += size[box]
+    return [(BOXED if kind != OUTSIDE and box and 2 * size[box] < size[0] else kind, text) for (kind, text), box in zip(found, boxed)]
+
+
+#: Bits that a table of an alignment may have; longer pages are split where both halves align best.
+TABLE_BITS = 1 << 26
+
+
 def shared(a: list[int], b: list[int]) -> list[int]:
-    """Positions of a longest common subsequence in `a`, by bit-parallel rows."""
+    """Positions of a longest common subsequence in `a`, by bit-parallel rows; lines that only one has are left out before."""
+    in_a, in_b = set(a), set(b)
+    places = [i for i, x in enumerate(a) if x in in_b]
+    return [places[i] for i in _aligned([a[i] for i in places], [x for x in b if x in in_a])]
+
+
+def _rows_of(a: list[int], b: list[int]) -> Iterator[int]:
+    """A bit vector after each line of `a`: a bit that is 0 is a place of `b` where the subsequence with b so far grows."""
     at: dict[int, int] = {}
     for j, x in enumerate(b):
         at[x] = at.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    v, rows = full, []
+    v = full
     for x in a:
         u = v & at.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of `a` and each start of `b`."""
+    v = (1 << len(b)) - 1
+    for v in _rows_of(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), dtype=np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
     out, i, j = [], len(a) - 1, len(b) - 1
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[:half - 1:-1], b[::-1])[::-1]).argmax())
+        return _aligned(a[:half], b[:cut]) + [half + k for k in _aligned(a[half:], b[cut:])]
+    rows = list(_rows_of(a, b))
     while i >= 0 and j >= 0:
         if rows[i] >> j & 1:
             j -= 1
@@ -202,14 +289,15 @@ def _hash(text: str) -> int:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """row, host, path, hashes of all lines, their lengths (0 outside an article that the page has) and which of them are open."""
+    """row, host, path, hashes of all lines, their lengths (0 outside an article that the page has) and which of them are open or boxed."""
 
     def step(c: dict) -> dict:
         lines = [lines_of(h) for h in c["html"].to_pylist()]
         return {"row": c["row"], "host": c["host"], "path": c["path"], "lines": [[_hash(t) for _, t in x] for x in lines],
-                "sizes": [[0 if k == OUTSIDE else len(t) for k, t in x] for x in lines], "open": [[k == OPEN for k, _ in x] for x in lines]}
+                "sizes": [[0 if k == OUTSIDE else len(t) for k, t in x] for x in lines], "open": [[k == OPEN for k, _ in x] for x in lines],
+                "boxed": [[k == BOXED for k, _ in x] for x in lines]}
 
-    schema = "row bigint, host string, path string, lines array<bigint>, sizes array<int>, open array<boolean>"
+    schema = "row bigint, host string, path string, lines array<bigint>, sizes array<int>, open array<boolean>, boxed array<boolean>"
     return arrow_map(pages.select("row", "host", "path", "html"), schema, step, "html")
 
 
@@ -305,18 +393,21 @@ def nearest_others(parsed: DataFrame) -> DataFrame:
 
 
 def _deleted(parsed: DataFrame) -> DataFrame:
-    """(row, gone): numbers of the open lines that the nearest page which is no copy has too, aligned by longest common subsequence."""
-    asking = parsed.filter(F.exists("open", lambda x: x)).select("row", "lines", "sizes", "open").dropDuplicates(["row"])
+    """(row, gone): numbers of the lines that pages which are no copies have too, aligned by longest common subsequence.
+
+    An open line goes if the nearest such page has it, a boxed one if every such neighbour has it.
+    """
+    asking = parsed.filter(F.exists("open", lambda x: x) | F.exists("boxed", lambda x: x)).select("row", "lines", "sizes", "open", "boxed").dropDuplicates(["row"])
     lines = parsed.select("row", "lines", "sizes").dropDuplicates(["row"])
-    names = ("lines", "sizes", "open", "lines1", "sizes1", "lines2", "sizes2")
+    names = ("lines", "sizes", "open", "boxed", "lines1", "sizes1", "lines2", "sizes2")
     both = asking.join(nearest_others(parsed), "row").join(lines.toDF("mate", "lines1", "sizes1"), "mate") \
         .join(lines.toDF("other", "lines2", "sizes2"), "other", "left").select("row", *names)
 
     def step(c: dict) -> dict:
         gone = []
-        for a, sizes, is_open, *others in zip(*(c[n].to_pylist() for n in names)):
-            theirs = next((b for b, n in zip(others[::2], others[1::2]) if b is not None and not copied(a, sizes, b, n)), [])
-            gone.append([i for i in shared(a, theirs) if is_open[i]])
+        for a, sizes, is_open, is_boxed, *others in zip(*(c[n].to_pylist() for n in names)):
+            common = [set(shared(a, b)) for b, n in zip(others[::2], others[1::2]) if b is not None and not copied(a, sizes, b, n)]
+            gone.append([i for i in sorted(common[0]) if is_open[i] or is_boxed[i] and all(i in x for x in common)] if common else [])
         return {"row": c["row"], "gone": gone}
 
     return arrow_map(both, "row bigint, gone array<int>", step).filter(F.size("gone") > 0)
@@ -329,8 +420,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     text of a page without an article, is left open by markup: such a line goes if the page of the same host with the
     nearest path that is no copy of the page has it too (aligned by longest common subsequence), else it stays. Of the
     neighbours before and behind, the second is asked if the nearest is a copy or holds the page's running text; if both
-    are, the lines stay. NULL html is empty. A NULL address or one that no other shares a host with leaves open lines in place. Rows equal in all three columns are treated
-    alike; repeated ids with other contents stand alone. Other columns are not read.
+    are, the lines stay. A line of an article in a named box of less than half its text goes if each of the neighbours
+    that is no copy has it. NULL html is empty. A NULL address or one that no other shares a host with leaves such lines
+    in place. Rows equal in all three columns are treated alike; repeated ids with other contents stand alone. Other
+    columns are not read. Time and memory of a page are linear in its length but for the alignment, which takes as many
+    bits of time as the product of the lines that both pages have, and no more than TABLE_BITS of memory.
     """
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))
     address = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 0)

@@ -175,3 +175,77 @@ def test_wrappers_of_most_running_text_stay():
     assert text(f"<body><div class=cookie-notice>{STORY}</div><div class=sidebar><a>{STORY}</a></div><p>x") == ["x"]
     assert text(f"<body><h1>x</h1><div class=ad>{'<p>' + STORY}{'<p>' + STORY * 4}</div>") == ["x", STORY, (STORY * 4).strip()]
     assert text(f"<article><div class=side><p>{STORY}</p></div></article><div class=sidebar><p>{STORY * 4}</p></div>") == [STORY]
+
+
+def test_comments_notices_and_adverts_by_parts_of_their_names():
+    post = f"<article><h1>head</h1><p>{STORY}</p>"
+    reply = '<li class="comment"><article class="comment-body"><p>A reader says hi'
+    assert text(f'{post}</article><div id="comments" class="comments-area">{reply}') == ["head", STORY]
+    assert text(f'{post}<div id="comments" class="comments-area">{reply}</article></li></div></article>') == ["head", STORY]
+    assert text(f"{post}</article><article class='comment'><p>hi</p></article>") == ["head", STORY]
+    for name in ("reader-comments", "user_comments", "cookienotice", "advertisement-wrapper", "top-advert", "sponsored-box", "x-cookie-hint", "newsletter-box"):
+        assert text(f"{post}<div class='{name}'><p>gone</p></div><p>kept</p></article>") == ["head", STORY, "kept"], name
+    for name in ("no-comments", "comments-off", "commentary", "has-ads", "ad-free", "comment-free", "download", "uploads"):
+        assert text(f"{post}<div class='{name}'><p>kept</p></div></article>") == ["head", STORY, "kept"], name
+    assert text(f"{post}</article><aside><article class=card><p>other story</p></article></aside>") == ["head", STORY]
+    assert text(f"<nav>unclosed <article><p>{STORY}</article>") == [STORY]
+    assert text(f"<div class='cookie-wall'><article><p>{STORY * 5}</p></article></div>") == [(STORY * 5).strip()]
+
+
+#: Three templates: a post's body in a box, a flat article, one in sections; each has its own notice inside the article.
+TEMPLATES = {
+    "http://a.org": lambda n, body: f"<article class=post><div class=entry-content><h1>Post {n}</h1>{body}</div><div class=byline-box><p>The staff of A write every day.</p></div></article>",
+    "http://b.org": lambda n, body: f"<main><h2>Item {n}</h2><div id=lead><p>Save ten percent today, all readers of B.</p></div>{body}</main>",
+    "http://c.org": lambda n, body: f"<article><section id=s1>{body}</section><section id=s2><ul class=tags><li>more from C<li>all of C</ul></section><p>End of {n}.</p></article>",
+}
+
+
+def test_alignment_decides_lines_inside_articles(spark):
+    shared_by_all = "This passage stands in each of the articles, which cite it, and must be left alone."
+    rows, expected, gone = [], {}, 0
+    for k, (host, page) in enumerate(TEMPLATES.items()):
+        for n in range(6):
+            i = 10 * k + n
+            own = [f"Story {i} begins here and goes on for a while, so that nobody takes it for another, {'x' * i}.", shared_by_all]
+            html = page(n, "".join(f"<p>{t}</p>" for t in own))
+            rows.append((i, f"{host}/{n}", html))
+            everything = [t for kind, t in H.lines_of(html) if kind != H.OUTSIDE]
+            notices = {"The staff of A write every day.", "Save ten percent today, all readers of B.", "more from C", "all of C"}
+            expected[i] = "\n".join(t for t in everything if t not in notices)
+            gone += sum(t in notices for t in everything)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.page_id: r.text for r in H.main_text(df).collect()} == expected
+    assert gone == 24 and all(shared_by_all in t for t in expected.values())
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 40_000
+    pages = ["<a \"" * n, "<a '" * n + "<p>x</p>", "<script" * n, "<!" * n, "<div class=sidebar>" * 3000 + "x" + "</div>" * 3000, "<div class=x><article>" * n + "y",
+             "<" * n, "<p a=\"" + "<p>" * n, "&" * n, "<article>" + "<div id=a><section class=b>" * n + "z" + "</section>" * n, "<nav><div hidden>" * n, "<b <i 'x>" * n]
+    for page in pages:
+        begun = time.monotonic()
+        H.lines_of(page)
+        assert time.monotonic() - begun < 5, page[:20]
+    assert text("<p a=\"x > y\">one</p><p title='<b>'>two</p><p a=\">three</p>") == ["one", "two", "three"]
+
+
+def test_long_pages_are_aligned_in_halves(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(H, "TABLE_BITS", 6)
+    for _ in range(500):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        at = H.shared(a, b)
+        rest = iter(b)
+        assert len(at) == lcs(a, b) and at == sorted(at) and all(a[i] in rest for i in at)
+    monkeypatch.undo()
+    many = [rng.randint(0, 3) for _ in range(12_000)]
+    assert len(H.shared(many, many[::2])) == 6_000
+
+
+def test_repeated_rows(spark):
+    page = f"<article><p>{STORY}</p></article>"
+    rows = [(1, "http://a.b/1", page)] * 50 + [(1, "http://a.b/1", None), (None, None, page), (1, "http://a.b/2", page)]
+    got = H.main_text(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert exact(got) == exact((i, u, STORY if h else "", len(STORY) if h else 0) for i, u, h in rows)
