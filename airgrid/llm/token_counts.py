@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 
@@ -26,16 +27,32 @@ PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]
 STRETCHES_KEPT, PARTS_KEPT = 150_000, 300_000
 
 
+#: Fixed value: what a tokenizer file must say for texts to be cut, namely the byte-level splitter alone and no normaliser.
+SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def may_be_cut(tokenizer) -> bool:
+    """Whether the file names the splitter that STABLE and PLAIN are about, and no special string holds or takes white space."""
+    said = json.loads(tokenizer.to_str())
+    split = said.get("pre_tokenizer") or {}
+    specials = tokenizer.get_added_tokens_decoder().values()
+    return said.get("normalizer") is None and all(split.get(k) == v for k, v in SPLITTER.items()) and \
+        not any(t.lstrip or t.rstrip or t.normalized or t.single_word or re.search(r"\s", t.content) or PLAIN.match(t.content) for t in specials)
+
+
 @kept_by_worker
 def open_counts(path: str) -> Counts:
     return Counts(open_tokenizer(path))
 
 
 class Counts:
-    """Tokens of texts of ordinary length: a text is the sum of its stretches, each distinct one encoded about once."""
+    """Tokens of texts of ordinary length: a text is the sum of its stretches, each distinct one encoded about once.
+
+    With a tokenizer whose file does not prove that this changes nothing (`cuts` is False), texts are encoded whole.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.cuts = tokenizer, may_be_cut(tokenizer)
         self.stretches, self.parts = Recent(self._stretch, STRETCHES_KEPT), Recent(self._encode, PARTS_KEPT)
 
     def _encode(self, text: str) -> int:
@@ -46,7 +63,7 @@ class Counts:
         return self.parts[plain[1]] + self.parts[plain[2]] if plain else self._encode(text)
 
     def text(self, text: str) -> int:
-        if OTHER_SPACE.search(text):
+        if not self.cuts or OTHER_SPACE.search(text):
             return self._encode(text)
         return sum(map(self.stretches.__getitem__, STRETCH.findall(text)))
 
@@ -88,7 +105,8 @@ def count_tokens(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLA
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """key (bigint), n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every row; no shuffle.
 
-    NULL or empty text counts zero. Special strings inside a text count as the library's default says. Repeated rows
+    NULL or empty text counts zero. Texts are cut only for tokenizers with the byte-level splitter (`may_be_cut`); others
+    get every text whole. Special strings inside a text count as the library's default says. Repeated rows
     are counted each; other columns are not read.
     """
 
@@ -96,7 +114,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         tokenizer = open_tokenizer(path)
         texts = [t or "" for t in c["text"].to_pylist()]
         counts = open_counts(path)
-        n = [counts.text(t) if len(t) <= CHUNK + OVERLAP else count_tokens(tokenizer, t) for t in texts]
+        n = [counts.text(t) if len(t) <= CHUNK + OVERLAP or not counts.cuts else count_tokens(tokenizer, t) for t in texts]
         return {key: c["key"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))

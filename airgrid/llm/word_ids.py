@@ -20,8 +20,6 @@ CUTS = "\t\n\r"
 WORDS_KEPT = 300_000
 #: Bytes of text numbered at once: the more, the fewer words are looked up again.
 NUMBERED_BYTES = 6_000_000
-#: Texts on which cutting at white space is tried before it is used.
-PROBES = ("a b", "It's 12 o'clock", "x\ny z", "naïve café", "<|endoftext|> a", "1 2 . ,", "Wörter, und mehr")
 #: Lower-case Latin letters that composition and lower-casing leave alone.
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 #: A letter and a mark other than "'", between which the known splitter always cuts, so that a space there changes no id.
@@ -71,17 +69,16 @@ def open_words(path: str) -> WordIds:
 class WordIds:
     """Ids as little-endian unsigned 32-bit numbers, exactly as the library gives them for the whole text.
 
-    A tokenizer that drops white space and lets no token cross it gives a text the ids of its words in turn. `PROBES`
-    test that; a tokenizer that fails them gets whole texts instead. If its file names the known normaliser and
-    splitter, words are lower-cased and parted from their marks too, and plain ones go to the model without both.
+    If the tokenizer's file names the known normaliser and splitter, which drop white space and let no token cross it, a
+    text has the ids of its words in turn: words are lower-cased and parted from their marks, and plain ones go to the
+    model without both. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = open_tokenizer(path)
-        whole = [self._encode(p) for p in PROBES]
-        self.by_word = all(b"".join(map(self._encode, p.replace("\n", " ").split(" "))) == w for p, w in zip(PROBES, whole))
         self.bare = self._without_splitter()
-        self.words = Recent(self._word if self.bare else self._encode, WORDS_KEPT)
+        self.by_word = self.bare is not None
+        self.words = Recent(self._word, WORDS_KEPT)
 
     def _without_splitter(self):
         said = json.loads(self.tokenizer.to_str())
@@ -121,10 +118,9 @@ class WordIds:
             return np.frombuffer(b"".join(found), dtype="<u4"), ends
         for c in CUTS:
             texts = pc.replace_substring(texts, c, " ")
-        if self.bare:
-            parted = pc.replace_substring_regex(pc.ascii_lower(texts), CUT_HERE, r"\1 \2")
-            special = pc.match_substring(texts, SPECIAL)
-            texts = pc.if_else(special, texts, parted) if pc.any(special).as_py() else parted
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), CUT_HERE, r"\1 \2")
+        special = pc.match_substring(texts, SPECIAL)
+        texts = pc.if_else(special, texts, parted) if pc.any(special).as_py() else parted
         split = pc.split_pattern(texts, " ")
         numbered = split.flatten().dictionary_encode()
         found = [end, *map(self.words.__getitem__, numbered.dictionary.to_pylist())]

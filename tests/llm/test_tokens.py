@@ -142,3 +142,25 @@ def test_counts_of_edges(spark, extra):
     expected = [(k, len((t or "").encode()), n, n > 1024) for k, t, _, _ in EDGES for n in (len(library.encode(t or "", add_special_tokens=False).ids),)]
     assert exact(token_counts.token_counts(edges(spark, extra), BYTES).collect()) == exact(expected)
     assert token_counts.token_counts(edges(spark).limit(0), BYTES).count() == 0
+
+
+def test_unknown_tokenizers_get_whole_texts(spark, tmp_path):
+    """Tokens that hold white space in their middle, and splitters that no file names as known."""
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    alphabet = {c: i for i, c in enumerate("ab c")} | {"a ": 4, "a b": 5}
+    plain = Tokenizer(models.BPE(vocab=alphabet, merges=[("a", " "), ("a ", "b")]))
+    lower = Tokenizer.from_file(BYTES)
+    lower.normalizer = normalizers.Lowercase()
+    prefixed = Tokenizer.from_file(BYTES)
+    prefixed.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    texts = ["a b a b c", "a b " * 30, "A  b\ta", "", None, "a b c " * 9_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for k, made in enumerate((plain, lower, prefixed)):
+        path = str(tmp_path / f"{k}.json")
+        made.save(path)
+        library = Tokenizer.from_file(path)
+        assert not token_counts.may_be_cut(library) and not word_ids.WordIds(path).by_word
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, path).collect()}
+        assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert token_counts.may_be_cut(Tokenizer.from_file(BYTES))
