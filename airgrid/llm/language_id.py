@@ -8,7 +8,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map, written
+from airgrid.llm.common import arrow_map, row_hash, written
 
 #: Labelled rows that the text model is fitted on, about; a hash of the rows picks them. Everything else reads all rows.
 TRAIN_ROWS = 20_000
@@ -264,12 +264,13 @@ def fuse(scored: Scored, declared: Column, seen: Column, key: Column) -> DataFra
     return arrow_map(joined, f"key {kind}, language string, posterior double, text_language string, declared string, kept boolean", step)
 
 
-def page_evidence(pages: DataFrame) -> DataFrame:
+def page_evidence(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, markup, host and suffix of the first page that shows a document, and `seen`, what all of them say.
 
     The last number of a page's path is the doc_id; pages without such a number or address are no evidence. markup is
     the lang of the first <html tag outside comments, wherever it stands. The first page is that with the smallest page_id;
-    seen has each distinct markup, suffix and host with the number of pages.
+    seen has each distinct markup, suffix and host with the number of pages. With `known` (doc_id) only its documents
+    are collected: a path may end in any number.
     """
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
@@ -278,6 +279,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
         "page_id", F.expr("try_cast(nullif(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/([0-9]+)(?:[.][a-z]+)?/?$', 1), '') as bigint)").alias("doc_id"),
         F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1).alias("markup"), F.lower(host).alias("host"))
     shown = shown.filter((path != "") & F.col("doc_id").isNotNull())
+    if known is not None:
+        shown = shown.join(known, "doc_id", "left_semi")
     suffix = F.regexp_extract("host", r"\.([a-z]{2,})$", 1)
     shown = shown.select("page_id", "doc_id", *[F.when(c != "", c).alias(name) for name, c in (("markup", F.col("markup")), ("suffix", suffix), ("host", F.col("host")))])
     what = ("markup", "suffix", "host")
@@ -304,7 +307,7 @@ def identify_documents(docs: DataFrame, pages: DataFrame, key: Column) -> DataFr
     page's. Pages meet scores, never texts.
     """
     scored = score(docs, F.col("text"), F.col("lang"), {"key": key, "doc_id": F.col("doc_id").cast("bigint"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
-    scored.rows = scored.rows.join(page_evidence(pages), "doc_id", "left")
+    scored.rows = scored.rows.join(page_evidence(pages, scored.rows.select("doc_id").distinct()), "doc_id", "left")
     lang, source = F.col("lang"), F.col("source")
     of_pages = F.transform("seen", lambda x: F.struct(F.coalesce(x["declared"], lang).alias("declared"), x["suffix"].alias("suffix"), F.coalesce(x["host"], source).alias("host"), x["n"].alias("n")))
     return fuse(scored, F.coalesce("markup", "lang"), F.coalesce(of_pages, _seen(lang, F.lit(None), source)), F.col("key"))
@@ -313,9 +316,9 @@ def identify_documents(docs: DataFrame, pages: DataFrame, key: Column) -> DataFr
 def keep_identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """The rows of `docs` (doc_id, text, lang, source and others), all columns, whose language is told well enough.
 
-    Verdicts go by a hash of the four columns; the few rejected are joined away, so texts stay in place.
+    Verdicts go by 128 bits of the four columns; the few rejected are joined away, so texts stay in place.
     """
-    row = F.xxhash64("doc_id", "text", "lang", "source")
+    row = row_hash(*map(F.col, ("doc_id", "text", "lang", "source")))
     found = identify_documents(docs, pages, row)
     rejected, _ = written(found.filter(~F.col("kept")).select("key").distinct(), "rejected")
     all_columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")

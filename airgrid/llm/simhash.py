@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map, reach, written
+from airgrid.llm.common import arrow_map, reach, row_hash, written
 from airgrid.llm.components import components
 
 SHINGLE = 3
@@ -49,8 +49,8 @@ def fingerprints(df: DataFrame, key: Column, text: Column, row: Column, size: in
         fp = np.array([fingerprint(t, size) for t in c["text"].to_pylist()], dtype=np.uint64)
         return {"doc_id": c["doc_id"], "row": c["row"], "fp": pa.array(fp.view(np.int64))}
 
-    rows = df.select(key.cast("bigint").alias("doc_id"), row.cast("bigint").alias("row"), text.alias("text"))
-    return arrow_map(rows, "doc_id bigint, row bigint, fp bigint", step, "text")
+    rows = df.select(key.cast("bigint").alias("doc_id"), row.alias("row"), text.alias("text"))
+    return arrow_map(rows, f"doc_id bigint, row {rows.schema['row'].dataType.simpleString()}, fp bigint", step, "text")
 
 
 def _masks(most_bits: int) -> list[int]:
@@ -211,7 +211,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     NULL ids come last; among rows with that id the one whose id and text have the least hash stays, and of rows equal
     in both one. Rows to drop are joined away by hash; texts are shuffled only if those are too many for Spark to send.
     """
-    row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    row = row_hash(F.col(f"`{key}`"), F.col(f"`{text}`"))
     found, _ = written(_grouped(df, F.col(f"`{key}`"), F.col(f"`{text}`"), row, size, most_bits).select("doc_id", "row", "root"), "groups")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("b")).select(F.col("b.row").alias("row"))
     copies = found.join(best, "row", "left_semi").groupBy("row").count().filter("count > 1").select("row")

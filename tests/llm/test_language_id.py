@@ -171,3 +171,17 @@ def test_all_pages_of_a_document_count(spark):
     assert len(found) == 201 and found[500].language == "fr" and found[500].posterior > 0.9
     first = {r.key: r for r in L.identify_documents(docs, pages.filter("page_id < 8000"), F.col("doc_id")).collect()}
     assert first[500].posterior < 0.9
+
+
+def test_pages_of_other_numbers_are_not_collected(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/{i % 2}", "<html lang=fr>") for i in range(50)], "page_id bigint, url string, html string")
+    known = spark.createDataFrame([(1,), (7,)], "doc_id bigint")
+    assert [(r.doc_id, len(r.seen)) for r in L.page_evidence(pages, known).collect()] == [(1, 25)]
+
+
+def test_rows_are_named_by_all_their_columns(spark):
+    from airgrid.llm.common import row_hash
+
+    rows = [(None, None), (None, ""), (1, None), (1, ""), (1, "a"), (None, "a")]
+    df = spark.createDataFrame(rows * 2, "k bigint, t string")
+    assert df.select(row_hash(F.col("k"), F.col("t")).alias("r")).distinct().count() == len(rows)

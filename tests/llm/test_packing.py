@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -72,10 +73,46 @@ def test_plans_use_each_document_once_and_waste_little(seed):
 
 
 def test_the_fit_finds_exact_patterns():
+    """As many full sequences as there can be: 600.
+
+    Let 40 cost 1, 50 and 20 a half, 60 and 30 nothing. Each content of exactly 100 costs at least 1 (checked below), all
+    documents together cost 500 + 50 + 50 = 600.
+    """
+    cost = {60: 0, 40: 2, 30: 0, 50: 1, 20: 1}
+    full = [c for n in range(1, 6) for c in itertools.combinations_with_replacement(cost, n) if sum(c) == 100]
+    assert full and min(sum(cost[x] for x in c) for c in full) == 2
     histogram = np.bincount([60] * 500 + [40] * 500 + [30] * 300 + [50] * 100 + [20] * 100, minlength=101)
     sequences = P.plan(histogram)
-    filled = sum(r for c, r in sequences if sum(c) == 100)
-    assert filled >= 0.97 * (histogram * np.arange(101)).sum() / 100
+    assert sum(r for c, r in sequences if sum(c) == 100) == 600
+    assert sum(r for _, r in sequences) <= 668
+
+
+def fewest(lengths, capacity):
+    """Fewest sequences, by trying every place for the longest document that is left."""
+    best = len(lengths)
+
+    def place(rest, filled):
+        nonlocal best
+        if len(filled) >= best:
+            return
+        if not rest:
+            best = len(filled)
+            return
+        for k in sorted({f: i for i, f in enumerate(filled)}.values()):
+            if filled[k] + rest[0] <= capacity:
+                place(rest[1:], [*filled[:k], filled[k] + rest[0], *filled[k + 1:]])
+        place(rest[1:], [*filled, rest[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+def test_few_documents_need_one_sequence_more_at_most():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = rng.integers(1, 40, rng.integers(1, 11)).tolist()
+        found = sum(r for _, r in P.plan(np.bincount(lengths, minlength=41)))
+        assert fewest(lengths, 40) <= found <= fewest(lengths, 40) + 1
 
 
 def test_a_hot_length_is_numbered_in_many_buckets(spark, monkeypatch):
