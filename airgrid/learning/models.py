@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, FMRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression,
@@ -12,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.constants import SIBLING_STATISTICS, SUMMARY_BANDS
+from airgrid.learning.normal import PENALTIES, LinearFit, fit_by_folds
 from airgrid.learning.prepare import feature_pipeline
+from airgrid.learning.validate import grid, time_cross_validate
 from airgrid.operators.clean import feature_columns
-from airgrid.operators.joins import equi_join
-from airgrid.functions.features import with_imputed
 from airgrid.operators.splits import six_folds, time_split, two_way
 from airgrid.session import discard, settle
 
@@ -159,18 +160,61 @@ def impute_column(df: DataFrame, column: str, keys: list[str], date: str, drop:
     return fitted.transform(ready(unknown)).select(*keys, F.col("prediction").alias(column + "_imputed"))
 
 
+def impute_in_place(df: DataFrame, column: str, fit: LinearFit | PipelineModel, prepared: PipelineModel | None = None) -> DataFrame:
+    """`df` with the gaps of a column predicted in the rows where they stand; nothing is joined back."""
+    if isinstance(fit, LinearFit):
+        return df.withColumn(column, F.coalesce(F.col(column), fit.expression()))
+    predicted = fit.transform(prepared.transform(df))
+    return predicted.withColumn(column, F.coalesce(F.col(column), F.col("prediction"))).select(df.columns)
+
+
+def fit_imputer(folded: DataFrame, column: str, features: list[str], text: list[str], fold: str, learner: str,
+                penalties: tuple[float, ...] = PENALTIES, choices: dict | None = None) -> tuple[LinearFit | Model, PipelineModel | None]:
+    """The model of a column's known values that the time folds choose, and its feature pipeline (None for a line).
+
+    A line is searched over penalties from sums alone; texts are no features of it. Other learners are searched over
+    `choices` (parameter name to values) by training each even fold and scoring the odd one after it; without choices
+    the even folds train one model.
+    """
+    if learner == "linear":
+        return fit_by_folds(folded, features, column, fold, penalties), None
+    known = folded.where(F.col(column).isNotNull())
+    train = known.where(F.col(fold) % 2 == 0)
+    held = train.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in features]).first() if features else {}
+    prepared = feature_pipeline([c for c in features if held[c]], text, impute=True).fit(train)
+    model = regressor(learner, column)
+    if not choices:
+        return model.fit(prepared.transform(train)), prepared
+    maps = grid({model.getParam(name): values for name, values in choices.items()})
+    ready = prepared.transform(known).select(column, fold, "features")
+    return time_cross_validate(ready, model, maps, RegressionEvaluator(labelCol=column, metricName="r2"), fold).model, prepared
+
+
 def impute_chain(df: DataFrame, columns: list[str], keys: list[str], date: str, drop: list[str] = (),
-                 learner: str = "gradient_boosted", **kwargs) -> DataFrame:
+                 learner: str = "gradient_boosted", **search) -> DataFrame:
     """Impute columns one after the other, each able to use the ones filled before it.
 
-    Each round is written to the shared folder, so the plan does not grow and lost executors cost
-    no earlier round; the round before is deleted then.
+    Rows get their time fold once; each column's model is chosen by it (`fit_imputer`) and predicts in place. Rounds are
+    written to the shared folder, so the plan does not grow and lost executors cost no earlier round; the round before
+    is deleted then.
     """
-    order = df.columns
-    out = settle(df)
+    fold = "_fold"
+    out = settle(time_split(df, date, six_folds, alias=fold))
+    _, numeric, text = feature_columns(df, [*keys, date, *drop], "")
     for column in columns:
-        imputed = impute_column(out, column, keys, date, [*drop, *siblings(column)], learner, **kwargs)
-        joined = equi_join(out, imputed, keys, "left")
-        before, out = out, settle(joined.withColumn(column, with_imputed(column)).select(order))
+        apart = {column, *siblings(column)}
+        fit, prepared = fit_imputer(out, column, [c for c in numeric if c not in apart], text, fold, learner, **search)
+        before, out = out, settle(impute_in_place(out, column, fit, prepared))
         discard(before)
-    return out
+    return out.select(df.columns)
+
+
+def impute_line(df: DataFrame, column: str, keys: list[str], date: str, drop: list[str] = (),
+                penalties: tuple[float, ...] = PENALTIES) -> tuple[DataFrame, LinearFit]:
+    """Keys and `<column>_imputed` of the rows without a value, and the line that the time folds of the others chose."""
+    known = df.where(F.col(column).isNotNull())
+    _, numeric, _ = feature_columns(df, [*keys, date, *drop], column)
+    folded = settle(time_split(known, date, six_folds, alias="_fold"))
+    fit = fit_by_folds(folded, numeric, column, "_fold", penalties)
+    discard(folded)
+    return df.where(F.col(column).isNull()).select(*keys, fit.expression().alias(column + "_imputed")), fit

@@ -7,6 +7,9 @@ repair, and no task meets a whole key. The full condition is checked again withi
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +18,11 @@ from airgrid.constants import GFS_VARIABLES, NO_DATA_ANSWER, SLOTS
 from airgrid.functions.features import selected_slots
 from airgrid.functions.geo import rounded_key
 from airgrid.operators.ordering import attach
+from airgrid.operators.tiles import LEAF, MOST_POINTS, adaptive_tiles, row_block
+from airgrid.session import settle
+
+#: Rows of one key and day on a side from which on an interval join deals them into blocks.
+HEAVY_ROWS = 1_000_000
 
 
 def _hide(df: DataFrame, columns) -> DataFrame:
@@ -53,16 +61,97 @@ def _covering_days(r: Column, back: int, ahead: int) -> Column:
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str,
-                  back: int = 0, ahead: int = 0, mode: str = "exact", how: str = "left") -> DataFrame:
-    """Join equal `on` keys where the right time lies within days of the left time, ends included."""
-    low, high = interval_bounds(left[left_time], back, ahead, mode)
+                  back: int = 0, ahead: int = 0, mode: str = "exact", how: str = "left", heavy: int | None = HEAVY_ROWS) -> DataFrame:
+    """Join equal `on` keys where the right time lies within days of the left time, ends included.
+
+    Inner and left joins first count the rows of each (key, day). One with more than `heavy` rows on a side is dealt into
+    blocks of that side, to which the other side's rows are copied, so no task meets all rows of a hot key's day.
+    `heavy` None leaves skew to adaptive execution.
+    """
     other = _hide(right, on).withColumn("_day", _covering_days(F.col(right_time), back, ahead))
+    hidden = [f"_r_{k}" for k in on]
+    between = _between(left_time, right_time, back, ahead, mode)
+    if heavy is not None and how in ("left", "inner"):
+        days = _heavy_days(left, other, on, left_time, heavy)
+        if not days.isEmpty():
+            return _split_interval_join(left, right, other, on, left_time, right_time, back, ahead, mode, how, days)
     condition = F.to_date(left[left_time].cast("timestamp")) == other["_day"]
     for key in on:
         condition = condition & (left[key] == other[f"_r_{key}"])
-    stamp = other[right_time].cast("timestamp")
-    return left.join(other, condition & (stamp >= low) & (stamp <= high), how) \
-        .drop("_day", *[f"_r_{k}" for k in on])
+    return left.join(other, condition & between(left, other), how).drop("_day", *hidden)
+
+
+def _between(left_time: str, right_time: str, back: int, ahead: int, mode: str):
+    """The interval's condition on a left and a right table."""
+
+    def condition(left: DataFrame, right: DataFrame) -> Column:
+        low, high = interval_bounds(left[left_time], back, ahead, mode)
+        stamp = right[right_time].cast("timestamp")
+        return (stamp >= low) & (stamp <= high)
+
+    return condition
+
+
+def _heavy_days(left: DataFrame, other: DataFrame, on: list[str], left_time: str, heavy: int) -> DataFrame:
+    """(on, _day, _kl, _kr): blocks of the left and of the right rows of each (key, day) that has too many on a side."""
+    day = F.to_date(F.col(left_time).cast("timestamp")).alias("_day")
+    one, none = F.count(F.lit(1)), F.lit(0).cast("long")
+    asked = left.groupBy(*on, day).agg(one.alias("_kl"), none.alias("_kr"))
+    given = other.groupBy(*[F.col(f"_r_{k}").alias(k) for k in on], "_day").agg(none.alias("_kl"), one.alias("_kr"))
+    many = asked.unionByName(given).groupBy(*on, "_day").agg(F.sum("_kl").alias("_kl"), F.sum("_kr").alias("_kr"))
+    many = many.where((F.col("_kl") > heavy) | (F.col("_kr") > heavy))
+    return settle(many.withColumns({c: F.greatest(F.ceil(F.col(c) / heavy), F.lit(1)).cast("long") for c in ("_kl", "_kr")}))
+
+
+def _dealt(left: DataFrame, other: DataFrame, on: list[str], left_time: str, days: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their block numbers _i (of left rows) and _j (of right rows); a row is copied to all blocks of the other side."""
+    one = F.lit(1).cast("long")
+    blocks = {c: F.coalesce(c, one) for c in ("_kl", "_kr")}
+
+    def spread(df, block, copies, side_block, copied_block):
+        out = df.withColumn(side_block, row_block(df, blocks[block])).withColumns(blocks)
+        return out.withColumn(copied_block, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)))
+
+    marked = attach(left.withColumn("_day", F.to_date(F.col(left_time).cast("timestamp"))), days, [*on, "_day"])
+    hidden = [f"_r_{k}" for k in on]
+    given = attach(other, days.withColumnsRenamed(dict(zip(on, hidden))), [*hidden, "_day"])
+    return spread(marked, "_kl", "_kr", "_i", "_j"), spread(given, "_kr", "_kl", "_j", "_i")
+
+
+def _split_interval_join(left, right, other, on, left_time, right_time, back, ahead, mode, how, days) -> DataFrame:
+    """`interval_join` where some (key, day) are dealt into blocks.
+
+    A left row of an outer join stands in one block unless its day's right rows are dealt. Those rows are joined inner,
+    and the ones without any match are told by their times alone and added once.
+    """
+    hidden = [f"_r_{k}" for k in on]
+    between = _between(left_time, right_time, back, ahead, mode)
+    asked, given = _dealt(left, other, on, left_time, days)
+    extra = [c for c in other.columns if c not in ("_day", *hidden)]
+
+    def met(rows: DataFrame, kind: str) -> DataFrame:
+        table = given.withColumnsRenamed({"_day": "_r_day", "_i": "_r_i", "_j": "_r_j"}).drop("_kl", "_kr")
+        condition = (rows["_day"] == table["_r_day"]) & (rows["_i"] == table["_r_i"]) & (rows["_j"] == table["_r_j"])
+        for key in on:
+            condition = condition & (rows[key] == table[f"_r_{key}"])
+        return rows.join(table, condition & between(rows, table), kind).select(*[rows[c] for c in left.columns], *[table[c] for c in extra])
+
+    if how == "inner":
+        return met(asked, "inner")
+    lone, copied = asked.where("_kr = 1"), asked.where("_kr > 1")
+    first = copied.where("_j = 0")
+    # a NULL key matches nothing
+    times = first.select(*on, left_time).dropna(subset=on).distinct()
+    seen = right.select(*on, right_time).dropna(subset=on).distinct().withColumn("_one", F.lit(1.0))
+    if back + ahead:
+        told = interval_means(times, seen, on, left_time, right_time, ["_one"], back, ahead, mode).where("avg__one IS NOT NULL").drop("avg__one")
+    else:
+        stamps = seen.select(*on, F.col(right_time).cast("timestamp").alias("_at")).distinct()
+        told = times.withColumn("_at", F.col(left_time).cast("timestamp")).join(stamps, [*on, "_at"], "left_semi").drop("_at")
+    alone = attach(first.select(left.columns), told.withColumn("_met", F.lit(True)), [*on, left_time]).where("_met IS NULL").drop("_met")
+    kinds = {c: other.schema[c].dataType for c in extra}
+    alone = alone.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    return met(lone, "left").union(met(copied, "inner")).union(alone)
 
 
 def rounded_interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, digits: int = 2,
@@ -168,46 +257,51 @@ def forecast_for_labels(labels: DataFrame, forecasts: DataFrame, on: list[str],
 
 
 def box_join(left: DataFrame, right: DataFrame, radius: float, lat: str = "latitude", lon: str = "longitude",
-             digits: int = 2, dates: tuple[str, str] | None = None, how: str = "left") -> DataFrame:
+             digits: int = 2, dates: tuple[str, str] | None = None, how: str = "left", most: int | None = MOST_POINTS) -> DataFrame:
     """Join points within `radius` degrees in both directions, on rounded coordinates.
 
     With `dates` = (left, right) the right date must also be the left date or the day after. The
-    right coordinates come back as `right_<name>`.
+    right coordinates come back as `right_<name>`. Tiles with more than `most` points are quartered.
     """
     y, x = rounded_key(F.col(lat), digits), rounded_key(F.col(lon), digits)
-    # tiles a little wider than the radius, so that rounding at an edge cannot skip a tile
-    tile = radius * (1 + 1e-9) + 1e-9
-    tagged = left.withColumns({"_y": y, "_x": x}).withColumns(
-        {"_ty": F.floor(F.col("_y") / tile), "_tx": F.floor(F.col("_x") / tile)})
+    # a box spans two tiles in a direction, or three where rounding puts an end on an edge
+    tiles = adaptive_tiles(2 * radius * (1 + 1e-9) + 1e-9, [(left, y, x), (right, y, x)], most)
+    tagged = tiles.of_points(left.withColumns({"_y": y, "_x": x}), F.col("_y"), F.col("_x"))
     other = right.withColumns({"_ry": y, "_rx": x}).withColumnsRenamed({lat: f"right_{lat}", lon: f"right_{lon}"})
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    other = other.withColumn("_rty", F.explode(F.transform(near, lambda i: F.floor(F.col("_ry") / tile) + i))) \
-        .withColumn("_rtx", F.explode(F.transform(near, lambda i: F.floor(F.col("_rx") / tile) + i)))
-    condition = (tagged["_ty"] == other["_rty"]) & (tagged["_tx"] == other["_rtx"])
+    ry, rx = F.col("_ry"), F.col("_rx")
+    other = tiles.of_boxes(other, ry - radius, ry + radius, rx - radius, rx + radius).withColumnsRenamed({c: f"_r{c}" for c in LEAF})
+    condition = _same_leaf(tagged, other)
     if dates:
         other = other.withColumn("_match", F.explode(F.array(F.col(dates[1]), F.date_sub(dates[1], 1))))
         condition = condition & (tagged[dates[0]] == other["_match"])
     condition = condition & (other["_ry"] + radius >= tagged["_y"]) & (other["_ry"] - radius <= tagged["_y"]) \
         & (other["_rx"] + radius >= tagged["_x"]) & (other["_rx"] - radius <= tagged["_x"])
-    return tagged.join(other, condition, how).drop("_y", "_x", "_ty", "_tx", "_ry", "_rx", "_rty", "_rtx", "_match")
+    return tagged.join(other, condition, how).drop("_y", "_x", "_ry", "_rx", "_match", *LEAF, *[f"_r{c}" for c in LEAF])
 
 
-def cells_in_boxes(cells: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon", tile: float = 1.0,
-                   on: list[str] = ()) -> DataFrame:
-    """Cells inside each box (min_lon, max_lon, min_lat, max_lat; ends included), with the box columns."""
+def _same_leaf(points: DataFrame, boxes: DataFrame) -> Column:
+    return reduce(and_, [points[c] == boxes[f"_r{c}"] for c in LEAF])
 
-    def tiles(low, high):
-        return F.explode(F.sequence(F.floor(F.col(low) / tile).cast("long"), F.floor(F.col(high) / tile).cast("long")))
 
-    area = _hide(boxes, on).withColumn("_by", tiles("min_lat", "max_lat")).withColumn("_bx", tiles("min_lon", "max_lon"))
-    y, x = cells[lat].cast("double"), cells[lon].cast("double")
-    condition = (F.floor(y / tile) == area["_by"]) & (F.floor(x / tile) == area["_bx"])
+def cells_in_boxes(cells: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon", tile: float = 1.0,
+                   on: list[str] = (), most: int | None = MOST_POINTS) -> DataFrame:
+    """Cells inside each box (min_lon, max_lon, min_lat, max_lat; ends included), with the box columns.
+
+    Tiles with more than `most` cells are quartered, and cells of one place dealt into blocks.
+    """
+    y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
+    tiles = adaptive_tiles(tile, [(cells, y, x)], most)
+    placed = tiles.of_points(cells, y, x)
+    area = tiles.of_boxes(_hide(boxes, on), F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon")) \
+        .withColumnsRenamed({c: f"_r{c}" for c in LEAF})
+    condition = _same_leaf(placed, area)
     for key in on:
-        condition = condition & (cells[key] == area[f"_r_{key}"])
+        condition = condition & (placed[key] == area[f"_r_{key}"])
+    y, x = placed[lat].cast("double"), placed[lon].cast("double")
     condition = condition & (x >= area["min_lon"]) & (x <= area["max_lon"]) \
         & (y >= area["min_lat"]) & (y <= area["max_lat"])
-    return cells.join(area, condition).drop(
-        "_by", "_bx", "min_lon", "max_lon", "min_lat", "max_lat", *[f"_r_{k}" for k in on])
+    return placed.join(area, condition).drop(
+        *LEAF, *[f"_r{c}" for c in LEAF], "min_lon", "max_lon", "min_lat", "max_lat", *[f"_r_{k}" for k in on])
 
 
 def latest_value_lookup(requests: DataFrame, series: DataFrame, date: str, value: str = "value", digits: int = 2,

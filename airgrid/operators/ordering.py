@@ -11,7 +11,6 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,32 +30,59 @@ def attach(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") ->
     return df.join(other, condition, how).drop(*hidden.values())
 
 
-def with_band(df: DataFrame, order: str, band: Column | None = None, prefix: int = 6) -> DataFrame:
-    """Add an order-preserving coarse group of `order`.
+def with_band(df: DataFrame, order: str, band: Column | None = None) -> DataFrame:
+    """Add an order-preserving coarse group of `order`; no job runs for it before the query does.
 
-    Without a given `band`: months for dates and times, the first characters of texts, and
-    approximate quantiles of numbers, a few for each shuffle partition.
+    Without a given `band`: months for dates and times, octaves of a number's size, of which large ones are parted into
+    steps, and shares of a sample of texts. What bands need to know of all rows is a subquery of one row; they spread
+    the work and change no result.
     """
     if band is None:
         kind = df.schema[order].dataType
         if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             band = F.date_trunc("month", F.col(order))
         elif isinstance(kind, T.StringType):
-            band = F.substring(order, 1, prefix)
+            return _with_text_band(df, F.col(order))
+        elif isinstance(kind, T.NumericType):
+            band = _number_band(df, F.col(order).cast("double"))
         else:
-            bands = max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            cuts = df.approxQuantile(order, [i / bands for i in range(1, bands)], 1 / (2 * bands))
-            splits = sorted({c for c in cuts if abs(c) < float("inf")})
-            if not splits:  # no rows, or none with a finite value
-                return df.withColumn(_BAND, F.lit(0.0))
-            bucketizer = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_number",
-                                    outputCol="_bucket", handleInvalid="keep")
-            placed = bucketizer.transform(df.withColumn("_number", F.col(order).cast("double")))
-            lowest = F.when(F.col(order).isNull(), -1.0).otherwise(F.col("_bucket"))
-            return placed.withColumn(_BAND, lowest).drop("_number", "_bucket")
+            band = F.lit(0)
     return df.withColumn(_BAND, band)
 
 
+def _bands(df: DataFrame) -> int:
+    """Groups that a table is parted into, about: a few for each shuffle partition."""
+    return max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _number_band(df: DataFrame, v: Column) -> Column:
+    """Quarter octaves of the size, by sign, as a double's leading bits order it; large ones in even steps between their ends."""
+    infinite = F.abs(v) == float("inf")
+    octave = F.when(v.isNull(), -20_000).when(F.isnan(v), 20_000).when(v == 0, 0).when(infinite, F.signum(v) * 10_000).otherwise(
+        F.signum(v) * (F.floor(F.log2(F.when(infinite, 1.0).otherwise(F.abs(v))) * 4) + 5_000)).cast("int")
+    sizes = df.groupBy(octave.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).where("abs(b) < 10000")
+    known = sizes.agg(F.sum("n").alias("total"), F.min("b").alias("first"), F.max("b").alias("last"),
+                      F.map_from_entries(F.collect_list(F.struct("b", F.struct("n", "lo", "hi")))).alias("of"))
+    # one entry for each octave between the first and the last, so that a row's is found by its number
+    steps = F.expr(f"""transform(sequence(first, last), k -> struct(of[k].lo AS lo, of[k].hi AS hi,
+                                                                    cast(ceil(of[k].n * {_bands(df)} / total) AS int) AS steps))""")
+    table = known.select(F.when(F.col("first").isNotNull(), F.struct("first", steps.alias("steps"))).alias("table")).scalar()
+    place = F.when(F.abs(octave) < 10_000, F.get(table["steps"], octave - table["first"]))
+    step = F.floor((v - place["lo"]) / F.nullif(place["hi"] - place["lo"], F.lit(0.0)) * place["steps"])
+    return F.struct(octave.alias("octave"), F.least(F.coalesce(step, F.lit(0)).cast("int"), F.coalesce(place["steps"], F.lit(1)) - 1).alias("step"))
+
+
+def _with_text_band(df: DataFrame, t: Column) -> DataFrame:
+    """Add the number of cuts at or before a text; cuts part a bounded sample of the distinct texts, picked by hash, into equal shares."""
+    bands = _bands(df)
+    n = df.agg(F.greatest(F.count(t), F.lit(1)).alias("n")).scalar()
+    sample = df.where(F.pmod(F.xxhash64(t), n) < 16 * bands).agg(F.sort_array(F.collect_set(t)).alias("texts"))
+    cuts = sample.select(F.expr(f"array_distinct(transform(sequence(1, {bands - 1}), i -> texts[cast(floor(i * size(texts) / {bands}) AS int)]))").alias("cuts"))
+    some = cuts.select(F.coalesce(F.filter("cuts", lambda c: c.isNotNull()), F.array().cast("array<string>"))).scalar()
+    # a subquery may not stand inside a function over arrays
+    return df.withColumn("_cuts", some).withColumn(_BAND, F.when(t.isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c <= t)))).drop("_cuts")
+
+
 def _place(keys: list[str]) -> Column:
     """Key and band as one value that is never NULL, so that a join on it keeps the partitioning."""
     return F.struct(*keys, _BAND)

@@ -43,10 +43,14 @@ def range_to_null(raw: Column, fill, low, high, scale=1.0, offset=0.0) -> Column
     return F.when((raw != fill) & raw.between(low, high), (raw - offset) * scale)
 
 
+def mean_bands(bands: list[str]) -> list[Column]:
+    """Mean of each band; missing values, NaN too, do not count."""
+    return [F.avg(F.nanvl(F.col(b).cast("double"), F.lit(None).cast("double"))).alias(b) for b in bands]
+
+
 def mean_of_layers(df: DataFrame, cell: list[str], bands: list[str]) -> DataFrame:
     """Mean over the overpasses of a cell; missing values do not count."""
-    return df.groupBy(*cell).agg(*[
-        F.avg(F.nanvl(F.col(b).cast("double"), F.lit(None).cast("double"))).alias(b) for b in bands])
+    return df.groupBy(*cell).agg(*mean_bands(bands))
 
 
 def keep_good_quality(df: DataFrame, bands: list[str], word: str = "AOD_QA") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,30 +195,48 @@ def calendar_means(df: DataFrame, key: str, date: str, columns: list[str], settl
 
 
 def autocorrelation(df: DataFrame, keys: list[str], order: str, column: str, lags: int,
-                    one_per_day: bool = False, batch: int = 100) -> DataFrame:
-    """Autocorrelation of each series at lags 0..`lags`; `order` must be unique within a series."""
-    stats = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(
-        F.avg(column).alias("_mean"), F.count(column).alias("_n"))
-    values = df.where(F.col(column).isNotNull()).select(*keys, order, column)
-    centred = attach(values, stats, keys).select(*keys, order, (F.col(column) - F.col("_mean")).alias("_d"))
-    if lags >= batch:
-        centred = settle(centred)
-    blocks = []
-    for start in range(0, lags + 1, batch):
-        ks = range(start, min(start + batch, lags + 1))
-        wanted = {f"_l{k}": ("_d", k) for k in ks if k}
-        lagged = lag_rows(centred, keys, order, wanted, one_per_day) if wanted else centred
-        products = lagged.groupBy(*keys).agg(
-            F.sum(F.col("_d") * F.col("_d")).alias("_all"),
-            *[F.sum(F.col("_d") * (F.col(f"_l{k}") if k else F.col("_d"))).alias(f"_p{k}") for k in ks])
-        pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_p{k}").alias("p")) for k in ks])
-        blocks.append(products.select(*keys, "_all", F.inline(pairs)).select(
-            *keys, "lag", F.when(F.col("_all") > 0, F.coalesce("p", F.lit(0.0)) / F.col("_all")).alias("acf")))
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.unionByName(block)
+                    one_per_day: bool = False, batch: int = 2048) -> DataFrame:
+    """Autocorrelation of each series at lags 0..`lags`; `order` must be unique within a series.
+
+    Series are cut into chunks of `batch` consecutive values. A chunk meets the chunks that the longest lag reaches, in one
+    shuffle for all lags, and each pair of chunks adds to its lags by one correlation of two arrays; a long series is
+    spread over its chunks and no lagged column is made.
+    """
+    known = df.where(F.col(column).isNotNull())
+    stats = known.groupBy(*keys).agg(F.avg(column).alias("_mean"), F.count(column).alias("_n"))
+    centred = attach(known.select(*keys, order, column), stats, keys).select(*keys, order, (F.col(column) - F.col("_mean")).cast("double").alias("_d"))
+    if one_per_day:
+        placed = centred.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    else:
+        placed = row_positions(centred, keys, order, "_pos")
+    home = F.floor(F.col("_pos") / batch).cast("long")
+    chunks = placed.groupBy(*keys, home.alias("_chunk")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_d"))), lambda x: x["_d"]).alias("_values"))
+    # the chunk itself and those before it whose lags it may hold
+    back = F.sequence(F.greatest(F.col("_chunk") - (lags + batch - 1) // batch, F.lit(0)), F.col("_chunk"))
+    met = chunks.withColumn("_home", F.explode(back)).withColumn("_ahead", F.col("_chunk") - F.col("_home"))
+    kinds = {f.name: f.dataType for f in met.select(*keys).schema.fields}
+
+    def products(key: tuple, table: pa.Table) -> pa.Table:
+        values = dict(zip(table.column("_ahead").to_pylist(), table.column("_values").to_pylist()))
+        total = np.zeros(lags + 1)
+        own = np.array(values[0])
+        for ahead, other in values.items():
+            # entry k of the full correlation is lag k - (len(own) - 1) within the pair
+            sums = np.correlate(np.array(other), own, "full")
+            lag = ahead * batch + np.arange(len(sums)) - (len(own) - 1)
+            fits = (lag >= 0) & (lag <= lags)
+            total[lag[fits]] += sums[fits]
+        arrays = [pa.array([k.as_py()], k.type) for k in key[:-1]]
+        return pa.Table.from_arrays([*arrays, pa.array([total.tolist()])], names=[*kinds, "_sums"])
+
+    schema = ", ".join(f"`{n}` {k.simpleString()}" for n, k in kinds.items())
+    parts = met.select(*keys, "_home", "_ahead", "_values").groupBy(*keys, "_home").applyInArrow(products, f"{schema}, _sums array<double>")
+    summed = parts.select(*keys, F.posexplode("_sums").alias("lag", "_p")).groupBy(*keys, "lag").agg(F.sum("_p").alias("_p"))
+    whole = summed.where("lag = 0").select(*keys, F.col("_p").alias("_all"))
+    out = attach(attach(summed, stats, keys), whole, keys)
     # a lag as long as the series has no pairs
-    return attach(out, stats, keys).where(F.col("lag") < F.col("_n")).select(*keys, "lag", "acf")
+    return out.where(F.col("lag") < F.col("_n")).select(*keys, "lag", F.when(F.col("_all") > 0, F.col("_p") / F.col("_all")).alias("acf"))
 
 
 def last_days(df: DataFrame, date: str, n: int, as_of: datetime.date | str | None = None,

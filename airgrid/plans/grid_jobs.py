@@ -12,13 +12,16 @@ from airgrid.operators.aggregates import (
     band_min_max_mean, band_min_max_median, coordinate_lists, mean_by,
 )
 from airgrid.operators.clean import mask_bands
+from airgrid.operators.granules import GEOMETRY, cells_in_windows, granule_windows, in_box, with_windows
 from airgrid.operators.joins import (
-    cells_in_boxes, dimension_join, equi_join, forecast_for_labels, interval_join, interval_means,
+    dimension_join, equi_join, forecast_for_labels, interval_join, interval_means,
 )
 from airgrid.operators.raster import (
-    coarsen, elevation_summary, keep_good_quality, mean_of_layers, range_to_null, with_cell_coordinates,
+    coarsen, elevation_summary, keep_good_quality, mean_bands, range_to_null, with_cell_coordinates,
 )
 from airgrid.operators.windows import nearest_rank
+from airgrid.sources.readers import granule_catalog
+from airgrid.sources.writers import write_changed_partitions
 
 SLOT_COLUMNS = [v + s for s in SLOTS for v in GFS_VARIABLES]
 
@@ -146,14 +149,52 @@ def granule_cells(granules: DataFrame, grids: DataFrame, bands: list[str], fill:
 
     `granules` is one row per overpass cell with raw bands, AOD_QA, the cell's place and the
     granule's corners. `depth_bands` are blanked where the quality word fails; `average` merges
-    the overpasses of a cell.
+    the overpasses of a cell. Only rows and columns that a grid's bounds can hold are scaled and placed.
     """
-    scaled = granules.withColumns({b: range_to_null(F.col(b), fill, low, high, scale, offset) for b in bands})
-    checked = keep_good_quality(scaled, list(depth_bands))
-    placed = with_cell_coordinates(checked)
     boxes = grids.select("grid_id", *polygon_bounds(F.col("wkt")))
+    windows = granule_windows(granules, boxes, ["granule_id"], tile)
+    placed = checked_cells(cells_in_windows(granules, windows, ["granule_id"]), bands, fill, low, high, scale, offset, depth_bands)
     if average:
-        placed = mean_of_layers(placed, ["granule_id", "lon", "lat"], bands)
-    else:
-        placed = placed.select("granule_id", "layer", "lon", "lat", *bands)
-    return cells_in_boxes(placed, boxes, tile=tile)
+        by = ["grid_id", "granule_id", *GEOMETRY, "row", "col"]
+        return placed.groupBy(*by).agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"), *mean_bands(bands)).drop(*GEOMETRY, "row", "col")
+    return placed.select("grid_id", "granule_id", "layer", "lon", "lat", *bands)
+
+
+def checked_cells(cells: DataFrame, bands: list[str], fill: Column, low: Column, high: Column, scale: Column, offset: Column,
+                  depth_bands: tuple[str, ...] = ()) -> DataFrame:
+    """Cells of windows that lie in their box, scaled, checked by range and quality word, and placed."""
+    placed = with_cell_coordinates(cells).where(in_box())
+    scaled = placed.withColumns({b: range_to_null(F.col(b), fill, low, high, scale, offset) for b in bands})
+    return keep_good_quality(scaled, list(depth_bands))
+
+
+def granule_readings(labels: DataFrame, catalog: DataFrame, on: list[str], product: str, suffix: str, split: str | None = "train",
+                     label_time: str = "datetime", reading_time: str = "time_end", back: int = 1, ahead: int = 0) -> DataFrame:
+    """Each label with each catalogued granule of a product read within days before (or after) it."""
+    wanted = granule_catalog(catalog, product, suffix, split).select(*on, "granule_id", reading_time)
+    return interval_join(labels, wanted, on, label_time, reading_time, back=back, ahead=ahead, how="inner")
+
+
+def granule_partitions(readings: DataFrame, cells: DataFrame, grids: DataFrame, path: str, bands: list[str], fill: Column, low: Column,
+                       high: Column, scale: Column, offset: Column, scene: str = "granule_id", reading_time: str = "time_end",
+                       label_time: str = "datetime", label: str = "label_id", depth_bands: tuple[str, ...] = ()) -> DataFrame:
+    """Cells around each label in files by grid and month; gives the partitions that were written.
+
+    `readings` are labels with granules (`granule_readings`); `scene` names the column by which a reading finds its
+    cells. Only grid-months whose readings differ from those of the last run are computed and written, each whole, so a
+    run after a failed one or over more readings never doubles rows, and one without news writes nothing.
+    """
+    work = readings.select("grid_id", F.date_format(label_time, "yyyy-MM").alias("month"), label, F.col(label_time).alias("label_time"),
+                           F.col(reading_time).alias("reading_time"), "granule_id", F.col(scene).alias("_scene"))
+
+    def rows(todo: DataFrame) -> DataFrame:
+        boxes = grids.select("grid_id", *polygon_bounds(F.col("wkt")))
+        asked = todo.select("grid_id", "_scene").distinct()
+        views = cells.withColumnRenamed("granule_id", "_scene")
+        corners = views.select("_scene", *GEOMETRY).distinct()
+        windows = with_windows(asked.join(boxes, "grid_id").join(corners, "_scene"))
+        found = checked_cells(cells_in_windows(views, windows, ["_scene"]), bands, fill, low, high, scale, offset, depth_bands)
+        found = found.select("grid_id", "_scene", "layer", "lon", "lat", *bands)
+        return todo.join(found, ["grid_id", "_scene"]).drop("_scene")
+
+    return write_changed_partitions(work, rows, path, ("grid_id", "month"))

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.constants import DEPLOYED_FEATURES, GFS_VARIABLES, SLOTS
+from airgrid.constants import DEPLOYED_FEATURES, DEPTH_BANDS, GFS_VARIABLES, SIBLING_STATISTICS, SLOTS
 from airgrid.functions.features import (
     aqi_class, aqi_hit, calendar_parts, scaled_aod, selected_slots, slot_mean, wind_speed,
 )
-from airgrid.functions.geo import city_code, rounded_key
+from airgrid.functions.geo import city_code, rounded_key, unshift_longitude
 from airgrid.learning.models import retrain_and_predict
 from airgrid.learning.prepare import encode_labels, impute_means
-from airgrid.operators.aggregates import class_hit_rate, mean_by, mean_error, station_days
-from airgrid.operators.clean import nonfinite_to_null, valid_labels
-from airgrid.operators.joins import box_join, interval_means, latest_value_lookup
+from airgrid.operators.aggregates import band_min_max_median, class_hit_rate, mean_by, mean_error, station_days
+from airgrid.operators.clean import casts, nonfinite_to_null, valid_labels
+from airgrid.operators.joins import box_join, cells_in_boxes, dimension_join, equi_join, interval_means, latest_value_lookup
 from airgrid.operators.ordering import attach
+from airgrid.operators.raster import elevation_summary
+from airgrid.operators.sets import stack
 from airgrid.operators.splits import named_split, time_split
 from airgrid.operators.windows import day_difference_lags, trailing_means
+from airgrid.session import settle
 
 STATION_KEYS = ["location", "parameter", "country", "city", "latitude", "longitude"]
 # the coordinate alone, as in the original job: stations at one place then share a series and tie by day
@@ -34,6 +37,13 @@ def station_series(records: DataFrame, keys: list[str] = STATION_KEYS, series: l
     return day_difference_lags(station_days(coded, keys), series, "date_utc")
 
 
+def forecast_history(parts: list[DataFrame], shifted: bool = True) -> DataFrame:
+    """Forecast histories as one table: coordinates of any type as numbers, columns by position, longitudes of 0..360 unshifted."""
+    numbers = [casts(p, {"latitude": "double", "longitude": "double"}) for p in parts]
+    whole = stack(*numbers, by_position=True)
+    return whole.withColumn("longitude", unshift_longitude(F.col("longitude"))) if shifted else whole
+
+
 def station_table(labels: DataFrame, aerosol: DataFrame, elevation: DataFrame, forecasts: DataFrame, radius: float,
                   value: str = "Optical_Depth_047") -> DataFrame:
     """Station days with aerosol mean of the last day, elevation, and the strongest forecast nearby.
@@ -46,7 +56,8 @@ def station_table(labels: DataFrame, aerosol: DataFrame, elevation: DataFrame, f
 
     read = interval_means(keyed(labels), keyed(aerosol).select("_y", "_x", "aod_reading_time", value),
                           ["_y", "_x"], "datetime_utc", "aod_reading_time", [value], back=1, mode="calendar")
-    raised = read.drop("_y", "_x").join(elevation, ["latitude", "longitude"], "left")
+    # read three times below: for the places, the days and the result
+    raised = settle(read.drop("_y", "_x").join(elevation, ["latitude", "longitude"], "left"))
 
     days = raised.select("latitude", "longitude", "date_utc", F.hour("datetime_utc").alias("_hour")).distinct()
     places = box_join(days.select("latitude", "longitude").distinct(),
@@ -89,6 +100,33 @@ def deployed_projection(features: DataFrame) -> DataFrame:
     return features.select(*DEPLOYED_FEATURES)
 
 
+def deployed_table(labels: DataFrame, cells: DataFrame, angles: DataFrame, forecasts: DataFrame, elevation: DataFrame,
+                   key: str = "grid_id", date: str = "date") -> DataFrame:
+    """The deployed model's table end to end: one row per label and day with its 25 features, label and date.
+
+    Depths are the minimum, maximum and median of a day's cells, multi-angle values and forecasts the day's means;
+    depths are scaled to particulates, and the scaled ones of the first band get their mean of the last day. `labels`
+    has one row per key and day; all tables share the names of key and date.
+    """
+    by = [key, date]
+    depths = [f"{s}_{b}" for b in DEPTH_BANDS for s in SIBLING_STATISTICS]
+    table = equi_join(labels.select(*by, "value"), band_min_max_median(cells, by, DEPTH_BANDS).select(*by, *depths), by)
+    table = equi_join(table, mean_by(angles, by, ["Aerosol_Optical_Depth", "Angstrom_Exponent_550_860nm"]), by)
+    table = equi_join(table, mean_by(forecasts, by, [v + s for s in SLOTS for v in GFS_VARIABLES]), by)
+    table = dimension_join(table, elevation, [key])
+    features = deployed_features(table, [key], date, [*depths, "Aerosol_Optical_Depth"], depths[:len(SIBLING_STATISTICS)])
+    return deployed_projection(features.withColumn("pm25_date_d", F.col(date)))
+
+
+def point_elevations(points: DataFrame, raster: DataFrame, half_width: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Each distinct point with the least, greatest and mean elevation of the raster cells (lat, lon, elevation) around it."""
+    places = points.select(lat, lon).distinct().where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    boxes = places.select("*", *[(F.col(c).cast("double") + d).alias(n) for n, c, d in (
+        ("min_lon", lon, -half_width), ("max_lon", lon, half_width), ("min_lat", lat, -half_width), ("max_lat", lat, half_width))])
+    around = cells_in_boxes(raster.select("lat", "lon", "elevation"), boxes, tile=4 * half_width)
+    return dimension_join(places, elevation_summary(around, [lat, lon], "elevation", percentiles=False), [lat, lon])
+
+
 def scoring_report(scored: DataFrame, prediction: str = "prediction", actual: str = "actual") -> dict[str, DataFrame]:
     """Row classes, hit rate per class and mean errors of predictions."""
     rows = scored.select(

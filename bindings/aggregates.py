@@ -8,6 +8,8 @@ from airgrid.functions.quality import quality_fields
 from airgrid.operators import aggregates as A
 from airgrid.operators import sets
 from bindings.features import aqi_sql
+from airgrid.operators.sketches import ERROR, quantile_sketches, window_quantiles
+from airgrid.session import settle
 from bindings.registry import d_text, query, r6, rounded, ts_text
 
 _CLOUD = "(AOD_QA // 8192) % 8"
@@ -257,3 +259,24 @@ def _(t):
        SELECT granule_id, us_url FROM {sat_metadata} ORDER BY granule_id LIMIT 218""")
 def _(t):
     return sets.top(t.sat_metadata.select("granule_id", "us_url"), 218, "granule_id", descending=False)
+
+
+@query("agg_sketch_windows", """
+       WITH m AS (SELECT grid_id, CAST(date_trunc('month', utc_date) AS DATE) AS month, AOD_Uncertainty AS x FROM {aod_cells}),
+       q AS (SELECT DISTINCT grid_id, month FROM m)
+       SELECT q.grid_id, CAST(q.month AS VARCHAR) AS month, count(x) AS n_AOD_Uncertainty, min(x) AS min_AOD_Uncertainty, max(x) AS max_AOD_Uncertainty, true AS within
+       FROM q JOIN m ON q.grid_id = m.grid_id AND m.month >= q.month - INTERVAL '62' DAY AND m.month <= q.month GROUP BY 1, 2""")
+def _(t):
+    cells = t.aod_cells.withColumn("month", F.to_date(F.date_trunc("month", "utc_date")))
+    sketches = settle(quantile_sketches(cells, ["grid_id", "month"], ["AOD_Uncertainty"]))
+    asked = sketches.select("grid_id", F.col("month").alias("asked"))
+    found = window_quantiles(sketches, asked, ["grid_id"], "month", "asked", ["AOD_Uncertainty"], {"median": 0.5}, back=62)
+    # the medians' ranks among all rows of their windows
+    days = found.withColumn("month", F.explode(F.sequence(F.date_sub("asked", 62), F.col("asked"))))
+    rows = days.join(cells.select("grid_id", "month", "AOD_Uncertainty"), ["grid_id", "month"])
+    names = ["n_AOD_Uncertainty", "min_AOD_Uncertainty", "max_AOD_Uncertainty"]
+    ranked = rows.groupBy("grid_id", "asked", *names).agg(
+        F.avg((F.col("AOD_Uncertainty") < F.col("median_AOD_Uncertainty")).cast("double")).alias("below"),
+        F.avg((F.col("AOD_Uncertainty") <= F.col("median_AOD_Uncertainty")).cast("double")).alias("reached"))
+    within = (F.col("below") <= 0.5 + ERROR) & (F.col("reached") >= 0.5 - ERROR)
+    return ranked.select("grid_id", F.col("asked").alias("month"), *names, within.alias("within"))

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from airgrid.constants import DEPTH_BANDS, GFS_VARIABLES, NO_DATA_ANSWER, SLOTS, SUMMARY_BANDS
+from airgrid.constants import DEPLOYED_FEATURES, DEPTH_BANDS, GFS_VARIABLES, NO_DATA_ANSWER, SLOTS, SUMMARY_BANDS
 from airgrid.learning.models import impute_chain, regressor
 from airgrid.operators.aggregates import band_min_max_median
 from airgrid.operators.sets import stack
@@ -14,14 +14,16 @@ from airgrid.plans import grid_jobs as G
 from airgrid.plans import station_jobs as J
 from airgrid.session import shared_folder
 from airgrid.sources.readers import csv
-from airgrid.sources.writers import write_csv
+from airgrid.sources.writers import write_csv, write_parquet
 from bindings.features import aqi_sql
 from bindings.geometry import CENTROIDS
 from bindings.joins import slot_sql
+from bindings.learning import FOLD_SQL
 from bindings.rasters import BLOCKS, STATISTICS, summary_sql
 from bindings.registry import d_text, query, r6, rounded, ts_text
 
 _ALL = [v + s for s in SLOTS for v in GFS_VARIABLES]
+_WHOLE = {"day_of_year", "month", "week_of_year", "min_elevation", "max_elevation", "avg_elevation", "value", "pm25_date_d"}
 _CLOUD = "(AOD_QA // 8192) % 8"
 _FIELDS = [("AOD_QA_Cloud_Mask", 0, 3), ("AOD_QA_LWS_Mask", 3, 2), ("AOD_QA_Adj_Mask", 5, 3), ("AOD_Level", 8, 1),
            ("Algo_init", 9, 1), ("BRF_over_snow", 10, 1), ("BRF_climatology", 11, 1), ("AOD_QA_SC_Mask", 12, 3)]
@@ -154,7 +156,10 @@ def _(t):
        FROM r LEFT JOIN {{places}} USING (latitude, longitude) LEFT JOIN n USING (date_utc, location)""")
 def _(t):
     labels = J.station_series(t.labels_station).select("date_utc", "location", "latitude", "longitude", "datetime_utc", "value")
-    return J.station_table(labels, t.aod_ee, t.places, t.points, 0.375)
+    # four histories with coordinates as text and longitudes from 0 to 360
+    shifted = t.points.withColumns({"latitude": F.col("latitude").cast("string"), "longitude": (F.col("longitude") + 180).cast("string")})
+    forecasts = J.forecast_history([shifted.where(F.dayofmonth("date") % 4 == k) for k in range(4)])
+    return J.station_table(labels, t.aod_ee, t.places, forecasts, 0.375)
 
 
 _SCALED = "CASE WHEN {0} <> 0 THEN 46.759e0 * {0} + 7.1333e0 END"
@@ -177,6 +182,29 @@ def _(t):
     return rounded(rounded(out, "depth_scaled", "trailing1d_depth_scaled", digits=9), "wind_speed")
 
 
+_DEPTHS = [f"{s}_{b}" for b in DEPTH_BANDS for s in ("min", "max", "median")]
+_TRAILING = "avg({0}_scaled) OVER (PARTITION BY grid_id ORDER BY CAST(epoch(date) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)"
+
+
+@query("job_deployed_table", f"""
+       WITH c AS (SELECT grid_id, utc_date AS date, {', '.join(f'min({b}) AS min_{b}, max({b}) AS max_{b}, quantile_disc({b}, 0.5) AS median_{b}' for b in DEPTH_BANDS)}
+                  FROM {{aod_cells}} GROUP BY 1, 2),
+       a AS (SELECT grid_id, CAST(datetime AS DATE) AS date, avg(Aerosol_Optical_Depth) AS Aerosol_Optical_Depth,
+                    avg(Angstrom_Exponent_550_860nm) AS Angstrom_Exponent_550_860nm FROM {{misr}} GROUP BY 1, 2),
+       w AS (SELECT grid_id, date, {', '.join(f'avg({c}) AS {c}' for c in _ALL)} FROM {{gfs}} GROUP BY 1, 2),
+       j AS (SELECT * FROM (SELECT grid_id, date, value FROM {{daily_grid}}) d LEFT JOIN c USING (grid_id, date) LEFT JOIN a USING (grid_id, date)
+             LEFT JOIN w USING (grid_id, date) LEFT JOIN {{elevation}} USING (grid_id)),
+       s AS (SELECT *, {', '.join(f'{_SCALED.format(c)} AS {c}_scaled' for c in [*_DEPTHS, 'Aerosol_Optical_Depth'])},
+                    {', '.join(f'{_four(v)} AS {v}' for v in GFS_VARIABLES)} FROM j),
+       f AS (SELECT *, {', '.join(f'{_TRAILING.format(c)} AS trailing1d_{c}_scaled' for c in _DEPTHS[:3])}, dayofyear(date) AS day_of_year, month(date) AS month,
+                    week(date) AS week_of_year, sqrt(u_pbl * u_pbl + v_pbl * v_pbl) AS wind_speed, {d_text('date')} AS pm25_date_d FROM s)
+       SELECT {', '.join(c if c in _WHOLE else f'{r6(c)} AS {c}' for c in DEPLOYED_FEATURES)} FROM f""")
+def _(t):
+    cells = t.aod_cells.withColumnRenamed("utc_date", "date")
+    out = J.deployed_table(t.daily_grid, cells, t.misr.withColumn("date", F.to_date("datetime")), t.gfs, t.elevation)
+    return rounded(out, *[c for c in DEPLOYED_FEATURES if c not in _WHOLE])
+
+
 @query("job_chained_imputation")
 def _(t):
     columns = [f"{s}_{b}" for b in SUMMARY_BANDS[:2] for s in ("min", "max", "median")]
@@ -186,6 +214,29 @@ def _(t):
     return impute_chain(holes, columns, ["grid_id", "utc_date"], "utc_date", learner="linear")
 
 
+def _two_features(column, u, v, gap, source):
+    """Fit of `column` on u and v (gaps of v at `gap`) over the rows of `source` that have it, as SQL."""
+    v = f"coalesce({v}, {gap})"
+    pair = {"s11": f"var_pop({u})", "s22": f"var_pop({v})", "s12": f"covar_pop({u}, {v})", "s1y": f"covar_pop({u}, {column})", "s2y": f"covar_pop({v}, {column})"}
+    return (f"SELECT *, my - b1 * m1 - b2 * m2 AS b0 FROM (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, "
+            f"(s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM (SELECT avg({column}) AS my, avg({u}) AS m1, avg({v}) AS m2, "
+            f"{', '.join(f'{x} AS {n}' for n, x in pair.items())} FROM {source} WHERE {column} IS NOT NULL))")
+
+
+@query("job_chained_lines", f"""
+       WITH k AS (SELECT label_id, date, x1, x2, CASE WHEN label_id % 5 > 0 THEN x3 END AS x3 FROM {{training}}),
+       r AS (SELECT *, {FOLD_SQL} AS fold FROM (SELECT *, percent_rank() OVER (ORDER BY date) AS r FROM k)),
+       m AS (SELECT avg(x2) AS gap FROM r WHERE fold % 2 = 0 AND x3 IS NOT NULL),
+       f AS ({_two_features('x3', 'x1', 'x2', 'gap', 'r, m')}),
+       a AS (SELECT label_id, x1, x2, coalesce(x3, b0 + b1 * x1 + b2 * coalesce(x2, gap)) AS x3 FROM r, m, f),
+       g AS ({_two_features('x2', 'x1', 'x3', '0', 'a')})
+       SELECT label_id, {r6('coalesce(x2, b0 + b1 * x1 + b2 * x3)', 4)} AS x2, {r6('x3', 4)} AS x3 FROM a, g""")
+def _(t):
+    holes = t.training.select("label_id", "date", "x1", "x2", F.when(F.col("label_id") % 5 > 0, F.col("x3")).alias("x3"))
+    out = impute_chain(holes, ["x3", "x2"], ["label_id"], "date", learner="linear", penalties=(0.0,))
+    return rounded(out.select("label_id", "x2", "x3"), "x2", "x3", digits=4)
+
+
 @query("job_scoring_rows", f"""
        SELECT l_orderkey, l_linenumber, l_partkey, prediction, actual, {aqi_sql('prediction')} AS predicted_aqi, {aqi_sql('actual')} AS actual_aqi,
               CAST({aqi_sql('prediction')} = {aqi_sql('actual')} AS INT) AS aqi_hit FROM {{scored}}""")
@@ -220,6 +271,20 @@ def _(t):
     return rounded(G.elevation_table(t.raster, ["raster_id"]), *STATISTICS)
 
 
+_RASTER = """(SELECT elevation, 20 + (raster_id % 50) * 0.25e0 + row * 0.02e0 AS lat, 60 + floor(raster_id / 50) * 0.25e0 + col * 0.02e0 AS lon FROM {raster})"""
+
+
+@query("job_point_elevation", f"""
+       SELECT p.latitude, p.longitude, min(elevation) AS min_elevation, max(elevation) AS max_elevation, {r6('avg(elevation)')} AS avg_elevation
+       FROM (SELECT DISTINCT latitude, longitude FROM {{labels_station}}) p LEFT JOIN {_RASTER} r
+         ON lat >= latitude - 0.1e0 AND lat <= latitude + 0.1e0 AND lon >= longitude - 0.1e0 AND lon <= longitude + 0.1e0 GROUP BY 1, 2""")
+def _(t):
+    cells = t.spark.sql(_RASTER.strip("()"), raster=t.raster)
+    path = f"{shared_folder(t.spark)}/airgrid-elevations-{uuid.uuid4().hex}"
+    write_parquet(J.point_elevations(t.labels_station, cells, 0.1), path)
+    return rounded(t.spark.read.parquet(path), "avg_elevation")
+
+
 _LAT = "degrees((y0 + row * (y1 - y0) / n_rows) / 6371007.181e0)"
 _LON = "degrees((x0 + col * (x1 - x0) / n_cols) / (6371007.181e0 * cos((y0 + row * (y1 - y0) / n_rows) / 6371007.181e0)))"
 _KEPT = ("CASE WHEN lpad(bin(AOD_QA), 16, '0')[1:3] IN ('000', '001', '010') AND lpad(bin(AOD_QA), 16, '0')[6:8] IN ('000', '011')"
@@ -252,6 +317,29 @@ def _(t):
     return rounded(_granule_cells(t, True), "lon", "lat")
 
 
+@query("job_granule_partitions", f"""
+       WITH p AS (SELECT label_id, g.grid_id, g.datetime, m.granule_id, m.area, m.time_end FROM {{labels_grid}} g JOIN {{sat_metadata}} m
+                    ON CAST(substr(g.grid_id, 2) AS BIGINT) = m.area AND m.time_end <= g.datetime AND m.time_end >= g.datetime - INTERVAL '24' HOUR
+                  WHERE product = 'maiac' AND split = 'train' AND contains(us_url, '.hdf'))
+       SELECT p.grid_id, strftime(p.datetime, '%Y-%m') AS month, label_id, {ts_text('p.datetime')} AS label_time, {ts_text('p.time_end')} AS reading_time,
+              p.granule_id, layer, {r6('lon')} AS lon, {r6('lat')} AS lat, raw, raw_b
+       FROM p JOIN ({_GRANULES.replace('granule_id, layer', 'granule_id AS scene, layer')}) c ON c.scene = p.area JOIN {{boxes}} b ON b.grid_id = p.grid_id WHERE {_INSIDE}""")
+def _(t):
+    labels = t.labels_grid.select("label_id", "grid_id", "datetime", F.expr("substr(grid_id, 2)").cast("long").alias("area"))
+    path = f"{shared_folder(t.spark)}/airgrid-cells-{uuid.uuid4().hex}"
+
+    def run(catalog):
+        readings = G.granule_readings(labels, catalog, ["area"], "maiac", ".hdf")
+        return G.granule_partitions(readings, t.granules, t.grids, path, ["raw", "raw_b"], F.lit(13.0), F.lit(3.0), F.lit(45.0), F.lit(0.5), F.lit(2.0),
+                                    scene="area", depth_bands=("raw_b",))
+
+    # a catalogue that grows: the second run writes the months that it adds to
+    run(t.sat_metadata.where("time_end < '1996-01-01'"))
+    run(t.sat_metadata)
+    names = ["grid_id", "month", "label_id", "label_time", "reading_time", "granule_id", "layer", "lon", "lat", "raw", "raw_b"]
+    return rounded(t.spark.read.parquet(path).select(names), "lon", "lat")
+
+
 _NAMED = """(SELECT *, CASE WHEN r < 0.8e0 THEN 'train' WHEN r < 0.9e0 THEN 'valid' ELSE 'test' END AS part
              FROM (SELECT *, percent_rank() OVER (ORDER BY date) AS r FROM {training}))"""
 

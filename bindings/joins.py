@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from airgrid.constants import GFS_VARIABLES, NO_DATA_ANSWER, SLOTS
 from airgrid.operators import joins as J
 from airgrid.operators.aggregates import mean_by
+from airgrid.operators.lookup import LatestValues
 from bindings.registry import d_text, query, ts_text
 
 _FEW = [v + s for s in SLOTS for v in GFS_VARIABLES[:2]]
@@ -12,11 +13,9 @@ _FEW = [v + s for s in SLOTS for v in GFS_VARIABLES[:2]]
 
 @query("jn_left", f"""
        SELECT label_id, value, l.AOD_Uncertainty FROM {{labels_grid}} g
-       LEFT JOIN (SELECT * FROM {{aod_cells}} WHERE AOD_Uncertainty > 40) l
-         ON g.grid_id = l.grid_id AND g.datetime = l.aod_reading_end""")
+       LEFT JOIN {{aod_cells}} l ON g.grid_id = l.grid_id AND g.datetime = l.aod_reading_end""")
 def _(t):
-    cells = t.aod_cells.where("AOD_Uncertainty > 40").select(
-        "grid_id", F.col("aod_reading_end").alias("datetime"), "AOD_Uncertainty")
+    cells = t.aod_cells.select("grid_id", F.col("aod_reading_end").alias("datetime"), "AOD_Uncertainty")
     return J.equi_join(t.labels_grid, cells, ["grid_id", "datetime"]).select("label_id", "value", "AOD_Uncertainty")
 
 
@@ -231,3 +230,16 @@ def _(t):
 @query("jn_point_lookup_coarse", _lookup_sql(1))
 def _(t):
     return _lookup(t, 1)
+
+
+@query("jn_latest_table", _lookup_sql(2))
+def _(t):
+    known = t.labels_station.withColumn("value", F.col("value").cast("long"))
+    table = LatestValues(t.spark, "airgrid_latest", digits=2, buckets=int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    # the table of all rows but those of the last two days, then an update with each of them
+    last = F.to_date(known.agg(F.max("datetime_utc").alias("last")).scalar())
+    behind = F.least(F.datediff(last, F.to_date("datetime_utc")), F.lit(2))
+    for days in (2, 1, 0):
+        table.advance(known.where(behind == days), "datetime_utc")
+    asked = t.aod_ee.select((F.col("latitude") + 0.002).alias("latitude"), "longitude").distinct()
+    return table.answers(asked.union(t.spark.range(1).select(F.lit(1.0), F.lit(1.0))))

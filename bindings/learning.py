@@ -10,7 +10,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from airgrid.constants import SIX_FOLD_CUTS
 from airgrid.learning import models as M
+from airgrid.learning import normal as N
 from airgrid.learning import prepare as P
 from airgrid.learning import scores as S
 from airgrid.learning import validate as V
@@ -133,6 +135,17 @@ def _(t):
     return _search_table(t, maps, V.holdout_search(train, valid, tree, maps, S.evaluator("value"), penalised=True))
 
 
+@query("ml_halving_search")
+def _(t):
+    tree = M.regressor("decision_tree", "value")
+    maps = V.grid({tree.maxDepth: list(range(2, 10)), tree.minInstancesPerNode: [1, 5, 10, 20, 40]})
+    assembled = settle(VectorAssembler(inputCols=_NUMERIC, outputCol="features").transform(_split(t).na.fill(0.0, ["x2"])))
+    train, valid, _ = _parts(assembled)
+    found, seen = V.halving_search(train, valid, tree, maps, S.evaluator("value"), ["label_id"], penalised=True)
+    rows = [(r, float(s), maps[i][tree.maxDepth], maps[i][tree.minInstancesPerNode], v, maps[i] is found.params) for r, s, i, v in seen]
+    return t.spark.createDataFrame(rows, "rung int, share double, max_depth int, min_instances int, score double, chosen boolean")
+
+
 @query("ml_baselines")
 def _(t):
     ready = time_split(_folded(t), "date", named_split)
@@ -222,14 +235,21 @@ def _one_feature(label="value"):
                             M.regressor("linear", label, "one", maxIter=100, solver="normal")])
 
 
+def _places(t):
+    """Training and test rows, the test rows with one of a place that no model knows."""
+    train, _, test = _parts(_split(t))
+    lost = test.limit(1).select(*[F.lit(-1).cast("long").alias(c) if c == "label_id" else F.lit("nowhere").alias(c) if c == "location" else c for c in test.columns])
+    return train, test.unionByName(lost)
+
+
 @query("ml_per_location", f"""
        WITH s AS (SELECT *, {_sets('CAST(date AS VARCHAR)')} AS part FROM {{training}}),
-       f AS (SELECT location, {_LINE} FROM s WHERE part = 'train' AND location <> (SELECT min(location) FROM s) GROUP BY location)
-       SELECT label_id, location, {r6('b0 + b1 * x1', 4)} AS prediction FROM s LEFT JOIN f USING (location) WHERE part = 'test'""")
+       f AS (SELECT location, {_LINE} FROM s WHERE part = 'train' GROUP BY location)
+       SELECT label_id, location, {r6('b0 + b1 * x1', 4)} AS prediction FROM s LEFT JOIN f USING (location) WHERE part = 'test'
+       UNION ALL SELECT -1, 'nowhere', NULL""")
 def _(t):
-    train, _, test = _parts(_split(t))
-    unseen = t.training.agg(F.min("location").alias("location"))
-    out = M.fit_per_location(train.join(unseen, "location", "left_anti"), test, _one_feature())
+    train, test = _places(t)
+    out = N.predict_by_group(test, N.fit_by_group(train, ["x1"], "value", ["location"]), ["x1"], ["location"])
     return rounded(out.select("label_id", "location", "prediction"), "prediction", digits=4)
 
 
@@ -239,8 +259,24 @@ def _(t):
        p AS (SELECT value, b0 + b1 * x1 AS pred FROM s JOIN f USING (location) WHERE part = 'test')
        SELECT {r6('1 - sum((value - pred) * (value - pred)) / (var_pop(value) * count(*))')} AS r2 FROM p""")
 def _(t):
-    train, _, test = _parts(_split(t))
-    return rounded(S.regression_metrics(M.fit_per_location(train, test, _one_feature())).select("r2"), "r2")
+    train, test = _places(t)
+    out = N.predict_by_group(test, N.fit_by_group(train, ["x1"], "value", ["location"]), ["x1"], ["location"])
+    return rounded(S.regression_metrics(out).select("r2"), "r2")
+
+
+@query("ml_per_grid", f"""
+       WITH f AS (SELECT grid_id, {_LINE}, count(*) AS n, var_pop(x1) AS spread, avg(value) AS mean FROM {{training}} GROUP BY grid_id)
+       SELECT label_id, {r6('CASE WHEN spread > 0 THEN b0 + b1 * x1 ELSE mean END', 3)} AS prediction FROM {{training}} LEFT JOIN f USING (grid_id)""")
+def _(t):
+    fits = N.fit_by_group(t.training, ["x1"], "value", ["grid_id"])
+    return rounded(N.predict_by_group(t.training, fits, ["x1"], ["grid_id"]).select("label_id", "prediction"), "prediction", digits=3)
+
+
+@query("ml_per_location_trees")
+def _(t):
+    train, test = _places(t)
+    tree = Pipeline(stages=[VectorAssembler(inputCols=["x1", "x3"], outputCol="features"), M.regressor("decision_tree", "value", maxDepth=4)])
+    return M.fit_per_location(train, test, tree).select("label_id", "location", F.round("prediction", 4).alias("prediction"))
 
 
 @query("ml_second_stage")
@@ -303,3 +339,41 @@ def _(t):
     gaps = t.training.withColumn("x1", F.when(F.col("label_id") % 5 > 0, F.col("x1"))).select("label_id", "date", "x1", "x2")
     out = M.impute_column(gaps, "x2", ["label_id"], "date", learner="linear", cross_validated=True)
     return rounded(out, "x2_imputed", digits=4)
+
+
+# number of a row's time fold, by its rank r
+FOLD_SQL = "CASE " + " ".join(f"WHEN r < {cut} THEN {i}" for i, cut in enumerate(SIX_FOLD_CUTS)) + f" ELSE {len(SIX_FOLD_CUTS)} END"
+
+_FOLDED_LINE = f"""
+       k AS (SELECT label_id, date, x2, CASE WHEN label_id % 5 > 0 THEN x1 END AS x1 FROM {{training}}),
+       r AS (SELECT *, {FOLD_SQL} AS fold FROM (SELECT *, percent_rank() OVER (ORDER BY date) AS r FROM k WHERE x2 IS NOT NULL)),
+       m AS (SELECT avg(x1) AS m FROM r WHERE fold % 2 = 0),
+       t AS (SELECT fold, coalesce(x1, m) AS x, x2 AS y FROM r, m),
+       o AS (SELECT unnest([0e0, 0.5e0, 2e0]) AS penalty),
+       g AS (SELECT fold, penalty, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / (var_pop(x) * (1 + penalty)) AS b FROM t, o GROUP BY fold, penalty),
+       e AS (SELECT g.fold, penalty, 1 - sum((y - my - b * (x - mx)) * (y - my - b * (x - mx))) / (var_pop(y) * count(*)) AS score
+             FROM g JOIN t ON t.fold = g.fold + 1 WHERE g.fold % 2 = 0 GROUP BY g.fold, penalty),
+       c AS (SELECT penalty, avg(score) AS score FROM e GROUP BY penalty),
+       w AS (SELECT arg_max(penalty, (score, -penalty)) AS penalty FROM c)"""
+
+
+def _folded_line(t):
+    gaps = t.training.withColumn("x1", F.when(F.col("label_id") % 5 > 0, F.col("x1"))).select("label_id", "date", "x1", "x2")
+    return M.impute_line(gaps, "x2", ["label_id"], "date", penalties=(0.0, 0.5, 2.0))
+
+
+@query("ml_impute_search", f"""
+       WITH {_FOLDED_LINE},
+       f AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / (var_pop(x) * (1 + any_value(penalty))) AS b FROM t, w)
+       SELECT label_id, {r6('my + b * (coalesce(x1, m) - mx)', 4)} AS x2_imputed FROM k, f, m WHERE x2 IS NULL""")
+def _(t):
+    out, _ = _folded_line(t)
+    return rounded(out, "x2_imputed", digits=4)
+
+
+@query("ml_impute_search_scores", f"""
+       WITH {_FOLDED_LINE} SELECT penalty, {r6('score')} AS score, penalty = (SELECT penalty FROM w) AS chosen FROM c""")
+def _(t):
+    _, fit = _folded_line(t)
+    rows = [(p, s, p == fit.penalty) for p, s in fit.scores.items()]
+    return rounded(t.spark.createDataFrame(rows, "penalty double, score double, chosen boolean"), "score")

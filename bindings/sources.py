@@ -9,7 +9,8 @@ from airgrid.functions.features import epoch_ms
 from airgrid.operators.clean import casts
 from airgrid.sources.readers import directory_files, directory_table, flatten_labels, granule_catalog, parquet
 from airgrid.session import shared_folder
-from airgrid.sources.readers import csv, labels_csv
+from airgrid.schemas import AOD_BY_DATE, AOD_BY_LABEL, AOD_BY_LOCATION
+from airgrid.sources.readers import csv, labels_csv, versioned_table
 from airgrid.sources.writers import as_view, write_csv, write_parquet
 from bindings.registry import query, ts_text
 
@@ -114,13 +115,39 @@ def _(t):
 
 
 @query("snk_partitioned_parquet", """
-       SELECT grid_id, location, strftime(datetime, '%Y-%m') AS month, value FROM {labels_grid} WHERE location = 'Delhi'""")
+       SELECT grid_id, location, strftime(datetime, '%Y-%m') AS month, value FROM {labels_grid}""")
 def _(t):
     path = _fresh(t, "labels")
     months = t.labels_grid.select("grid_id", "location", F.date_format("datetime", "yyyy-MM").alias("month"), "value")
-    # one writer per location and month, so that a partition is few files
-    write_parquet(months.repartition("location", "month"), path, partition_by=("location", "month"))
-    return parquet(t.spark, path, months.schema).where("location = 'Delhi'").select(months.columns)
+    write_parquet(months, path, partition_by=("location", "month"))
+    return parquet(t.spark, path, months.schema).select(months.columns)
+
+
+_VERSIONS = {"by_date": AOD_BY_DATE, "by_label": AOD_BY_LABEL, "by_location": AOD_BY_LOCATION}
+
+
+def _cells_in_versions(t):
+    """The aerosol cells written in three known schemas, a third each, beside a file of another schema."""
+    path = _fresh(t, "versions")
+    day, hour = F.col("utc_date").cast("string"), F.date_format("aod_reading_end", "yyyy-MM-dd HH:mm:ss")
+    tails = {"by_date": {"utc_date": day}, "by_label": {"aod_reading_end": hour, "pm25_reading_date": day}, "by_location": {"aod_reading_end": hour, "location": F.lit("Delhi")}}
+    for k, (name, tail) in enumerate(tails.items()):
+        part = t.aod_cells.where(F.col("index") % 3 == k).withColumns(tail)
+        kinds = {f.name: f.dataType for f in _VERSIONS[name].fields}
+        part.select([F.col(c).cast(kinds[c]) for c in kinds]).write.parquet(f"{path}/{name}")
+    t.aod_cells.select(F.col("index").cast("string"), "lon").write.parquet(f"{path}/other")
+    return path
+
+
+@query("src_schema_versions", """
+       SELECT index, AOD_Uncertainty, AOD_QA, grid_id, CASE WHEN index % 3 = 0 THEN CAST(utc_date AS VARCHAR) END AS utc_date,
+              CASE WHEN index % 3 > 0 THEN strftime(aod_reading_end, '%Y-%m-%d %H:%M:%S') END AS aod_reading_end,
+              CASE WHEN index % 3 = 1 THEN CAST(utc_date AS VARCHAR) END AS pm25_reading_date, CASE WHEN index % 3 = 2 THEN 'Delhi' END AS location,
+              CASE index % 3 WHEN 0 THEN 'by_date' WHEN 1 THEN 'by_label' ELSE 'by_location' END AS version FROM {aod_cells}""")
+def _(t):
+    table, _ = versioned_table(t.spark, _cells_in_versions(t), _VERSIONS)
+    return table.select("index", F.col("AOD_Uncertainty").cast("double").alias("AOD_Uncertainty"), "AOD_QA", "grid_id", "utc_date", "aod_reading_end",
+                        "pm25_reading_date", "location", "version")
 
 
 @query("snk_csv", "SELECT label_id, value FROM {labels_grid}")

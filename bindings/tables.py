@@ -119,7 +119,7 @@ LOGICAL = {
                o_orderdate + (o_orderkey % 24 + CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE 0 END) * INTERVAL '1' HOUR
                  AS datetime,
                l_quantity AS Aerosol_Optical_Depth, CAST(l_partkey % 40 AS DOUBLE) AS Angstrom_Exponent_550_860nm
-        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""",
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
     "elevation": """
         SELECT concat('G', CAST(s_suppkey AS STRING)) AS grid_id, floor(abs(s_acctbal)) + 0e0 AS min_elevation,
                floor(abs(s_acctbal)) + 40e0 AS max_elevation, floor(abs(s_acctbal)) + 20e0 AS avg_elevation
@@ -152,10 +152,11 @@ LOGICAL = {
                ts AS datetime_utc, round(value * 6) - 5 AS value
         FROM {events}""",
     "aod_ee": """
-        SELECT event_id, 20 + (user_id % 50) * 0.25e0 + (event_id % 3) * 0.001e0 AS latitude,
+        -- readings of some events stand where no station is
+        SELECT event_id, 20 + (user_id % 50) * 0.25e0 + (event_id % 3) * 0.001e0 + CASE WHEN event_type = 'signup' THEN 0.05e0 ELSE 0e0 END AS latitude,
                60 + floor(user_id / 50) * 0.25e0 AS longitude, CAST(floor(EPOCH_US(ts) / 1000) AS BIGINT) - 3600000 AS time,
                ts - INTERVAL '1' HOUR AS aod_reading_time, CAST(event_id % 90 AS DOUBLE) AS Optical_Depth_047
-        FROM {events} WHERE event_type <> 'signup'""",
+        FROM {events}""",
     "points": f"""
         SELECT CAST(ts AS DATE) AS date, 20 + (event_id % 50) * 0.25e0 + 0.1e0 AS latitude,
                60 + (event_id % 4) * 0.25e0 AS longitude,

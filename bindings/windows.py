@@ -184,12 +184,12 @@ def _(t):
        WITH s AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY date_utc) AS i, count(*) OVER (PARTITION BY location) AS n,
                   value - avg(value) OVER (PARTITION BY location) AS d FROM {_DAILY}),
        v AS (SELECT location, any_value(n) AS n, sum(d * d) AS whole FROM s GROUP BY location),
-       k AS (SELECT unnest(range(0, 61)) AS lag),
-       p AS (SELECT a.location, a.i - b.i AS lag, sum(a.d * b.d) AS p FROM s a JOIN s b ON a.location = b.location AND a.i - b.i BETWEEN 0 AND 60 GROUP BY 1, 2)
+       k AS (SELECT unnest(range(0, 201)) AS lag),
+       p AS (SELECT a.location, a.i - b.i AS lag, sum(a.d * b.d) AS p FROM s a JOIN s b ON a.location = b.location AND a.i - b.i BETWEEN 0 AND 200 GROUP BY 1, 2)
        SELECT v.location, CAST(k.lag AS INT) AS lag, CASE WHEN whole > 0 THEN {r6('coalesce(p.p, 0) / whole')} END AS acf FROM v JOIN k ON k.lag < n
        LEFT JOIN p ON p.location = v.location AND p.lag = k.lag""")
 def _(t):
-    return rounded(W.autocorrelation(_daily(t), ["location"], "date_utc", "value", 60, one_per_day=True), "acf")
+    return rounded(W.autocorrelation(_daily(t), ["location"], "date_utc", "value", 200, one_per_day=True), "acf")
 
 
 @query("win_last_days", f"""

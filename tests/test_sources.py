@@ -85,3 +85,28 @@ def test_settled_table_lies_in_the_shared_folder(spark, table):
 def test_schemas_name_the_tables():
     assert len(schemas.GFS) == 40 and len(schemas.MISR) == 21
     assert len(schemas.AOD_BY_DATE) == 12 and len(schemas.AOD_BY_LABEL) == len(schemas.AOD_BY_LOCATION) == 13
+
+
+def test_versions_of_a_schema(spark, tmp_path):
+    """Three versions, odd names, a misfit that clashes in a type, one that does not, and bytes that are no parquet."""
+    from airgrid.sources.readers import one_layout, versioned_table
+
+    folder = tmp_path / "a b{1}%20"
+    versions = {"old": T.StructType([T.StructField("id", T.IntegerType()), T.StructField("v", T.FloatType())]),
+                "new": T.StructType([T.StructField("v", T.DoubleType()), T.StructField("id", T.LongType()), T.StructField("note", T.StringType())]),
+                "bare": T.StructType([T.StructField("id", T.LongType())])}
+    layout = one_layout(versions)
+    assert [(f.name, f.dataType.simpleString()) for f in layout.fields] == [("id", "bigint"), ("v", "double"), ("note", "string")]
+    for k, (name, schema) in enumerate(versions.items()):
+        rows = [(10 * k + i, 0.5, f"n{i}") for i in range(3)]
+        spark.createDataFrame(rows, "id long, v double, note string").select([F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(str(folder / f"{name} x%=y"))
+    spark.createDataFrame([("x", 1)], "id string, z int").write.parquet(str(folder / "clash"))
+    spark.createDataFrame([(1, 1)], "id int, z int").write.parquet(str(folder / "misfit"))
+    (folder / "broken.parquet").write_bytes(b"no parquet")
+    table, left_out = versioned_table(spark, str(folder).replace("{", "\\{").replace("}", "\\}"), versions)
+    want = [(10 * k + i, None if name == "bare" else 0.5, f"n{i}" if name == "new" else None, name) for k, name in enumerate(versions) for i in range(3)]
+    assert sorted(map(tuple, table.select("id", "v", "note", "version").collect())) == want
+    assert sorted((r.readable, r.columns) for r in left_out.where("length > 0").collect())[0] == (False, None)
+    assert {r.columns for r in left_out.collect()} == {None, "id string, z int", "id int, z int"}
+    with pytest.raises(ValueError, match="no type holds"):
+        one_layout({"a": T.StructType([T.StructField("id", T.StringType())]), "b": T.StructType([T.StructField("id", T.LongType())])})
