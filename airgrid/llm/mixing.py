@@ -1,4 +1,8 @@
-"""Mixing sources to target weights by systematic sampling: running expected copies, one random offset, one copy a whole number crossed."""
+"""Mixing sources to target weights by systematic sampling: running expected copies, one random offset, one copy a whole number crossed.
+
+The offset of a source is the one of OFFSETS equally spaced draws whose copies come nearest to the target: with few or very
+uneven documents a single draw may miss it by the size of the longest one.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,9 @@ from airgrid.session import settle
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Names the random offsets.
+#: Names the random offsets, of which so many are tried for each source.
 SEED = "mix"
+OFFSETS = 32
 #: Rows of equal document, source and size that one task hands out at once.
 CHUNK = 10_000
 KEYS = ["source", "size", "doc_id"]
@@ -56,7 +61,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def allocate(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """One row for each distinct (source, size, doc_id) of `rows`: how many rows it has (n), how many rows of the source lie
-    before it (rows_before), source_size, target, rate (expected copies of each row) and start (the source's offset).
+    before it (rows_before), source_size, target, rate (expected copies of each row) and start (the source's offset: of
+    OFFSETS draws the one whose taken words are nearest to the target, told by one aggregation).
 
     Rows of a source lie in order of size, then of a digest of the id, so that copies lie even over sizes: what a source
     gives differs from its target by less than its longest document. No task orders a source: sizes are counted and
@@ -81,14 +87,25 @@ def allocate(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     placed = attach(placed, settle(of_size), ["source", "size"])
     placed = attach(placed, settle(targets(sources, weights, share, most)), ["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return placed.select(*KEYS, "n", (F.col("smaller") + F.col("lower") + F.col("_inside")).alias("rows_before"), "source_size", "target",
-                         rate.alias("rate"), _offset(F.col("source"), seed).alias("start"))
+    placed = settle(placed.select(*KEYS, "n", (F.col("smaller") + F.col("lower") + F.col("_inside")).alias("rows_before"), "source_size", "target",
+                                  rate.alias("rate"), _offset(F.col("source"), seed).alias("draw")))
+    tried = []
+    for k in range(OFFSETS):
+        shifted = F.col("draw") + F.lit(k / OFFSETS)
+        start = F.when(shifted >= 1, shifted - 1).otherwise(shifted)
+        taken = F.sum(F.col("size") * _crossed(start, F.col("rows_before"), F.col("rows_before") + F.col("n")))
+        tried.append(F.struct(F.abs(taken - F.first("target")).alias("off"), F.lit(k).alias("k"), F.first(start).alias("start")))
+    starts = placed.groupBy("source").agg(F.array_min(F.array(*tried))["start"].alias("start"))
+    return attach(placed.drop("draw"), settle(starts), ["source"])
+
+
+def _crossed(start: Column, low: Column, high: Column) -> Column:
+    """Whole numbers that the running sum crosses on the rows from place `low` up to `high`."""
+    return (F.floor(start + high * F.col("rate")) - F.floor(start + low * F.col("rate"))).cast("bigint")
 
 
 def _copies(place: Column) -> Column:
-    """Whole numbers that the running sum crosses at a row."""
-    start, rate = F.col("start"), F.col("rate")
-    return (F.floor(start + (place + 1) * rate) - F.floor(start + place * rate)).cast("bigint")
+    return _crossed(F.col("start"), place, place + 1)
 
 
 def _rows(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
@@ -147,8 +164,14 @@ levels AS (SELECT 0 AS step, 0.0::DOUBLE AS level, -1.0::DOUBLE AS before
   FROM levels, s WHERE level <> before HAVING count(*) > 0),
 top AS (SELECT max_by(level, step) AS level FROM levels),
 t AS (SELECT source, source_size, least(weight * level, source_size * {MOST}.0::DOUBLE) AS target,
-             ('0x' || substr(md5('{SEED}' || coalesce('=' || source, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS start FROM s, top),
-o AS (SELECT doc_id, size, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+             ('0x' || substr(md5('{SEED}' || coalesce('=' || source, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS draw FROM s, top),
+p AS (SELECT doc_id, d.source, size, source_size, target, draw, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
              row_number() OVER (PARTITION BY d.source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '-')), doc_id NULLS FIRST) - 1 AS i
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT source, target, k, CASE WHEN draw + k / {OFFSETS}.0::DOUBLE >= 1 THEN draw + k / {OFFSETS}.0::DOUBLE - 1 ELSE draw + k / {OFFSETS}.0::DOUBLE END AS start
+      FROM t, (SELECT unnest(range({OFFSETS})) AS k)),
+c AS (SELECT k.source, k.k, k.start, abs(sum(size * (floor(start + (i + 1) * rate) - floor(start + i * rate))::BIGINT) - any_value(k.target)) AS off
+      FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source GROUP BY k.source, k.k, k.start),
+b AS (SELECT source, arg_min(start, (off, k)) AS start FROM c GROUP BY source),
+o AS (SELECT p.*, b.start FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, (size * (floor(start + (i + 1) * rate) - floor(start + i * rate)))::BIGINT AS taken FROM o"""
