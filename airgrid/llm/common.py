@@ -14,6 +14,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 import airgrid
 from airgrid.session import shared_folder
@@ -124,6 +125,11 @@ def _steps(batch: pa.RecordBatch, size_by: str | None, step_bytes: int) -> Itera
         start = end
 
 
+def column_type(df: DataFrame, name: str) -> str:
+    """A column's name and type as a schema's text, with names inside it quoted."""
+    return StructType([StructField(name, df.schema[name].dataType)]).toDDL()
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -133,13 +139,26 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote."""
+    if path in _left:
+        _left.remove(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Folders that `written` made in this driver and that are not deleted yet.
+_left: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all folders that results of this driver's corpus operators stand on; call it once they are read or saved."""
+    while _left:
+        dropped(spark, _left[-1])
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """`df` written to the shared folder and read again, and the folder it is in."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _left.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map
+from airgrid.llm.common import arrow_map, column_type
 from airgrid.llm.word_ids import NUMBERED_BYTES, open_words
 from airgrid.session import settle
 
@@ -166,8 +166,12 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
     length that a third of all rows share is numbered in many tasks, and placed by searching a table whose size depends
     on the capacity alone. Rows that tie in `order` take either place. An empty table stays empty.
     """
-    pieces = settle(pieces.drop("sequence_id", "offset"))
-    counted = pieces.groupBy(length).count().collect()
+    pieces = pieces.drop("sequence_id", "offset")
+    by = [F.col(f"`{c}`") for c in order]
+    # rows are dealt by what is written here; the partition spreads rows of one id (NULL, or repeated)
+    rows = settle(pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("held"), F.col(f"`{length}`").cast("bigint").alias("length"),
+                                F.xxhash64(*by, F.spark_partition_id()).alias("spread")))
+    counted = rows.groupBy("length").count().collect()
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for n, count in counted:
         if n is None or not 1 <= n <= capacity:
@@ -175,18 +179,16 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
         histogram[n] = count
     slots = Slots(plan(histogram))
     buckets = max(8, int(histogram.sum()) // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(buckets)).cast("int")
-    rows = pieces.withColumn("_bucket", bucket)
-    per = rows.groupBy(F.col(length).alias("_length"), F.col("_bucket").alias("_in")).agg(F.count("*").alias("_n"))
-    per = per.select("_length", "_in", (F.sum("_n").over(Window.partitionBy("_length").orderBy("_in")) - F.col("_n")).alias("_base"))
-    within = Window.partitionBy(length, "_bucket").orderBy(*order)
-    ranked = rows.withColumn("_row", F.row_number().over(within) - 1)
-    ranked = ranked.join(per, (F.col(length) == F.col("_length")) & (F.col("_bucket") == F.col("_in")))
-    ranked = ranked.select(*pieces.columns, (F.col("_base") + F.col("_row")).alias("_rank"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
+    rows = rows.withColumn("bucket", F.pmod("spread", F.lit(buckets)))
+    per = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    per = per.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("base"))
+    within = Window.partitionBy("length", "bucket").orderBy("spread", *[F.col(f"held.`{c}`") for c in order])
+    ranked = rows.withColumn("nth", F.row_number().over(within) - 1).join(per, ["length", "bucket"])
+    ranked = ranked.select("held", "length", (F.col("base") + F.col("nth")).alias("rank"))
 
     def step(c: dict) -> dict:
-        sequence, offset = slots.place(c[length].to_numpy(zero_copy_only=False), c["_rank"].to_numpy(zero_copy_only=False))
-        return c | {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())}
+        sequence, offset = slots.place(c["length"].to_numpy(zero_copy_only=False), c["rank"].to_numpy(zero_copy_only=False))
+        return {"held": c["held"], "sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())}
 
-    return arrow_map(ranked, ", ".join([*fields, "sequence_id bigint", "offset bigint"]), step)
+    schema = f"{column_type(ranked, 'held')}, sequence_id bigint, offset bigint"
+    return arrow_map(ranked, schema, step).select("held.*", "sequence_id", "offset")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map, written
+from airgrid.llm.common import arrow_map, column_type, written
 from airgrid.llm.recompression import BASE_2, INVERSE_2, ROUNDS, Words, anchors, mix
 
 WINDOW = 13
@@ -290,7 +290,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         return out | ({"row": c["row"]} if keep else {})
 
     schema = f"doc_id bigint, n_words bigint, n_removed bigint, {last} string"
-    return arrow_map(joined, schema + (f", row {joined.schema['row'].dataType.simpleString()}" if keep else ""), step, "text")
+    return arrow_map(joined, schema + (f", {column_type(joined, 'row')}" if keep else ""), step, "text")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, length: str = "n_chars") -> DataFrame:

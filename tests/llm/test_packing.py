@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from airgrid.llm import packing as P
@@ -122,3 +123,24 @@ def test_a_hot_length_is_numbered_in_many_buckets(spark, monkeypatch):
     places = {(r.sequence_id, r.offset) for r in found}
     assert len(found) == len(places) == 2000
     assert max(r.offset + r.length for r in found) <= 8
+
+
+def test_columns_of_any_name_and_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_ROWS", 50)
+    clash = ("_row", "_bucket", "_rank", "_length", "_in", "_n", "held", "spread", "bucket", "rank", "nth", "base", "n", "a b", "sequence_id", "offset")
+    rows = spark.range(0, 1200, 1, 6).selectExpr("cast(null as bigint) as doc_id", "0 as piece", "cast(1 + id % 3 * 2 as bigint) as length", "id as own")
+    for name in clash:
+        rows = rows.withColumn(name, F.lit("clash"))
+    out = P.pack(rows, 8)
+    assert sorted(out.columns) == sorted({"doc_id", "piece", "length", "own", *clash})
+    found = out.collect()
+    assert sorted(r.own for r in found) == list(range(1200)) and all(r["_rank"] == r.held == r["a b"] == "clash" for r in found)
+    filled = {}
+    for r in found:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 8

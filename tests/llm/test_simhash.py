@@ -101,3 +101,17 @@ def test_one_of_each(spark):
     assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, least.values()))
     assert S.one_of_each(docs.limit(0)).count() == 0
     assert S.one_of_each(docs.withColumn("text", F.lit(None).cast("string"))).count() == 1
+
+
+def test_folders_are_released_on_request(spark):
+    from pathlib import Path
+
+    from airgrid.llm import common
+
+    common.release(spark)
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g")], "doc_id bigint, text string")
+    assert S.near_duplicates(df).count() == 3
+    left = list(common._left)
+    assert left and all(Path(f).exists() for f in left)
+    common.release(spark)
+    assert not common._left and not any(Path(f).exists() for f in left)
