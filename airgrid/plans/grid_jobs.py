@@ -14,7 +14,7 @@ from airgrid.operators.aggregates import (
 from airgrid.operators.clean import mask_bands
 from airgrid.operators.granules import GEOMETRY, cells_in_windows, granule_windows, in_box, with_windows
 from airgrid.operators.joins import (
-    dimension_join, equi_join, forecast_for_labels, interval_join, interval_means,
+    day_pair_join, dimension_join, equi_join, forecast_for_labels, interval_join, interval_means,
 )
 from airgrid.operators.raster import (
     coarsen, elevation_summary, keep_good_quality, mean_bands, range_to_null, with_cell_coordinates,
@@ -62,12 +62,16 @@ def with_centroid(grids: DataFrame) -> DataFrame:
 
 
 def nearest_forecasts(labels: DataFrame, forecasts: DataFrame, grids: DataFrame, time: str = "datetime") -> DataFrame:
-    """Per label the forecast slots after its start, at the forecast point nearest the grid's centre."""
-    chosen = forecast_for_labels(labels, forecasts, ["grid_id"], time, "date", keep=("latitude", "longitude"))
-    placed = dimension_join(chosen, with_centroid(grids), ["grid_id"]).withColumn(
-        "distance", centre_distance("longitude", "latitude"))
-    return nearest_rank(placed, ["grid_id", time], "distance", 1).drop(
-        "centroid", "distance", "distance_rank", "latitude", "longitude")
+    """Per label the forecast slots after its start, at the forecast point nearest the grid's centre.
+
+    Points are ranked by place alone; the slots of the nearest are joined afterwards.
+    """
+    dated = labels.withColumn("_label_date", F.to_date(time))
+    points = forecasts.select("grid_id", "date", "latitude", "longitude").distinct()
+    paired = day_pair_join(dated, points, ["grid_id"], "_label_date", "date").select(*labels.columns, "latitude", "longitude").distinct()
+    placed = dimension_join(paired, with_centroid(grids), ["grid_id"]).withColumn("distance", centre_distance("longitude", "latitude"))
+    near = nearest_rank(placed, ["grid_id", time], "distance", 1).select(*labels.columns, "latitude", "longitude")
+    return forecast_for_labels(near, forecasts, ["grid_id", "latitude", "longitude"], time, "date").drop("latitude", "longitude")
 
 
 def distinct_cells(cells: DataFrame, keys: list[str], bands: list[str] = SUMMARY_BANDS) -> DataFrame:
