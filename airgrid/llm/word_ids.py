@@ -17,9 +17,9 @@ from airgrid.llm.common import kept_by_worker
 #: White space at which a text may be cut; all of it is white space to every tokenizer.
 CUTS = "\t\n\r"
 #: Words of the table that a worker keeps (a full table steps back and is asked once more).
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
 #: Bytes of text numbered at once: the more, the fewer words are looked up again.
-NUMBERED_BYTES = 6_000_000
+NUMBERED_BYTES = 5_000_000
 #: Lower-case Latin letters that composition and lower-casing leave alone.
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 #: A letter and a mark other than "'", between which the known splitter always cuts, so that a space there changes no id.
