@@ -144,7 +144,3 @@ def predict_and_report(train: DataFrame, held_out: DataFrame, estimator, params:
 
 def point_answers(requests: DataFrame, series: DataFrame, date: str = "date_utc", digits: int = 2) -> DataFrame:
     return latest_value_lookup(requests, series, date, digits=digits)
-
-
-def daily_composition(hourly: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    return mean_by(hourly, keys, values)
