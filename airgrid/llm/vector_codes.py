@@ -174,7 +174,6 @@ def whole(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
     """id, label, v (floor(scale * x) of each component) of the rows whose vector is not NULL and holds finite numbers only."""
     v = F.col(f"`{vector}`").cast("array<double>")
     usable = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # a sum of the conditions' values would hide NULLs; exists over a NULL array is NULL and drops the row as well
     numbers = F.transform(v, lambda x: F.when(F.abs(x * scale) < LARGEST, F.floor(x * scale).cast("int"))
                           .otherwise(F.raise_error(F.lit(f"a component is {LARGEST // scale} or more in size")).cast("int")))
     return df.filter(usable).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{label}`").alias("label"), numbers.alias("v"))
