@@ -41,6 +41,20 @@ def row_hash(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit("other"), *told[::-1]).alias("b"))
 
 
+def without_rows(named: DataFrame, gone: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of `named` whose `row` (`row_hash`) is not among `gone`; `kept` has the names of all rows that stay.
+
+    Where no kept row shares the first half of a name, that half alone tells the rows to drop: half as much for Spark to
+    send to the texts. The others, none but by accident, are told by the whole name.
+    """
+    gone, kept = gone.select("row").distinct(), kept.select(F.col("row.a").alias("a")).distinct()
+    halves = gone.select("row", F.col("row.a").alias("a"))
+    told, _ = written(halves.join(kept, "a", "left_anti").select("a"), "gone")
+    untold, _ = written(halves.join(kept, "a", "left_semi").select("row"), "untold")
+    out = named.withColumn("_a", F.col("row.a")).join(told.withColumnRenamed("a", "_a"), "_a", "left_anti").drop("_a")
+    return out if untold.isEmpty() else out.join(untold, "row", "left_anti")
+
+
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer's file; looked up in the task that opens it."""
     import public_tokenizers

@@ -8,7 +8,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map, row_hash, written
+from airgrid.llm.common import arrow_map, row_hash, without_rows, written
 
 #: Labelled rows that the text model is fitted on, about; a hash of the rows picks them. Everything else reads all rows.
 TRAIN_ROWS = 20_000
@@ -319,7 +319,7 @@ def keep_identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
     Verdicts go by 128 bits of the four columns; the few rejected are joined away, so texts stay in place.
     """
     row = row_hash(*map(F.col, ("doc_id", "text", "lang", "source")))
-    found = identify_documents(docs, pages, row)
-    rejected, _ = written(found.filter(~F.col("kept")).select("key").distinct(), "rejected")
+    found, _ = written(identify_documents(docs, pages, row).select(F.col("key").alias("row"), "kept"), "verdicts")
     all_columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
-    return docs.select(row.alias("key"), all_columns).join(rejected, "key", "left_anti").select("all.*")
+    named = docs.select(row.alias("row"), all_columns)
+    return without_rows(named, found.filter(~F.col("kept")), found.filter("kept")).select("all.*")

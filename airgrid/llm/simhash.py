@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import arrow_map, reach, row_hash, written
+from airgrid.llm.common import arrow_map, reach, row_hash, without_rows, written
 from airgrid.llm.components import components
 
 SHINGLE = 3
@@ -215,10 +215,10 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     found, _ = written(_grouped(df, F.col(f"`{key}`"), F.col(f"`{text}`"), row, size, most_bits).select("doc_id", "row", "root"), "groups")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("b")).select(F.col("b.row").alias("row"))
     copies = found.join(best, "row", "left_semi").groupBy("row").count().filter("count > 1").select("row")
-    gone, _ = written(found.select("row").distinct().join(best, "row", "left_anti"), "gone")
+    best, _ = written(best, "best")
     repeated, _ = written(copies, "repeated")
     all_columns = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all")
-    kept = df.select(row.alias("row"), all_columns).join(gone, "row", "left_anti")
+    kept = without_rows(df.select(row.alias("row"), all_columns), found.select("row").distinct().join(best, "row", "left_anti"), best)
     if repeated.isEmpty():
         return kept.select("all.*")
     several = kept.join(repeated, "row", "left_semi").groupBy("row").agg(F.first("all").alias("all"))

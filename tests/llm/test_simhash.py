@@ -115,3 +115,13 @@ def test_folders_are_released_on_request(spark):
     assert left and all(Path(f).exists() for f in left)
     common.release(spark)
     assert not common._left and not any(Path(f).exists() for f in left)
+
+
+def test_rows_that_share_half_a_name_are_told_by_the_whole(spark):
+    from airgrid.llm.common import without_rows
+
+    name = "struct(cast(a as bigint) as a, cast(b as bigint) as b) as row"
+    rows = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (3, 3, "z"), (4, 4, "w")], "a int, b int, t string")
+    gone, kept = rows.where("t in ('x', 'z')").selectExpr(name), rows.where("t in ('y', 'w')").selectExpr(name)
+    assert sorted(r.t for r in without_rows(rows.selectExpr(name, "t"), gone, kept).collect()) == ["w", "y"]
+    assert without_rows(rows.selectExpr(name, "t"), gone.limit(0), kept).count() == 4
