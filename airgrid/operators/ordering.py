@@ -75,12 +75,20 @@ def _number_band(df: DataFrame, v: Column) -> Column:
 def _with_text_band(df: DataFrame, t: Column) -> DataFrame:
     """Add the number of cuts at or before a text; cuts part a bounded sample of the distinct texts, picked by hash, into equal shares."""
     bands = _bands(df)
-    n = df.agg(F.greatest(F.count(t), F.lit(1)).alias("n")).scalar()
+    # a share of the distinct texts, all of them where they are few: many rows may hold few texts, or none
+    n = df.agg(F.greatest(F.approx_count_distinct(t), F.lit(1)).alias("n")).scalar()
     sample = df.where(F.pmod(F.xxhash64(t), n) < 16 * bands).agg(F.sort_array(F.collect_set(t)).alias("texts"))
-    cuts = sample.select(F.expr(f"array_distinct(transform(sequence(1, {bands - 1}), i -> texts[cast(floor(i * size(texts) / {bands}) AS int)]))").alias("cuts"))
-    some = cuts.select(F.coalesce(F.filter("cuts", lambda c: c.isNotNull()), F.array().cast("array<string>"))).scalar()
+    cuts = sample.select(F.expr(f"array_distinct(transform(sequence(1, {bands - 1}), i -> get(texts, cast(floor(i * size(texts) / {bands}) AS int))))").alias("cuts"))
+    kept = F.coalesce(F.filter("cuts", lambda c: c.isNotNull()), F.array().cast("array<string>"))
+    # every step-th cut apart, so that a row is compared with twice the root of their number
+    step = int(bands ** 0.5)
+    table = cuts.select(kept.alias("cuts")).select(F.struct("cuts", F.filter("cuts", lambda c, i: i % step == step - 1).alias("coarse")).alias("table")).scalar()
     # a subquery may not stand inside a function over arrays
-    return df.withColumn("_cuts", some).withColumn(_BAND, F.when(t.isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c <= t)))).drop("_cuts")
+    out = df.withColumn("_cuts", table)
+    low = F.size(F.filter("_cuts.coarse", lambda c: c <= t)) * step
+    out = out.withColumn("_low", F.when(t.isNull(), -1).otherwise(low))
+    inside = F.size(F.filter(F.slice("_cuts.cuts", F.col("_low") + 1, step), lambda c: c <= t))
+    return out.withColumn(_BAND, F.when(t.isNull(), -1).otherwise(F.col("_low") + inside)).drop("_cuts", "_low")
 
 
 def _place(keys: list[str]) -> Column:
