@@ -45,9 +45,17 @@ def window_quantiles(sketches: DataFrame, asked: DataFrame, on: list[str], day:
     `shares` names the quantiles, as in {"median": 0.5} for median_<column>. A window without rows gives none.
     """
     ends = F.date_sub(F.to_date(asked_day), back), F.date_add(F.to_date(asked_day), ahead)
-    # the asked days are copied, a few bytes each, so that a sketch moves once
-    wanted = asked.select(*on, asked_day).distinct().withColumn("_day", F.explode(F.sequence(*ends)))
-    around = wanted.join(sketches.withColumn("_day", F.to_date(day)).drop(day), [*on, "_day"])
+    span = abs(back + ahead) + 1
+
+    def stretch(date):
+        return F.floor(F.unix_date(date) / span)
+
+    # stretches of days as long as a window: an asked day is copied to the two that its window meets, not to each day of it,
+    # and a sketch moves once; what an asked day is copied to is not in the planner's sizes, so neither side is broadcast
+    wanted = asked.select(*on, asked_day).distinct().select("*", F.least(*ends).alias("_from"), F.greatest(*ends).alias("_to"))
+    wanted = wanted.withColumn("_stretch", F.explode(F.sequence(stretch("_from"), stretch("_to"))))
+    placed = sketches.withColumn("_day", F.to_date(day)).drop(day).withColumn("_stretch", stretch("_day"))
+    around = wanted.hint("merge").join(placed, [*on, "_stretch"]).where(F.col("_day").between(F.col("_from"), F.col("_to")))
     merged = merge_sketches(around, [*on, asked_day], columns)
     return merged.select(*on, asked_day, *[e for c in columns for e in (
         F.col(f"min_{c}"), F.col(f"max_{c}"), F.col(f"n_{c}"), *[quantile(c, share).alias(f"{name}_{c}") for name, share in shares.items()])])

@@ -272,7 +272,8 @@ def _(t):
     asked = sketches.select("grid_id", F.col("month").alias("asked"))
     found = window_quantiles(sketches, asked, ["grid_id"], "month", "asked", ["AOD_Uncertainty"], {"median": 0.5}, back=62)
     # the medians' ranks among all rows of their windows
-    days = found.withColumn("month", F.explode(F.sequence(F.date_sub("asked", 62), F.col("asked"))))
+    months = F.sequence(F.trunc(F.date_sub("asked", 62), "month"), F.col("asked"), F.expr("INTERVAL 1 MONTH"))
+    days = found.withColumn("month", F.explode(months)).where(F.col("month") >= F.date_sub("asked", 62))
     rows = days.join(cells.select("grid_id", "month", "AOD_Uncertainty"), ["grid_id", "month"])
     names = ["n_AOD_Uncertainty", "min_AOD_Uncertainty", "max_AOD_Uncertainty"]
     ranked = rows.groupBy("grid_id", "asked", *names).agg(

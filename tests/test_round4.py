@@ -1,9 +1,12 @@
 """Faults that only larger tables show."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from airgrid.operators import ordering as O
+from airgrid.operators import sketches as S
 
 
 @pytest.mark.parametrize("texts", [[], [None], ["a", "b"], [f"{i % 50}_{i % 7}" for i in range(350)], [f"t{i:05}" for i in range(3000)]])
@@ -18,3 +21,17 @@ def test_few_texts_of_many_rows_have_places(spark, texts):
     assert [bands[t] for t in order] == sorted(bands.values())
     if len(order) > 100:
         assert len(set(bands.values())) > 32
+
+
+def test_windows_of_sketches_copy_an_asked_day_twice(spark):
+    days = spark.sql("SELECT id % 3 AS k, date_add(date'2020-01-01', cast(id div 3 AS int)) AS day, cast(id AS double) AS x FROM range(600)")
+    sketches = S.quantile_sketches(days, ["k", "day"], ["x"])
+    found = S.window_quantiles(sketches, days.select("k", F.col("day").alias("asked")), ["k"], "day", "asked", ["x"], {"median": 0.5}, back=62, ahead=2)
+    rows = {(r.k, r.asked): (r.min_x, r.max_x, r.n_x) for r in found.collect()}
+    plain = [(i % 3, i // 3, float(i)) for i in range(600)]
+    start = dt.date(2020, 1, 1)
+    want = {(k, start + dt.timedelta(d)): (min(v), max(v), len(v)) for k, d, _ in plain for v in ([x for a, b, x in plain if a == k and d - 62 <= b <= d + 2],)}
+    assert rows == want
+    # no day of a window is made on its own, and nothing is sent to all tasks
+    plan = found._jdf.queryExecution().toString()
+    assert "sequence(_from" not in plan and "BroadcastHashJoin" not in plan
