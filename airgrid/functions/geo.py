@@ -38,7 +38,11 @@ def polygon_bounds(wkt, buffer: float = 0.0, lon_shift: float = 0.0) -> list[Col
 
 def polygon_centroid(wkt) -> Column:
     """Area-weighted centroid (lon, lat); a polygon without area gives the mean of its vertices."""
-    ring = wkt_vertices(wkt)
+    # the ring is bound once for a row; as an expression it would be read from the text again for every vertex
+    return F.transform(F.array(wkt_vertices(wkt)), _ring_centroid)[0]
+
+
+def _ring_centroid(ring: Column) -> Column:
     start = ring[0]
     count = F.size(ring)
 

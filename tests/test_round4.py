@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from airgrid.functions import geo
 from airgrid.operators import ordering as O
 from airgrid.operators import sketches as S
 
@@ -35,3 +36,10 @@ def test_windows_of_sketches_copy_an_asked_day_twice(spark):
     # no day of a window is made on its own, and nothing is sent to all tasks
     plan = found._jdf.queryExecution().toString()
     assert "sequence(_from" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_ring_is_read_once(spark):
+    df = spark.createDataFrame([("POLYGON ((0 0, 0 2, 2 2, 2 0, 0 0))",), ("POINT (3 4)",), ("POLYGON ((1 1, 2 2, 1 1))",), ("nothing",), (None,)], "wkt string")
+    out = df.select(geo.polygon_centroid(F.col("wkt")).alias("c"))
+    assert [r.c and tuple(r.c) for r in out.collect()] == [(1.0, 1.0), None, (1.5, 1.5), None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
