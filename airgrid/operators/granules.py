@@ -104,6 +104,22 @@ def cells_in_windows(cells: DataFrame, windows: DataFrame, keys: list[str], bloc
     return cells.join(other, inside).drop("_block", *WINDOW, *[f"_w_{k}" for k in [*keys, *GEOMETRY]])
 
 
+def _hull() -> list[Column]:
+    return [(F.min(c) if c.endswith("low") else F.max(c)).alias(c) for c in WINDOW]
+
+
+def cells_in_hulls(cells: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells, each once, in the smallest range of rows and columns that holds all windows of their granule."""
+    on = [*keys, *GEOMETRY]
+    hulls = windows.groupBy(*on).agg(*_hull())
+    return cells.join(hulls, on).where(F.col("row").between(F.col("row_low"), F.col("row_high")) & F.col("col").between(F.col("col_low"), F.col("col_high"))).drop(*WINDOW)
+
+
+def merged_windows(windows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One window a granule and `name`, with all BOX columns of that name in `boxes`, so that a name with several boxes has a cell once."""
+    return windows.groupBy(*keys, *GEOMETRY, name).agg(*_hull(), F.collect_set(F.struct(*BOX)).alias("boxes"))
+
+
 def flatten_windows(granules: DataFrame, windows: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
     """Cells of each window from granules held as one two-dimensional array per band; no other cell is made.
 

@@ -12,7 +12,7 @@ from airgrid.operators.aggregates import (
     band_min_max_mean, band_min_max_median, coordinate_lists, mean_by,
 )
 from airgrid.operators.clean import mask_bands
-from airgrid.operators.granules import GEOMETRY, cells_in_windows, granule_windows, in_box, with_windows
+from airgrid.operators.granules import GEOMETRY, cells_in_hulls, cells_in_windows, granule_windows, in_box, merged_windows, with_windows
 from airgrid.operators.joins import (
     day_pair_join, dimension_join, equi_join, forecast_for_labels, interval_join, interval_means,
 )
@@ -157,18 +157,27 @@ def granule_cells(granules: DataFrame, grids: DataFrame, bands: list[str], fill:
     """
     boxes = grids.select("grid_id", *polygon_bounds(F.col("wkt")))
     windows = granule_windows(granules, boxes, ["granule_id"], tile)
-    placed = checked_cells(cells_in_windows(granules, windows, ["granule_id"]), bands, fill, low, high, scale, offset, depth_bands)
     if average:
-        by = ["grid_id", "granule_id", *GEOMETRY, "row", "col"]
-        return placed.groupBy(*by).agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"), *mean_bands(bands)).drop(*GEOMETRY, "row", "col")
+        # a cell's mean is the same in every box, so overpasses are merged once, before cells meet boxes
+        cell = ["granule_id", *GEOMETRY, "row", "col"]
+        checked = checked_bands(cells_in_hulls(granules, windows, ["granule_id"]), bands, fill, low, high, scale, offset, depth_bands)
+        merged = cells_in_windows(checked.groupBy(*cell).agg(*mean_bands(bands)), merged_windows(windows, ["granule_id"], "grid_id"), ["granule_id"])
+        inside = F.exists("boxes", lambda b: F.col("lon").between(b["min_lon"], b["max_lon"]) & F.col("lat").between(b["min_lat"], b["max_lat"]))
+        return with_cell_coordinates(merged).where(inside).select("grid_id", "granule_id", "lon", "lat", *bands)
+    placed = checked_cells(cells_in_windows(granules, windows, ["granule_id"]), bands, fill, low, high, scale, offset, depth_bands)
     return placed.select("grid_id", "granule_id", "layer", "lon", "lat", *bands)
 
 
 def checked_cells(cells: DataFrame, bands: list[str], fill: Column, low: Column, high: Column, scale: Column, offset: Column,
                   depth_bands: tuple[str, ...] = ()) -> DataFrame:
     """Cells of windows that lie in their box, scaled, checked by range and quality word, and placed."""
-    placed = with_cell_coordinates(cells).where(in_box())
-    scaled = placed.withColumns({b: range_to_null(F.col(b), fill, low, high, scale, offset) for b in bands})
+    return checked_bands(with_cell_coordinates(cells).where(in_box()), bands, fill, low, high, scale, offset, depth_bands)
+
+
+def checked_bands(cells: DataFrame, bands: list[str], fill: Column, low: Column, high: Column, scale: Column, offset: Column,
+                  depth_bands: tuple[str, ...] = ()) -> DataFrame:
+    """Bands scaled and checked by range and quality word."""
+    scaled = cells.withColumns({b: range_to_null(F.col(b), fill, low, high, scale, offset) for b in bands})
     return keep_good_quality(scaled, list(depth_bands))
 
 

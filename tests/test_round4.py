@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airgrid.functions import geo
 from airgrid.operators import ordering as O
 from airgrid.operators import sketches as S
+from airgrid.plans.grid_jobs import granule_cells
 
 
 @pytest.mark.parametrize("texts", [[], [None], ["a", "b"], [f"{i % 50}_{i % 7}" for i in range(350)], [f"t{i:05}" for i in range(3000)]])
@@ -43,3 +44,20 @@ def test_a_ring_is_read_once(spark):
     out = df.select(geo.polygon_centroid(F.col("wkt")).alias("c"))
     assert [r.c and tuple(r.c) for r in out.collect()] == [(1.0, 1.0), None, (1.5, 1.5), None, None]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_overpasses_merge_before_boxes(spark):
+    """A cell that several boxes hold is averaged once; a grid of two boxes has it once."""
+    cells = spark.sql("SELECT 1L AS granule_id, id % 2 AS layer, cast(id div 2 % 4 AS int) AS row, cast(id div 8 AS int) AS col, 4 AS n_rows, 4 AS n_cols, cast(id AS double) AS raw, "
+                      "0 AS AOD_QA, 0.0D AS x0, 40000.0D AS y0, 40000.0D AS x1, 0.0D AS y1 FROM range(32)")
+    ring = "POLYGON (({0} {0}, {0} {1}, {1} {1}, {1} {0}, {0} {0}))"
+    grids = spark.createDataFrame([("A", ring.format(-1, 1)), ("B", ring.format(0, 0.2)), ("B", ring.format(0.1, 0.4)), ("C", ring.format(5, 6)), (None, ring.format(-1, 1))], "grid_id string, wkt string")
+    args = [F.lit(-1.0), F.lit(0.0), F.lit(99.0), F.lit(1.0), F.lit(0.0)]
+    out = granule_cells(cells, grids, ["raw"], *args, average=True)
+    single = granule_cells(cells, grids, ["raw"], *args).groupBy("grid_id", "granule_id", "lon", "lat").agg(F.avg("raw").alias("raw"))
+    names = ["grid_id", "granule_id", "lon", "lat", "raw"]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, out.select(names).collect()), key=key) == sorted(map(tuple, single.select(names).collect()), key=key)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    averaged = next(i for i, x in enumerate(plan.split("\n")) if "avg(" in x and "Aggregate" in x)
+    assert "row_low" in "".join(plan.split("\n")[:averaged])
