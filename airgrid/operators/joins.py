@@ -94,8 +94,14 @@ def _between(left_time: str, right_time: str, back: int, ahead: int, mode: str):
 
 def _heavy_days(left: DataFrame, other: DataFrame, on: list[str], left_time: str, heavy: int) -> DataFrame:
     """(on, _day, _kl, _kr): blocks of the left and of the right rows of each (key, day) that has too many on a side."""
-    day = F.to_date(F.col(left_time).cast("timestamp")).alias("_day")
+    # a day has no more rows than its key, and keys are few: only days of keys with too many rows are counted
     one, none = F.count(F.lit(1)), F.lit(0).cast("long")
+    hidden = [F.col(f"_r_{k}").alias(k) for k in on]
+    full = [df.groupBy(*by).agg(one.alias("_rows")).where(F.col("_rows") > heavy).drop("_rows") for df, by in ((left, on), (other, hidden))]
+    keys = settle(full[0].union(full[1]).distinct())
+    left = attach(left, keys, on, "left_semi")
+    other = attach(other, keys.withColumnsRenamed({k: f"_r_{k}" for k in on}), [f"_r_{k}" for k in on], "left_semi")
+    day = F.to_date(F.col(left_time).cast("timestamp")).alias("_day")
     asked = left.groupBy(*on, day).agg(one.alias("_kl"), none.alias("_kr"))
     given = other.groupBy(*[F.col(f"_r_{k}").alias(k) for k in on], "_day").agg(none.alias("_kl"), one.alias("_kr"))
     many = asked.unionByName(given).groupBy(*on, "_day").agg(F.sum("_kl").alias("_kl"), F.sum("_kr").alias("_kr"))
