@@ -190,11 +190,15 @@ def interval_means(left: DataFrame, right: DataFrame, on: list[str], left_time:
 
     at, second = F.col("_at"), F.unix_seconds("_at").alias("_second")
     stamp = F.col(right_time).cast("timestamp")
-    partial = right.where(F.col(right_time).isNotNull()).groupBy(*on, stamp.alias("_at")).agg(
-        *[F.sum(F.col(v).cast("double")).alias(s) for v, s in zip(values, sums)],
-        *[F.count(v).alias(n) for v, n in zip(values, counts)],
-    ).select("*", second)
-    per_second = totals(partial, "_second").withColumn("_day", F.floor(F.col("_second") / 86400))
+    read = right.where(F.col(right_time).isNotNull()).select(*dict.fromkeys([*on, *values]), stamp.alias("_at")).select("*", second) \
+        .withColumn("_day", F.floor(F.col("_second") / 86400))
+
+    def summed(*keys):
+        return read.groupBy(*on, *keys).agg(*[F.sum(F.col(v).cast("double")).alias(s) for v, s in zip(values, sums)],
+                                            *[F.count(v).alias(n) for v, n in zip(values, counts)])
+
+    # times, seconds and days are each summed from the rows, in one shuffle; one from the other they would take six
+    partial, per_second = summed("_at", "_second"), summed("_second", "_day")
 
     asked = left.where(F.col(left_time).isNotNull()).select(*on, F.col(left_time).alias("_ask")).distinct()
     low, high = interval_bounds(F.col("_ask"), back, ahead, mode)
@@ -216,7 +220,7 @@ def interval_means(left: DataFrame, right: DataFrame, on: list[str], left_time:
     parts = parts.unionByName(edges.select(*on, "_ask", *measures))
 
     if back + ahead > 1:
-        daily = totals(per_second, "_day")
+        daily = summed("_day")
         first, last = (F.floor(F.unix_seconds(c) / 86400) for c in ("_low", "_high"))
         days = F.filter(F.sequence(first, last), lambda d: (d > first) & (d < last))
         whole = asked.select(*on, "_ask", F.explode(days).alias("_day")).join(daily, [*on, "_day"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airgrid.functions import geo
 from airgrid.operators import ordering as O
 from airgrid.operators import sketches as S
+from airgrid.operators.joins import interval_means
 from airgrid.plans.grid_jobs import granule_cells
 
 
@@ -61,3 +62,17 @@ def test_overpasses_merge_before_boxes(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     averaged = next(i for i, x in enumerate(plan.split("\n")) if "avg(" in x and "Aggregate" in x)
     assert "row_low" in "".join(plan.split("\n")[:averaged])
+
+
+def test_an_interval_reads_its_rows_three_times_at_most(spark):
+    """Times, seconds and days are summed from the rows themselves, not each from the sums of the other."""
+    left = spark.sql("SELECT id % 3 AS k, timestamp'2020-01-01 12:00:00' + make_interval(0, 0, 0, cast(id AS int)) AS t FROM range(30)")
+    right = spark.sql("SELECT id % 3 AS k, timestamp'2020-01-01 00:00:00.5' + make_interval(0, 0, 0, 0, cast(id AS int)) AS at, cast(if(id % 7 = 0, NULL, id) AS double) AS v FROM range(900)")
+    out = interval_means(left, right, ["k"], "t", "at", ["v"], back=6, ahead=1)
+    given = right.collect()
+    for r in out.collect():
+        near = [g.v for g in given if g.k == r.k and g.v is not None and r.t - dt.timedelta(6) <= g["at"] <= r.t + dt.timedelta(1)]
+        assert r.avg_v == (sum(near) / len(near) if near else None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    rows = [x for x in plan.split("\n") if "Aggregate" in x and "sum(v" in x]
+    assert len(rows) == 3 and not any("sum(_s_v" in x and "_second" in x.split("[")[1] for x in plan.split("\n") if "Aggregate [" in x)
