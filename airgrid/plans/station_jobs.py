@@ -87,7 +87,8 @@ def deployed_features(table: DataFrame, station: list[str], date: str, scaled: l
 def deployed_inputs(features: DataFrame, date: str, numeric: list[str], text: list[str], split=named_split,
                     ) -> dict[str, DataFrame]:
     """Training, validation and test rows by time, gaps filled and texts coded as the training rows say."""
-    marked = time_split(features, date, split)
+    # read by both fits and once for each part
+    marked = settle(time_split(features, date, split))
     names = ("train", "valid", "test")
     parts = [marked.where(F.col("Set") == n) for n in names]
     filled = impute_means(parts[0], parts[1:], numeric, text)
