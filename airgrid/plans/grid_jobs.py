@@ -191,11 +191,12 @@ def granule_readings(labels: DataFrame, catalog: DataFrame, on: list[str], produ
 def granule_partitions(readings: DataFrame, cells: DataFrame, grids: DataFrame, path: str, bands: list[str], fill: Column, low: Column,
                        high: Column, scale: Column, offset: Column, scene: str = "granule_id", reading_time: str = "time_end",
                        label_time: str = "datetime", label: str = "label_id", depth_bands: tuple[str, ...] = ()) -> DataFrame:
-    """Cells around each label in files by grid and month; gives the partitions that were written.
+    """Cells around each label in files by month and share of the grids; gives the grid-months that were written.
 
     `readings` are labels with granules (`granule_readings`); `scene` names the column by which a reading finds its
-    cells. Only grid-months whose readings differ from those of the last run are computed and written, each whole, so a
-    run after a failed one or over more readings never doubles rows, and one without news writes nothing.
+    cells. Only grid-months whose readings differ from those of the last run are computed, each whole, and only folders
+    that hold one are written, so a run after a failed one or over more readings never doubles rows, and one without
+    news writes nothing. Grids share folders, since a folder for each grid and month is more files than rows are worth.
     """
     work = readings.select("grid_id", F.date_format(label_time, "yyyy-MM").alias("month"), label, F.col(label_time).alias("label_time"),
                            F.col(reading_time).alias("reading_time"), "granule_id", F.col(scene).alias("_scene"))
@@ -210,4 +211,4 @@ def granule_partitions(readings: DataFrame, cells: DataFrame, grids: DataFrame,
         found = found.select("grid_id", "_scene", "layer", "lon", "lat", *bands)
         return todo.join(found, ["grid_id", "_scene"]).drop("_scene")
 
-    return write_changed_partitions(work, rows, path, ("grid_id", "month"))
+    return write_changed_partitions(work, rows, path, ("grid_id", "month"), shared=("grid_id",))

@@ -192,3 +192,44 @@ def test_the_whole_chain_twice(spark, scenes, tmp_path):
     of_b = cells.where("granule_id = 2 and lon between 121.4 and 121.6 and lat between 24.9 and 25.1").count()
     assert inside == {1: of_a, 2: of_a, 3: of_b} and once == of_a + of_b
     assert run(catalog) == [] and spark.read.parquet(path).count() == 2 * of_a + of_b
+
+
+def test_partitions_that_share_folders(spark, tmp_path):
+    path, made = tmp_path / "out", []
+
+    def rows(todo):
+        made.append(sorted(map(tuple, todo.select("g", "m").distinct().collect()), key=str))
+        return todo.where("k < 900").selectExpr("g", "m", "k", "k * 10 as v")
+
+    def run(work, make=rows):
+        df = spark.createDataFrame(work, "g string, m string, k long")
+        return {(r.g, r.m): r.change for r in write_changed_partitions(df, make, str(path), ("g", "m"), shared=("g",)).collect()}
+
+    def want(work):
+        return sorted(((g, m, k, 10 * k) for g, m, k in work if k < 900), key=str)
+
+    first = [(f"g{i}", f"x{m}", 10 * i + m) for i in range(60) for m in range(2)] + [(None, "x0", 700)]
+    assert set(run(first).values()) == {"new"} and rows_of(spark, str(path)) == want(first)
+    # far fewer folders than partitions
+    assert len(list(path.glob("share=*/m=*"))) <= 32
+    assert run(first) == {} and len(made) == 1
+    untouched = {f: f.stat().st_mtime_ns for f in path.glob("share=*/m=x1/*.parquet")}
+    # more work, work that is gone, and work that makes no row any more; other partitions of their folders are copied
+    more = [w for w in first if w[:2] != ("g4", "x0")] + [("g3", "x0", 800), ("new", "x0", 801)]
+    more = [(g, m, 900) if (g, m) == ("g5", "x0") else (g, m, k) for g, m, k in more]
+    assert run(more) == {("g3", "x0"): "written", ("new", "x0"): "new", ("g4", "x0"): "deleted", ("g5", "x0"): "written"}
+    assert made[-1] == [("g3", "x0"), ("g5", "x0"), ("new", "x0")] and rows_of(spark, str(path)) == want(more)
+    assert {f: f.stat().st_mtime_ns for f in path.glob("share=*/m=x1/*.parquet")} == untouched
+
+    def fails(todo):
+        raise RuntimeError("lost")
+
+    last = more + [("g3", "x0", 802)]
+    with pytest.raises(RuntimeError, match="lost"):
+        run(last, fails)
+    # all partitions of the folder are made again
+    assert ("g3", "x0") in run(last) and rows_of(spark, str(path)) == want(last)
+    # hardly anything left but work without rows
+    bare = [(g, m, 900) for g, m, _ in last[:40]] + [("left", "x0", 1)]
+    run(bare)
+    assert rows_of(spark, str(path)) == want(bare) and run(bare) == {}
