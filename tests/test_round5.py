@@ -1,0 +1,85 @@
+"""Box means in place, and the shuffles of forecast and cell tables."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from airgrid.operators import joins as J
+from airgrid.operators.raster import box_means
+from airgrid.plans import grid_jobs as G
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line for line in plan.split("\n"))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20])
+@pytest.mark.parametrize("keys", [["g", "d"], ["g"]])
+def test_box_means_are_those_of_all_pairs(spark, most, keys):
+    rng = random.Random(5)
+    cells = [(rng.choice([1, 2, None]), round(rng.uniform(-3, 3), 1), round(rng.uniform(-3, 3), 1), rng.choice([None, 1.0, 2.0, 7.0])) for _ in range(400)]
+    cells += [(1, None, 0.0, 5.0), (1, 0.0, None, 5.0), (1, float("nan"), 0.0, 5.0), (1, float("inf"), 0.0, 5.0)]
+    boxes = []
+    for i in range(60):
+        x, y, w = round(rng.uniform(-3, 3), 1), round(rng.uniform(-3, 3), 1), rng.choice([0.0, 0.2, 0.4, 5.0, 0.01])
+        # keys repeat, in one place and in several
+        boxes += [(f"g{i % 50}", x, round(x + w, 2), y, round(y + w / 2, 2))] * (2 if i % 7 == 0 else 1)
+    boxes += [("none", 1.0, 0.0, 0.0, 1.0), ("null", None, 1.0, 0.0, 1.0), (None, -1.0, 1.0, -1.0, 1.0)]
+    want = {}
+    for d, x, y, v in cells:
+        for g, x0, x1, y0, y1 in boxes:
+            if None not in (x, y, x0) and math.isfinite(x) and x0 <= x <= x1 and y0 <= y <= y1:
+                want.setdefault((g, d) if "d" in keys else (g,), []).append(v)
+    mean = lambda vs: None if not [v for v in vs if v is not None] else sum(v for v in vs if v is not None) / sum(v is not None for v in vs)
+    got = box_means(spark.createDataFrame(cells, "d long, lon double, lat double, v double").repartition(3),
+                    spark.createDataFrame(boxes, "g string, min_lon double, max_lon double, min_lat double, max_lat double"), keys, ["v"], most=most).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["v"] == (None if mean(want[tuple(r[k] for k in keys)]) is None else pytest.approx(mean(want[tuple(r[k] for k in keys)])))
+
+
+def test_box_means_do_not_shuffle_pairs(spark):
+    cells = spark.range(3000).selectExpr("id % 7 as d", "id % 50 / 10 as lon", "id % 31 / 10 as lat", "double(id) as v")
+    boxes = spark.range(100).selectExpr("id as g", "id % 10 / 10 as min_lon", "id % 10 / 10 + 0.3 as max_lon", "id % 7 / 10 as min_lat", "id % 7 / 10 + 0.2 as max_lat")
+    # before, the partial sums of pairs; whether boxes are sent to all tasks or not
+    assert exchanges(box_means(cells, boxes, ["g", "d"], ["v"])) == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(box_means(cells, boxes, ["g", "d"], ["v"])) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cells_are_shuffled_once(spark):
+    cells = spark.range(99).selectExpr("id AS index", "id % 3 AS grid_id", "id % 5 AS datetime", "id % 2 + 0.0D AS lon", "2.0D AS lat", "id % 7 + 0.0D AS b", "5 AS AOD_QA")
+    summary = G.distinct_cells(cells, ["datetime"], ["b"]).groupBy("grid_id", "datetime").agg(F.max("b"))
+    assert exchanges(summary) == 1
+
+
+def test_forecasts_are_not_copied(spark):
+    labels = spark.sql("SELECT 1 AS id, 'a' AS g, timestamp'2020-01-01 07:00:00' AS t")
+    slots = ", ".join(f"double({i}) AS x{s}" for i, s in enumerate(J.SLOTS))
+    forecasts = spark.sql(f"SELECT 'a' AS g, explode(array(date'2020-01-01', date'2020-01-02')) AS date, {slots}")
+    out = J.forecast_for_labels(labels, forecasts.localCheckpoint(), ["g"], "t", "date", ["x"])
+    generated = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in line]
+    assert len(generated) == 1 and "_match" in generated[0] and "x00" not in generated[0]
+    assert out.count() == 1 and out.first().id == 1
+
+
+def test_submission_reads_the_days_around(spark):
+    bands = G.SUMMARY_BANDS
+    asked = spark.sql("SELECT 'a' AS grid_id, timestamp'2020-01-05 09:00:00' AS datetime")
+    times = ["2020-01-03 23:59:59", "2020-01-04 00:00:00", "2020-01-05 23:00:00", "2020-01-06 00:00:00", "2020-01-06 00:00:01"]
+    rows = [(i, "a", t, 1.0, 2.0, *[float(i)] * len(bands), 0b0010000000000000) for i, t in enumerate(times)]
+    read = spark.createDataFrame(rows, "index long, grid_id string, t string, lon double, lat double, " + ", ".join(f"{b} double" for b in bands) + ", AOD_QA int")
+    read = read.withColumn("aod_reading_end", F.to_timestamp("t")).drop("t")
+    slots = ", ".join(f"double(1) AS {c}" for c in G.SLOT_COLUMNS)
+    forecasts = spark.sql(f"SELECT 'a' AS grid_id, date'2020-01-05' AS date, 1.0D AS latitude, 2.0D AS longitude, {slots}")
+    grids = spark.sql("SELECT 'a' AS grid_id, 'POLYGON ((0 0, 0 1, 1 1, 1 0, 0 0))' AS wkt")
+    elevation = spark.sql("SELECT 'a' AS grid_id, 1.0D AS min_elevation")
+    row = G.submission_table(asked, forecasts, read, elevation, grids).first()
+    # both midnights count, what lies beyond them does not: the mean of 1, 2 and 3
+    assert row[f"max_{bands[-1]}"] == 2.0
