@@ -256,9 +256,20 @@ def day_pair_join(left: DataFrame, right: DataFrame, on: list[str], left_date: s
 def forecast_for_labels(labels: DataFrame, forecasts: DataFrame, on: list[str], label_time: str,
                         forecast_date: str, variables=GFS_VARIABLES, slots=SLOTS, keep: tuple[str, ...] = (),
                         how: str = "left") -> DataFrame:
-    """Per label (and `keep` columns of the forecast) the first forecast slots after it starts."""
+    """Per label (and `keep` columns of the forecast) the first forecast slots after it starts.
+
+    Labels are copied to their two days, not the wider forecasts, where only labels are grouped by.
+    """
     dated = labels.withColumn("_label_date", F.to_date(label_time))
-    paired = day_pair_join(dated, forecasts, on, "_label_date", forecast_date, how)
+    if keep or how != "left":
+        paired = day_pair_join(dated, forecasts, on, "_label_date", forecast_date, how)
+    else:
+        asked = dated.withColumn("_match", F.explode(F.array("_label_date", F.date_add("_label_date", 1))))
+        other = _hide(forecasts.select(*on, forecast_date, *[v + s for s in slots for v in variables]), [*on, forecast_date])
+        condition = asked["_match"] == other[f"_r_{forecast_date}"]
+        for key in on:
+            condition = condition & (asked[key] == other[f"_r_{key}"])
+        paired = asked.join(other, condition, "left").withColumnRenamed(f"_r_{forecast_date}", forecast_date)
     chosen = paired.select(
         *labels.columns, *keep,
         *selected_slots(F.col("_label_date"), F.hour(label_time), F.col(forecast_date), variables, slots))

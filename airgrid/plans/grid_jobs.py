@@ -14,7 +14,7 @@ from airgrid.operators.aggregates import (
 from airgrid.operators.clean import mask_bands
 from airgrid.operators.granules import GEOMETRY, cells_in_hulls, cells_in_windows, granule_windows, in_box, merged_windows, with_windows
 from airgrid.operators.joins import (
-    day_pair_join, dimension_join, equi_join, forecast_for_labels, interval_join, interval_means,
+    day_pair_join, dimension_join, equi_join, forecast_for_labels, interval_bounds, interval_join, interval_means,
 )
 from airgrid.operators.raster import (
     coarsen, elevation_summary, keep_good_quality, mean_bands, range_to_null, with_cell_coordinates,
@@ -64,9 +64,12 @@ def with_centroid(grids: DataFrame) -> DataFrame:
 def nearest_forecasts(labels: DataFrame, forecasts: DataFrame, grids: DataFrame, time: str = "datetime") -> DataFrame:
     """Per label the forecast slots after its start, at the forecast point nearest the grid's centre.
 
-    Points are ranked by place alone; the slots of the nearest are joined afterwards.
+    Only forecasts of a grid's days that a label asks for are read on. Points are ranked by place alone; the slots of
+    the nearest are joined afterwards.
     """
     dated = labels.withColumn("_label_date", F.to_date(time))
+    days = dated.select("grid_id", F.explode(F.array("_label_date", F.date_add("_label_date", 1))).alias("date")).distinct()
+    forecasts = forecasts.join(days, ["grid_id", "date"], "left_semi")
     points = forecasts.select("grid_id", "date", "latitude", "longitude").distinct()
     paired = day_pair_join(dated, points, ["grid_id"], "_label_date", "date").select(*labels.columns, "latitude", "longitude").distinct()
     placed = dimension_join(paired, with_centroid(grids), ["grid_id"]).withColumn("distance", centre_distance("longitude", "latitude"))
@@ -77,10 +80,11 @@ def nearest_forecasts(labels: DataFrame, forecasts: DataFrame, grids: DataFrame,
 def distinct_cells(cells: DataFrame, keys: list[str], bands: list[str] = SUMMARY_BANDS) -> DataFrame:
     """One row per grid, cell and `keys`: repeated rows count once, the readings left are averaged.
 
-    The quality word is averaged too and cut to a whole number.
+    The quality word is averaged too and cut to a whole number. Cells of a grid and `keys`, which are those of one box,
+    come to one task, where what follows per grid and `keys` finds them.
     """
     by = ["grid_id", "lon", "lat", *keys]
-    once = cells.drop("index").distinct()
+    once = cells.drop("index").repartition("grid_id", *keys).distinct()
     return once.groupBy(*by).agg(*[F.avg(b).alias(b) for b in bands], F.avg("AOD_QA").cast("int").alias("AOD_QA"))
 
 
@@ -119,13 +123,17 @@ def submission_table(submission: DataFrame, forecasts: DataFrame, readings: Data
                      grids: DataFrame, bands: list[str] = SUMMARY_BANDS, reading_time: str = "aod_reading_end") -> DataFrame:
     """The validated table for rows to predict: cells read within a day either way.
 
-    The days around depend on the day asked for alone, so cells are summed up once per grid and day.
+    The days around depend on the day asked for alone, so cells are summed up once per grid and day. Days asked for are
+    copied to the days around them, readings are not.
     """
     asked = submission.select("grid_id", "datetime").distinct().withColumn("label_day", F.date_trunc("day", "datetime"))
     ahead = nearest_forecasts(asked.drop("label_day"), forecasts, grids)
     days = asked.select("grid_id", "label_day").distinct()
     read = readings.drop("index").distinct().select("grid_id", reading_time, "lon", "lat", *bands, "AOD_QA")
-    around = interval_join(days, read, ["grid_id"], "label_day", reading_time, back=1, ahead=1, mode="calendar", how="inner")
+    around = interval_join(read, days, ["grid_id"], reading_time, "label_day", back=1, ahead=1, mode="calendar", how="inner")
+    # the day behind ends as it begins
+    low, high = interval_bounds(F.col("label_day"), 1, 1, "calendar")
+    around = around.where(F.col(reading_time).cast("timestamp").between(low, high)).repartition("grid_id", "label_day")
     cells = around.groupBy("grid_id", "lon", "lat", "label_day").agg(*[F.avg(b).alias(b) for b in bands], F.avg("AOD_QA").cast("int").alias("AOD_QA"))
     summary = equi_join(asked, summarised(cells, ["grid_id", "label_day"], bands), ["grid_id", "label_day"], "inner").drop("label_day")
     return dimension_join(equi_join(summary, ahead, ["grid_id", "datetime"], "right"), elevation, ["grid_id"])
