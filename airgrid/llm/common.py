@@ -102,18 +102,19 @@ def _give_back() -> None:
 
 
 def arrow_map(df: DataFrame, schema: str, step: Callable[[dict[str, list]], dict[str, list]], size_by: str | None = None,
-              step_bytes: int = STEP_BYTES) -> DataFrame:
+              step_bytes: int = STEP_BYTES, step_rows: int | None = None) -> DataFrame:
     """Map `step` over columns, a bounded number of bytes at a time.
 
     `step` gets and returns a dict of equally long lists (or Arrow arrays) by column. `size_by` names the text column
-    that is held to `step_bytes` bytes a step (or one row), so that long texts do not add up in memory.
+    that is held to `step_bytes` bytes a step (or one row), so that long texts do not add up in memory. `step_rows` holds
+    a step to so many rows, where a row makes many.
     """
     target = _arrow_schema(reach(df.sparkSession), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin(step)
         for batch in batches:
-            for part in _steps(batch, size_by, step_bytes):
+            for part in _steps(batch, size_by, step_bytes) if step_rows is None else _pieces(batch, step_rows):
                 out = step({c: part.column(i) for i, c in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays(
                     [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f in target for v in (out[f.name],)], schema=target)
@@ -122,6 +123,11 @@ def arrow_map(df: DataFrame, schema: str, step: Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
+def _pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def _steps(batch: pa.RecordBatch, size_by: str | None, step_bytes: int) -> Iterator[pa.RecordBatch]:
     if size_by is None:
         yield batch

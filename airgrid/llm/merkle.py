@@ -106,7 +106,7 @@ def _parents(nodes: DataFrame) -> DataFrame:
         return {"tree": c["tree"], "n": pa.array((c["n"].to_numpy(zero_copy_only=False) + FANOUT - 1) // FANOUT), "idx": c["idx"],
                 "digest": [d.tobytes() for d in digests], "run": [flat[a:b].tobytes() for a, b in ends], "states": [states[a:b].tobytes() for a, b in ends]}
 
-    return arrow_map(runs, "tree bigint, n bigint, idx bigint, digest binary, run binary, states binary", step)
+    return arrow_map(runs, "tree bigint, n bigint, idx bigint, digest binary, run binary, states binary", step, step_rows=8 * PARENTS)
 
 
 def _levels(nodes: DataFrame, largest: int) -> tuple[list[DataFrame], list[str]]:
@@ -232,11 +232,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     kind = leaves.schema["key"].dataType.simpleString()
     schema = f"key {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
-    def step(c: dict) -> dict:
-        parts = [_rows({k: v.slice(a, PARENTS) for k, v in c.items()}, root) for a in range(0, len(c["run"]), PARENTS)]
-        return {f: [x for p in parts for x in p[f]] for f in ("key", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")}
-
-    out = arrow_map(rows, schema, step)
+    out = arrow_map(rows, schema, lambda c: _rows(c, root), step_rows=PARENTS)
     out._folders = folders
     return out
 

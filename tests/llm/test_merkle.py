@@ -115,3 +115,10 @@ def test_query(spark):
     got = QUERIES["op11_merkle_manifest"](spark, FOLDER).select(NAMES).collect()
     assert exact(got) == exact(brute(rows))
     assert 0 < sum(not r.verified for r in got) < len(got) / 4
+
+
+def test_a_step_holds_few_rows(spark):
+    from airgrid.llm.common import arrow_map
+
+    seen = arrow_map(spark.range(0, 5000, 1, 2), "id bigint, rows bigint", lambda c: {"id": c["id"], "rows": [len(c["id"])] * len(c["id"])}, step_rows=M.PARENTS)
+    assert seen.count() == 5000 and seen.agg(F.max("rows"), F.sum("id")).first()[:] == (M.PARENTS, 5000 * 4999 // 2)
