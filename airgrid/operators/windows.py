@@ -6,7 +6,7 @@ import datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -15,6 +15,9 @@ from airgrid.operators.ordering import attach, dense_rank, row_positions
 from airgrid.session import settle
 
 _DAY = 86400
+#: Trailing days up to which dates are windowed with their rows, and days of a chunk of them.
+SHORT_DAYS = 3
+_CHUNK_DAYS = 32
 
 
 def nearest_rank(df: DataFrame, keys: list[str], distance: str, k: int | None = None,
@@ -93,8 +96,11 @@ def trailing_means(df: DataFrame, keys: list[str], time: str, columns: list[str]
     Columns in `label_columns` leave out the row's own second, so that a label cannot leak into
     its own feature. Rows of equal time are summed first and the means are joined back, so no
     task meets all rows of a key. Dates have at most one sum a day and are windowed directly;
-    times of day may be dense and take the running sums of `_time_sums`.
+    times of day may be dense and take the running sums of `_time_sums`. Dates of short spans
+    (`SHORT_DAYS`) are windowed with their rows instead, in chunks of days, and shuffled once.
     """
+    if isinstance(df.schema[time].dataType, T.DateType) and max(days) <= SHORT_DAYS and not settled:
+        return _short_means(df, keys, time, columns, days, name, label_columns)
     clock = F.unix_seconds(F.col(time).cast("timestamp"))
     sums = df.where(F.col(time).isNotNull()).groupBy(*keys, clock.alias("_t")).agg(
         *[F.sum(F.col(c).cast("double")).alias(f"_s_{c}") for c in columns],
@@ -110,6 +116,23 @@ def trailing_means(df: DataFrame, keys: list[str], time: str, columns: list[str]
     return attach(df.withColumn("_t", clock), table, [*keys, "_t"]).drop("_t")
 
 
+def _short_means(df: DataFrame, keys: list[str], date: str, columns: list[str], days: list[int], name, label_columns: tuple[str, ...]) -> DataFrame:
+    """`trailing_means` over few days of dates: chunks of days carry the rows of the days just before them."""
+    deepest = max(days)
+    day = F.unix_date(F.col(date))
+    placed = df.withColumn("_t", day).withColumn("_home", F.floor(day / _CHUNK_DAYS))
+    copies = placed.withColumn("_chunk", F.explode(F.when(F.col("_t").isNull(), F.array(F.lit(None).cast("long"))).otherwise(
+        F.sequence(F.col("_home"), F.floor((F.col("_t") + deepest) / _CHUNK_DAYS)))))
+    window = Window.partitionBy(*keys, "_chunk").orderBy("_t")
+
+    def mean(c: str, d: int) -> Column:
+        frame = window.rangeBetween(-d, -1 if c in label_columns else 0)
+        return F.when(F.col("_t").isNotNull(), F.avg(F.col(c).cast("double")).over(frame)).alias(name(c, d))
+
+    out = copies.select("*", *[mean(c, d) for d in days for c in columns])
+    return out.where(F.col("_chunk").eqNullSafe(F.col("_home"))).drop("_t", "_home", "_chunk")
+
+
 def _date_sums(sums: DataFrame, keys: list[str], measures: list[tuple[str, bool]], days: list[int]) -> DataFrame:
     """Sums over trailing days of a daily series, as `<measure>_<d>`."""
 
