@@ -110,10 +110,15 @@ def deployed_table(labels: DataFrame, cells: DataFrame, angles: DataFrame, forec
     has one row per key and day; all tables share the names of key and date.
     """
     by = [key, date]
+
+    def asked(df: DataFrame) -> DataFrame:
+        """Rows of the labels' keys and days; as IN, this goes below the aggregations that `df` may come from."""
+        return df.where(F.struct(*by).isin(labels.select(*by)))
+
     depths = [f"{s}_{b}" for b in DEPTH_BANDS for s in SIBLING_STATISTICS]
-    table = equi_join(labels.select(*by, "value"), band_min_max_median(cells, by, DEPTH_BANDS).select(*by, *depths), by)
-    table = equi_join(table, mean_by(angles, by, ["Aerosol_Optical_Depth", "Angstrom_Exponent_550_860nm"]), by)
-    table = equi_join(table, mean_by(forecasts, by, [v + s for s in SLOTS for v in GFS_VARIABLES]), by)
+    table = equi_join(labels.select(*by, "value"), band_min_max_median(asked(cells), by, DEPTH_BANDS).select(*by, *depths), by)
+    table = equi_join(table, mean_by(asked(angles), by, ["Aerosol_Optical_Depth", "Angstrom_Exponent_550_860nm"]), by)
+    table = equi_join(table, mean_by(asked(forecasts), by, [v + s for s in SLOTS for v in GFS_VARIABLES]), by)
     table = dimension_join(table, elevation, [key])
     features = deployed_features(table, [key], date, [*depths, "Aerosol_Optical_Depth"], depths[:len(SIBLING_STATISTICS)])
     return deployed_projection(features.withColumn("pm25_date_d", F.col(date)))

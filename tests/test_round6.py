@@ -34,3 +34,23 @@ def test_short_trailing_means_of_dates(spark, own):
                                               and 0 <= (r["d"] - d).days <= days and not (own and d == r["d"])]
             want = sum(near) / len(near) if near else None
             assert r[f"trailing{days}d_v"] == (pytest.approx(want) if near else None)
+
+
+def test_deployed_table_aggregates_asked_days_alone(spark):
+    day = datetime.date(2020, 1, 1)
+    labels = spark.createDataFrame([("a", day, 1.0), (None, day, 2.0)], "grid_id string, date date, value double")
+    raw = spark.createDataFrame([("a", day, 3.0), ("a", day, 5.0), ("b", day, 9.0)], "grid_id string, date date, v double")
+    slots = [v + s for s in SLOTS for v in GFS_VARIABLES]
+    gfs = raw.groupBy("grid_id", "date", "v").agg(*[F.max("v").alias(c) for c in slots])
+    cells = raw.select("grid_id", "date", *[F.col("v").alias(b) for b in DEPTH_BANDS])
+    angles = raw.select("grid_id", "date", F.col("v").alias("Aerosol_Optical_Depth"), F.col("v").alias("Angstrom_Exponent_550_860nm"))
+    elevation = spark.createDataFrame([("a", 1.0, 2.0, 3.0)], "grid_id string, min_elevation double, max_elevation double, avg_elevation double")
+    out = J.deployed_table(labels, cells, angles, gfs, elevation)
+    # labels go below the aggregation that makes the forecasts
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LeftSemi") == 3
+    widest = [line for line in text.split("\n") if "Aggregate" in line and "t_surface00" in line][-1]
+    assert text.index(widest) < text.rindex("LeftSemi")
+    got = sorted(((r["value"], r["t_surface"] if "t_surface" in out.columns else None) for r in out.collect()))
+    assert [v for v, _ in got] == [1.0, 2.0]
+    assert "t_surface" not in out.columns or got == [(1.0, 4.0), (2.0, 0.0)]
