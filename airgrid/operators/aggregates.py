@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from airgrid.functions.geo import coordinate_key
 from airgrid.operators.ordering import attach, exact_percentiles, value_positions
+from airgrid.session import settle
 
 
 def numeric_columns(df: DataFrame, without=()) -> list[str]:
@@ -64,9 +65,24 @@ def coordinate_lists(df: DataFrame, keys: list[str], lon: str = "lon", lat: str
     """Coordinate texts of each key as sorted lists, repeats included.
 
     A list holds at most `chunk` texts; the rest of a longer one follows in the next `part`, so a
-    key of any size stays whole without any array growing with it.
+    key of any size stays whole without any array growing with it. Keys are counted when the query is built: those of one
+    list are sorted where their rows meet, only longer ones are placed by bands.
     """
     texts = df.select(*keys, coordinate_key(lon, lat).alias("_pair"))
+    if not keys:
+        return _long_lists(texts, keys, alias, chunk)
+    long = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > chunk).drop("_rows"))
+    none = long.isEmpty()
+    short = texts if none else attach(texts, long, keys, "left_anti")
+    # a NULL text is an entry too, so entries are structs
+    entries = F.sort_array(F.collect_list(F.struct("_pair")))
+    lists = short.repartition(*keys).groupBy(*keys).agg(entries.alias("_entries")) \
+        .select(*keys, F.lit(0).alias("part"), F.col("_entries._pair").alias(alias))
+    return lists if none else lists.unionByName(_long_lists(attach(texts, long, keys, "left_semi"), keys, alias, chunk))
+
+
+def _long_lists(texts: DataFrame, keys: list[str], alias: str, chunk: int) -> DataFrame:
+    """`coordinate_lists` of keys of any size."""
     placed = value_positions(texts, keys, "_pair")
     start, end = F.col("rows_before"), F.col("rows_before") + F.col("n")
     parts = placed.select(*keys, "_pair", start.alias("_start"), end.alias("_end"), F.explode(F.sequence(

@@ -17,6 +17,18 @@ def exchanges(df):
     return sum("Exchange hashpartitioning" in line for line in plan.split("\n"))
 
 
+def test_short_lists_are_shuffled_once(spark):
+    rows = [("a", 1, 1), ("a", 1, 1), ("a", None, 2), ("b", 3, 3), (None, 4, 4)]
+    df = spark.createDataFrame(rows, "k string, lon int, lat int")
+    out = A.coordinate_lists(df, ["k"])
+    assert exchanges(out) == 1
+    got = {r["k"]: (r["part"], len(r["lon_lat_list"])) for r in out.collect()}
+    assert got == {"a": (0, 3), "b": (0, 1), None: (0, 1)}
+    # a key above the chunk beside short ones
+    mixed = sorted((str(r["k"]), r["part"], len(r["lon_lat_list"])) for r in A.coordinate_lists(df, ["k"], chunk=2).collect())
+    assert mixed == [("None", 0, 1), ("a", 0, 2), ("a", 1, 1), ("b", 0, 1)]
+
+
 @pytest.mark.parametrize("own", [(), ("v",)])
 def test_short_trailing_means_of_dates(spark, own):
     rng = random.Random(3)
