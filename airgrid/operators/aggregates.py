@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from airgrid.functions.geo import coordinate_key
-from airgrid.operators.ordering import attach, exact_percentiles, value_positions
+from airgrid.operators.ordering import attach, exact_percentiles, value_positions, value_ranks
 from airgrid.session import settle
 
 
@@ -154,7 +154,7 @@ def expand_predictions(df: DataFrame, keys: list[str], order: list[str], predict
 def correlations(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
     """Correlation of each pair of columns as (var1, var2, r), over the rows where both have a value.
 
-    Spearman's is that of mean ranks, which are placed pair by pair.
+    Spearman's is that of mean ranks. A column's values are placed once, with the rows that have each partner counted apart.
     """
     pairs = list(combinations(columns, 2))
     if method == "pearson":
@@ -164,15 +164,18 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
         return one.select(F.inline(F.array(*entries)))
     if method != "spearman":
         raise ValueError(f"unknown method {method}")
-    out = None
-    for a, b in pairs:
-        ranked = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).na.drop()
-        for c in ("_a", "_b"):
-            places = value_positions(ranked, [], c).select(c, (F.col("rows_before") + (F.col("n") + 1) / 2).alias(f"_rank{c}"))
-            ranked = attach(ranked, places, [c])
-        one = ranked.agg(F.corr("_rank_a", "_rank_b").alias("r")).select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), "r")
-        out = one if out is None else out.unionByName(one)
-    return out
+    # NaN counts as missing
+    rows = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)])
+    values, ranked = rows.columns, rows
+    for c in values:
+        # ranks among the rows where c and the partner have a value, of each partner
+        places = value_ranks(rows.where(F.col(c).isNotNull()), c, [p for p in values if p != c])
+        ranked = attach(ranked, places, [c])
+    both = list(combinations(values, 2))
+    one = ranked.agg(*[F.corr(*[F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(r)) for r in (f"_rank{a}{b}", f"_rank{b}{a}")]).alias(f"r{i}")
+                       for i, (a, b) in enumerate(both)])
+    entries = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
+    return one.select(F.inline(F.array(*entries)))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

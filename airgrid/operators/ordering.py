@@ -128,6 +128,22 @@ def value_positions(df: DataFrame, keys: list[str], order: str, band: Column | N
     )
 
 
+def value_ranks(df: DataFrame, order: str, partners: list[str]) -> DataFrame:
+    """One row per distinct `order` value with its mean rank among the rows that have each partner, as `_rank<order><partner>`.
+
+    Placed as in `value_positions`; values that no row with a partner has get a rank too, which nothing asks for.
+    """
+    names = [f"_n{i}" for i in range(len(partners))]
+    counted = with_band(df, order).groupBy(_BAND, order).agg(*[F.count(p).alias(n) for p, n in zip(partners, names)])
+    earlier = Window.orderBy(_BAND).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.groupBy(_BAND).agg(*[F.sum(n).alias(n) for n in names]).select(
+        F.struct(_BAND).alias(_PLACE), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_offset") for n in names])
+    inside = Window.partitionBy(_PLACE).orderBy(order)
+    placed = counted.withColumn(_PLACE, F.struct(_BAND)).select(_PLACE, order, *names, *[F.sum(n).over(inside).alias(f"{n}_upto") for n in names])
+    return placed.join(offsets, _PLACE).select(order, *[
+        (F.col(f"{n}_offset") + F.col(f"{n}_upto") - (F.col(n) - 1) / 2).alias(f"_rank{order}{p}") for n, p in zip(names, partners)])
+
+
 def percent_rank(df: DataFrame, order: str, alias: str = "rank", keys: list[str] | None = None,
                  settled: bool | None = None) -> DataFrame:
     """Share of the other rows (of the key) that sort before each row.

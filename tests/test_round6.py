@@ -66,3 +66,22 @@ def test_deployed_table_aggregates_asked_days_alone(spark):
     got = sorted(((r["value"], r["t_surface"] if "t_surface" in out.columns else None) for r in out.collect()))
     assert [v for v, _ in got] == [1.0, 2.0]
     assert "t_surface" not in out.columns or got == [(1.0, 4.0), (2.0, 0.0)]
+
+
+def test_rank_correlations_with_gaps(spark):
+    rng = random.Random(4)
+    rows = [tuple(rng.choice([None, float("nan"), 1.0, 2.0, 5.0, -3.0, rng.uniform(-9, 9)]) for _ in range(3)) for _ in range(300)]
+
+    def ranks(values):
+        return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
+
+    out = A.correlations(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], "spearman")
+    # each column is placed once
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") <= 6
+    got = {(r["var1"], r["var2"]): r["r"] for r in out.collect()}
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        pair = [(r[i], r[j]) for r in rows if None not in (r[i], r[j]) and r[i] == r[i] and r[j] == r[j]]
+        x, y = ranks([p[0] for p in pair]), ranks([p[1] for p in pair])
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        want = sum((p - mx) * (q - my) for p, q in zip(x, y)) / (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
+        assert got["abc"[i], "abc"[j]] == pytest.approx(want)
