@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with each distinct word given to the tokenizer about once a worker."""
+"""Token ids of whole texts, with each distinct word given to the tokenizer about once a worker, many words at a time."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ CUTS = "\t\n\r"
 WORDS_KEPT = 120_000
 #: Bytes of text numbered at once: the more, the fewer words are looked up again.
 NUMBERED_BYTES = 6_000_000
+#: Words given to the tokenizer at once.
+WORDS_AT_ONCE = 1_000
 #: Lower-case Latin letters that composition and lower-casing leave alone.
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
 #: A letter and a mark other than "'", between which the known splitter always cuts, so that a space there changes no id.
@@ -48,6 +50,25 @@ class Recent(dict):
         self[key] = value
         return value
 
+    def many(self, keys: list, make_all) -> list:
+        """Values of distinct keys in turn; `make_all` makes those that neither table has, given as a list."""
+        found = list(map(self.get, keys))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        older = self.older
+        for i in gaps:
+            found[i] = older.get(keys[i])
+        new = [i for i in gaps if found[i] is None]
+        for i, v in zip(new, make_all([keys[i] for i in new]), strict=True):
+            found[i] = v
+        while gaps:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            room = max(self.most - len(self), 1)
+            self.update((keys[i], found[i]) for i in gaps[:room])
+            gaps = gaps[room:]
+        return found
+
 
 @cache
 def open_tokenizer(path: str):
@@ -71,13 +92,14 @@ class WordIds:
 
     If the tokenizer's file names the known normaliser and splitter, which drop white space and let no token cross it, a
     text has the ids of its words in turn: words are lower-cased and parted from their marks, and plain ones go to the
-    model without both. Any other tokenizer gets whole texts.
+    model without both, in lines of many. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = open_tokenizer(path)
         self.bare = self._without_splitter()
         self.by_word = self.bare is not None
+        self.lines, self.ends = self._of_lines() if self.by_word else (None, None)
         self.words = Recent(self._word, WORDS_KEPT)
 
     def _without_splitter(self):
@@ -96,6 +118,20 @@ class WordIds:
         bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         return bare
 
+    def _of_lines(self):
+        """`bare` for words with a space between them, and whether each id can end a word (None: ids do not say)."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        lines = Tokenizer.from_str(self.bare.to_str())
+        suffix = json.loads(lines.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None, None
+        lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), lines.pre_tokenizer])
+        known = lines.get_vocab()
+        ends = np.zeros(max(known.values()) + 1, bool)
+        ends[[i for token, i in known.items() if token.endswith(suffix)]] = True
+        return lines, ends
+
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
@@ -104,6 +140,26 @@ class WordIds:
             return self._encode(word)
         return array("I", self.bare.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """`_word` of many words; plain ones go to the model in lines."""
+        if self.lines is None:
+            return [self._word(w) for w in words]
+        found = [None if PLAIN.fullmatch(w) else self._encode(w) for w in words]
+        plain = [i for i, v in enumerate(found) if v is None]
+        for start in range(0, len(plain), WORDS_AT_ONCE):
+            at = plain[start:start + WORDS_AT_ONCE]
+            line = [words[i] for i in at]
+            ids = np.array(self.lines.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, dtype="<u4")
+            upto = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(upto) != len(line):  # the last token of a word is not in the vocabulary
+                for i, w in zip(at, line, strict=True):
+                    found[i] = self._word(w)
+                continue
+            data = ids.tobytes()
+            for i, a, b in zip(at, [0, *upto], upto):
+                found[i] = data[a:b]
+        return found
+
     def texts(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column one after the other, and where each text's begin and the last one's end.
 
@@ -123,7 +179,7 @@ class WordIds:
         texts = pc.if_else(special, texts, parted) if pc.any(special).as_py() else parted
         split = pc.split_pattern(texts, " ")
         numbered = split.flatten().dictionary_encode()
-        found = [end, *map(self.words.__getitem__, numbered.dictionary.to_pylist())]
+        found = [end, *self.words.many(numbered.dictionary.to_pylist(), self._words)]
         size = np.fromiter(map(len, found), np.int32, len(found)) // 4
         ids = np.frombuffer(b"".join(found), dtype="<u4")
         words = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)

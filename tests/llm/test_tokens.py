@@ -40,6 +40,47 @@ def test_word_ids_equal_the_library():
         assert [x.tobytes() for x in (ids[a:b] for a, b in zip(at, at[1:]))] == [x.tobytes() for _, x in whole_ids(enumerate(texts), 2)]
 
 
+def test_words_go_to_the_tokenizer_in_lines(monkeypatch):
+    """Plain words are not encoded one by one; a tokenizer whose ids do not tell words apart gets them so."""
+    rng, alone = random.Random(8), []
+    one = word_ids.WordIds._word
+    monkeypatch.setattr(word_ids.WordIds, "_word", lambda self, w: alone.append(w) or one(self, w))
+    words = ["".join(rng.choices("aehinorstußé", k=rng.randint(1, 14))) for _ in range(5000)] + [LONG_WORD]
+    texts = [" ".join(words[i:i + 50]) for i in range(0, len(words), 50)] + ["", None, "A,b 12 <|endoftext|>"]
+    ids, at = word_ids.WordIds(WORDS).texts(pa.array(texts), 2)
+    assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == [x.tobytes() for _, x in whole_ids(enumerate(texts), 2)]
+    assert not alone
+
+
+@pytest.mark.parametrize("suffix", ["", "</w>"])
+def test_words_whose_ends_no_id_tells(tmp_path, suffix):
+    """Without a mark of ends, and with letters that the vocabulary lacks (the library drops them)."""
+    import json
+
+    said = json.loads(open(WORDS).read())
+    known = [x + y for x in "abc" for y in (["", suffix] if suffix else [""])]
+    known = [x for x in known if x != "c</w>"] + ["a" + "b" + suffix]
+    said["model"] |= {"vocab": {x: i for i, x in enumerate(known)}, "merges": [["a", "b" + suffix]], "end_of_word_suffix": suffix or None}
+    said["added_tokens"] = []
+    path = str(tmp_path / "t.json")
+    with open(path, "w") as f:
+        json.dump(said, f)
+    library, table = Tokenizer.from_file(path), word_ids.WordIds(path)
+    texts = ["ab ba cab", "abc c cc", "c", "a b ab abab d da", ""]
+    ids, at = table.texts(pa.array(texts))
+    assert table.by_word and (table.lines is None) == (not suffix)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_table_of_many_keys_is_bounded():
+    asked = []
+    table = word_ids.Recent(None, 3)
+    for keys in ([1, 2], [2, 3, 4, 5, 6, 7, 8], [], [8, 1], [7, 9]):
+        assert table.many(keys, lambda new: asked.append(list(new)) or [-k for k in new]) == [-k for k in keys]
+        assert len(table) <= 3 and len(table.older) <= 3
+    assert asked == [[1, 2], [3, 4, 5, 6, 7, 8], [], [1], [9]]
+
+
 def test_word_ids_of_a_tokenizer_whose_tokens_hold_white_space():
     table, library = word_ids.WordIds(BYTES), Tokenizer.from_file(BYTES)
     texts = odd_texts(50) + [None]
