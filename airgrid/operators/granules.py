@@ -7,6 +7,8 @@ up to one cell; the exact test on degrees follows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from airgrid.constants import SPHERE_RADIUS_M
 GEOMETRY = ["n_rows", "n_cols", "x0", "y0", "x1", "y1"]
 BOX = ["min_lon", "max_lon", "min_lat", "max_lat"]
 WINDOW = ["row_low", "row_high", "col_low", "col_high"]
+#: Degrees by which bounds may be off in their last digits.
+SLACK = 1e-6
+#: Rows of a granule whose cells meet windows in one task.
+BLOCK = 32
 
 
 def _cosines(low: Column, high: Column) -> tuple[Column, Column]:
@@ -36,16 +42,22 @@ def granule_bounds(x0: Column, y0: Column, x1: Column, y1: Column) -> list[Colum
             F.degrees(low).alias("min_lat"), F.degrees(high).alias("max_lat")]
 
 
+def lean_columns() -> list[Column]:
+    """Least and greatest cosine of the latitudes that a granule and a box share: how far the granule's columns lean there."""
+    y0, y1 = F.col("y0").cast("double"), F.col("y1").cast("double")
+    radius = F.lit(SPHERE_RADIUS_M)
+    least, most = _cosines(F.greatest(F.radians("min_lat"), F.least(y0, y1) / radius), F.least(F.radians("max_lat"), F.greatest(y0, y1) / radius))
+    return [least.alias("_least"), most.alias("_most")]
+
+
 def window_columns() -> list[Column]:
-    """Ranges of rows and columns from columns named as GEOMETRY and BOX, ends included.
+    """Ranges of rows and columns from columns named as GEOMETRY, BOX and `lean_columns`, ends included.
 
     A granule without extent in a direction leaves that direction open.
     """
     x0, y0, x1, y1 = (F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))
-    radius = F.lit(SPHERE_RADIUS_M)
+    radius, least, most = F.lit(SPHERE_RADIUS_M), F.col("_least"), F.col("_most")
     low, high = F.radians("min_lat"), F.radians("max_lat")
-    # only latitudes of the granule count for how far its columns lean
-    least, most = _cosines(F.greatest(low, F.least(y0, y1) / radius), F.least(high, F.greatest(y0, y1) / radius))
     west, east = F.radians("min_lon"), F.radians("max_lon")
 
     def between(a: Column, b: Column, start: Column, end: Column, n: str, names: tuple[str, str]) -> list[Column]:
@@ -64,14 +76,17 @@ def window_columns() -> list[Column]:
 
 def with_windows(pairs: DataFrame) -> DataFrame:
     """Rows that bear a granule's GEOMETRY and a BOX, with their WINDOW; rows whose window is empty fall away."""
-    return pairs.select("*", *window_columns()).where("row_low <= row_high AND col_low <= col_high")
+    # out of a generator, so that Spark makes a window once, after granules and boxes met, and not in the test whether they meet
+    made = pairs.select("*", *lean_columns()).select("*", F.inline(F.array(F.struct(*window_columns())))).drop("_least", "_most")
+    return made.where("row_low <= row_high AND col_low <= col_high")
 
 
 def granule_windows(granules: DataFrame, boxes: DataFrame, keys: list[str], tile: float = 1.0) -> DataFrame:
     """(keys, GEOMETRY, box columns, WINDOW) of each granule and box that can meet.
 
     `granules` may have a row per cell. Granules and boxes first meet in tiles of degrees, so that neither side is
-    compared with all of the other; a pair that shares several tiles is kept in the one where its overlap begins.
+    compared with all of the other; a pair that shares several tiles is kept in the one where its overlap begins. Only
+    pairs whose degrees overlap get a window.
     """
 
     def tiles(names: tuple[str, str]) -> Column:
@@ -86,10 +101,31 @@ def granule_windows(granules: DataFrame, boxes: DataFrame, keys: list[str], tile
     first_y = F.floor(F.greatest("_south", "min_lat") / tile)
     first_x = F.floor(F.greatest("_west", "min_lon") / tile)
     met = placed.join(area, ["_ty", "_tx"]).where((F.col("_ty") == first_y) & (F.col("_tx") == first_x))
-    return with_windows(met.drop("_ty", "_tx", *bounds))
+    apart = [F.col(a) > F.col(b) + SLACK for a, b in (("_south", "max_lat"), ("min_lat", "_north"), ("_west", "max_lon"), ("min_lon", "_east"))]
+    return with_windows(met.where(~(apart[0] | apart[1] | apart[2] | apart[3])).drop("_ty", "_tx", *bounds))
+
+
+def _block_of(row: str) -> Column:
+    return F.floor(F.col(row) / BLOCK).cast("long")
+
+
+def cells_in_boxes(cells: DataFrame, windows: DataFrame, keys: list[str], place: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Cells in the box of each window of their granule, with the window's other columns; `place` adds lon and lat.
+
+    Cells and windows meet in blocks of rows of a granule, first with the smallest range that holds all windows of the
+    block. `place` and what else it does to a cell runs once, however many boxes hold the cell; both joins have the
+    same keys, so cells are shuffled once.
+    """
+    on = [*keys, *GEOMETRY, "_block"]
+    blocked = windows.withColumn("_block", F.explode(F.sequence(_block_of("row_low"), _block_of("row_high"))))
+    hulls = blocked.groupBy(*on).agg(*_hull())
+    ranged = F.col("row").between(F.col("row_low"), F.col("row_high")) & F.col("col").between(F.col("col_low"), F.col("col_high"))
+    near = cells.withColumn("_block", _block_of("row")).join(hulls, on).where(ranged).drop(*WINDOW)
+    # a test that is never NULL keeps Spark from placing all cells beforehand to leave out those without a place
+    return place(near).join(blocked.drop(*WINDOW), on).where(F.coalesce(in_box(), F.lit(False))).drop("_block")
 
 
-def cells_in_windows(cells: DataFrame, windows: DataFrame, keys: list[str], block: int = 32) -> DataFrame:
+def cells_in_windows(cells: DataFrame, windows: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """Cells (a row each, with row and col) of each window of their granule, with the window's other columns.
 
     Cells and windows meet in blocks of rows of a granule, so a granule with most cells is dealt to many tasks.

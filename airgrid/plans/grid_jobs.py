@@ -12,7 +12,7 @@ from airgrid.operators.aggregates import (
     band_min_max_mean, band_min_max_median, coordinate_lists, mean_by,
 )
 from airgrid.operators.clean import mask_bands
-from airgrid.operators.granules import GEOMETRY, cells_in_hulls, cells_in_windows, granule_windows, in_box, merged_windows, with_windows
+from airgrid.operators.granules import GEOMETRY, cells_in_boxes, cells_in_hulls, cells_in_windows, granule_windows, merged_windows, with_windows
 from airgrid.operators.joins import (
     day_pair_join, dimension_join, equi_join, forecast_for_labels, interval_bounds, interval_join, interval_means,
 )
@@ -156,12 +156,13 @@ def elevation_table(raster: DataFrame, keys: list[str], percentiles: bool = True
 
 def granule_cells(granules: DataFrame, grids: DataFrame, bands: list[str], fill: Column, low: Column, high: Column,
                   scale: Column, offset: Column, depth_bands: tuple[str, ...] = (), average: bool = False,
-                  tile: float = 1.0) -> DataFrame:
+                  tile: float = 1.0, digits: int | None = None) -> DataFrame:
     """Cells of each granule inside each grid's bounds, scaled, checked and placed.
 
     `granules` is one row per overpass cell with raw bands, AOD_QA, the cell's place and the
     granule's corners. `depth_bands` are blanked where the quality word fails; `average` merges
-    the overpasses of a cell. Only rows and columns that a grid's bounds can hold are scaled and placed.
+    the overpasses of a cell. Only rows and columns that a grid's bounds can hold are scaled and placed, once for all grids;
+    so are the places rounded to `digits`, which the bounds are not compared with.
     """
     boxes = grids.select("grid_id", *polygon_bounds(F.col("wkt")))
     windows = granule_windows(granules, boxes, ["granule_id"], tile)
@@ -169,17 +170,32 @@ def granule_cells(granules: DataFrame, grids: DataFrame, bands: list[str], fill:
         # a cell's mean is the same in every box, so overpasses are merged once, before cells meet boxes
         cell = ["granule_id", *GEOMETRY, "row", "col"]
         checked = checked_bands(cells_in_hulls(granules, windows, ["granule_id"]), bands, fill, low, high, scale, offset, depth_bands)
-        merged = cells_in_windows(checked.groupBy(*cell).agg(*mean_bands(bands)), merged_windows(windows, ["granule_id"], "grid_id"), ["granule_id"])
+        placed = with_shown_place(with_cell_coordinates(checked.groupBy(*cell).agg(*mean_bands(bands))), digits)
+        merged = cells_in_windows(placed, merged_windows(windows, ["granule_id"], "grid_id"), ["granule_id"])
         inside = F.exists("boxes", lambda b: F.col("lon").between(b["min_lon"], b["max_lon"]) & F.col("lat").between(b["min_lat"], b["max_lat"]))
-        return with_cell_coordinates(merged).where(inside).select("grid_id", "granule_id", "lon", "lat", *bands)
-    placed = checked_cells(cells_in_windows(granules, windows, ["granule_id"]), bands, fill, low, high, scale, offset, depth_bands)
-    return placed.select("grid_id", "granule_id", "layer", "lon", "lat", *bands)
+        return merged.where(inside).select("grid_id", "granule_id", *shown_place(digits), *bands)
+    found = checked_cells(granules, windows, ["granule_id"], bands, fill, low, high, scale, offset, depth_bands, digits)
+    return found.select("grid_id", "granule_id", "layer", *shown_place(digits), *bands)
 
 
-def checked_cells(cells: DataFrame, bands: list[str], fill: Column, low: Column, high: Column, scale: Column, offset: Column,
-                  depth_bands: tuple[str, ...] = ()) -> DataFrame:
-    """Cells of windows that lie in their box, scaled, checked by range and quality word, and placed."""
-    return checked_bands(with_cell_coordinates(cells).where(in_box()), bands, fill, low, high, scale, offset, depth_bands)
+def with_shown_place(cells: DataFrame, digits: int | None) -> DataFrame:
+    """Add lon and lat rounded to `digits`, beside the exact ones; adding zero turns -0.0 into 0.0."""
+    return cells if digits is None else cells.withColumns({f"_{c}": F.round(c, digits) + F.lit(0.0) for c in ("lon", "lat")})
+
+
+def shown_place(digits: int | None) -> list[Column]:
+    """lon and lat of `with_shown_place`."""
+    return [F.col(c if digits is None else f"_{c}").alias(c) for c in ("lon", "lat")]
+
+
+def checked_cells(cells: DataFrame, windows: DataFrame, keys: list[str], bands: list[str], fill: Column, low: Column, high: Column,
+                  scale: Column, offset: Column, depth_bands: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
+    """Cells in the boxes of their granule's windows, scaled, checked by range and quality word, and placed."""
+
+    def place(near: DataFrame) -> DataFrame:
+        return checked_bands(with_shown_place(with_cell_coordinates(near), digits), bands, fill, low, high, scale, offset, depth_bands)
+
+    return cells_in_boxes(cells, windows, keys, place)
 
 
 def checked_bands(cells: DataFrame, bands: list[str], fill: Column, low: Column, high: Column, scale: Column, offset: Column,
@@ -215,7 +231,7 @@ def granule_partitions(readings: DataFrame, cells: DataFrame, grids: DataFrame,
         views = cells.withColumnRenamed("granule_id", "_scene")
         corners = views.select("_scene", *GEOMETRY).distinct()
         windows = with_windows(asked.join(boxes, "grid_id").join(corners, "_scene"))
-        found = checked_cells(cells_in_windows(views, windows, ["_scene"]), bands, fill, low, high, scale, offset, depth_bands)
+        found = checked_cells(views, windows, ["_scene"], bands, fill, low, high, scale, offset, depth_bands)
         found = found.select("grid_id", "_scene", "layer", "lon", "lat", *bands)
         return todo.join(found, ["grid_id", "_scene"]).drop("_scene")
 

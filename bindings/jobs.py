@@ -301,20 +301,20 @@ _INSIDE = "lon >= min_lon AND lon <= max_lon AND lat >= min_lat AND lat <= max_l
 
 def _granule_cells(t, average):
     return G.granule_cells(t.granules, t.grids, ["raw", "raw_b"], F.lit(13.0), F.lit(3.0), F.lit(45.0), F.lit(0.5), F.lit(2.0),
-                           depth_bands=("raw_b",), average=average)
+                           depth_bands=("raw_b",), average=average, digits=6)
 
 
 @query("job_granule_cells", f"""
        SELECT grid_id, granule_id, layer, {r6('lon')} AS lon, {r6('lat')} AS lat, raw, raw_b FROM ({_GRANULES}) JOIN {{boxes}} ON {_INSIDE}""")
 def _(t):
-    return rounded(_granule_cells(t, False), "lon", "lat")
+    return _granule_cells(t, False)
 
 
 @query("job_granule_cells_averaged", f"""
        SELECT grid_id, granule_id, {r6('any_value(lon)')} AS lon, {r6('any_value(lat)')} AS lat, avg(raw) AS raw, avg(raw_b) AS raw_b
        FROM ({_GRANULES}) JOIN {{boxes}} ON {_INSIDE} GROUP BY grid_id, granule_id, row, col""")
 def _(t):
-    return rounded(_granule_cells(t, True), "lon", "lat")
+    return _granule_cells(t, True)
 
 
 @query("job_granule_partitions", f"""
