@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.constants import DEPTH_BANDS, GFS_VARIABLES, MISR_VARIABLES, QA_FIELDS, SLOTS, SUMMARY_BANDS
+from airgrid.functions.features import selected_slots
 from airgrid.functions.geo import planar_distance, polygon_bounds, polygon_centroid
 from airgrid.functions.quality import quality_fields
 from airgrid.operators.aggregates import (
@@ -61,6 +62,29 @@ def with_centroid(grids: DataFrame) -> DataFrame:
     return grids.select("grid_id", polygon_centroid(F.col("wkt")).alias("centroid"))
 
 
+def near_forecasts(labels: DataFrame, forecasts: DataFrame, grids: DataFrame, time: str = "datetime") -> DataFrame:
+    """Per grid and time of the labels the forecast `slots` after it of each of its two days, at the points nearest the grid's centre on that day.
+
+    Labels are copied to their two days, where forecasts meet them. Only the nearest points of a day are copied to its
+    labels: one that is nearest over both days is among the nearest of each day that has it.
+    """
+    first = F.to_date(time)
+    copies = labels.select("grid_id", time).where(F.col("grid_id").isNotNull() & F.col(time).isNotNull()) \
+        .select("*", F.explode(F.array(first, F.date_add(first, 1))).alias("date")).repartition("grid_id", "date").distinct()
+    given = forecasts.select("grid_id", "date", "latitude", "longitude", *SLOT_COLUMNS).join(copies, ["grid_id", "date"], "left_semi")
+    placed = dimension_join(given, with_centroid(grids), ["grid_id"]).withColumn("distance", centre_distance("longitude", "latitude"))
+    near = nearest_rank(placed, ["grid_id", "date"], "distance", 1).drop("centroid", "distance_rank")
+    # a point without a full place has no forecast
+    slots = F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct(*selected_slots(first, F.hour(time), F.col("date"))))
+    return copies.join(near, ["grid_id", "date"]).select("grid_id", time, "latitude", "longitude", "distance", slots.alias("slots"))
+
+
+def nearest_slots(near: DataFrame, keys: list[str]) -> DataFrame:
+    """The slots of both days at the nearest of `near_forecasts`' points, by grid and time (and what follows from them)."""
+    ranked = nearest_rank(near, keys, "distance", 1)
+    return ranked.groupBy(*keys, "latitude", "longitude").agg(*[F.max(f"slots.{c}").alias(c) for c in SLOT_COLUMNS]).drop("latitude", "longitude")
+
+
 def nearest_forecasts(labels: DataFrame, forecasts: DataFrame, grids: DataFrame, time: str = "datetime") -> DataFrame:
     """Per label the forecast slots after its start, at the forecast point nearest the grid's centre.
 
@@ -124,19 +148,26 @@ def submission_table(submission: DataFrame, forecasts: DataFrame, readings: Data
     """The validated table for rows to predict: cells read within a day either way.
 
     The days around depend on the day asked for alone, so cells are summed up once per grid and day. Days asked for are
-    copied to the days around them, readings are not.
+    copied to the days around them, readings are not; repeated readings are told once they met. All meet by the day asked for.
     """
-    asked = submission.select("grid_id", "datetime").distinct().withColumn("label_day", F.date_trunc("day", "datetime"))
-    ahead = nearest_forecasts(asked.drop("label_day"), forecasts, grids)
-    days = asked.select("grid_id", "label_day").distinct()
-    read = readings.drop("index").distinct().select("grid_id", reading_time, "lon", "lat", *bands, "AOD_QA")
-    around = interval_join(read, days, ["grid_id"], reading_time, "label_day", back=1, ahead=1, mode="calendar", how="inner")
+    asked, day = submission.select("grid_id", "datetime"), F.to_date("datetime")
+    # rows asked for stand with their forecasts, behind them, so that they need no join
+    near = near_forecasts(asked, forecasts, grids).withColumn("distance", F.struct(F.lit(False).alias("none"), "distance"))
+    none = asked.withColumn("distance", F.struct(F.lit(True).alias("none"), F.lit(None).cast("double").alias("distance")))
+    near = near.unionByName(none, allowMissingColumns=True).repartition("grid_id", day).withColumn("label_day", day)
+    ahead = nearest_slots(near, ["grid_id", "label_day", "datetime"])
+    around = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.date_add(day, i)))
+    days = asked.select(F.col("grid_id").alias("_grid"), day.alias("label_day"), around.alias("_day")).repartition("_grid", "_day").distinct()
     # the day behind ends as it begins
+    stamp = F.col(reading_time).cast("timestamp")
     low, high = interval_bounds(F.col("label_day"), 1, 1, "calendar")
-    around = around.where(F.col(reading_time).cast("timestamp").between(low, high)).repartition("grid_id", "label_day")
-    cells = around.groupBy("grid_id", "lon", "lat", "label_day").agg(*[F.avg(b).alias(b) for b in bands], F.avg("AOD_QA").cast("int").alias("AOD_QA"))
-    summary = equi_join(asked, summarised(cells, ["grid_id", "label_day"], bands), ["grid_id", "label_day"], "inner").drop("label_day")
-    return dimension_join(equi_join(summary, ahead, ["grid_id", "datetime"], "right"), elevation, ["grid_id"])
+    read = readings.drop("index").join(days, (F.col("grid_id") == F.col("_grid")) & (F.to_date(stamp) == F.col("_day")) & stamp.between(low, high))
+    once = read.drop("_grid", "_day").repartition("grid_id", "label_day").distinct()
+    cells = once.groupBy("grid_id", "lon", "lat", "label_day").agg(*[F.avg(b).alias(b) for b in bands], F.avg("AOD_QA").cast("int").alias("AOD_QA"))
+    summary = summarised(cells, ["grid_id", "label_day"], bands)
+    names = [c for c in summary.columns if c not in ("grid_id", "label_day")]
+    table = equi_join(ahead, summary, ["grid_id", "label_day"]).select("grid_id", "datetime", *names, *SLOT_COLUMNS)
+    return dimension_join(table, elevation, ["grid_id"])
 
 
 def merge_misr(table: DataFrame, misr: DataFrame, keys: list[str], variables: list[str] = MISR_VARIABLES) -> DataFrame:

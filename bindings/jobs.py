@@ -109,7 +109,7 @@ def _(t):
        s AS (SELECT grid_id, datetime, {_ALL_MEDIANS} FROM ({_MASKED} w) GROUP BY 1, 2)
        SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM s RIGHT JOIN nf USING (grid_id, datetime) LEFT JOIN {{elevation}} USING (grid_id)""")
 def _(t):
-    return G.submission_table(t.labels_grid, t.gfs, t.aod_cells, t.elevation, t.grids)
+    return G.submission_table(t.labels_grid, t.dealt("gfs"), t.aod_cells, t.elevation, t.grids)
 
 
 @query("job_misr_merge", f"""

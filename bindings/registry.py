@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindings.tables import DRIVER_TABLES, LOGICAL
+from bindings.tables import DEALT, DRIVER_TABLES, LOGICAL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,12 +35,20 @@ class Tables:
             if name in DRIVER_TABLES:
                 known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             elif name in LOGICAL:
-                sql = _dialect(LOGICAL[name], spark=True)
-                known[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in set(_PLACE.findall(sql))})
+                known[name] = self._logical(name)
             else:
                 raise AttributeError(name)
         return known[name]
 
+    def _logical(self, name: str, **instead: DataFrame) -> DataFrame:
+        sql = _dialect(LOGICAL[name], spark=True)
+        return self.spark.sql(sql, **{n: instead[n] if n in instead else getattr(self, n) for n in set(_PLACE.findall(sql))})
+
+    def dealt(self, name: str) -> DataFrame:
+        """The same table, for jobs that join many of its columns by `DEALT`: rows are shuffled, not the wider sums of few."""
+        source, *keys = DEALT[name]
+        return self._logical(name, **{source: getattr(self, source).repartition(*map(F.expr, keys))})
+
 
 def _needed(sql: str, order: list[str]) -> list[str]:
     for name in dict.fromkeys(_PLACE.findall(sql)):

@@ -200,3 +200,6 @@ LOGICAL = {
         SELECT grid_id, date, CAST(max(value) AS DOUBLE) AS value, CAST(min(label_id) AS BIGINT) AS label_id
         FROM {labels_grid} GROUP BY grid_id, date""",
 }
+
+#: Tables summed up from another one's rows: that table, and the columns by which its rows come to one task beforehand.
+DEALT = {"gfs": ("lineitem", "concat('G', CAST(l_suppkey AS STRING))", "CAST(l_shipdate AS DATE)")}
