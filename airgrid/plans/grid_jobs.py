@@ -14,9 +14,7 @@ from airgrid.operators.aggregates import (
 )
 from airgrid.operators.clean import mask_bands
 from airgrid.operators.granules import GEOMETRY, cells_in_boxes, cells_in_hulls, cells_in_windows, granule_windows, merged_windows, with_windows
-from airgrid.operators.joins import (
-    day_pair_join, dimension_join, equi_join, forecast_for_labels, interval_bounds, interval_join, interval_means,
-)
+from airgrid.operators.joins import dimension_join, equi_join, interval_bounds, interval_join, interval_means
 from airgrid.operators.raster import (
     coarsen, elevation_summary, keep_good_quality, mean_bands, range_to_null, with_cell_coordinates,
 )
@@ -86,19 +84,10 @@ def nearest_slots(near: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest_forecasts(labels: DataFrame, forecasts: DataFrame, grids: DataFrame, time: str = "datetime") -> DataFrame:
-    """Per label the forecast slots after its start, at the forecast point nearest the grid's centre.
-
-    Only forecasts of a grid's days that a label asks for are read on. Points are ranked by place alone; the slots of
-    the nearest are joined afterwards.
-    """
-    dated = labels.withColumn("_label_date", F.to_date(time))
-    days = dated.select("grid_id", F.explode(F.array("_label_date", F.date_add("_label_date", 1))).alias("date")).distinct()
-    forecasts = forecasts.join(days, ["grid_id", "date"], "left_semi")
-    points = forecasts.select("grid_id", "date", "latitude", "longitude").distinct()
-    paired = day_pair_join(dated, points, ["grid_id"], "_label_date", "date").select(*labels.columns, "latitude", "longitude").distinct()
-    placed = dimension_join(paired, with_centroid(grids), ["grid_id"]).withColumn("distance", centre_distance("longitude", "latitude"))
-    near = nearest_rank(placed, ["grid_id", time], "distance", 1).select(*labels.columns, "latitude", "longitude")
-    return forecast_for_labels(near, forecasts, ["grid_id", "latitude", "longitude"], time, "date").drop("latitude", "longitude")
+    """Per label the forecast slots after its start, at the forecast point nearest the grid's centre."""
+    keys = ["grid_id", time]
+    near = near_forecasts(labels, forecasts, grids, time).repartition(*keys)
+    return equi_join(labels.repartition(*keys).distinct(), nearest_slots(near, keys), keys).select(*labels.columns, *SLOT_COLUMNS)
 
 
 def distinct_cells(cells: DataFrame, keys: list[str], bands: list[str] = SUMMARY_BANDS) -> DataFrame:

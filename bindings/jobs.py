@@ -82,7 +82,7 @@ _ALL_MEDIANS = ", ".join(f"min({b}) AS min_{b}, max({b}) AS max_{b}, quantile_di
        s AS (SELECT grid_id, datetime, {_ALL_MEDIANS} FROM ({_MASKED} {_CELLS}) GROUP BY 1, 2)
        SELECT * REPLACE ({ts_text('datetime')} AS datetime) FROM s RIGHT JOIN nf USING (grid_id, datetime) LEFT JOIN {{elevation}} USING (grid_id)""")
 def _(t):
-    return G.date_validated_table(t.labels_grid.select("label_id", "grid_id", "datetime", "value"), t.gfs, t.label_cells,
+    return G.date_validated_table(t.labels_grid.select("label_id", "grid_id", "datetime", "value"), t.dealt("gfs"), t.label_cells,
                                   t.elevation, t.grids)
 
 

@@ -69,6 +69,13 @@ def by_hand(rows, forecasts):
     return Counter((*r, *s) for r in rows for s in slots_of(r[-2], r[-1], forecasts))
 
 
+def test_nearest_forecasts_are_those_by_hand(labels, forecasts, grids):
+    found = G.nearest_forecasts(labels, forecasts, grids)
+    assert found.columns == [*labels.columns, *G.SLOT_COLUMNS]
+    want = by_hand({tuple(r) for r in labels.collect()}, forecasts.collect())
+    assert Counter(map(tuple, found.collect())) == want and len(want) > 100
+
+
 def cells_of(spark, extra):
     """Cells of three places: repeated, cloudy, without a grid or a time; `extra` gives a time's column and its values."""
     rows = [(i, g, x, 1.0, *[float((i * 3 + k) % 11) if (i + k) % 6 else None for k in range(len(BANDS))], CLEAR if i % 3 else CLOUD, t)
@@ -148,6 +155,14 @@ def test_submission_shuffles_readings_twice_and_forecasts_once(spark, wide):
     assert exchanges(out, f"max_{BANDS[0]}") == 0
 
 
+def test_validated_shuffles_forecasts_once(wide):
+    cells = wide["readings"].withColumnRenamed("t", "datetime")
+    out = G.date_validated_table(wide["labels"], wide["forecasts"], cells, wide["elevation"], wide["grids"])
+    # before 3 times, and the labels 6 times
+    assert exchanges(out, "t_surface00") == 1 and exchanges(out, "slots") == 1 and exchanges(out, "Column_WV") == 1
+    assert exchanges(out, "label_id") == 1
+
+
 def test_dealt_forecasts_are_the_same_rows_and_sums_are_not_shuffled(spark, tmp_path):
     rows = spark.sql("""SELECT if(id % 19 = 0, NULL, id % 40) AS l_orderkey, if(id % 23 = 0, NULL, id % 31) AS l_partkey, if(id % 17 = 0, NULL, id % 5) AS l_suppkey,
                                if(id % 13 = 0, NULL, int(id % 4)) AS l_linenumber,
