@@ -127,7 +127,7 @@ def cell_table(labels: DataFrame, forecasts: DataFrame, cells: DataFrame, elevat
         "AOD_distance_to_grid_center", centre_distance("lon", "lat"))
     near = nearest_rank(placed, ["grid_id", "datetime"], "AOD_distance_to_grid_center", nearest, "AOD_distance_rank") \
         .select("grid_id", "datetime", *bands, "AOD_distance_to_grid_center", "AOD_distance_rank")
-    ahead = nearest_forecasts(labels.select("grid_id", "datetime").distinct(), forecasts, grids)
+    ahead = nearest_slots(near_forecasts(labels, forecasts, grids).repartition("grid_id", "datetime"), ["grid_id", "datetime"])
     joined = equi_join(labels, near, ["grid_id", "datetime"], "left")
     return dimension_join(equi_join(joined, ahead, ["grid_id", "datetime"], "left"), elevation, ["grid_id"])
 

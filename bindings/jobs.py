@@ -96,7 +96,7 @@ def _(t):
        LEFT JOIN (SELECT * FROM d WHERE AOD_distance_rank <= 20) USING (grid_id, datetime)
        LEFT JOIN nf USING (grid_id, datetime) LEFT JOIN {{elevation}} USING (grid_id)""")
 def _(t):
-    out = G.cell_table(t.labels_grid.select("label_id", "grid_id", "datetime", "value"), t.gfs, t.label_cells, t.elevation, t.grids)
+    out = G.cell_table(t.labels_grid.select("label_id", "grid_id", "datetime", "value"), t.dealt("gfs"), t.label_cells, t.elevation, t.grids)
     return rounded(out, "AOD_distance_to_grid_center")
 
 

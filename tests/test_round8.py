@@ -112,6 +112,17 @@ def test_submission_rows_are_those_by_hand(spark, labels, forecasts, grids, elev
     assert sum(v[0] is not None for v in want.values()) > 20
 
 
+def test_label_rows_of_cells_keep_repeats(spark, labels, forecasts, grids, elevation):
+    cells = cells_of(spark, TIMES[3:9]).withColumnRenamed("t", "datetime")
+    out = G.cell_table(labels, forecasts, cells, elevation, grids.distinct(), nearest=1).select("label_id", "grid_id", "datetime", *G.SLOT_COLUMNS)
+    # one cell (or none) a label, as one is nearest; a label that comes twice stays twice
+    want = Counter((*r, *s) for r in map(tuple, labels.collect()) for s in slots_of(r[-2], r[-1], forecasts.collect()))
+    assert Counter(map(tuple, out.collect())) == want and want[0, "A", TIMES[0], *slots_of("A", TIMES[0], forecasts.collect())[0]] == 2
+    table = G.date_validated_table(labels, forecasts, cells, elevation, grids).select("label_id", "grid_id", "datetime", *G.SLOT_COLUMNS)
+    # where labels were made distinct before, they still are
+    assert Counter(map(tuple, table.collect())) == by_hand({tuple(r) for r in labels.collect()}, forecasts.collect())
+
+
 def exchanges(df, column):
     """Exchanges that give rows with `column`."""
     found, todo = 0, [df._jdf.queryExecution().executedPlan().initialPlan()]
@@ -163,6 +174,14 @@ def test_validated_shuffles_forecasts_once(wide):
     assert exchanges(out, "label_id") == 1
 
 
+def test_cell_table_shuffles_forecasts_once(wide):
+    cells = wide["readings"].withColumnRenamed("t", "datetime")
+    out = G.cell_table(wide["labels"], wide["forecasts"], cells, wide["elevation"], wide["grids"])
+    # before 3 times
+    assert exchanges(out, "t_surface00") == 1 and exchanges(out, "slots") == 1 and exchanges(out, "Column_WV") == 1
+    assert exchanges(out, "label_id") == 1 and exchanges(out, "distance") == 1
+
+
 def test_dealt_forecasts_are_the_same_rows_and_sums_are_not_shuffled(spark, tmp_path):
     rows = spark.sql("""SELECT if(id % 19 = 0, NULL, id % 40) AS l_orderkey, if(id % 23 = 0, NULL, id % 31) AS l_partkey, if(id % 17 = 0, NULL, id % 5) AS l_suppkey,
                                if(id % 13 = 0, NULL, int(id % 4)) AS l_linenumber,
